@@ -26,6 +26,7 @@ by ``drop_contaminated``.
 from __future__ import annotations
 
 import functools
+import itertools
 from collections.abc import Iterator
 
 import numpy as np
@@ -35,6 +36,8 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from .common import checkpointed
+
 WIDTH = 10
 BLOCK_BYTES = 8 << 20
 MAX_PART_BYTES = 16 << 20
@@ -264,10 +267,11 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, span: int | None = None, max_part_bytes: int = MAX_PART_BYTES, index: DataFrame | None = None) -> DataFrame:
     """One row for each document: row, doc_id, n_words, hits (start, end, item_id), near."""
     index = build_index(docs) if index is None else index
-    parts = [search(index, items, width, span) for items in items_in_parts(benchmark, max_part_bytes)]
+    parts = list(itertools.islice(items_in_parts(benchmark, max_part_bytes), 2))
     if len(parts) < 2:
-        return parts[0] if parts else search(index, [], width, span)
-    return merge_parts(functools.reduce(DataFrame.unionByName, parts))
+        return search(index, parts[0] if parts else [], width, span)
+    index = checkpointed(index)  # read once for each part, with the same block names
+    return merge_parts(functools.reduce(DataFrame.unionByName, (search(index, items, width, span) for items in items_in_parts(benchmark, max_part_bytes))))
 
 
 def merge_parts(found: DataFrame) -> DataFrame:

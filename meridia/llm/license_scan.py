@@ -1,15 +1,15 @@
 """License scan: MinHash bands over overlapping windows, then exact shingle containment (DataFrame operations only).
 
 Texts and templates become lower-cased runs of letters and digits and five-word shingles (64-bit hashes).
-For each length class s (the power of two at or above a template's number of shingles) a text has the
-windows [i s, i s + 2 s): any run of s shingles lies whole in one of them.  A window's set is hashed to
-``BANDS`` bands of ``ROWS`` MinHashes, and windows that share a band with a template of their class
-retrieve it.  Shingles that no template has cannot raise a containment, so they do not enter the
-sets, and windows (and texts) without any template shingle are not built at all.
+For each length n (in shingles) that a template has, a text has windows of n shingles, one from each place
+where any template's shingle stands.  A window's set is hashed to ``BANDS`` bands of ``ROWS`` MinHashes, and
+windows that share a band with a template of their length retrieve it.  Shingles that no template has
+cannot raise a containment, so they do not enter the sets, and texts without any have no windows.
 
-A window that holds the share c of a template, and nothing of others, has a Jaccard similarity of c
-with it and is retrieved with probability 1 - (1 - c^ROWS)^BANDS: over 0.9999 at c = 0.8 with the
-settings below.  Retrieved pairs are verified by the exact share of the template's shingles in the window.
+An occurrence that keeps the share c of a template's shingles within its length has, in the window from
+its first kept shingle, a Jaccard similarity of at least c / (2 - c) with it (the rest can only be other
+templates' shingles), and is retrieved with probability 1 - (1 - (c / (2 - c))^ROWS)^BANDS: over 0.9998 at
+c = 0.8 with the settings below, and surely at c = 1.  Retrieved pairs are verified by the exact share of the template's shingles in the window.
 
 Defined cases: null and empty texts match nothing; repeated rows are scanned one by one; templates of
 fewer than five words are ignored, those with equal names are one template (the greatest text); an
@@ -68,15 +68,11 @@ def band_hashes(hashes: Column, bands: int = BANDS, rows: int = ROWS) -> Column:
     return F.array(*out)
 
 
-def _class(n: Column) -> Column:
-    return F.pow(F.lit(2), F.ceil(F.log2(n))).cast("int")
-
-
 def templates_of(templates: DataFrame) -> DataFrame:
-    """template, n, hashes (distinct), class."""
+    """template, n, hashes (distinct), class (length in shingles)."""
     named = templates.where(F.col("template").isNotNull()).groupBy("template").agg(F.max("text").alias("text"))
     hashed = named.select("template", shingles_of(words_of(F.col("text"))).alias("h")).where(F.size("h") > 0)
-    return hashed.select("template", F.array_distinct("h").alias("hashes"), F.size(F.array_distinct("h")).alias("n"), _class(F.size("h")).alias("class"))
+    return hashed.select("template", F.array_distinct("h").alias("hashes"), F.size(F.array_distinct("h")).alias("n"), F.size("h").alias("class"))
 
 
 def template_table(spark, rows: list[tuple[str, str]] | None = None) -> DataFrame:
@@ -103,9 +99,8 @@ def scan(docs: DataFrame, templates: DataFrame, min_containment: float = MIN_CON
     rows = hashed.select(*kept, F.monotonically_increasing_id().alias("__row"), marked.alias("__hits"))
     classes = F.explode(F.array(*[F.lit(c) for c in sorted({c for _, _, _, c in listed})]))
     classed = rows.select(*kept, "__row", "__hits", classes.alias("__class"))
-    place = F.flatten(F.transform("__hits", lambda x: F.array(F.floor(x["i"] / F.col("__class")).cast("int"), (F.floor(x["i"] / F.col("__class")) - 1).cast("int"))))
-    windows = classed.select(*kept, "__row", "__hits", "__class", F.explode(F.filter(F.array_distinct(place), lambda w: w >= 0)).alias("__window"))
-    inside = F.filter("__hits", lambda x: (x["i"] >= F.col("__window") * F.col("__class")) & (x["i"] < (F.col("__window") + 2) * F.col("__class")))
+    windows = classed.select(*kept, "__row", "__hits", "__class", F.explode(F.transform("__hits", lambda x: x["i"])).alias("__window"))
+    inside = F.filter("__hits", lambda x: (x["i"] >= F.col("__window")) & (x["i"] < F.col("__window") + F.col("__class")))
     sets = windows.select(*kept, "__row", "__class", "__window", F.array_distinct(F.transform(inside, lambda x: x["h"])).alias("__set"))
     banded = sets.withColumn("__band", F.explode(band_hashes(F.col("__set"))))
     of_templates = spark.createDataFrame(listed, "template string, __hashes array<long>, __n int, __class int").withColumn("__band", F.explode(band_hashes(F.col("__hashes"))))

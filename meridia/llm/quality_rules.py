@@ -97,7 +97,10 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         lambda a, i: F.struct((a["n"] + i + WINDOW - F.greatest(a["upto"], i.cast("long"))).alias("n"), (i + WINDOW).cast("long").alias("upto")),
         lambda a: a["n"],
     )
-    return four.select(*keep, *[m for m in MEASUREMENTS if m != "n_repeat_words"], F.when(F.col("__where").isNotNull(), covered).otherwise(F.lit(0).cast("long")).alias("n_repeat_words"))
+    repeats = F.when(F.col("__where").isNotNull(), covered).otherwise(F.lit(0).cast("long"))
+    # A generator of one row: later filters stay above it, where they would else be pushed into copies of these expressions.
+    one_row = F.explode_outer(F.array(F.struct(*[m for m in MEASUREMENTS if m != "n_repeat_words"], repeats.alias("n_repeat_words"))))
+    return four.select(*keep, one_row.alias("__m")).select(*keep, *[F.col(f"__m.{m}").alias(m) for m in MEASUREMENTS])
 
 
 def ledger(docs: DataFrame, keep: list[str] | None = None) -> DataFrame:
