@@ -7,8 +7,9 @@ minimising the non-negative unbiased risk (Kiryo et al. 2017)
 
 from trusted positives and unlabelled web text.  The class prior pi is estimated from the
 same two samples: the least ratio of the unlabelled to the positive tail of a first model's
-held-back scores, with a confidence margin.  Labelled rows of both kinds then set the two
-numbers of a logistic calibration, so that a score reads as a probability.
+held-back scores, with a confidence margin.  The unlabelled sample is all sampled text, labels
+unseen.  Labelled rows of both kinds then set the two numbers of a logistic calibration on margins
+of models that did not see them, so that a score reads as a probability.
 
 Fitting uses bounded samples (``max_labelled``, ``max_unlabelled`` rows, chosen by a hash of
 the id).  Scoring reads every whole text, one slice at a time, without a shuffle.
@@ -34,6 +35,7 @@ from .common import columns_but, map_rows
 N_HASHED = 256
 N_DENSE = 22
 N_BINS = 12
+DECAY = 1e-3
 _CLASSES = np.zeros(256, np.int64)  # 0 other control
 for _i, _chars in enumerate((b"abcdefghijklmnopqrstuvwxyz", b"ABCDEFGHIJKLMNOPQRSTUVWXYZ", b"0123456789", b"#*$%&|<>", b"!?", b".,;:'\"()-", b" ", b"\n"), 1):
     _CLASSES[list(_chars)] = _i
@@ -164,17 +166,29 @@ def fit(x: np.ndarray, kind: np.ndarray, default_prior: float = 0.5) -> Model:
         model.slope, model.offset, model.prior = 0.0, float(np.log(default_prior / (1 - default_prior))), default_prior
         return model
     model = _blank(x)
-    pos, unl = model.design(x[kind == 1]), model.design(x[kind == -1] if (kind == -1).any() else x)
-    if len(pos) >= 20 and len(unl) >= 20:
-        w, b, _ = minimise_nn_risk(pos[::2], unl[::2], 0.5, steps=120)
-        prior = estimate_prior(pos[1::2] @ w + b, unl[1::2] @ w + b)
-    else:
-        prior = default_prior
-    model.weights, model.bias, _ = minimise_nn_risk(pos, unl, prior)
+    design, positive = model.design(x), kind == 1
+    decay = DECAY * max(1.0, 3000 / positive.sum())
+
+    def risk_model(rows: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+        w, b, _ = minimise_nn_risk(design[rows & positive], design[rows], prior, decay=decay)
+        return w, b
+
+    # Halves by position: a margin that is looked at never comes from a model that saw its row.
+    halves = [np.arange(len(x)) % 2 == h for h in (0, 1)]
+    enough = all((h & positive).sum() >= 10 for h in halves)
+    prior = default_prior
+    if enough:
+        w, b = risk_model(halves[0], 0.5)
+        prior = estimate_prior(design[halves[1] & positive] @ w + b, design[halves[1]] @ w + b)
+    model.weights, model.bias = risk_model(np.ones(len(x), bool), prior)
     model.prior = prior
     labelled = kind >= 0
-    if (kind == 0).sum() >= 5:
-        model.slope, model.offset = _calibrate(model.margin(x[labelled]).astype(np.float64), kind[labelled].astype(np.float64))
+    if enough and (kind == 0).sum() >= 5:
+        margins = np.zeros(len(x))
+        for h in halves:
+            w, b = risk_model(~h, prior)
+            margins[h] = design[h] @ w + b
+        model.slope, model.offset = _calibrate(margins[labelled], kind[labelled].astype(np.float64))
     return model
 
 
