@@ -77,7 +77,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         (F.length("__text") - F.length(F.regexp_replace("__text", r"[#*$%&|<>]+", ""))).cast("long").alias("n_symbols"),
         (F.size("__lines") - F.size(F.array_distinct("__lines"))).cast("long").alias("n_dup_lines"),
         F.size("__lines").cast("long").alias("n_lines"),
-        F.size(F.filter("__words", lambda w: F.lower(w) != F.upper(w))).cast("long").alias("n_alpha_words"),
+        F.size(F.filter("__words", lambda w: F.rlike(w, F.lit(r"\p{L}")))).cast("long").alias("n_alpha_words"),
         (F.length("__text") - F.length(F.regexp_replace("__text", "[A-Z]+", ""))).cast("long").alias("n_upper"),
         pairs.alias("__pairs"),
     )

@@ -59,6 +59,12 @@ def test_quality_rules(docs, none):
     assert quality_rules.apply_policy(kept, quality_rules.POLICIES["v1"]).where("kept").count() == sum(not b & 3 for b in bits)
 
 
+def test_letters_without_case(spark):
+    rows = spark.createDataFrame([(1, "यह एक सरल वाक्य है " * 6), (2, "هذه جملة بسيطة جدا " * 6), (3, "1 2 3 -- 4 " * 6)], "doc_id long, text string")
+    got = {r["doc_id"]: (r["n_alpha_words"], bool(r["fail_bits"] & quality_rules.BIT["no_letters"])) for r in quality_rules.ledger(rows).collect()}
+    assert got == {1: (30, False), 2: (24, False), 3: (0, True)}
+
+
 @pytest.mark.parametrize("inline", [256, 0])
 def test_url_filter(spark, inline):
     rng = random.Random(1)
