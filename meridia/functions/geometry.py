@@ -6,6 +6,8 @@ Python UDF: every function returns a SQL text or a Column that Catalyst compiles
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -155,15 +157,23 @@ def stripe_of(y: Column, min_y: Column, max_y: Column, count: Column) -> Column:
 # Rings as arrays of struct<x, y>
 
 
+def bound(col: Column, fn: Callable[[Column], Column]) -> Column:
+    """fn of col with col computed once: a lambda variable holds it, where the optimizer may copy a repeated expression."""
+    return F.element_at(F.transform(F.array(col), fn), 1)
+
+
 def open_ring(ring: Column) -> Column:
     """Without the repeated last point."""
-    closed = (F.size(ring) > 1) & (F.element_at(ring, 1) == F.element_at(ring, -1))
-    return F.when(closed, F.slice(ring, 1, F.size(ring) - 1)).otherwise(ring)
+
+    def opened(r: Column) -> Column:
+        closed = (F.size(r) > 1) & (F.element_at(r, 1) == F.element_at(r, -1))
+        return F.when(closed, F.slice(r, 1, F.size(r) - 1)).otherwise(r)
+
+    return bound(ring, opened)
 
 
 def close_ring(ring: Column) -> Column:
-    opened = open_ring(ring)
-    return F.when(F.size(opened) > 0, F.concat(opened, F.slice(opened, 1, 1))).otherwise(opened)
+    return bound(open_ring(ring), lambda r: F.when(F.size(r) > 0, F.concat(r, F.slice(r, 1, 1))).otherwise(r))
 
 
 def rotate_ring(ring: Column, start: Column) -> Column:

@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..stages import settled
 from . import rings as R
 from .finder import banded
 
@@ -29,10 +30,14 @@ def exclusion_rings(spark: SparkSession, boxes: list[tuple[float, float, float,
     return spark.createDataFrame(rows, RINGS)
 
 
-def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str]) -> DataFrame:
-    """keys, tz_idx, poly_idx of each polygon that strictly contains the point; points: keys, px, py (double)."""
+def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str], zone: str | None = None) -> DataFrame:
+    """keys, tz_idx, poly_idx of each polygon that strictly contains the point; points: keys, px, py (double).
+
+    With zone, a key of the points, a point meets that zone's edges only."""
     band = F.floor(F.col("py") / 100_000).cast("int")
-    met = points.withColumn("band", band).join(banded(edge_table), "band").where("py between least(ya, yb) and greatest(ya, yb)")
+    left, right = points.withColumn("band", band), banded(edge_table)
+    joined = left.join(right, "band") if zone is None else left.join(right.withColumn("__zone", F.col("tz_idx")), (left["band"] == right["band"]) & (left[zone] == F.col("__zone")))
+    met = joined.where("py between least(ya, yb) and greatest(ya, yb)")
     by_ring = met.select(*keys, *R.RING, G.on_edge().alias("on"), G.crossing().alias("cross")).groupBy(*keys, *R.RING).agg(F.max("on").alias("on"), F.sum("cross").alias("cross"))
     inside = G.contains(F.col("on"), F.col("cross"), False)
     whole = by_ring.groupBy(*keys, "tz_idx", "poly_idx").agg(F.bool_or(inside & (F.col("hole_idx") < 0)).alias("out"), F.bool_or(inside & (F.col("hole_idx") >= 0)).alias("hole"))
@@ -61,7 +66,7 @@ def ensure_inside(tiles: DataFrame, edge_table: DataFrame, excluded: DataFrame |
     corners = tiles.select(*key, F.posexplode(F.slice(G.tile_ring(F.col("x"), F.col("y"), F.col("z")), 1, 4)).alias("corner", "c"))
     pts = corners.select(*[F.col(k).alias(f"t_{k}") for k in key], "corner", (F.col("c.lng") * 100_000).alias("px"), (F.col("c.lat") * 100_000).alias("py"))
     names = [f"t_{k}" for k in key]
-    inside = strictly_inside(pts, edge_table, [*names, "corner"]).where("t_tz_idx = tz_idx").groupBy(*names, "poly_idx").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
+    inside = strictly_inside(pts, edge_table, [*names, "corner"], "t_tz_idx").groupBy(*names, "poly_idx").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
     kept = inside.select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct()
     if excluded is None:
         return kept
@@ -84,7 +89,7 @@ def merge_up(tiles: DataFrame, to_zoom: int, from_zoom: int) -> DataFrame:
     done, level = None, tiles
     for _ in range(from_zoom, to_zoom, -1):
         keyed = level.withColumns({"px": F.floor(F.col("x") / 2).cast("long"), "py": F.floor(F.col("y") / 2).cast("long")})
-        parents = keyed.groupBy("tz_idx", "px", "py", "z").agg(F.count(F.lit(1)).alias("n")).where("n = 4").drop("n")
+        parents = settled(keyed.groupBy("tz_idx", "px", "py", "z").agg(F.count(F.lit(1)).alias("n")).where("n = 4").drop("n"))  # used twice at each zoom
         left = keyed.join(parents, ["tz_idx", "px", "py", "z"], "left_anti").select("tz_idx", "x", "y", "z")
         done = left if done is None else done.unionByName(left)
         level = parents.select("tz_idx", F.col("px").alias("x"), F.col("py").alias("y"), (F.col("z") - 1).alias("z"))
@@ -95,11 +100,11 @@ def preindex(rings: DataFrame, idx_zoom: int = 13, agg_zoom: int = 3, max_keep:
     """name, x, y, z, key_ord, packed: tiles that lie wholly in one zone."""
     usable = rings.where(F.when(F.col("hole_idx") < 0, F.size("pts") >= min_exterior).otherwise(F.size("pts") >= MIN_HOLE))
     edge_table = R.edges(usable)
-    tiles = ensure_inside(cover(edge_table, idx_zoom), edge_table, excluded)
+    tiles = settled(ensure_inside(cover(edge_table, idx_zoom), edge_table, excluded))
     enough = tiles.groupBy("tz_idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TILES)
     tiles = tiles.join(enough, "tz_idx", "left_semi")
     for _ in range(drop):
-        tiles = drop_edge_tiles(tiles)
+        tiles = settled(drop_edge_tiles(tiles))
     merged = ensure_inside(merge_up(tiles, agg_zoom, idx_zoom), edge_table, excluded).where(F.col("z") <= max_keep)
     names = rings.select("tz_idx", "name").distinct()
     return merged.join(names, "tz_idx").select("name", "x", "y", "z", F.col("tz_idx").cast("long").alias("key_ord"), G.pack_tile(F.col("x"), F.col("y"), F.col("z")).alias("packed"))

@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
+from ..stages import settled
 from . import rings as R
 
 EPSILON = 0.001
@@ -64,8 +65,7 @@ def clean_rings(rings: DataFrame) -> DataFrame:
     """Open rings without repeated neighbours; longitudes in [-180, 180]."""
     p = G.open_ring(F.col("pts"))
     wrapped = F.transform(p, lambda q: F.struct(F.when(q["x"] > 18_000_000, q["x"] - 36_000_000).when(q["x"] < -18_000_000, q["x"] + 36_000_000).otherwise(q["x"]).alias("x"), q["y"].alias("y")))
-    one = rings.withColumn("pts", wrapped)
-    return one.withColumn("pts", F.filter("pts", lambda q, i: (i == 0) | (q != F.get("pts", i - 1))))
+    return rings.withColumn("pts", G.bound(wrapped, lambda r: F.filter(r, lambda q, i: (i == 0) | (q != F.get(r, i - 1)))))
 
 
 def snap_vertices(rings: DataFrame, cell: int = 100_000) -> DataFrame:
@@ -142,8 +142,8 @@ def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Topology-aware simplification: every different chain is simplified once, in its canonical direction.
 
     Rings that would have under three points keep their own."""
-    ready = R.normalise_windings(snap_vertices(R.normalise_windings(clean_rings(rings))))
-    cut = chains(ready, fixed_vertices(R.edges(ready)))
+    ready = settled(R.normalise_windings(snap_vertices(settled(R.normalise_windings(clean_rings(rings))))))
+    cut = settled(chains(ready, fixed_vertices(R.edges(ready))))
 
     @F.pandas_udf("array<struct<x:bigint,y:bigint>>")
     def reduce(pts: pd.Series) -> pd.Series:
@@ -170,9 +170,9 @@ def reduce_classic(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
 
 def deduplicate(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     """(ring_segments, shared_edges): borders of two rings are stored once, in their first use's direction."""
-    ready = snap_vertices(R.normalise_windings(clean_rings(rings)))
+    ready = settled(snap_vertices(settled(R.normalise_windings(clean_rings(rings)))))
     e = R.edges(ready)
-    cut = chains(ready, fixed_for_dedup(e))
+    cut = settled(chains(ready, fixed_for_dedup(e)))
     sharing = cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*R.RING, "seg_idx")).alias("first"), F.min_by("forward", F.struct(*R.RING, "seg_idx")).alias("first_forward"), F.min_by("pts", F.struct(*R.RING, "seg_idx")).alias("stored"))
     both = sharing.where("n = 2").withColumn("id", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
     library = both.select("id", F.col("stored").alias("pts"))

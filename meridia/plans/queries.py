@@ -10,6 +10,8 @@ from ..operators import audit, finder, tiles, topology
 from ..operators import rings as R
 from ..schemas import TILES
 from ..sources import fixtures as X
+from ..sources import geojson as J
+from ..stages import settled
 from . import pipeline
 
 Q: dict = {}
@@ -390,5 +392,60 @@ def top_pairs(spark, sf_dir):
 @query()
 def border_audit(spark, sf_dir):
     """Arcs of the crooked strips against their simplification."""
-    base = topology.snap_vertices(R.normalise_windings(topology.clean_rings(X.rings(spark, X.jagged()))))
+    base = settled(topology.snap_vertices(settled(R.normalise_windings(topology.clean_rings(X.rings(spark, X.jagged()))))))
     return audit.report(audit.analyse(base, topology.simplify(base, 0.15)))
+
+
+# Sources, sinks and reports
+
+
+@query(f"SELECT {_RING}, min(xa) AS min_x, min(ya) AS min_y, max(xa) AS max_x, max(ya) AS max_y, count(*) AS n FROM (SELECT * FROM {X.edges_sql(X.nations())}) GROUP BY tz_idx, poly_idx, hole_idx")
+def geojson_round_trip(spark, sf_dir):
+    """Zones written as one FeatureCollection and read again."""
+    e = R.edges(J.parse_features(J.feature_collection(X.rings(spark, X.nations()))))
+    return R.bounds(e, *R.RING).join(e.groupBy(*R.RING).agg(F.count(F.lit(1)).alias("n")), R.RING)
+
+
+@query("SELECT event_id AS pt_id, cast(event_id % 360 - 180 AS double) AS lng, cast(event_id % 180 - 90 AS double) AS lat FROM events")
+def point_lines(spark, sf_dir):
+    line = F.concat((F.col("event_id") % 180 - 90).cast("string"), F.element_at(F.array(*map(F.lit, (" ", "\t", ",", "; "))), (F.col("event_id") % 4 + 1).cast("int")), (F.col("event_id") % 360 - 180).cast("string"))
+    lines = table(spark, sf_dir, "events").select(F.col("event_id").alias("pt_id"), line.alias("value"))
+    return J.parse_point_lines(lines, "lat-lng").select("pt_id", "lng", "lat")
+
+
+@query(f"SELECT x, y, z, count(*) AS n FROM (SELECT DISTINCT x, y, z FROM {_TILES}) GROUP BY ALL")
+def tile_geojson(spark, sf_dir):
+    """One feature for each different tile; each is a closed ring of five corners."""
+    drawn = tiles.tile_features(spark.createDataFrame([(n, x, y, z, k, z << 56 | x << 28 | y) for n, x, y, z, k in _MAP], TILES))
+    ring = F.get_json_object("feature", "$.geometry.coordinates[0]")
+    return drawn.where(F.size(F.from_json(ring, "array<array<double>>")) == 5).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query(f"SELECT name, count(*) AS n_tiles FROM {_TILES} GROUP BY name")
+def fuzzy_geojson(spark, sf_dir):
+    drawn = tiles.zone_features(spark.createDataFrame([(n, x, y, z, k, z << 56 | x << 28 | y) for n, x, y, z, k in _MAP], TILES))
+    return drawn.select(F.get_json_object("feature", "$.properties.tzid").alias("name"), F.size(F.from_json(F.get_json_object("feature", "$.geometry.coordinates"), "array<string>")).cast("long").alias("n_tiles"))
+
+
+_SNAP: list[X.Ring] = [(0, "sparse", 0, -1, X.box(0, 0, 200_000, 200_000)), (1, "dense", 0, -1, [(200_000, 0), (400_000, 0), (400_000, 200_000), (200_000, 200_000), (200_000, 150_000), (200_000, 100_000), (200_000, 50_000), (200_000, 0)])]
+
+
+@query("SELECT * FROM (VALUES (0, 7), (1, 7)) v(tz_idx, n)")
+def snap_vertices(spark, sf_dir):
+    """The sparse square takes the three vertices of its neighbour's side."""
+    return topology.snap_vertices(topology.clean_rings(X.rings(spark, _SNAP))).select("tz_idx", F.size("pts").alias("n"))
+
+
+@query(f"WITH {_TOPO}, s AS (SELECT count(*) AS n FROM u WHERE n = 2 AND rings = 2 AND f = 1 AND NOT (struct_extract(lo, 1) = 18000000 AND struct_extract(hi, 1) = 18000000)), a AS (SELECT count(*) AS n FROM e) SELECT s.n AS shared_edges, a.n AS ring_points FROM s, a")
+def compressed_sharing(spark, sf_dir):
+    """Shared edges in the library (the two sides of the antimeridian differ by a turn), and ring points, after compression of the deduplicated dataset and back."""
+    segments, library = pipeline.decompress_topology(*pipeline.compress_topology(*topology.deduplicate(X.rings(spark, X.jagged()))))
+    segments, library = settled(segments), settled(library)
+    edges = library.agg(F.sum(F.size("pts") - 1).alias("shared_edges"))
+    return edges.join(topology.expand(segments, library).agg(F.sum(F.size("pts")).alias("ring_points")))  # one row each
+
+
+@query("SELECT * FROM (VALUES (25, 0, 25, 0)) v(zones_before, holes_before, zones_after, holes_after)")
+def reduction_report(spark, sf_dir):
+    rings = X.rings(spark, X.jagged())
+    return topology.reduction_report(rings, topology.reduce_classic(rings, 0.15)).select("zones_before", "holes_before", "zones_after", "holes_after")
