@@ -3,10 +3,10 @@
 1. Fingerprints: 64 bits, a bit set where over half the text's three-word shingles have it set.
 2. Equal fingerprints are one node (pre-aggregated before any shuffle).
 3. Within radius r two fingerprints agree on at least one of r + 1 bands, so each node goes to r + 1
-   buckets.  A bucket of over ``hot`` nodes is refined instead: each of its nodes goes to the buckets
-   of every fingerprint that differs from it in at most ceil(r / 2) bits outside the band (for radius 2:
-   one bit); two nodes within the radius share such a middle.  No bucket can then hold many nodes,
-   and the work stays in proportion to the nodes.
+   buckets.  For radii up to 2 a bucket of over ``hot`` nodes is refined instead, at every size of the
+   table: each of its nodes goes to the buckets of every fingerprint that differs from it in at most one
+   bit outside the band; two nodes within the radius share such a middle.  No refined bucket can hold
+   more than 44 nodes, so the work stays in proportion to the nodes.
 4. In a bucket the fingerprints are stored as vertical bit planes.  A query's planes are XORed with them and
    added with carry-save counters, 64 candidates to a machine word; a block of candidates is given up
    as soon as all of them exceed the radius.
@@ -195,14 +195,13 @@ def _band_key(band: tuple[int, int]) -> Column:
     return F.shiftrightunsigned("fp", lo).bitwiseAND(F.lit((1 << (hi - lo)) - 1))
 
 
-def bucketed(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def bucketed(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """band, key, fp rows: the buckets in which every pair within the radius meets at least once."""
     bands = _bands(radius)
     plain = nodes.select("fp", F.explode(F.array(*[F.struct(F.lit(k).cast("long").alias("band"), _band_key(b).cast("long").alias("key")) for k, b in enumerate(bands)])).alias("b")).select("b.band", "b.key", "fp")
-    limit = max(hot, 4 * n_nodes >> min(hi - lo for lo, hi in bands))
-    heavy = plain.groupBy("band", "key").count().where(F.col("count") > limit).select("band", "key")
-    if radius > 2:  # one middle bit serves radii up to 2
+    if radius > 2:  # one middle bit serves radii up to 2; wider ones compare whole buckets
         return plain
+    heavy = checkpointed(plain.groupBy("band", "key").count().where(F.col("count") > hot).select("band", "key"))
     n_heavy = heavy.count()
     if not n_heavy:
         return plain
@@ -216,9 +215,9 @@ def bucketed(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, hot: int = HO
     return light.unionByName(fine)
 
 
-def link_parts(nodes: DataFrame, n_nodes: int, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
+def link_parts(nodes: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """fp, part: nodes with equal part (one bucket's connected part) are linked."""
-    rows = bucketed(nodes, n_nodes, radius, hot)
+    rows = bucketed(nodes, radius, hot)
     spread = rows.repartition("band", "key").sortWithinPartitions("band", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -252,7 +251,7 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id of the component), component_size."""
     fps = checkpointed(fingerprints(docs))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    found = components(link_parts(nodes.select("fp"), nodes.count(), radius, hot))
+    found = components(link_parts(nodes.select("fp"), radius, hot))
     labelled = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     named = labelled.join(names, "component").select("fp", "component_id", "component_size")

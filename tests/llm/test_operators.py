@@ -157,7 +157,7 @@ def test_links_are_exact(spark, hot, radius):
             b = x if rng.random() < 0.3 else b
     fps = sorted(set(fps))
     nodes = spark.createDataFrame([(int(np.uint64(x).astype(np.int64)),) for x in fps], "fp long")
-    parts = simhash.components(simhash.link_parts(nodes, len(fps), radius, hot))
+    parts = simhash.components(simhash.link_parts(nodes, radius, hot))
     label = {np.int64(r["fp"]).astype(np.uint64).item(): r["component"] for r in parts.collect()}
     brute = brute_components({x: x for x in fps}, radius)
     groups = defaultdict(set)
