@@ -11,6 +11,7 @@ from urllib.parse import quote
 
 import numpy as np
 import pytest
+from oracle import oracle, spark_rows
 
 from meridia.llm import decontamination, html_extraction, license_scan, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 
@@ -387,6 +388,13 @@ def test_registered_queries(spark, sf):
             assert df.count() == spark.read.parquet(f"{sf}/{table}.parquet").count(), name
 
 
+def test_oracles(spark, sf):
+    from meridia.llm import queries
+
+    for name, sql in queries.ORACLE_SQL.items():
+        assert spark_rows(queries.QUERIES[name](spark, sf)) == oracle(sql, sf), name
+
+
 def test_pipeline(spark, sf):
     import corpus_pipeline as cp
 
