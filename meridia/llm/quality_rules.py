@@ -30,12 +30,14 @@ RULES: list[tuple[str, str]] = [
     ("symbols", "10 * n_symbols > 5 * n_words and n_words > 0"),
     ("duplicate_lines", "10 * n_dup_lines > 3 * n_lines"),
     ("short_words", "word_chars < 2 * n_words"),
-    ("long_words", "word_chars > 20 * n_words"),
+    ("long_words", "word_chars - n_unspaced > 20 * n_words"),
     ("no_letters", "5 * n_alpha_words < 3 * n_words"),
     ("shouting", "2 * n_upper > word_chars and word_chars > 0"),
 ]
 BIT = {name: 1 << k for k, (name, _) in enumerate(RULES)}
-MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_upper"]
+MEASUREMENTS = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "n_lines", "n_alpha_words", "n_upper", "n_unspaced"]
+#: Scripts that put no spaces between words; their letters say nothing about a word's length.
+UNSPACED = ["Han", "Hiragana", "Katakana", "Thai", "Lao", "Khmer", "Myanmar"]
 
 
 @dataclass(frozen=True)
@@ -70,6 +72,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
     # Only texts with a repeated window pay for finding where.
     repeated = F.size(F.array_distinct("__hashes")) < F.size("__hashes")
     pairs = F.when(repeated, F.array_sort(F.transform("__hashes", lambda h, i: F.struct(h.alias("h"), i.alias("i")))))
+    unspaced = "[" + "".join(rf"\p{{Is{s}}}" for s in UNSPACED) + "]+"
     three = two.select(
         *keep,
         F.size("__words").cast("long").alias("n_words"),
@@ -79,6 +82,7 @@ def measured(docs: DataFrame, keep: list[str]) -> DataFrame:
         F.size("__lines").cast("long").alias("n_lines"),
         F.size(F.filter("__words", lambda w: F.rlike(w, F.lit(r"\p{L}")))).cast("long").alias("n_alpha_words"),
         (F.length("__text") - F.length(F.regexp_replace("__text", "[A-Z]+", ""))).cast("long").alias("n_upper"),
+        (F.length("__text") - F.length(F.regexp_replace("__text", unspaced, ""))).cast("long").alias("n_unspaced"),
         pairs.alias("__pairs"),
     )
     where = F.array_sort(

@@ -66,6 +66,12 @@ def test_letters_without_case(spark):
     assert got == {1: (30, False), 2: (24, False), 3: (0, True)}
 
 
+def test_scripts_without_spaces(spark):
+    rows = spark.createDataFrame([(1, "这是一个没有空格的句子所以每个词看起来都很长很长很长。 " * 25), (2, "ประโยคภาษาไทยไม่มีช่องว่างระหว่างคำเลยสักคำเดียว " * 25), (3, "abcdefghijklmnopqrstuvwxyz " * 25)], "doc_id long, text string")
+    got = {r["doc_id"]: bool(r["fail_bits"] & quality_rules.BIT["long_words"]) for r in quality_rules.ledger(rows).collect()}
+    assert got == {1: False, 2: False, 3: True}
+
+
 @pytest.mark.parametrize("inline", [256, 0])
 def test_url_filter(spark, inline):
     rng = random.Random(1)
