@@ -375,6 +375,13 @@ def test_classifier_held_out(spark, docs, none):
     assert quality_classifier.score(none, model).count() == 0
 
 
+def test_sample_is_that_of_a_full_sort(spark):
+    ids = spark.range(0, 20_000, 1, 7).withColumnRenamed("id", "doc_id")
+    full = ids.selectExpr("doc_id", "xxhash64(doc_id, 'sample') as h").orderBy("h", "doc_id").limit(500)
+    assert {r[0] for r in quality_classifier.least_by_hash(ids, 500).collect()} == {r[0] for r in full.collect()}
+    assert quality_classifier.least_by_hash(ids.limit(0), 500).count() == 0
+
+
 def test_risk_stays_non_negative():
     rng = np.random.default_rng(3)
     pos, unl = rng.normal(1, 1, (200, 5)).astype(np.float32), rng.normal(-1, 1, (200, 5)).astype(np.float32)
