@@ -5,7 +5,8 @@ escapes, is base64, or is compressed inside base64 is unwrapped to a further lay
 until none is left.  A layer that was seen before (same content from the same place) is not
 entered again, so self-reproducing archives end.  Spans found in a layer are mapped back through
 its ancestors to code points of the original text: character by character through URL and Unicode
-escapes, to the whole encoded run for base64 and compressed layers.
+escapes, to the whole encoded run for base64 and compressed layers.  Base64 lines are decoded together with a
+last line of any length, else by bodies and lines, every one of them; bytes that are not UTF-8 are scanned too.
 
 Kinds of secrets (fixed values): assign, access, hex; see ``base_spans``.
 
@@ -46,7 +47,7 @@ _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
-_BASE64 = re.compile(r"[A-Za-z0-9+/_-]{16,}(?:\r?\n[A-Za-z0-9+/_-]{16,})*={0,2}")
+_BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+)(\r?\n[A-Za-z0-9+/_-]{1,15}+)?={0,2}")
 Span = tuple[int, int]
 OWN = {"spans", "added"}
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
@@ -174,20 +175,82 @@ def _text_of(data: bytes) -> str | None:
     return text if len(text) >= 8 and 20 * bad <= len(text) else None
 
 
-def _inner(data: bytes, limit: int) -> Iterator[tuple[str, str]]:
-    """Texts inside decoded bytes; nested archives are unpacked to the end."""
+def _any_text(data: bytes) -> str:
+    """data as the likeliest text, whatever it holds: UTF-16 by its zero bytes, UTF-8, or byte by byte."""
+    zeros = (data[::2].count(0), data[1::2].count(0))
+    if 3 * max(zeros) > len(data):
+        return data.decode("utf-16-le" if zeros[1] > zeros[0] else "utf-16-be", "replace")
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError:
+        return data.decode("latin-1")
+
+
+def _inner(data: bytes, limit: int) -> tuple[str, str, bool] | None:
+    """The text inside decoded bytes, how it was reached, and whether it surely is one; nested archives are unpacked to the end."""
     how, seen = [], set()
     while (key := hashlib.sha1(data).digest()) not in seen:
         seen.add(key)
         text = _text_of(data)
         if text is not None:
-            yield text, "+".join(["base64", *how])
-            return
+            return text, "+".join(["base64", *how]), True
         got = _unpacked(data, limit)
         if got is None or not got[0]:
-            return
+            return (_any_text(data), "+".join(["base64", *how]), bool(how)) if data else None
         data = got[0]
         how.append(got[1])
+    return None
+
+
+def _base64_text(run: str, limit: int) -> tuple[str, str, bool] | None:
+    raw = re.sub(r"[=\r\n]", "", run).replace("-", "+").replace("_", "/")
+    raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+    try:
+        return _inner(base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True), limit)
+    except binascii.Error:
+        return None
+
+
+def _bodies(text: str, start: int, end: int) -> list[list[Span]]:
+    """The lines of a run, grouped into bodies: lines of one length and a shorter last one."""
+    out: list[list[Span]] = []
+    for m in re.compile(r"[^\r\n]+").finditer(text, start, end):
+        last = out[-1] if out else []
+        size = last[0][1] - last[0][0] if last else 0
+        if last and last[-1][1] - last[-1][0] == size and m.end() - m.start() <= size:
+            last.append(m.span())
+        else:
+            out.append([m.span()])
+    return out
+
+
+def _unwrapped(layer: Layer, start: int, end: int, limit: int) -> tuple[list[Layer], bool]:
+    """Layers of a run of base64 lines, and whether all of it surely is text.
+
+    The run is taken whole; if that is no text, as bodies, then by lines; what is still none is read as bytes."""
+    text = layer.text
+    got = _base64_text(text[start:end], limit)
+    whole = [] if got is None else [Layer(got[0], layer, lambda a, b: (start, end), got[1])]
+    if got is not None and got[2]:
+        return whole, True
+    bodies = _bodies(text, start, end)
+    parts = [(own[0][0], own[-1][1]) for own in bodies] if len(bodies) > 1 else bodies[0]
+    if len(parts) < 2:
+        return whole, False
+    inner = [_unwrapped(layer, s, e, limit) for s, e in parts]
+    sure = all(ok for _, ok in inner)
+    return [x for own, _ in inner for x in own] + ([] if sure else whole), sure
+
+
+def _without_tail(m: re.Match, limit: int) -> bool:
+    """Whether the short last line of a run is a word after it, not the end of its base64."""
+    short, full = _base64_text(m[1], limit), _base64_text(m[0], limit)
+    if short is None or not short[2]:
+        return False
+    if full is None or not full[2] or full[0] == short[0]:
+        return True
+    rest = full[0][len(short[0]) :]
+    return not all(c.isprintable() or c in "\t\r\n" for c in rest)
 
 
 def _layers_of(layer: Layer, limit: int) -> Iterator[Layer]:
@@ -197,22 +260,8 @@ def _layers_of(layer: Layer, limit: int) -> Iterator[Layer]:
     if ("\\" in text or "&#" in text) and (new := _replaced(layer, _ESCAPE, _escape, "unicode")):
         yield new
     for m in _BASE64.finditer(text):
-        runs = [(m.start(), m.end())]
-        if "\n" in m[0]:
-            runs += [(m.start() + p.start(), m.start() + p.end()) for p in re.finditer(r"[^\r\n]+", m[0])]
-        for start, end in runs:
-            raw = re.sub(r"[=\r\n]", "", text[start:end]).replace("-", "+").replace("_", "/")
-            raw = raw[: len(raw) - (len(raw) % 4 == 1)]
-            try:
-                data = base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True)
-            except binascii.Error:
-                continue
-            found = False
-            for inner, how in _inner(data, limit):
-                found = True
-                yield Layer(inner, layer, lambda a, b, s=start, e=end: (s, e), how)
-            if found:
-                break
+        end = m.end(1) if m[2] and _without_tail(m, limit) else m.end()
+        yield from _unwrapped(layer, m.start(), end, limit)[0]
 
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

@@ -323,6 +323,27 @@ def test_secrets_in_layers(docs, none):
     assert masked.columns == docs.columns and masked.where("text like '%hunter2%'").count() == 0
 
 
+def unpadded(data):
+    return base64.b64encode(data if isinstance(data, bytes) else data.encode()).decode().rstrip("=")
+
+
+def test_secrets_in_lines_of_base64():
+    first, second = unpadded("password=hunter2secret"), unpadded("my first token=abcdefgh9")
+    text = f"a {first}\n{second} b"
+    assert [(text[s:e], k) for k, s, e in secrets.scan(text)[1]] == [(first, "assign"), (second, "assign")]
+    body = unpadded("x" * 43 + " password=hunter2secret")  # the secret ends in a last line of 12 characters
+    wrapped = "\n".join(body[i : i + 76] for i in range(0, len(body), 76))
+    assert len(wrapped.split("\n")[-1]) < 16
+    for blob, after in ((wrapped, ""), (wrapped, " after"), (wrapped.replace("\n", "\r\n"), "\nafter it")):
+        text = f"before {blob}{after}"
+        assert [text[s:e] for _, s, e in secrets.scan(text)[1]] == [blob]
+    text = f"{first}==\nThe end {unpadded('token = abcdefgh99')}\nThe end"
+    assert secrets.masked(text, secrets.scan(text)[1]) == "[SECRET]\nThe end [SECRET]\nThe end"
+    for data in ("caf\xe9 password=hunter2secret".encode("latin-1"), "password=hunter2secret".encode("utf-16-le"), b"\0\1\2\3" * 9 + b"password=hunter2secret", gzip.compress("caf\xe9 password=hunter2secret".encode("latin-1"))):
+        blob = unpadded(data)
+        assert secrets.scan(f"a {blob} b")[1] == [("assign", 2, 2 + len(blob))]
+
+
 def page(host, body, k):
     return f"<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href='/a'>Home {k}</a></ul></nav><div class='intro'>Welcome to {host}</div><div class=ad>buy {k}</div>{body}<div class='comments'><p>reader says {k}</p></div><footer>&copy; {host} {k}</footer></body></html>"
 
