@@ -12,7 +12,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meridia.llm import decontamination, packing, quality_classifier, secrets, simhash
-from meridia.llm.common import ensure_checkpoint_dir, table, without_ids
+from meridia.llm.common import KEY, by_key, checkpointed, ensure_checkpoint_dir, keyed, table
 
 
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -22,14 +22,16 @@ def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One document, the least id, of each group of near-duplicates."""
+    """One row, of the least id, of each group of near-duplicates."""
     return simhash.keep_one(docs)
 
 
 def decontaminate(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without any window of a benchmark item."""
-    found = decontamination.find_contamination(docs, table(spark, sf_dir, "benchmark"))
-    return without_ids(docs, found.where(F.size("hits") > 0))
+    """Rows without any window of a benchmark item, whatever their ids: the verdict is that of the text."""
+    rows = keyed(docs, "text")
+    found = decontamination.find_contamination(rows.select(F.col(KEY[0]).alias("doc_id"), "text"), table(spark, sf_dir, "benchmark"))
+    hit = checkpointed(found.where(F.size("hits") > 0).select(F.col("doc_id").alias(KEY[0])).distinct())
+    return by_key(rows, hit, "left_anti").select(docs.columns)
 
 
 def mask_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

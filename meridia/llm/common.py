@@ -62,15 +62,20 @@ def ascii_lower(col):
     return F.translate(col, "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
 
-#: Ids of eight bytes that may be broadcast; above this the join shuffles.
-BROADCAST_IDS = 1_000_000
+#: Keys of 16 bytes that may be broadcast; above this the join shuffles.
+BROADCAST_KEYS = 500_000
+KEY = ("__key", "__key2")
 
 
-def without_ids(docs: DataFrame, ids: DataFrame, key: str = "doc_id") -> DataFrame:
-    """docs whose key is not in ids; ids are broadcast only up to BROADCAST_IDS rows."""
-    ids = checkpointed(ids.select(key).where(F.col(key).isNotNull()).distinct())
-    small = ids.count() <= BROADCAST_IDS
-    return docs.join(F.broadcast(ids) if small else ids, key, "left_anti").select(docs.columns)
+def keyed(docs: DataFrame, *of: str) -> DataFrame:
+    """docs with KEY, 128 bits that equal rows of the named columns share; null is a value like any other."""
+    parts = [c for name in of for c in (F.col(name).isNull(), F.col(name))]
+    return docs.withColumns({KEY[0]: F.xxhash64(*parts), KEY[1]: F.xxhash64(F.lit("second"), *parts)})
+
+
+def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
+    """left_semi or left_anti join of keyed docs by the keys' columns; keys (checkpointed) are broadcast only up to BROADCAST_KEYS rows."""
+    return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns, how)
 
 
 def bound(col, fn):

@@ -27,8 +27,9 @@ import pyarrow as pa
 import xxhash
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
-from .common import checkpointed, map_rows, without_ids
+from .common import KEY, by_key, checkpointed, keyed, map_rows
 
 RADIUS = 2
 SHINGLE = 3
@@ -54,14 +55,15 @@ def fingerprint(text: str | None, size: int = SHINGLE) -> int:
     return int(np.packbits(2 * counts > n, bitorder="little").view("<u8")[0])
 
 
-def fingerprints(docs: DataFrame) -> DataFrame:
-    """doc_id and its fingerprint as a signed long (fp)."""
+def fingerprints(docs: DataFrame, carried: tuple[str, ...] = ()) -> DataFrame:
+    """doc_id and its fingerprint as a signed long (fp), and the carried columns."""
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         fps = np.array([fingerprint(t) for t in batch.column(1).to_pylist()], np.uint64).view(np.int64)
-        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps)], names=["doc_id", "fp"])
+        return pa.RecordBatch.from_arrays([batch.column(0), pa.array(fps), *batch.columns[2:]], names=["doc_id", "fp", *carried])
 
-    return map_rows(docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")), run, "doc_id long, fp long")
+    inner = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"), *carried)
+    return map_rows(inner, run, T.StructType([T.StructField("doc_id", T.LongType()), T.StructField("fp", T.LongType()), *inner.schema.fields[2:]]))
 
 
 def bit_planes(fps: np.ndarray) -> np.ndarray:
@@ -247,18 +249,37 @@ def components(links: DataFrame, max_rounds: int = 200) -> DataFrame:
     raise RuntimeError("labels still change; raise max_rounds")
 
 
+def _labelled(nodes: DataFrame, radius: int, hot: int) -> DataFrame:
+    """nodes (of distinct fp) with their component, the least fp of it."""
+    found = components(link_parts(nodes.select("fp"), radius, hot))
+    return nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+
+
 def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id of the component), component_size."""
     fps = checkpointed(fingerprints(docs))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    found = components(link_parts(nodes.select("fp"), radius, hot))
-    labelled = nodes.join(found, "fp", "left").withColumn("component", F.coalesce("component", "fp"))
+    labelled = _labelled(nodes, radius, hot)
     names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
     named = labelled.join(names, "component").select("fp", "component_id", "component_size")
     return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> DataFrame:
-    """One document of each component, its least id, with all its columns."""
-    groups = near_duplicates(docs.select("doc_id", "text"), radius, hot)
-    return without_ids(docs, groups.where(F.col("doc_id") != F.col("component_id")))
+    """Exactly one row of each component, one of its least id (a null id only where all are null), with all its columns.
+
+    Rows are told apart by id and text; of rows equal in both any one stays."""
+    rows = keyed(docs, "doc_id", "text")
+    fps = checkpointed(fingerprints(rows, KEY).groupBy("fp", *KEY).agg(F.first("doc_id").alias("doc_id"), F.count(F.lit(1)).alias("n")))
+    order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *KEY)
+    nodes = checkpointed(fps.groupBy("fp").agg(F.min(order).alias("least")))
+    labelled = _labelled(nodes, radius, hot)
+    names = labelled.groupBy("component").agg(F.min("least").alias("winner"))
+    named = labelled.join(names, "component").select("fp", "winner")
+    wins = (F.col(KEY[0]) == F.col(f"winner.{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"winner.{KEY[1]}"))
+    touched = checkpointed(fps.join(named, "fp").select(*KEY, wins.alias("wins"), "n").where(~F.col("wins") | (F.col("n") > 1)))
+    out = by_key(rows, touched.select(*KEY), "left_anti")
+    repeated = touched.where("wins").select(*KEY)
+    if repeated.limit(1).count():
+        out = out.unionByName(by_key(rows, repeated, "left_semi").dropDuplicates(list(KEY)))
+    return out.select(docs.columns)

@@ -205,6 +205,20 @@ def test_simhash(docs, none):
     assert set(kept) == set(brute.values())
 
 
+def test_stages_judge_rows_not_ids(spark, tmp_path):
+    import corpus_pipeline as cp
+
+    rng = random.Random(4)
+    a, b, c, d, dirty = (" ".join(f"{x}{rng.randrange(10**6)}" for _ in range(40)) for x in "abcde")
+    rows = [(1, a, "x")] * 5 + [(None, a, "x"), (2, a, "y"), (None, b, "x"), (None, b, "y"), (3, c, "x"), (3, d, "x"), (4, None, "x"), (None, "", "x")]
+    got = simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(1, a), (None, b), (3, c), (3, d), (4, None)])
+    spark.createDataFrame([(1, " ".join(dirty.split()[5:25]))], "item_id long, text string").write.parquet(str(tmp_path / "benchmark.parquet"))
+    rows = [(None, dirty, "x"), (None, a, "x"), (7, dirty, "x"), (7, b, "x"), (8, c, "x"), (8, c, "x"), (9, None, "x")]
+    got = cp.decontaminate(spark, spark.createDataFrame(rows, "doc_id long, text string, lang string").repartition(3), str(tmp_path)).collect()
+    assert Counter((r["doc_id"], r["text"]) for r in got) == Counter([(None, a), (7, b), (8, c), (8, c), (9, None)])
+
+
 def hits_by_windows(docs, items):
     pattern = re.compile(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+")
     windows = defaultdict(set)
