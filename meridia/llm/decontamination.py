@@ -8,8 +8,8 @@ is bounded, and no posting is shuffled; ``store_index`` writes the table for lat
 ``search`` keeps the posting lists of the test set's terms and, block by block, takes from each
 window of an item its rarest term, aligns the item with each of that term's positions and
 intersects with the offset-adjusted lists of the other terms, rarest first.  What is left are the
-exact phrases; with ``span`` set, items whose ``near_terms`` rarest terms lie within span words of
-each other are reported as proximity matches too.
+exact phrases; with ``span`` set, items whose ``near_terms`` rarest terms (by their count in the whole corpus,
+of those that occur in it) lie within span words of one document are reported as proximity matches too.
 
 The test set is collected in parts of at most ``max_part_bytes`` of text, one search over the index for
 each, so what a worker holds is bounded.
@@ -39,6 +39,7 @@ from pyspark.sql import types as T
 from .common import checkpointed
 
 WIDTH = 10
+SPAN, NEAR_TERMS = 50, 5
 BLOCK_BYTES = 8 << 20
 MAX_PART_BYTES = 16 << 20
 _TABLE = bytes(b if 0x30 <= b <= 0x39 or 0x61 <= b <= 0x7A or b >= 0x80 else b + 32 if 0x41 <= b <= 0x5A else 0x20 for b in range(256))
@@ -193,32 +194,68 @@ def _find(test: _Test, n_of: np.ndarray, first: np.ndarray, keys: np.ndarray) ->
     return out
 
 
-def _near(test: _Test, n_of: np.ndarray, first: np.ndarray, keys: np.ndarray, span: int, near_terms: int) -> list[tuple[int, int]]:
-    """(item, position of its rarest term) where its near_terms rarest terms all lie within span words."""
+def _rarest(test: _Test, total: np.ndarray, near_terms: int) -> list[np.ndarray]:
+    """Each item's rarest terms by their count in the corpus; none where the corpus holds too few of its terms."""
     out = []
-    for k, (_, ids) in enumerate(test.items):
+    for _, ids in test.items:
         own = np.unique(ids)
-        if not (n_of[own] > 0).all():
+        live = own[total[own] > 0]
+        out.append(live[np.argsort(total[live], kind="stable")][:near_terms] if len(live) >= min(near_terms, len(own)) else live[:0])
+    return out
+
+
+def _near(chosen: list[np.ndarray], n_of: np.ndarray, first: np.ndarray, keys: np.ndarray, begins: np.ndarray, ends: np.ndarray, span: int) -> list[tuple[int, int]]:
+    """(item, document) where the item's chosen terms all stand within span words of the document."""
+    out = []
+    for k, own in enumerate(chosen):
+        if not len(own) or not (n_of[own] > 0).all():
             continue
-        own = own[np.argsort(n_of[own], kind="stable")][:near_terms]
+        own = own[np.argsort(n_of[own], kind="stable")]
         at = keys[first[own[0]] : first[own[0]] + n_of[own[0]]] & 0xFFFFFFFF
+        doc = np.searchsorted(begins, at, "right") - 1
         for t in own[1:]:
-            low = np.searchsorted(keys, (t << 32) + np.maximum(at - span, 0))
-            at = at[(low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] <= (t << 32) + at + span)]
-        out += [(k, int(p)) for p in at]
+            low = np.searchsorted(keys, (t << 32) + np.maximum(at - span + 1, begins[doc]))
+            ok = (low < len(keys)) & (keys[np.minimum(low, len(keys) - 1)] < (t << 32) + np.minimum(at + span, ends[doc]))
+            at, doc = at[ok], doc[ok]
+        done = set()
+        for p, d in zip(at.tolist(), doc.tolist(), strict=True):
+            if d not in done and _within(own, keys, max(p - span + 1, int(begins[d])), min(p + span, int(ends[d])), span):
+                done.add(d)
+                out.append((k, d))
     return out
 
 
-def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WIDTH, span: int | None = None, near_terms: int = 5) -> DataFrame:
+def _within(terms: np.ndarray, keys: np.ndarray, start: int, end: int, span: int) -> bool:
+    """Whether span words in a row between start and end hold all terms."""
+    found = []
+    for t in terms.tolist():
+        lo, hi = np.searchsorted(keys, [(t << 32) + start, (t << 32) + end])
+        found += [(p, t) for p in (keys[lo:hi] & 0xFFFFFFFF).tolist()]
+    last: dict[int, int] = {}
+    for p, t in sorted(found):
+        last[t] = p
+        if len(last) == len(terms) and p - min(last.values()) < span:
+            return True
+    return False
+
+
+def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int = WIDTH, span: int | None = None, near_terms: int = NEAR_TERMS) -> DataFrame:
     """One row for each document of the index: its merged phrase hits (word offsets), and near items."""
     test = _Test(items, width)
     spark = index.sparkSession
     terms = spark.createDataFrame([(bytearray(b""),), *((bytearray(w),) for w in test.terms)], "term binary")
     kept = index.join(F.broadcast(terms), "term", "left_semi").select(INDEX.fieldNames())  # bounded by the part of the test set
-    shared = spark.sparkContext.broadcast(test)
+    chosen: list[np.ndarray] = []
+    if span is not None:
+        kept = checkpointed(kept)  # read for the counts, then for the search
+        total = np.zeros(len(test.terms), np.int64)
+        for r in kept.where(F.length("term") > 0).groupBy("term").agg(F.sum("n").alias("n")).toLocalIterator():
+            total[test.terms[bytes(r["term"])]] = r["n"]
+        chosen = _rarest(test, total, near_terms)
+    shared = spark.sparkContext.broadcast((test, chosen))
 
     def finish(name: str, header: tuple, postings: dict[bytes, np.ndarray]) -> pa.RecordBatch:
-        test = shared.value
+        test, chosen = shared.value
         doc_ids, starts, counts = header
         n_of = np.zeros(len(test.terms), np.int64)
         parts = []
@@ -239,8 +276,8 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
                 else:
                     own.append({"start": s, "end": e, "item_id": name_of})
             if span is not None:
-                for item, at in _near(test, n_of, first, keys, span, near_terms):
-                    near[int(np.searchsorted(begins, at, "right") - 1)].add(test.items[item][0])
+                for item, d in _near(chosen, n_of, first, keys, begins, begins + np.array(counts), span):
+                    near[d].add(test.items[item][0])
         kind = pa.list_(pa.struct([("start", pa.int64()), ("end", pa.int64()), ("item_id", pa.string())]))
         return pa.RecordBatch.from_arrays([pa.array([f"{name}-{i}" for i in range(len(doc_ids))]), pa.array(doc_ids, pa.int64()), pa.array(counts, pa.int64()), pa.array(hits, kind), pa.array([sorted(x) for x in near], pa.list_(pa.string()))], names=HITS.fieldNames())
 

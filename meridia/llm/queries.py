@@ -31,6 +31,12 @@ def op4_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontamination.verdicts(found).drop("near_items")
 
 
+def op4_proximity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """op4 with the proximity matches: near_items, the ids of items whose rarest terms stand close together."""
+    found = decontamination.find_contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"), span=decontamination.SPAN)
+    return decontamination.verdicts(found)
+
+
 def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"])
     judged = quality_rules.apply_policy(rows, quality_rules.POLICIES[quality_rules.CURRENT])
@@ -68,7 +74,7 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op5_quality_rules, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op4_proximity, op5_quality_rules, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction)}
 
 #: The others' hashes, fits and decodings have no SQL form; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {

@@ -261,6 +261,35 @@ def test_decontamination(spark, part):
     assert got == hits_by_windows(rows, [x for x in items if x[0] is not None])
 
 
+@pytest.mark.parametrize("block", [200, 1 << 20])
+def test_proximity_by_brute_force(spark, block):
+    rng = random.Random(11)
+    vocabulary = [f"t{min(int(rng.expovariate(0.05)), 90)}" for _ in range(3000)]
+    items = [(i, " ".join([*rng.sample(vocabulary, rng.choice([2, 4, 12, 30])), *(["nowhere"] * (i % 2))])) for i in range(20)]
+    rows = [(0, None)]
+    for d in range(1, 60):
+        body = rng.choices(vocabulary, k=rng.randrange(1, 60))
+        passage = rng.choice(items)[1].split()
+        rng.shuffle(passage)
+        body[5:5] = passage[: len(passage) * rng.choice([0, 1])]
+        rows.append((d, " ".join(body)))
+    count = Counter(w for _, t in rows for w in (t or "").split())
+    rank = {w: k for k, w in enumerate(sorted({w for _, t in items for w in t.split()}))}
+    brute = {d: [] for d, _ in rows}
+    for i, t in items:
+        own = set(t.split())
+        live = sorted((w for w in own if count[w]), key=lambda w: (count[w], rank[w]))
+        if len(live) >= min(5, len(own)):
+            for d, text in rows:
+                w = (text or "").split()
+                if any(set(live[:5]) <= set(w[k : k + 12]) for k in range(len(w))):
+                    brute[d].append(str(i))
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    found = decontamination.find_contamination(docs, spark.createDataFrame(items, "item_id long, text string"), span=12, index=decontamination.build_index(docs, block))
+    assert {r["doc_id"]: r["near_items"] for r in decontamination.verdicts(found).collect()} == {d: sorted(own) for d, own in brute.items()}
+    assert any(brute.values())
+
+
 def test_decontamination_edges(spark, docs, none, tmp_path):
     nothing = spark.createDataFrame([], "item_id long, text string")
     assert decontamination.verdicts(decontamination.find_contamination(docs, nothing)).where("contaminated").count() == 0
