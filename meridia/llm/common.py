@@ -5,13 +5,15 @@ from __future__ import annotations
 import tempfile
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-#: Rows handed to Python code at a time; keeps memory bounded whatever the Arrow batch size is.
-SLICE_ROWS = 256
+#: Rows, and bytes of text, handed to Python code at a time (one row at least).
+SLICE_ROWS, SLICE_BYTES = 256, 4 << 20
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -38,13 +40,27 @@ def checkpointed(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
+    """The batch in slices of at most SLICE_ROWS rows and, but for a longer single row, SLICE_BYTES of text."""
+    size = np.zeros(batch.num_rows, np.int64)
+    for c in batch.columns:
+        if pa.types.is_string(c.type) or pa.types.is_large_string(c.type) or pa.types.is_binary(c.type):
+            size += pc.fill_null(pc.binary_length(c), 0).to_numpy(zero_copy_only=False)
+    ends, at = np.cumsum(size), 0
+    while at < batch.num_rows:
+        limit = (ends[at - 1] if at else 0) + SLICE_BYTES
+        upto = min(max(int(np.searchsorted(ends, limit, "right")), at + 1), at + SLICE_ROWS)
+        yield batch.slice(at, upto - at)
+        at = upto
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
-    """Apply fn to slices of at most SLICE_ROWS rows of every Arrow batch."""
+    """Apply fn to slices of every Arrow batch (Spark bounds the batch, the slices bound what fn makes of it)."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for at in range(0, batch.num_rows, SLICE_ROWS):
-                out = fn(batch.slice(at, SLICE_ROWS))
+            for part in slices(batch):
+                out = fn(part)
                 if out.num_rows:
                     yield out
 

@@ -392,8 +392,8 @@ def page(host, body, k):
 
 
 def test_html_extraction(spark):
-    article = "<article><h1>Title {k} &amp; more</h1><p><b>First {k}<br><p>Second   line\n{k}&nbsp;x<ul><li>one<li>two</ul></article>"
-    wanted = "Title {k} & more\n\nFirst {k}\n\nSecond line {k} x\n\none\n\ntwo"
+    article = "<article><h1>Title {k} &amp; more</h1><p><b>First {k}<br><p>Second   line\n{k}&nbsp;x<ul><li>one {k}<li>two {k}</ul></article>"
+    wanted = "Title {k} & more\n\nFirst {k}\n\nSecond line {k} x\n\none {k}\n\ntwo {k}"
     plain = "<div class=story><p>Story {k} goes on and on.</p><p>And ends {k}.</p></div>"
     rows = [(k, "https://a.example/%d" % k, page("a", article.format(k=k), k)) for k in range(40)]
     rows += [(100 + k, "https://b.example/%d" % k, page("b", plain.format(k=k), k)) for k in range(40)]
@@ -407,9 +407,54 @@ def test_html_extraction(spark):
     assert html_extraction.extract_pages(spark.createDataFrame([], "page_id long, url string, html string")).count() == 0
 
 
+def bare(host, k, story):
+    """A page without an article element or a telling class name: story, and constants around and among it."""
+    return f"<html><body><div class='k1'>Welcome to {host}</div><div class='k2'><h1>{story} {k}</h1><p>{story} {k} goes on &amp; on</p><p>All rights belong to {host}</p><p>the {k} end of {story}</p></div><div class='k3'>{host} since 1999</div></body></html>"
+
+
+def story_of(k):
+    return " ".join(f"w{k * 31 + i * 7}" for i in range(12))
+
+
+def test_wrapper_decides_without_names(spark):
+    """Constants go wherever they stand, by brute force over the pages' paths; the text does not depend on the number of pages."""
+    by_count = {}
+    for n in (16, 17, 80):
+        rows = [(k, f"http://x.example/{k}", bare("x", k, story_of(k))) for k in range(n)]
+        rows += [(1000 + k, f"http://y.example/{k}", f"<body><article><h1>{story_of(k)}</h1><p>Hello {k} there is a story {story_of(k)}</p><p>All rights belong to Example Host Limited</p></article></body>") for k in range(n)]
+        frame = spark.createDataFrame(rows, "page_id long, url string, html string")
+        got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(frame.repartition(5)).collect()}
+        assert got == {r["page_id"]: r["text"] for r in html_extraction.extract_pages(frame.coalesce(1)).collect()}
+        for start, own in ((0, rows[:n]), (1000, rows[n:])):
+            blocks = {k: [x for x in re.sub(r"<[^>]+>", "\n", h).replace("&amp;", "&").split("\n") if x] for k, _, h in own}
+            seen = Counter(x for b in blocks.values() for x in set(b))
+            assert {k: got[k] for k in blocks} == {k: "\n\n".join(x for x in b if seen[x] < n) for k, b in blocks.items()}, start
+        without = {k: html_extraction.content(html_extraction.parse(h)) for k, _, h in rows}
+        assert all(without[k] != got[k] and "ights belong" in without[k] for k in without)
+        by_count[n] = {k: got[k] for k in (0, 5, 1003)}
+    assert by_count[16] == by_count[17] == by_count[80]
+
+
+def test_copies_of_an_article_are_no_template(spark):
+    words = story_of(3) * 9
+    rows = [(k, "http://c.example/", f"<body><nav>menu {k}</nav><article><h1>Title</h1><p>{words}</p><p>{words} second</p><p>edit {k} of {words} third</p></article></body>") for k in range(30)]
+    rows += [(100 + k, "http://c.example/", f"<body><nav>menu {k}</nav><article><h1>{story_of(k)}</h1><p>{story_of(k + 50) * 3}</p></article></body>") for k in range(6)]
+    got = {r["page_id"]: r["text"] for r in html_extraction.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string")).collect()}
+    assert all(got[k] == f"Title\n\n{words}\n\n{words} second\n\nedit {k} of {words} third" for k in range(30))
+    assert all(got[100 + k] == f"{story_of(k)}\n\n{story_of(k + 50) * 3}" for k in range(6))
+
+
+def test_html_edges(spark):
+    long = "".join(f"<p>paragraph {i} of the long page</p>" for i in range(30_000))
+    rows = [(1, "http://l.example/", f"<article>{long}</article>", "x", 7), (1, "http://l.example/", f"<article>{long}</article>", "x", 7), (None, None, "<p>a", None, None), (2, "http://l.example/2", " ", "x", 1)]
+    pages = spark.createDataFrame(rows, "page_id long, url string, html string, text string, n_chars int")
+    got = html_extraction.extract_pages(pages, keep=("page_id", "url", "text")).collect()
+    assert sorted((r["page_id"] or 0, r["n_chars"], r["text"][:14]) for r in got) == [(0, 1, "a"), (1, got_len := len("\n\n".join(f"paragraph {i} of the long page" for i in range(30_000))), "paragraph 0 of"), (1, got_len, "paragraph 0 of"), (2, 0, "")]
+
+
 def test_tree_matching():
     a, b = (html_extraction.parse(h) for h in ("<div><p>a</p><ul><li>1<li>2</ul></div>", "<div><ul><li>3</ul><p>a</p><p>b</p></div>"))
-    fa, fb = (html_extraction.Folded((n.tag, n.names), [n]) for n in (a, b))
+    fa, fb = html_extraction.Folded([a]), html_extraction.Folded([b])
     assert html_extraction.tree_matching(fa, fb, {}) == 4  # root, div, list and its item
     assert len(html_extraction.matched_pairs(fa, fb)) == 4
 
