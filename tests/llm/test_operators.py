@@ -150,7 +150,7 @@ def brute_components(fps, radius):
     return {d: root(d) for d in ids}
 
 
-@pytest.mark.parametrize(("hot", "radius"), [(2048, 2), (3, 2), (2048, 1), (2048, 4)])
+@pytest.mark.parametrize(("hot", "radius"), [(2048, 2), (3, 2), (2048, 1), (2048, 4), (3, 4)])
 def test_links_are_exact(spark, hot, radius):
     rng = random.Random(hot + radius)
     base = [rng.getrandbits(64) for _ in range(25)]
@@ -180,9 +180,17 @@ def test_long_runs_by_bit_planes():
     rng = np.random.default_rng(5)
     fps = np.sort(rng.integers(0, 1 << 12, 700).astype(np.uint64) << np.uint64(20))
     fps = np.unique(fps)
-    pairs = {tuple(sorted(p)) for a, b in simhash.close_pairs(fps, np.array([0]), np.array([len(fps)]), 2) for p in zip(a.tolist(), b.tolist(), strict=True)}
-    brute = {(i, j) for i in range(len(fps)) for j in range(i + 1, len(fps)) if int(fps[i] ^ fps[j]).bit_count() <= 2}
-    assert pairs == brute
+    brute = brute_components({i: int(x) for i, x in enumerate(fps)}, 2)
+    assert simhash.linked_parts(fps[:, None], np.array([0]), np.array([len(fps)]), 2).tolist() == [brute[i] for i in range(len(fps))]
+    wide = rng.integers(0, 1 << 63, (9, 8), dtype=np.uint64)[rng.integers(0, 9, 900)]
+    wide ^= np.uint64(1) << rng.integers(0, 64, wide.shape, dtype=np.uint64)
+    wide ^= (rng.random(wide.shape) < 0.1).astype(np.uint64) << np.uint64(7)
+    matches = simhash._matches(wide[:50], simhash.bit_planes(wide), 900, 15)
+    assert (matches == (np.bitwise_count(wide[:50, None] ^ wide[None]).sum(2) <= 15)).all() and 50 < matches.sum() < 40_000
+    parts = simhash.linked_parts(wide, np.array([0, 300]), np.array([300, 600]), 15)
+    for s, e in ((0, 300), (300, 900)):
+        own = brute_components({i: int.from_bytes(wide[i].tobytes(), "little") for i in range(s, e)}, 15)
+        assert parts[s:e].tolist() == [own[i] for i in range(s, e)]
 
 
 def test_simhash(docs, none):
@@ -202,7 +210,41 @@ def test_simhash(docs, none):
         if r["doc_id"] is not None:
             assert (r["fingerprint"], r["component_id"]) == (f"{fps[r['doc_id']]:016x}", brute[r["doc_id"]])
     kept = [r["doc_id"] for r in simhash.keep_one(docs.where("doc_id is not null")).collect()]
-    assert set(kept) == set(brute.values())
+    words = {d: tuple(WORDS.findall((t or "").translate(A_TO_Z))) for d, t in text.items()}
+    assert sorted(kept) == sorted({min(d for d in words if words[d] == w) for w in words.values()})
+
+
+def shingle_set(text):
+    w = WORDS.findall((text or "").translate(A_TO_Z))
+    return {tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}
+
+
+def jaccard(a, b):
+    return len(a & b) / len(a | b)
+
+
+@pytest.mark.parametrize("hot", [4096, 8])
+def test_similar_texts_by_brute_force(spark, hot):
+    rng = random.Random(12)
+    words = [f"w{i}" for i in range(500)]
+    rows = []
+    for g in range(60):
+        base = rng.choices(words, k=rng.choice([12, 40, 150, 600]))
+        for _ in range(rng.choice([1, 1, 2, 5, 12])):
+            copy = list(base)
+            for _ in range(int(len(base) * rng.choice([0, 0.005, 0.01, 0.02, 0.2]))):
+                copy[rng.randrange(len(copy))] = rng.choice(words)
+            rows.append((len(rows), " ".join(copy)))
+    sets = {d: shingle_set(t) for d, t in rows}
+    kept = {r["doc_id"] for r in simhash.keep_one(spark.createDataFrame(rows, "doc_id long, text string").repartition(5), hot=hot).collect()}
+    pairs = {(a, b): jaccard(sets[a], sets[b]) for a in sets for b in sets if a < b and sets[a] & sets[b]}
+    alike = [p for p, j in pairs.items() if j >= 0.8]
+    both = [p for p in alike if p[0] in kept and p[1] in kept]
+    assert len(alike) > 200 and len(both) <= 0.01 * len(alike)
+    for d in sets.keys() - kept:  # whatever went has a text close to it, and an older one of its group stays
+        assert max(j for p, j in pairs.items() if d in p) >= 0.55
+    alone = {d for d in sets if all(j < 0.55 for p, j in pairs.items() if d in p)}
+    assert alone and alone <= kept
 
 
 def test_stages_judge_rows_not_ids(spark, tmp_path):
@@ -524,8 +566,10 @@ def test_pipeline(spark, sf):
     scored = cp.quality(spark, docs, sf).cache()
     assert scored.columns == docs.columns
     deduped = cp.near_dedup(spark, scored, sf).cache()
-    fps = {r["doc_id"]: simhash.fingerprint(r["text"]) for r in scored.collect()}
-    assert {r["doc_id"] for r in deduped.collect()} == set(brute_components(fps, 2).values())
+    sets, kept = {r["doc_id"]: shingle_set(r["text"]) for r in scored.collect()}, {r["doc_id"] for r in deduped.collect()}
+    pairs = {(a, b): jaccard(sets[a], sets[b]) for a in sets for b in sets if a < b}
+    assert not [p for p, j in pairs.items() if j >= 0.8 and p[0] in kept and p[1] in kept]
+    assert all(max(j for p, j in pairs.items() if d in p) >= 0.55 for d in sets.keys() - kept)
     clean = cp.decontaminate(spark, deduped, sf).cache()
     items = [tuple(r) for r in spark.read.parquet(f"{sf}/benchmark.parquet").select("item_id", "text").collect()]
     hits = hits_by_windows([(r["doc_id"], r["text"]) for r in deduped.collect()], items)
