@@ -67,7 +67,7 @@ def op9_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     rank = lambda s: F.when(s["kind"] == "assign", 0).when(s["kind"] == "access", 1).otherwise(2)
     keyed = F.array_sort(F.transform(F.concat("spans", "added"), lambda s: F.struct(s["start"].alias("start"), rank(s).alias("rank"), s["end"].alias("end"), s["kind"].alias("kind"))))
     n = lambda kind: F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("long").alias(f"n_{kind}")
-    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_joined("spans"), 256).alias("base_sha256"), _joined(keyed).alias("spans"))
+    return found.select("doc_id", n("assign"), n("access"), n("hex"), F.sha2(_joined("spans"), 256).alias("base_sha256"), _joined(keyed).alias("spans"), "n_truncated")
 
 
 def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -6,13 +6,15 @@ until none is left.  A layer that was seen before (same content from the same pl
 entered again, so self-reproducing archives end.  Spans found in a layer are mapped back through
 its ancestors to code points of the original text: character by character through URL and Unicode
 escapes, to the whole encoded run for base64 and compressed layers.  Base64 lines are decoded together with a
-last line of any length, else by bodies and lines, every one of them; bytes that are not UTF-8 are scanned too.
+last line of any length, else by bodies and lines, every one of them.  All members of gzip, bzip2, xz and zstd
+streams, zlib and bare deflate, and all files of tar and zip archives are unpacked, as far as they can be read;
+bytes that are not UTF-8 are read as UTF-16 where every other one is zero, else byte by byte.
 
 Kinds of secrets (fixed values): assign, access, hex; see ``base_spans``.
 
-``max_layer`` bounds the code points (bytes, while unpacking) of one decoded layer, so that an archive
-bomb cannot fill a worker; it is far above any layer that a real text holds, and texts themselves are
-never cut.
+``max_layer`` bounds the bytes that one encoded run is unpacked to, so that an archive bomb cannot fill a
+worker; what was read up to there is scanned (cut between characters) and the run counts in ``n_truncated``.  It is
+far above any layer that a real text holds, and texts themselves are never cut.
 
 Defined cases: a null text counts as empty and has no spans; rows are scanned one by one whatever their
 ids; an empty table gives no rows; columns named like the operator's are replaced, others kept.
@@ -24,8 +26,11 @@ import base64
 import binascii
 import bz2
 import hashlib
+import io
 import lzma
 import re
+import tarfile
+import zipfile
 import zlib
 from bisect import bisect_right
 from collections import deque
@@ -49,7 +54,8 @@ _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+)(\r?\n[A-Za-z0-9+/_-]{1,15}+)?={0,2}")
 Span = tuple[int, int]
-OWN = {"spans", "added"}
+OWN = {"spans", "added", "n_truncated"}
+_READ = 1 << 16
 SPANS = T.ArrayType(T.StructType([T.StructField("kind", T.StringType()), T.StructField("start", T.LongType()), T.StructField("end", T.LongType())]))
 
 
@@ -67,8 +73,8 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A decoded text, and how a span of it reads in its parent."""
 
-    def __init__(self, text: str, parent: Layer | None = None, to_parent: Callable[[int, int], Span] | None = None, how: str = ""):
-        self.text, self.parent, self.to_parent = text, parent, to_parent
+    def __init__(self, text: str, parent: Layer | None = None, to_parent: Callable[[int, int], Span] | None = None, how: str = "", truncated: bool = False):
+        self.text, self.parent, self.to_parent, self.truncated = text, parent, to_parent, truncated
         self.path = (parent.path if parent else ()) + ((how,) if how else ())
 
     def original(self, start: int, end: int) -> Span:
@@ -117,11 +123,11 @@ def _replaced(layer: Layer, pattern: re.Pattern, decode: Callable[[str], list[tu
 
 
 def _url(run: str) -> list[tuple[str, int]] | None:
+    data = bytes.fromhex(run.replace("%", ""))
     try:
-        text = bytes.fromhex(run.replace("%", "")).decode("utf-8")
+        return [(c, 3 * len(c.encode())) for c in data.decode("utf-8")]
     except UnicodeDecodeError:
-        return None
-    return [(c, 3 * len(c.encode())) for c in text]
+        return [(chr(b), 3) for b in data]
 
 
 def _escape(run: str) -> list[tuple[str, int]] | None:
@@ -143,36 +149,88 @@ def _escape(run: str) -> list[tuple[str, int]] | None:
     return [(chr(code), len(run))] if code < 0xD800 or 0xE000 <= code < 0x110000 else None
 
 
-def _unpacked(data: bytes, limit: int) -> tuple[bytes, str] | None:
-    """The content of a compressed stream, up to limit bytes."""
+class Unpacked:
+    """Texts inside decoded bytes with the way to each, whether they surely are texts, and whether the limit cut them."""
+
+    def __init__(self) -> None:
+        self.texts: list[tuple[str, str]] = []
+        self.sure, self.truncated = True, False
+
+
+def _zstd():
+    import zstandard
+
+    return zstandard.ZstdDecompressor().decompressobj()
+
+
+#: First bytes of compressed streams, their names, decoders.
+_STREAMS: list[tuple[bytes, str, Callable]] = [
+    (b"\x1f\x8b", "gzip", lambda: zlib.decompressobj(31)),
+    (b"BZh", "bzip2", bz2.BZ2Decompressor),
+    (b"\xfd7zXZ\x00", "xz", lzma.LZMADecompressor),
+    (b"\x28\xb5\x2f\xfd", "zstd", _zstd),
+]
+
+
+def _read(data: bytes, decoder: Callable, magic: bytes, limit: int) -> bytes:
+    """Up to limit bytes of a stream and of the members after it; what comes before damage is kept."""
+    out = bytearray()
+    while data and data.startswith(magic) and len(out) <= limit:
+        own, at = decoder(), 0
+        try:
+            while at < len(data) and not own.eof and len(out) <= limit:
+                out += own.decompress(data[at : at + _READ])
+                at += _READ
+        except Exception:  # noqa: BLE001 - damaged, or no such stream after all
+            break
+        if not own.eof:
+            break
+        data = own.unused_data + data[at:]
+    return bytes(out[: limit + 1])
+
+
+def _members(data: bytes, limit: int) -> tuple[str, list[bytes]] | None:
+    """What data is (a kind of archive or stream) and its contents, one byte over limit at most each; None if it is neither."""
+    for magic, name, decoder in _STREAMS:
+        if data.startswith(magic):
+            got = _read(data, decoder, magic, limit)
+            return (name, [got]) if got else None
     try:
-        if data[:2] == b"\x1f\x8b":
-            return zlib.decompressobj(31).decompress(data, limit), "gzip"
-        if len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0:
-            return zlib.decompressobj().decompress(data, limit), "zlib"
-        if data[:3] == b"BZh":
-            return bz2.BZ2Decompressor().decompress(data, limit), "bzip2"
-        if data[:6] == b"\xfd7zXZ\x00":
-            return lzma.LZMADecompressor().decompress(data, limit), "xz"
-        if data[:4] == b"\x28\xb5\x2f\xfd":
-            import io
-
-            import zstandard
-
-            return zstandard.ZstdDecompressor().stream_reader(io.BytesIO(data)).read(limit), "zstd"
-    except Exception:  # noqa: BLE001 - not such a stream after all
+        if data[257:262] == b"ustar":
+            with tarfile.open(fileobj=io.BytesIO(data), mode="r:") as tar:
+                return "tar", [f.read(limit + 1) for m in tar if m.isfile() and (f := tar.extractfile(m))]
+        if data.startswith(b"PK\x03\x04"):
+            with zipfile.ZipFile(io.BytesIO(data)) as z:
+                return "zip", [z.open(i).read(limit + 1) for i in z.infolist() if not i.is_dir() and not i.flag_bits & 1]
+    except Exception:  # noqa: BLE001 - no such archive after all
         return None
+    if len(data) > 2 and data[0] == 0x78 and (data[0] << 8 | data[1]) % 31 == 0 and (got := _read(data, zlib.decompressobj, b"", limit)):
+        return "zlib", [got]
+    if len(data) > 2 and data[0] & 6 != 6 and _text_of(data) is None:  # block type 3 does not exist
+        got = _read(data, lambda: zlib.decompressobj(-15), b"", limit)
+        if _text_of(got) is not None:
+            return "deflate", [got]
     return None
 
 
+def _decoded(data: bytes) -> str | None:
+    """data as UTF-8, without a character that its end cuts; None if it is none."""
+    try:
+        return data.decode("utf-8")
+    except UnicodeDecodeError as e:
+        return data[: e.start].decode("utf-8") if e.start >= len(data) - 3 and e.end == len(data) and e.start else None
+
+
 def _text_of(data: bytes) -> str | None:
     """data as text, if nearly all of it is printable."""
-    try:
-        text = data.decode("utf-8")
-    except UnicodeDecodeError:
+    text = _decoded(data)
+    if text is None or len(text) < 8:
         return None
-    bad = sum(not (c.isprintable() or c in "\t\r\n") for c in text)
-    return text if len(text) >= 8 and 20 * bad <= len(text) else None
+    bad = len(text) - len(_PRINTABLE.findall(text)) if text.isascii() else sum(not (c.isprintable() or c in "\t\r\n") for c in text)
+    return text if 20 * bad <= len(text) else None
+
+
+_PRINTABLE = re.compile(r"[\t\r\n\x20-\x7E]")
 
 
 def _any_text(data: bytes) -> str:
@@ -180,35 +238,41 @@ def _any_text(data: bytes) -> str:
     zeros = (data[::2].count(0), data[1::2].count(0))
     if 3 * max(zeros) > len(data):
         return data.decode("utf-16-le" if zeros[1] > zeros[0] else "utf-16-be", "replace")
-    try:
-        return data.decode("utf-8")
-    except UnicodeDecodeError:
-        return data.decode("latin-1")
+    text = _decoded(data)
+    return data.decode("latin-1") if text is None else text
 
 
-def _inner(data: bytes, limit: int) -> tuple[str, str, bool] | None:
-    """The text inside decoded bytes, how it was reached, and whether it surely is one; nested archives are unpacked to the end."""
-    how, seen = [], set()
-    while (key := hashlib.sha1(data).digest()) not in seen:
+def _inner(data: bytes, limit: int) -> Unpacked:
+    """The texts inside decoded bytes; nested archives are unpacked to the end, limit bytes in all."""
+    out, seen, work, left = Unpacked(), set(), deque([(data, "base64")]), limit
+    while work:
+        data, how = work.popleft()
+        key = hashlib.sha1(data).digest()
+        if not data or key in seen:
+            continue
         seen.add(key)
-        text = _text_of(data)
-        if text is not None:
-            return text, "+".join(["base64", *how]), True
-        got = _unpacked(data, limit)
-        if got is None or not got[0]:
-            return (_any_text(data), "+".join(["base64", *how]), bool(how)) if data else None
-        data = got[0]
-        how.append(got[1])
-    return None
+        got = _members(data, left)
+        if got is None:
+            text = _text_of(data)
+            out.sure &= text is not None or how != "base64"
+            out.texts.append((_any_text(data) if text is None else text, how))
+            continue
+        for member in got[1]:
+            out.truncated |= len(member) > left
+            member = member[: max(left, 0)]
+            left -= len(member)
+            work.append((member, f"{how}+{got[0]}"))
+    return out
 
 
-def _base64_text(run: str, limit: int) -> tuple[str, str, bool] | None:
+def _base64_text(run: str, limit: int) -> Unpacked | None:
     raw = re.sub(r"[=\r\n]", "", run).replace("-", "+").replace("_", "/")
     raw = raw[: len(raw) - (len(raw) % 4 == 1)]
     try:
-        return _inner(base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True), limit)
+        got = _inner(base64.b64decode(raw + "=" * (-len(raw) % 4), validate=True), limit)
     except binascii.Error:
         return None
+    return got if got.texts else None
 
 
 def _bodies(text: str, start: int, end: int) -> list[list[Span]]:
@@ -230,8 +294,8 @@ def _unwrapped(layer: Layer, start: int, end: int, limit: int) -> tuple[list[Lay
     The run is taken whole; if that is no text, as bodies, then by lines; what is still none is read as bytes."""
     text = layer.text
     got = _base64_text(text[start:end], limit)
-    whole = [] if got is None else [Layer(got[0], layer, lambda a, b: (start, end), got[1])]
-    if got is not None and got[2]:
+    whole = [] if got is None else [Layer(t, layer, lambda a, b: (start, end), how, got.truncated) for t, how in got.texts]
+    if got is not None and got.sure:
         return whole, True
     bodies = _bodies(text, start, end)
     parts = [(own[0][0], own[-1][1]) for own in bodies] if len(bodies) > 1 else bodies[0]
@@ -245,11 +309,11 @@ def _unwrapped(layer: Layer, start: int, end: int, limit: int) -> tuple[list[Lay
 def _without_tail(m: re.Match, limit: int) -> bool:
     """Whether the short last line of a run is a word after it, not the end of its base64."""
     short, full = _base64_text(m[1], limit), _base64_text(m[0], limit)
-    if short is None or not short[2]:
+    if short is None or not short.sure:
         return False
-    if full is None or not full[2] or full[0] == short[0]:
+    if full is None or not full.sure or full.texts == short.texts:
         return True
-    rest = full[0][len(short[0]) :]
+    rest = full.texts[-1][0][len(short.texts[-1][0]) :]
     return not all(c.isprintable() or c in "\t\r\n" for c in rest)
 
 
@@ -266,9 +330,14 @@ def _layers_of(layer: Layer, limit: int) -> Iterator[Layer]:
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans of the text, and the spans that decoded layers add; both by start, then kind."""
+    return examine(text, max_layer)[:2]
+
+
+def examine(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]], int]:
+    """Base spans, added spans, and how many encoded runs hold more than max_layer bytes."""
     text = text or ""
     base = base_spans(text)
-    found, added, seen = set(base), [], set()
+    found, added, seen, cut = set(base), [], set(), set()
     work = deque([Layer(text)])
     while work:
         layer = work.popleft()
@@ -280,6 +349,8 @@ def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str,
                     added.append(span)
         for new in _layers_of(layer, max_layer):
             key = (hashlib.sha1(new.text.encode("utf-8", "surrogatepass")).digest(), new.original(0, max(1, len(new.text))))
+            if new.truncated:
+                cut.add(key[1])
             if key not in seen and new.text != layer.text:
                 seen.add(key)
                 work.append(new)
@@ -287,22 +358,22 @@ def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str,
     def order(s: tuple[str, int, int]) -> tuple[int, int, int]:
         return s[1], KINDS.index(s[0]), s[2]
 
-    return sorted(base, key=order), sorted(added, key=order)
+    return sorted(base, key=order), sorted(added, key=order), len(cut)
 
 
 def find_secrets(docs: DataFrame, max_layer: int = MAX_LAYER, keep: list[str] | None = None) -> DataFrame:
-    """Add spans (base) and added (from decoded layers): arrays of kind, start, end, by start, then kind."""
+    """Add spans (base) and added (from decoded layers), arrays of kind, start, end, by start, then kind; and n_truncated."""
     kept = columns_but(docs, OWN) if keep is None else keep
     inner = docs.select(*kept, F.col("text").cast("string").alias("__text"))
-    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("spans", SPANS), T.StructField("added", SPANS)])
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("spans", SPANS), T.StructField("added", SPANS), T.StructField("n_truncated", T.LongType())])
     kind = pa.list_(pa.struct([("kind", pa.string()), ("start", pa.int64()), ("end", pa.int64())]))
 
     def as_rows(spans: list[tuple[str, int, int]]) -> list[dict]:
         return [{"kind": k, "start": s, "end": e} for k, s, e in spans]
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
-        found = [scan(t, max_layer) for t in batch.column(batch.num_columns - 1).to_pylist()]
-        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array([as_rows(b) for b, _ in found], kind), pa.array([as_rows(a) for _, a in found], kind)], names=schema.fieldNames())
+        base, added, cut = zip(*(examine(t, max_layer) for t in batch.column(batch.num_columns - 1).to_pylist()), strict=True)
+        return pa.RecordBatch.from_arrays([*batch.columns[:-1], pa.array(map(as_rows, base), kind), pa.array(map(as_rows, added), kind), pa.array(cut, pa.int64())], names=schema.fieldNames())
 
     return map_rows(inner, run, schema)
 

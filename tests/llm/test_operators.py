@@ -429,6 +429,74 @@ def test_secrets_in_lines_of_base64():
         assert secrets.scan(f"a {blob} b")[1] == [("assign", 2, 2 + len(blob))]
 
 
+def archive(kind, files):
+    import io
+    import tarfile
+    import zipfile
+
+    out = io.BytesIO()
+    if kind == "zip":
+        with zipfile.ZipFile(out, "w", zipfile.ZIP_DEFLATED) as z:
+            for name, data in files:
+                z.writestr(name, data)
+    else:
+        with tarfile.open(fileobj=out, mode=kind) as t:
+            for name, data in files:
+                info = tarfile.TarInfo(name)
+                info.size = len(data)
+                t.addfile(info, io.BytesIO(data))
+    return out.getvalue()
+
+
+def test_secrets_in_all_members_and_forms():
+    import bz2
+    import lzma
+
+    import zstandard
+
+    first, second = b"nothing in the first part", b"then password=hunter2secret"
+    files = [("a.txt", first), ("b/c.txt", second)]
+    deflate = zlib.compressobj(wbits=-15)
+    zstd = zstandard.ZstdCompressor().compress
+    for data in (
+        *(f(first) + f(second) for f in (gzip.compress, bz2.compress, lzma.compress, zstd)),
+        deflate.compress(second * 2) + deflate.flush(),
+        *(archive(k, files) for k in ("w:", "w:gz", "w:xz", "zip")),
+        gzip.compress(archive("zip", [("n.tar.bz2", archive("w:bz2", files))])),
+        gzip.compress(second * 50)[:-9],  # a damaged end
+        "caf\xe9 password=hunter2secret".encode("utf-16-be"),
+    ):
+        blob = unpadded(data)
+        assert secrets.examine(f"a {blob} b") == ([], [("assign", 2, 2 + len(blob))], 0), data[:9]
+    assert secrets.scan("%E9%20token%3D%22abcdefgh9")[1] == [("assign", 6, 26)]
+
+
+def test_layers_over_the_limit_are_cut_between_characters():
+    blob = unpadded(gzip.compress(("password=hunter2secret " + "é" * 3000).encode()))
+    for limit in (1000, 1001, 1002, 1003):
+        assert secrets.examine(f"a {blob} b", limit) == ([], [("assign", 2, 2 + len(blob))], 1)
+    assert secrets.examine(f"a {blob} b")[2] == 0
+    long = unpadded(("x" * 99 + "é ") * 60_000 + "token: abcdefgh99")
+    assert [e - s for _, s, e in secrets.scan(long)[1]] == [len(long)]
+
+
+def test_base_spans_by_brute_force(spark):
+    """Every row of op9 at once against plain expressions."""
+    import __spark_entry__ as entry
+
+    sf = "/root/testdata/sf0.01"
+    word = "|".join("".join(f"[{c}{c.upper()}]" if c.isalpha() else c for c in w) for w in ("password", "passwd", "secret", "token", "api_?key"))
+    kinds = [("assign", re.compile("(?:" + word + ")[\"']?[ ]*[:=][ ]*[\"']?([A-Za-z0-9+/_.=-]+)"), lambda m: len(m[1]) >= 8), ("access", re.compile("AKIA[A-Z0-9]+"), lambda m: len(m[0]) >= 16), ("hex", re.compile("[0-9a-f]+"), lambda m: len(m[0]) >= 32)]
+    text = {r["doc_id"]: r["text"] or "" for r in spark.read.parquet(f"{sf}/documents.parquet").collect()}
+    got = entry.queries()["op9_secret_scan"](spark, sf).collect()
+    assert len(got) == len(text) and sum(r["n_assign"] + r["n_access"] + r["n_hex"] for r in got) > 0
+    for r in got:
+        spans = sorted((m.start(), k, name, m.end()) for k, (name, pattern, ok) in enumerate(kinds) for m in pattern.finditer(text[r["doc_id"]]) if ok(m))
+        digest = hashlib.sha256(",".join(f"{n}:{s}:{e}" for s, _, n, e in spans).encode()).hexdigest()
+        assert (r["base_sha256"], r["n_assign"], r["n_access"], r["n_hex"]) == (digest, *(sum(n == k for _, _, n, _ in spans) for k, _, _ in kinds))
+        assert {f"{n}:{s}:{e}" for s, _, n, e in spans} <= set(r["spans"].split(","))
+
+
 def page(host, body, k):
     return f"<html><head><title>t</title><script>var a='<p>no</p>'</script></head><body><nav><ul><li><a href='/a'>Home {k}</a></ul></nav><div class='intro'>Welcome to {host}</div><div class=ad>buy {k}</div>{body}<div class='comments'><p>reader says {k}</p></div><footer>&copy; {host} {k}</footer></body></html>"
 
