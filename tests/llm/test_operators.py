@@ -90,6 +90,20 @@ def test_url_filter(spark, inline):
     assert {r["verdict"] for r in empty.collect()} == {"allow"}
 
 
+def test_url_filter_edges(spark):
+    import time
+
+    rules = spark.createDataFrame([("com", "/", "allow"), ("b.c.com", "/x", "block")], "host string, path string, verdict string")
+    pages = "page_id long, url string, rule int, host string"
+    assert url_filter.filter_urls(spark.createDataFrame([], pages), rules).count() == 0
+    deep, wide = "a." * 30_000 + "b.c.com", "/x" + "y/" * 200_000
+    rows = [(1, f"http://{deep}{wide}", 1, "h"), (1, f"http://{deep}{wide}", 1, "h"), (None, "no url", None, None), (2, None, 2, None), (3, "http://c.com", 1, "")]
+    began = time.time()
+    got = url_filter.filter_urls(spark.createDataFrame(rows, pages), rules).collect()
+    assert time.time() - began < 30
+    assert sorted((r["page_id"] or 0, r["verdict"], r["rule"] or "", len(r["host"]), len(r["path"])) for r in got) == [(0, "allow", "", 0, 0), *[(1, "block", "b.c.com/x", len(deep), len(wide))] * 2, (2, "allow", "", 0, 0), (3, "allow", "", 5, 0)]
+
+
 def test_url_filter_drops_most_candidates(spark):
     keys = spark.range(500).selectExpr("concat('k', id) as key")
     built = url_filter.build_filter(keys, 40)
