@@ -2,13 +2,14 @@
 
 1. Every text becomes ids of a public byte-level BPE vocabulary plus one end id.  Documents longer
    than a sequence are cut into full pieces; only the first may be shorter.
-2. Pieces are dealt by a hash into groups of about ``group_pieces`` (no group grows with the data).
+2. Pieces, counted and numbered in a checkpoint, are dealt by a hash of their numbers into groups of about
+   ``group_pieces`` (no group grows with the data, nor with one document's length or with equal rows).
 3. In a group, best-fit decreasing makes bins; local search then takes the emptiest bin and moves
-   its pieces out, exchanges one for one or two for one with other underfull bins, each step
-   raising the sum of squared fills, until it is empty or no step helps.  The search ends when the
-   free space left is under one sequence: fewer bins cannot exist then.
+   its pieces out, exchanges one for one, two for one or one for two with other underfull bins (every pair of
+   pieces of a bin is tried), each step raising the sum of squared fills, until it is empty or no step helps.  The
+   search ends when the free space left is under one sequence: fewer bins cannot exist then.
 
-Only five numbers a piece are shuffled.  A group's result depends on its pieces alone (they are
+Only six numbers a piece are shuffled.  A group's result depends on its pieces alone (they are
 sorted first), so a task that is run again gives the same sequences.
 
 Defined cases: a null or empty text is the end id alone; documents with equal or null ids are
@@ -26,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from .common import map_rows
+from .common import checkpointed, map_rows
 
 SEQUENCE = 2048
 END_ID = 0
@@ -196,7 +197,7 @@ def _step(bins: _Bins, source: int, others: list[int]) -> bool:
     def note(delta: np.ndarray, k_of) -> None:
         """delta: what the other bin gains; it must be over 0, at most its free space, and raise the squares."""
         nonlocal gain_best, chosen
-        ok = (delta > 0) & (delta <= k_of[1]) & (k_of[0] + delta > fill - 0)
+        ok = (delta > 0) & (delta <= k_of[1]) & (k_of[0] + delta > fill)
         if ok.any():
             left = np.where(ok, k_of[1] - delta, bins.capacity + 1)
             k = int(left.argmin())
@@ -210,20 +211,23 @@ def _step(bins: _Bins, source: int, others: list[int]) -> bool:
         note(x[0] - size, (full, free))
         if gain_best > before:
             best = ([x], [(where[chosen], index[chosen])])
-    for i in range(len(own)):  # two for one: two of source for one of another bin
-        for j in range(i + 1, min(len(own), i + 9)):
-            before = gain_best
-            note(own[i][0] + own[j][0] - size, (full, free))
-            if gain_best > before:
-                best = ([own[i], own[j]], [(where[chosen], index[chosen])])
+    pairs = {own[i][0] + own[j][0]: (own[i], own[j]) for i in range(len(own)) for j in range(i + 1, len(own))}
+    for both, two in pairs.items():  # two for one: two of source for one of another bin
+        before = gain_best
+        note(both - size, (full, free))
+        if gain_best > before:
+            best = (list(two), [(where[chosen], index[chosen])])
     if best is None:  # one of source for two of another bin
-        same = np.flatnonzero(where[1:] == where[:-1])
-        for x in own:
+        ends = np.append(np.flatnonzero(where[1:] != where[:-1]) + 1, len(where))
+        reps = np.repeat(ends, np.diff(np.append(0, ends))) - np.arange(len(where)) - 1  # later pieces of the same bin
+        one = np.repeat(np.arange(len(where)), reps)
+        two = one + 1 + np.arange(len(one)) - np.repeat(np.cumsum(reps) - reps, reps)
+        for x in {x[0]: x for x in own}.values():
             before = gain_best
-            note(x[0] - size[same] - size[same + 1], (full[same], free[same]))
+            note(x[0] - size[one] - size[two], (full[one], free[one]))
             if gain_best > before:
-                k = same[chosen]
-                best = ([x], [(where[k], index[k]), (where[k + 1], index[k + 1])])
+                a, b = one[chosen], two[chosen]
+                best = ([x], [(where[a], index[a]), (where[b], index[b])])
     if best is None:
         return False
     out, picks = best
@@ -254,22 +258,23 @@ def pack_lengths(lengths: np.ndarray, capacity: int = SEQUENCE) -> tuple[np.ndar
 
 
 def pack(cut: DataFrame, n_groups: int, capacity: int = SEQUENCE) -> DataFrame:
-    """Add sequence_id and offset to pieces (of pieces())."""
-    columns = [f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields]
+    """Add sequence_id and offset to pieces (of pieces(), with a column number that tells them apart)."""
+    columns = [f"{f.name} {f.dataType.simpleString()}" for f in cut.schema.fields if f.name != "number"]
+    names = [*(c.split()[0] for c in columns), "sequence_id", "offset"]
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        rows = rows.sort_values(["length", "doc_id", "piece", "ids_crc32"], ascending=[False, True, True, True], kind="stable")
+        rows = rows.sort_values(["length", "number"], ascending=[False, True], kind="stable")
         which, offset, _ = pack_lengths(rows["length"].to_numpy(), capacity)
-        return rows.assign(sequence_id=int(key[0]) * (1 << 40) + which, offset=offset).drop(columns="pack_group")
+        return rows.assign(sequence_id=int(key[0]) * (1 << 40) + which, offset=offset)[names]
 
-    group = F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32"), F.lit(n_groups)).cast("int")
+    group = F.pmod(F.xxhash64("number"), F.lit(n_groups)).cast("int")
     return cut.withColumn("pack_group", group).groupBy("pack_group").applyInPandas(run, ", ".join([*columns, "sequence_id long", "offset long"]))
 
 
 def best_fit_packing(docs: DataFrame, path: str | None = None, capacity: int = SEQUENCE, group_pieces: int = 16_384, with_ids: bool = False) -> DataFrame:
     """Every piece of every document with its sequence and its place there."""
-    n_groups = max(1, round(docs.count() / group_pieces))
-    return pack(pieces(docs, path, capacity, with_ids), n_groups, capacity)
+    cut = checkpointed(pieces(docs, path, capacity, with_ids).withColumn("number", F.monotonically_increasing_id()))
+    return pack(cut, max(1, round(cut.count() / group_pieces)), capacity)
 
 
 def sequences(packed: DataFrame) -> DataFrame:

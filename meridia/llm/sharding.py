@@ -3,13 +3,14 @@
 1. The key of a row is the 64-bit hash of its text, so equal texts are neighbours.
 2. A sample is drawn with probability proportional to size (a hash decides, so a task that is run
    again draws the same rows); its weighted quantiles are the boundaries of ``n_ranges`` ranges.
-3. One aggregation weighs the ranges exactly.  A range over twice its share (a hot group of
-   copies, a huge text) is subdivided by a hash of the id.
-4. The pieces, at most a few times n_ranges rows, are dealt to the shards, heaviest first, each to
+3. One aggregation weighs the ranges exactly.  A range over twice its share is subdivided by a hash of the
+   text, and every range again into parts of a half, a quarter and so on, which even the shards out; one text whose copies alone weigh more than a shard's share is subdivided by row, as no shard can hold it.
+4. The pieces, at most fifteen times n_ranges rows, are dealt to the shards, heaviest first, each to
    the lightest shard; a row's slot is its piece's first slot plus its rank in the piece.
 
 Law ``bytes``: shard sizes differ by little more than one small piece or one text.  Equal texts share
-a shard unless their range is overfull.  Ranks are taken within pieces, so no task sorts a shard.
+a shard unless their copies exceed a shard's share.  Ranks are taken within pieces, the copies of a heavy text being
+several pieces of one shard, so no task sorts a shard.
 
 Defined cases: a null text counts as empty (size 1, crc 0); rows with equal ids or texts each get
 their own slot; fewer rows than shards leave shards empty; an empty table gives no rows; input
@@ -42,17 +43,21 @@ def choose_boundaries(sample: list[tuple[int, float]], n_ranges: int) -> list[in
     return out
 
 
-def deal(weights: list[tuple[tuple[int, int], int, int]], n_shards: int) -> list[tuple[int, int, int, int]]:
-    """(piece, bytes, rows) to (range, part, shard, first slot), heaviest first to the lightest shard."""
+def deal(weights: list[tuple[tuple[int, int], int, int]], n_shards: int, together: dict[tuple[int, int], int]) -> list[tuple[int, int, int, int]]:
+    """(piece, bytes, rows) to (range, part, shard, first slot), heaviest first to the lightest shard; pieces that together maps to one number go as one."""
+    units: dict = {}
+    for piece, size, _ in weights:
+        unit = together.get(piece, piece)
+        units[unit] = units.get(unit, 0) + size
     heap = [(0, s) for s in range(n_shards)]
     shard_of = {}
-    for piece, size, _ in sorted(weights, key=lambda w: (-w[1], w[0])):
+    for unit, size in sorted(units.items(), key=lambda w: (-w[1], str(w[0]))):
         load, s = heapq.heappop(heap)
-        shard_of[piece] = s
+        shard_of[unit] = s
         heapq.heappush(heap, (load + size, s))
     first, out = [0] * n_shards, []
     for piece, _, rows in sorted(weights):
-        s = shard_of[piece]
+        s = shard_of[together.get(piece, piece)]
         out.append((*piece, s, first[s]))
         first[s] += rows
     return out
@@ -63,8 +68,8 @@ def shard(docs: DataFrame, n_shards: int = 16, n_ranges: int = 1024, sample_rows
     spark = docs.sparkSession
     kept = columns_but(docs, OWN) if keep is None else keep
     text = F.coalesce(F.col("text").cast("string"), F.lit(""))
-    base = docs.select(*kept, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("__key"), F.xxhash64(F.col("doc_id").cast("string"), text).alias("__tie"))
-    base = checkpointed(base)
+    base = docs.select(*kept, (F.octet_length(text) + 1).cast("long").alias("size"), F.crc32(text).alias("text_crc32"), F.xxhash64(text).alias("__key"), F.monotonically_increasing_id().alias("__row"))
+    base = checkpointed(base).withColumn("__tie", F.xxhash64("__row"))  # rows that are equal in all columns part as well
     total = base.agg(F.sum("size")).first()[0]
     if not total:
         return base.select(*kept, "size", "text_crc32", F.lit("bytes").alias("law"), F.lit(0).alias("shard"), F.lit(0).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))
@@ -81,10 +86,19 @@ def shard(docs: DataFrame, n_shards: int = 16, n_ranges: int = 1024, sample_rows
     ranged = ranged.withColumn("__range", F.col("__base") + F.size(F.filter("__ends", lambda e: e < F.col("__key")))).drop("__p", "__base", "__ends")
     share = max(1, -(-total // n_ranges))
     heavy = [(r[0], int(-(-r[1] // share))) for r in ranged.groupBy("__range").agg(F.sum("size").alias("w")).where(F.col("w") > 2 * share).collect()]
-    parts = spark.createDataFrame(heavy, "__range int, __parts int")  # at most n_ranges / 2 rows
-    cut = ranged.join(F.broadcast(parts), "__range", "left").withColumn("__part", F.pmod("__tie", F.coalesce("__parts", F.lit(1))).cast("int")).drop("__parts")
-    weights = [((r[0], r[1]), r[2], r[3]) for r in cut.groupBy("__range", "__part").agg(F.sum("size"), F.count(F.lit(1))).collect()]  # at most 3 n_ranges rows
-    dealt = spark.createDataFrame(deal(weights, n_shards), "__range int, __part int, shard int, __first long")
-    order = Window.partitionBy("__range", "__part").orderBy("__key", "__tie", "size")
+    parts = F.broadcast(spark.createDataFrame(heavy, "__range int, __parts int"))  # at most n_ranges / 2 rows
+    full = -(-total // n_shards)
+    keys = ranged.join(parts, "__range", "left_semi").groupBy("__range", "__key").agg(F.sum("size").alias("w")).where(F.col("w") > share)
+    heavy_keys = keys.orderBy("__key").collect()  # fewer than n_ranges rows
+    hot = [(r["__key"], k, int(-(-r["w"] // share))) for k, r in enumerate(heavy_keys)]
+    together = {(heavy_keys[k]["__range"], -1 - k - len(hot) * i): k for _, k, own in hot for i in range(own) if heavy_keys[k]["w"] <= full}
+    hots = F.broadcast(spark.createDataFrame(hot, "__key long, __nth int, __own int"))
+    halving = F.floor(F.log2(F.pmod(F.xxhash64("__key", F.lit("halving")), F.lit(64)) + 1))  # 0 to 6, each twice as often as the one before
+    by_key = 7 * F.pmod(F.xxhash64("__key", F.lit("part")), F.coalesce("__parts", F.lit(1))) + halving
+    by_row = -1 - F.col("__nth") - len(hot) * F.pmod("__tie", F.col("__own"))
+    cut = ranged.join(parts, "__range", "left").join(hots, "__key", "left").withColumn("__part", F.coalesce(by_row, by_key).cast("int")).drop("__parts", "__nth", "__own")
+    weights = [((r[0], r[1]), r[2], r[3]) for r in cut.groupBy("__range", "__part").agg(F.sum("size"), F.count(F.lit(1))).collect()]  # at most 15 n_ranges rows
+    dealt = spark.createDataFrame(deal(weights, n_shards, together), "__range int, __part int, shard int, __first long")
+    order = Window.partitionBy("__range", "__part").orderBy("__key", "__row")
     out = cut.withColumn("__rank", F.row_number().over(order) - 1).join(F.broadcast(dealt), ["__range", "__part"])
     return out.select(*kept, "size", "text_crc32", F.lit("bytes").alias("law"), "shard", (F.col("__first") + F.col("__rank")).cast("long").alias("slot"), F.lit(None).cast("int").alias("grown_shard"))

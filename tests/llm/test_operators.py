@@ -128,6 +128,26 @@ def test_sharding(spark, docs, none):
     assert sharding.shard(none).count() == 0 and sharding.shard(docs).count() == docs.count()
 
 
+def test_equal_texts_share_a_shard(spark):
+    rng = random.Random(5)
+    rows = [(i, f"copy of {i % 40} " * (i % 40)) for i in range(3000)] + [(None, "the very same row " * 9)] * 900 + [(5000 + i, rng.randbytes(rng.randrange(300)).hex()) for i in range(3000)]
+    got = sharding.shard(spark.createDataFrame(rows, "doc_id long, text string")).collect()
+    total, sizes, shards = sum(r["size"] for r in got), Counter(), defaultdict(set)
+    for r in got:
+        sizes[r["shard"]] += r["size"]
+        shards[r["text_crc32"]].add(r["shard"])
+    copies = Counter()
+    for _, t in rows:
+        copies[zlib.crc32(t.encode())] += len(t) + 1
+    assert all(len(own) == 1 for c, own in shards.items() if copies[c] <= total / 16)
+    assert max(sizes.values()) < 1.03 * total / 16
+    third = [(i, "hot" * 50 if i % 3 else f"own text {i} " * 15) for i in range(4000)]
+    sizes = Counter()
+    for r in sharding.shard(spark.createDataFrame(third, "doc_id long, text string")).collect():
+        sizes[r["shard"]] += r["size"]
+    assert max(sizes.values()) < 1.03 * sum(sizes.values()) / 16
+
+
 def test_license_scan(spark, none):
     rng = random.Random(3)
     noise = [f"word{i}" for i in range(300)]
@@ -388,6 +408,54 @@ def test_encoder_equals_library(text):
     assert np.frombuffer(e(text), "<u4").tolist() == e.library.encode(text, add_special_tokens=False).ids
 
 
+def optimum(sizes, capacity):
+    """Fewest bins, by trying all ways to place each size."""
+    best = [len(sizes)]
+
+    def place(k, bins):
+        if len(bins) >= best[0]:
+            return
+        if k == len(sizes):
+            best[0] = len(bins)
+            return
+        for i in range(len(bins)):
+            if bins[i] + sizes[k] <= capacity and bins[i] not in bins[:i]:
+                place(k + 1, [*bins[:i], bins[i] + sizes[k], *bins[i + 1 :]])
+        place(k + 1, [*bins, sizes[k]])
+
+    place(0, [])
+    return best[0]
+
+
+def test_packing_against_the_optimum():
+    rng = np.random.default_rng(6)
+    exact = 0
+    for _ in range(300):
+        sizes = np.sort(rng.integers(15, 60, rng.integers(6, 13)))[::-1]
+        which, _, _ = packing.pack_lengths(sizes, 100)
+        fewest, got = optimum(sizes.tolist(), 100), which.max() + 1
+        assert np.bincount(which, weights=sizes).max() <= 100 and fewest <= got <= fewest + 1
+        exact += got == fewest
+    assert exact >= 270  # a local search: the fewest bins in over nine of ten cases, one more in the rest
+
+
+@pytest.mark.parametrize(("bins", "capacity"), [(60, 2048), (200, 2048), (100, 500)])
+def test_search_on_triplets(bins, capacity):
+    """Sizes that fill bins by threes without a rest: the optimum is known, and best-fit decreasing is far from it."""
+    rng = np.random.default_rng(1)
+    a = rng.integers(capacity // 4, capacity // 2, bins)
+    b = rng.integers((capacity - a) // 3, (capacity - a) * 2 // 3)
+    which, _, emptied = packing.pack_lengths(np.concatenate([a, b, capacity - a - b]), capacity)
+    assert emptied > 0 and bins <= which.max() + 1 <= 1.05 * bins
+
+
+def test_equal_rows_do_not_share_a_group(spark):
+    rows = spark.createDataFrame([(1, "same text")] * 500 + [(2, "word " * 30_000)], "doc_id long, text string")
+    cut = packing.best_fit_packing(rows, group_pieces=64)
+    groups = {r["sequence_id"] >> 40 for r in cut.collect()}
+    assert len(groups) == round((500 + cut.where("doc_id = 2").count()) / 64)
+
+
 def test_local_search_empties_bins():
     rng = np.random.default_rng(0)
     sizes = rng.integers(300, 900, 1500)
