@@ -29,6 +29,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from .common import columns_but, map_rows
 
@@ -235,13 +236,11 @@ def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_unl
     return fit(*training_rows(docs, labels, max_labelled, max_unlabelled), default_prior)
 
 
-def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str] | None = None) -> DataFrame:
-    """Add score and predicted to every document."""
-    kept = columns_but(docs, {"score", "predicted"}) if keep is None else keep
-    from pyspark.sql import types as T
-
-    inner = docs.select(*kept, F.col("text").alias("__text"))
-    schema = T.StructType([*inner.schema.fields[:-1], T.StructField("score", T.DoubleType()), T.StructField("predicted", T.IntegerType())])
+def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:
+    """Add score and predicted (under these names or others) to every document."""
+    kept = columns_but(docs, set(names)) if keep is None else keep
+    inner = docs.select(*kept, F.col("text").cast("string").alias("__text"))
+    schema = T.StructType([*inner.schema.fields[:-1], T.StructField(names[0], T.DoubleType()), T.StructField(names[1], T.IntegerType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
         x = np.stack([text_features(t) for t in batch.column(batch.num_columns - 1).to_pylist()])

@@ -158,7 +158,9 @@ def test_license_scan(spark, none):
         rows.append((i, f"{filler}. {text.upper() if i % 2 else text}\n{filler}"))
         expected.add((i, name))
     rows += [(900, None), (901, ""), (902, " ".join(rng.choices(noise, k=20_000))), (903, "Released under the"), (904, "permission is hereby granted to any person obtaining nothing")]
-    got = license_scan.scan(spark.createDataFrame(rows, "doc_id long, text string"), license_scan.template_table(spark)).collect()
+    frame = spark.createDataFrame(rows, "doc_id long, text string")
+    got = license_scan.scan(frame, license_scan.template_table(spark)).collect()
+    assert sorted(license_scan.scan(frame, license_scan.template_table(spark), max_shingles=50).collect()) == sorted(got)  # the list in several parts
     found = {(r["doc_id"], r["template"]) for r in got}
     shingles = lambda t: {tuple(w[i : i + 5]) for w in [[x for x in re.split(r"[\W_]+", t.lower()) if x]] for i in range(len(w) - 4)}
     brute = {(i, n) for i, t in rows for n, s in templates.items() if len(shingles(t or "") & shingles(s)) >= 0.8 * len(shingles(s))}
@@ -167,6 +169,21 @@ def test_license_scan(spark, none):
     assert license_scan.scan(none, license_scan.template_table(spark, [("short", "two words")])).count() == 0
 
 
+def test_license_scan_edges(spark):
+    import time
+
+    line = dict(license_scan.TEMPLATES)["MIT"]
+    many = f"{line}\n" * 20_000 + " ".join(dict(license_scan.TEMPLATES).values())
+    rows = [(1, many, "a", 1.0), (2, line, None, None), (2, line, None, None), (None, line, "t", 2.0)]
+    frame = spark.createDataFrame(rows, "doc_id long, text string, template string, containment double")
+    began = time.time()
+    got = license_scan.scan(frame, license_scan.template_table(spark)).collect()
+    assert time.time() - began < 60
+    assert Counter(r["doc_id"] for r in got if r["template"] == "MIT") == {1: 1, 2: 2, None: 1}
+    assert {r["template"] for r in got if r["doc_id"] == 1} == dict(license_scan.TEMPLATES).keys()
+    assert next(r["n_windows"] for r in got if r["doc_id"] == 1 and r["template"] == "MIT") == 20_001
+
+
 def brute_components(fps, radius):
     ids = list(fps)
     parent = {d: d for d in ids}
@@ -281,6 +298,31 @@ def test_similar_texts_by_brute_force(spark, hot):
     assert alone and alone <= kept
 
 
+CLASH = "doc_id long, text string, lang string, score double, predicted int, spans string, number long, ids string, fp string, n long, wins int, __id int"
+
+
+def test_stages_on_edge_cases(spark, sf, tmp_path):
+    """Clashing columns, null ids, null and empty texts, repeated rows and an empty table go through every stage."""
+    import corpus_pipeline as cp
+
+    good = [r["text"] for r in spark.read.parquet(f"{sf}/documents.parquet").join(spark.read.parquet(f"{sf}/labels.parquet"), "doc_id").where("quality = 1").orderBy("doc_id").limit(6).collect()]
+    rows = [(None, good[0], "x"), (None, None, "x"), (1, "", None), (1, "", None), (5, good[1], "x"), (5, good[1], "x"), (5, good[2], "y"), (6, good[3] + " password = hunter2hunter2", "y")]
+    docs = spark.createDataFrame([(*r, 0.5, 1, "s", 1, "i", "f", 1, 1, 1) for r in rows], CLASH)
+    tables = {t: spark.read.parquet(f"{sf}/{t}.parquet") for t in ("labels", "benchmark")}
+    for name, df in tables.items():
+        df.write.parquet(str(tmp_path / f"{name}.parquet"))
+    for at, (name, stage) in enumerate(cp.STAGES):
+        out = stage(spark, docs, str(tmp_path))
+        n = out.count()
+        assert stage(spark, docs.limit(0), str(tmp_path)).count() == 0, name
+        if at == len(cp.STAGES) - 1:
+            assert n >= docs.count()
+            continue
+        assert out.columns == docs.columns and n <= docs.count(), name
+        if name == "SimHash near-dedup":
+            assert Counter((r["doc_id"], r["text"]) for r in out.collect()) == Counter([(None, good[0]), (1, ""), (5, good[1]), (5, good[2]), (6, rows[7][1])])
+
+
 def test_stages_judge_rows_not_ids(spark, tmp_path):
     import corpus_pipeline as cp
 
