@@ -18,11 +18,12 @@ from meridia.llm.common import KEY, by_key, checkpointed, ensure_checkpoint_dir,
 def quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier accepts (score of 0.7 or more)."""
     model = quality_classifier.train(docs, table(spark, sf_dir, "labels"))
-    return quality_classifier.score(docs, model, keep=docs.columns).where(F.col("predicted") == 1).select(docs.columns)
+    judged = quality_classifier.score(docs, model, keep=docs.columns, names=("__score", "__accepted"))
+    return judged.where(F.col("__accepted") == 1).select(docs.columns)
 
 
 def near_dedup(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """One row, of the least id, of each group of near-duplicates."""
+    """One row, of the least id, of each group of near-duplicates: five-word shingles, a similarity of 0.8 or more."""
     return simhash.keep_one(docs)
 
 
@@ -56,8 +57,15 @@ STAGES: list[tuple[str, Callable[[SparkSession, DataFrame, str], DataFrame]]] =
 ORACLE_SQL = None
 
 
+def _delete(spark: SparkSession, path: str) -> None:
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(where, True)
+
+
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Apply the stages to documents; what lies between them is Parquet in the shared folder."""
+    """Apply the stages to documents; what lies between them is Parquet in the shared folder.
+
+    A stage's Parquet goes when the next one's is written; only the last, which the result reads, stays."""
     ensure_checkpoint_dir(spark)
     folder = f"{spark.sparkContext.getCheckpointDir()}/pipeline-{uuid.uuid4().hex}"
     docs = table(spark, sf_dir, "documents")
@@ -66,5 +74,7 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
         if k == len(STAGES) - 1:
             return out
         out.write.parquet(f"{folder}/{k}")
+        if k:
+            _delete(spark, f"{folder}/{k - 1}")
         docs = spark.read.parquet(f"{folder}/{k}")
     return docs
