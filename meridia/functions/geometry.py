@@ -36,12 +36,29 @@ def crossing_sql(px: str = "px", py: str = "py", xa: str = "xa", ya: str = "ya",
       ELSE CASE WHEN cast({py} - {yb} as double) / cast({px} - {xb} as double) >= cast({ya} - {yb} as double) / cast({xa} - {xb} as double) THEN 1 ELSE 0 END END)"""
 
 
-def on_edge() -> Column:
-    return F.expr(on_edge_sql())
-
-
-def crossing() -> Column:
-    return F.expr(crossing_sql())
+def _points(given: dict[str, Column]) -> dict[str, Column]:
+    return {c: given.get(c, F.col(c)) for c in ("px", "py", "xa", "ya", "xb", "yb")}
+
+
+def on_edge(**given: Column) -> Column:
+    """on_edge_sql of the columns px, py, xa, ya, xb, yb, or of those given: also inside arrays."""
+    p = _points(given)
+    low, high = p["py"] >= F.least(p["ya"], p["yb"]), p["py"] <= F.greatest(p["ya"], p["yb"])
+    between_x = (p["px"] >= F.least(p["xa"], p["xb"])) & (p["px"] <= F.greatest(p["xa"], p["xb"]))
+    slope = (p["px"] - p["xa"]).cast("double") / (p["xb"] - p["xa"]).cast("double") == (p["py"] - p["ya"]).cast("double") / (p["yb"] - p["ya"]).cast("double")
+    straight = F.when(p["ya"] == p["yb"], between_x).when(p["xa"] == p["xb"], p["px"] == p["xa"]).otherwise(slope)
+    return F.when(low & high, straight).otherwise(F.lit(False))
+
+
+def crossing(**given: Column) -> Column:
+    """crossing_sql of the columns, or of those given."""
+    p = _points(given)
+    rising = p["ya"] < p["yb"]
+    x0, y0, x1, y1 = (F.when(rising, p[a]).otherwise(p[b]) for a, b in (("xa", "xb"), ("ya", "yb"), ("xb", "xa"), ("yb", "ya")))
+    left = (p["py"] - y0).cast("double") / (p["px"] - x0).cast("double") >= (y1 - y0).cast("double") / (x1 - x0).cast("double")
+    inner = F.when(p["px"] <= F.least(p["xa"], p["xb"]), F.lit(1)).when(left, F.lit(1)).otherwise(F.lit(0))
+    out = (p["py"] < F.least(p["ya"], p["yb"])) | (p["py"] >= F.greatest(p["ya"], p["yb"])) | (p["px"] >= F.greatest(p["xa"], p["xb"]))
+    return F.when(out, F.lit(0)).otherwise(inner)
 
 
 def contains(on: Column, crossings: Column, allow_edge: bool) -> Column:

@@ -1,21 +1,32 @@
-"""Zone lookup: exact (grid, latitude bands, point in polygon), by tiles, and layered.
+"""Zone lookup: exact (one index row a cell and stripe), by tiles, and layered.
 
-A lookup is two equi-joins and one aggregation.  Points meet the zones of their one-degree cell, then
-the edges of those zones in their latitude band; the even-odd rule is a sum.  Points are shuffled
-once, by their id; the index side is broadcast by Spark where it is below the session's threshold.
+The exact index is a table of one row for each one-degree cell and stripe of latitude in it, as many
+stripes as the cell has edges to spread.  A row holds the candidate zones with their rings: the edges that reach the
+stripe inside the cell, and, for all edges wholly to the right of the cell, only the heights at which
+the parity of their crossings changes (along a border that goes on up they cancel, so they are few).
+Edges to the left never count.  A lookup is two joins on the cell: points are not shuffled, and the even-odd rule and the
+border test are evaluated inside the joined row.
+
+Index tables are built once, written to a checkpoint and measured: up to ``broadcast_bytes`` they are
+broadcast; beyond, they are repeated ``SALTS`` times and joined by shuffle, so that a crowded cell is many tasks.
 """
 
 from __future__ import annotations
 
 from dataclasses import dataclass
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..stages import settled
 from . import rings as R
 
 BAND = 100_000  # a degree of latitude
+EDGES_A_STRIPE, MAX_STRIPES = 8, 256
+BROADCAST_BYTES = 256 << 20
+SALTS = 16
+CELL = ["cell_lng", "cell_lat"]
 
 
 def build_grid(edge_table: DataFrame) -> DataFrame:
@@ -39,6 +50,86 @@ def banded(edge_table: DataFrame) -> DataFrame:
     return edge_table.withColumn("band", F.explode(F.sequence(lo, hi)))
 
 
+def cell_edges(edge_table: DataFrame) -> DataFrame:
+    """Edges once for each cell that their box reaches."""
+    across = F.explode(F.sequence(G.cell(F.least("xa", "xb")), G.cell(F.greatest("xa", "xb"))))
+    up = F.explode(F.sequence(G.cell(F.least("ya", "yb")), G.cell(F.greatest("ya", "yb"))))
+    return edge_table.withColumn("cell_lng", across).withColumn("cell_lat", up)
+
+
+def right_turns(edge_table: DataFrame) -> DataFrame:
+    """cell, ring, turns: heights in the cell's row at which the parity of crossings with the ring's edges right of the cell changes."""
+    low, high = F.least("ya", "yb"), F.greatest("ya", "yb")
+    rows = edge_table.where("ya <> yb").withColumn("cell_lat", F.explode(F.sequence(G.cell(low), G.cell(high))))
+    floor = F.col("cell_lat").cast("long") * BAND
+    ends = F.filter(F.array(F.greatest(low, floor), F.when(high < floor + BAND, high)), lambda y: y.isNotNull() & (y < floor + BAND))
+    at = rows.select(*R.RING, "cell_lat", G.cell(F.least("xa", "xb")).alias("upto"), F.explode(ends).alias("y"))
+    odd = at.groupBy(*R.RING, "cell_lat", "upto", "y").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")  # a border that goes on up cancels here
+    first = edge_table.groupBy(*R.RING).agg(G.cell(F.min("xa")).alias("first"))
+    left = odd.join(first, R.RING).where("first < upto").withColumn("cell_lng", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)))
+    left = left.groupBy(*CELL, *R.RING, "y").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
+    return left.groupBy(*CELL, *R.RING).agg(F.array_sort(F.collect_list("y")).alias("turns"))
+
+
+def stripe_in_cell(y: Column, n: Column) -> Column:
+    """Stripe of a height in its row of cells, clamped to the cell's n stripes."""
+    place = y - F.col("cell_lat").cast("long") * BAND
+    return F.greatest(F.lit(0).cast("long"), F.least(n - 1, F.floor(place * n / F.lit(float(BAND)))))
+
+
+def build_index(zones: DataFrame, edge_table: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """(cells, stripes): n_cand, lone zone and number of stripes of each cell; the zones with their rings of each stripe."""
+    own = cell_edges(edge_table)
+    count = own.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_edges"))
+    grid = build_grid(edge_table).join(zones.select("tz_idx", "name"), "tz_idx").groupBy(*CELL).agg(F.min("n_cand").alias("n_cand"), F.min(F.struct("tz_idx", "name")).alias("lone"))
+    n = F.least(F.lit(MAX_STRIPES), F.greatest(F.lit(1), F.ceil(F.coalesce("n_edges", F.lit(0)) / EDGES_A_STRIPE))).cast("long")
+    cells = settled(grid.join(count, CELL, "left").select(*CELL, "n_cand", "lone", n.alias("n_stripes")))
+    numbered = own.join(cells.select(*CELL, "n_stripes"), CELL)
+    floor = F.col("cell_lat").cast("long") * BAND
+    lo, hi = F.greatest(F.least("ya", "yb"), floor), F.least(F.greatest("ya", "yb"), floor + BAND - 1)
+    each = numbered.withColumn("stripe", F.explode(F.sequence(stripe_in_cell(lo, F.col("n_stripes")), stripe_in_cell(hi, F.col("n_stripes")))))
+    striped = each.groupBy(*CELL, "stripe", *R.RING).agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias("edges"))
+    turns = right_turns(edge_table).join(cells.select(*CELL, "n_stripes"), CELL)
+    everywhere = turns.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_stripes") - 1))).select(*CELL, "stripe", *R.RING, "turns")
+    none = F.array().cast("array<struct<xa:bigint,ya:bigint,xb:bigint,yb:bigint>>")
+    ring = F.struct("poly_idx", "hole_idx", F.coalesce("turns", F.array().cast("array<bigint>")).alias("turns"), F.coalesce("edges", none).alias("edges"))
+    rings = everywhere.join(striped, [*CELL, "stripe", *R.RING], "full").groupBy(*CELL, "stripe", "tz_idx").agg(F.array_sort(F.collect_list(ring)).alias("rings"))
+    named = rings.join(zones.select("tz_idx", "name"), "tz_idx")
+    stripes = named.groupBy(*CELL, "stripe").agg(F.array_sort(F.collect_list(F.struct("tz_idx", "name", "rings"))).alias("zones"))
+    return cells, settled(stripes)
+
+
+def _ring_state(ring: Column) -> Column:
+    """on, odd of a point px, py against one ring of a stripe."""
+    names = {f"{c}": F.col(c) for c in ("px", "py")}
+    edge = lambda e: {**names, **{c: e[c] for c in ("xa", "ya", "xb", "yb")}}
+    start = F.struct(F.lit(False).alias("on"), F.size(F.filter(ring["turns"], lambda y: y <= F.col("py"))).alias("crossed"))
+    return F.aggregate(ring["edges"], start, lambda a, e: F.struct((a["on"] | G.on_edge(**edge(e))).alias("on"), (a["crossed"] + G.crossing(**edge(e))).alias("crossed")))
+
+
+def zone_contains(rings: Column, allow_edge: bool) -> Column:
+    """Whether some polygon of the zone holds the point: inside its exterior and strictly inside none of its holes."""
+    states = F.transform(rings, lambda r: F.struct(r["poly_idx"].alias("poly"), r["hole_idx"].alias("hole"), _ring_state(r).alias("s")))
+
+    def held(all_rings: Column) -> Column:
+        def outer(r: Column) -> Column:
+            filled = F.exists(all_rings, lambda h: (h["poly"] == r["poly"]) & (h["hole"] >= 0) & G.contains(h["s"]["on"], h["s"]["crossed"], False))
+            return (r["hole"] < 0) & G.contains(r["s"]["on"], r["s"]["crossed"], allow_edge) & ~filled
+
+        return F.exists(all_rings, outer)
+
+    return G.bound(states, held)
+
+
+def _joined(points: DataFrame, table: DataFrame, keys: list[str], small: bool) -> DataFrame:
+    """Left join of points with an index table: broadcast if it is small, else shuffled by keys and a salt."""
+    if small:
+        return points.join(F.broadcast(table), keys, "left")
+    salted = table.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+    spread = points.withColumn("salt", F.pmod(F.xxhash64("px", "py"), F.lit(SALTS)).cast("int"))
+    return spread.join(salted, [*keys, "salt"], "left").drop("salt")
+
+
 @dataclass
 class ZoneFinder:
     """Exact lookup over zones (tz_idx, name) and their edges."""
@@ -47,21 +138,16 @@ class ZoneFinder:
     edges: DataFrame
     version: str = ""
     use_grid: bool = True
+    broadcast_bytes: int = BROADCAST_BYTES
 
     def __post_init__(self) -> None:
-        self._grid = build_grid(self.edges) if self.use_grid else None
-        self._bands = banded(self.edges)
+        self._cells, self._stripes = build_index(self.zones, self.edges)
+        size = self._stripes.agg(F.sum(F.aggregate("zones", F.lit(40), lambda a, z: a + 40 + F.aggregate(z["rings"], F.lit(0), lambda b, r: b + 40 + 8 * F.size(r["turns"]) + 40 * F.size(r["edges"])))).alias("b")).first()["b"] or 0
+        self._small = size + 64 * self._cells.count() <= self.broadcast_bytes
 
     @classmethod
-    def from_rings(cls, rings: DataFrame, version: str = "", use_grid: bool = True) -> ZoneFinder:
-        return cls(rings.select("tz_idx", "name").distinct(), R.edges(rings), version, use_grid)
-
-    def prepared(self) -> ZoneFinder:
-        """With the index cached: for many lookups in one session."""
-        self._bands = self._bands.cache()
-        if self._grid is not None:
-            self._grid = self._grid.cache()
-        return self
+    def from_rings(cls, rings: DataFrame, version: str = "", use_grid: bool = True, broadcast_bytes: int = BROADCAST_BYTES) -> ZoneFinder:
+        return cls(rings.select("tz_idx", "name").distinct(), R.edges(rings), version, use_grid, broadcast_bytes)
 
     def timezone_names(self) -> DataFrame:
         return self.zones.select("tz_idx", "name").orderBy("tz_idx")
@@ -69,47 +155,47 @@ class ZoneFinder:
     def data_version(self) -> str:
         return self.version
 
-    def candidates(self, points: DataFrame) -> DataFrame:
-        """Points with the zones of their cell (misses stay, with a null zone)."""
-        if self._grid is None:
-            box = F.broadcast(R.bounds(self.edges.where("hole_idx < 0"), "tz_idx"))  # one row a zone
-            return points.join(box, F.expr("px between min_x and max_x and py between min_y and max_y"), "left").drop("min_x", "max_x", "min_y", "max_y").withColumn("n_cand", F.lit(2).cast("long"))
-        celled = points.withColumns({"cell_lng": G.cell(F.col("px")), "cell_lat": G.cell(F.col("py"))})
-        return celled.join(self._grid, ["cell_lng", "cell_lat"], "left").drop("cell_lng", "cell_lat")
-
-    def containing(self, candidates: DataFrame, allow_edge: bool = True) -> DataFrame:
-        """pt_id, tz_idx of every zone that contains the point; points without one keep a row with null."""
-        keyed = candidates.select("pt_id", "px", "py", "tz_idx", F.floor(F.col("py") / BAND).cast("int").alias("band"))
-        bands = self._bands.withColumnRenamed("tz_idx", "e_tz").withColumnRenamed("band", "e_band")
-        met = keyed.join(bands, F.expr("tz_idx = e_tz and band = e_band and py between least(ya, yb) and greatest(ya, yb)"), "left")
-        measured = met.select("pt_id", "tz_idx", "poly_idx", "hole_idx", F.coalesce(G.on_edge(), F.lit(False)).alias("on"), F.coalesce(G.crossing(), F.lit(0)).alias("cross"))
-        spread = measured.repartition("pt_id")  # one shuffle; the three aggregations below need no other
-        by_ring = spread.groupBy("pt_id", "tz_idx", "poly_idx", "hole_idx").agg(F.max("on").alias("on"), F.sum("cross").alias("cross"))
-        outer = G.contains(F.col("on"), F.col("cross"), allow_edge) & (F.col("hole_idx") < 0)
-        inner = G.contains(F.col("on"), F.col("cross"), False) & (F.col("hole_idx") >= 0)
-        by_polygon = by_ring.groupBy("pt_id", "tz_idx", "poly_idx").agg(F.bool_or(outer).alias("out"), F.bool_or(inner).alias("in_hole"))
-        inside = F.coalesce(F.col("out") & ~F.coalesce("in_hole", F.lit(False)), F.lit(False))
-        return by_polygon.groupBy("pt_id", "tz_idx").agg(F.bool_or(inside).alias("inside"))
+    def met(self, points: DataFrame, where: Column | None = None) -> DataFrame:
+        """points (px, py among their columns) with n_cand, lone and the zones of their stripe; where: only these meet the index."""
+        here = F.lit(True) if where is None else where
+        celled = points.withColumns({"cell_lng": F.when(here, G.cell(F.col("px"))), "cell_lat": F.when(here, G.cell(F.col("py")))})
+        numbered = _joined(celled, self._cells, CELL, self._small).withColumn("stripe", stripe_in_cell(F.col("py"), F.col("n_stripes")))
+        return _joined(numbered, self._stripes, [*CELL, "stripe"], self._small).drop(*CELL, "stripe", "n_stripes")
 
-    def first(self, points: DataFrame, strict: bool = False, allow_edge: bool = True) -> DataFrame:
-        """pt_id, name of the containing zone with the lowest index, or null.
+    @staticmethod
+    def hits(allow_edge: bool = True) -> Column:
+        """The zones of a met row that hold its point, by index."""
+        return F.filter("zones", lambda z: zone_contains(z["rings"], allow_edge))
+
+    def first_name(self, strict: bool = False, allow_edge: bool = True) -> Column:
+        """Name, for met rows, of the containing zone with the lowest index, or null.
 
         Unless strict, a point whose cell has one candidate only, away from the domain's rim, gets
         that zone without a test."""
-        found = self.candidates(points)
-        sure = F.lit(False) if strict or self._grid is None else F.coalesce((F.col("n_cand") == 1) & F.col("px").between(-17_899_999, 17_899_999) & F.col("py").between(-8_899_999, 8_899_999), F.lit(False))
-        parts = self.containing(found.where(~sure), allow_edge).groupBy("pt_id").agg(F.min(F.when(F.col("inside"), F.col("tz_idx"))).alias("tz_idx"))
-        taken = found.where(sure).select("pt_id", "tz_idx").unionByName(parts)
-        return taken.join(self.zones, "tz_idx", "left").select("pt_id", "name")
+        tested = F.get(self.hits(allow_edge), F.lit(0))["name"]
+        if strict or not self.use_grid:
+            return tested
+        inner = F.col("px").between(-17_899_999, 17_899_999) & F.col("py").between(-8_899_999, 8_899_999)
+        return F.when((F.col("n_cand") == 1) & inner, F.col("lone")["name"]).otherwise(tested)
+
+    def first(self, points: DataFrame, strict: bool = False, allow_edge: bool = True) -> DataFrame:
+        """pt_id, name of the containing zone with the lowest index, or null; one row a point."""
+        return self.met(points).select("pt_id", self.first_name(strict, allow_edge).alias("name"))
 
     def all(self, points: DataFrame, allow_edge: bool = True) -> DataFrame:
         """pt_id, names (sorted) of all containing zones; an empty list where there is none."""
-        hits = self.containing(self.candidates(points), allow_edge).join(self.zones, "tz_idx", "left")
-        return hits.groupBy("pt_id").agg(F.array_sort(F.collect_list(F.when(F.col("inside"), F.col("name")))).alias("names"))
+        names = F.array_sort(F.transform(self.hits(allow_edge), lambda z: z["name"]))
+        return self.met(points).select("pt_id", F.coalesce(names, F.array().cast("array<string>")).alias("names"))
 
     def matches(self, points: DataFrame, allow_edge: bool = False) -> DataFrame:
         """pt_id, tz_idx of all containing zones, one row each (strict unless asked): any value can be joined on."""
-        return self.containing(self.candidates(points), allow_edge).where("inside").select("pt_id", "tz_idx")
+        return self.met(points).select("pt_id", F.explode(F.transform(self.hits(allow_edge), lambda z: z["tz_idx"])).alias("tz_idx"))
+
+    def geojson(self, rings: DataFrame, name: str | None = None) -> DataFrame:
+        """One row: the FeatureCollection of the zones of a name (of all without one); an unknown name raises."""
+        from ..sources.geojson import feature_collection
+
+        return feature_collection(rings.join(self.zones.select("tz_idx"), "tz_idx", "left_semi"), name)
 
 
 @dataclass
@@ -120,26 +206,33 @@ class FuzzyFinder:
     agg_zoom: int
     idx_zoom: int
     version: str = ""
+    broadcast_rows: int = 2_000_000
+
+    def __post_init__(self) -> None:
+        ordered = F.transform(F.array_sort(F.collect_list(F.struct("key_ord", "name"))), lambda t: t["name"])
+        self._lists = settled(self.tiles.groupBy("packed").agg(ordered.alias("names")))
+        self._small = self._lists.count() <= self.broadcast_rows
+        self._zooms = sorted(r[0] for r in self._lists.select(F.shiftright("packed", 56).alias("z")).distinct().collect())  # at most 29
 
-    def hits(self, points: DataFrame) -> DataFrame:
-        z = F.explode(F.sequence(F.lit(self.agg_zoom), F.lit(self.idx_zoom)))
+    def met(self, points: DataFrame) -> DataFrame:
+        """points (px, py among their columns) with tile_names: the names at the first zoom that hits, in key order, or null."""
         finest = F.lit(self.idx_zoom)
-        lng, lat = F.col("px") / 100_000.0, F.col("py") / 100_000.0
-        at = points.select("pt_id", G.tile_x(lng, finest).alias("fx"), G.tile_y(lat, finest).alias("fy"), z.alias("z"))
-        up = F.pow(F.lit(2.0), F.lit(self.idx_zoom) - F.col("z"))
-        keyed = at.select("pt_id", "z", G.pack_tile(F.floor(F.col("fx") / up), F.floor(F.col("fy") / up), F.col("z")).alias("packed"))
-        return keyed.join(self.tiles.select("packed", "name", "key_ord"), "packed", "left")
+        at = points.withColumns({"fx": G.tile_x(F.col("px") / 100_000.0, finest), "fy": G.tile_y(F.col("py") / 100_000.0, finest)})
+        zooms = [z for z in self._zooms if self.agg_zoom <= z <= self.idx_zoom]
+        for z in zooms:  # one join a zoom level, without a shuffle of the points
+            up = float(1 << self.idx_zoom - z)
+            own = self._lists.where(F.shiftright("packed", 56) == z).select(F.col("packed").alias("tile"), F.col("names").alias(f"names_{z}"))
+            at = at.withColumn("tile", G.pack_tile(F.floor(F.col("fx") / up), F.floor(F.col("fy") / up), F.lit(z)))
+            at = _joined(at, own, ["tile"], self._small).drop("tile")
+        names = F.coalesce(*[F.col(f"names_{z}") for z in zooms], F.lit(None).cast("array<string>"))
+        return at.select(*points.columns, names.alias("tile_names"))
 
     def first(self, points: DataFrame) -> DataFrame:
-        order = F.when(F.col("name").isNotNull(), F.struct("z", "key_ord"))
-        return self.hits(points).groupBy("pt_id").agg(F.min_by("name", order).alias("name"))
+        return self.met(points).select("pt_id", F.get("tile_names", F.lit(0)).alias("name"))
 
     def all(self, points: DataFrame) -> DataFrame:
         """The names at the first zoom that hits, in key order."""
-        each = F.when(F.col("name").isNotNull(), F.struct("z", "key_ord", "name"))
-        lists = self.hits(points).groupBy("pt_id").agg(F.array_sort(F.collect_list(each)).alias("l"))
-        top = F.get("l", F.lit(0))["z"]
-        return lists.select("pt_id", F.transform(F.filter("l", lambda s: s["z"] == top), lambda s: s["name"]).alias("names"))
+        return self.met(points).select("pt_id", F.coalesce("tile_names", F.array().cast("array<string>")).alias("names"))
 
     def timezone_names(self) -> DataFrame:
         return self.tiles.select("name").distinct().orderBy("name")
@@ -147,10 +240,19 @@ class FuzzyFinder:
     def data_version(self) -> str:
         return self.version
 
+    def geojson(self, name: str | None = None) -> DataFrame:
+        """name, feature: a MultiPolygon of the tiles of each zone (of one name, if given; an unknown name raises)."""
+        from .tiles import zone_features
+
+        drawn = zone_features(self.tiles if name is None else self.tiles.where(F.col("name") == name))
+        if name is not None and not drawn.limit(1).count():
+            raise ValueError(f"no timezone found: {name}")
+        return drawn
+
 
 @dataclass
 class DefaultFinder:
-    """Tiles first; only what they miss goes to the exact finder."""
+    """Tiles first; only what they miss meets the exact finder's index, in the same pass."""
 
     fuzzy: FuzzyFinder
     exact: ZoneFinder
@@ -160,9 +262,9 @@ class DefaultFinder:
             raise ValueError(f"data versions differ: {self.fuzzy.version!r} and {self.exact.version!r}")
 
     def first(self, points: DataFrame) -> DataFrame:
-        near = points.join(self.fuzzy.first(points), "pt_id", "left")
-        missed = near.where("name is null").select(points.columns)
-        return near.where("name is not null").select("pt_id", "name").unionByName(self.exact.first(missed))
+        tiled = self.fuzzy.met(points).withColumn("tile_name", F.get("tile_names", F.lit(0)))
+        both = self.exact.met(tiled, F.col("tile_name").isNull())
+        return both.select("pt_id", F.coalesce("tile_name", self.exact.first_name()).alias("name"))
 
     def all(self, points: DataFrame) -> DataFrame:
         return self.exact.all(points)
@@ -173,6 +275,9 @@ class DefaultFinder:
     def data_version(self) -> str:
         return self.exact.version
 
+    def geojson(self, rings: DataFrame, name: str | None = None) -> DataFrame:
+        return self.exact.geojson(rings, name)
+
 
 def parity(a: DataFrame, b: DataFrame, column: str = "name", limit: int = 20) -> tuple[int, DataFrame]:
     """How many points two finders judge differently, and some of them."""

@@ -36,8 +36,15 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.hashed_points(table(spark, sf_dir, "events"), "event_id")
 
 
+_FINDERS: dict[tuple, finder.ZoneFinder] = {}
+
+
 def zone_finder(spark: SparkSession, rows: list[X.Ring], use_grid: bool = True, version: str = "") -> finder.ZoneFinder:
-    return finder.ZoneFinder.from_rings(X.rings(spark, rows), version, use_grid)
+    """The finder of some zones, its index built once in a session."""
+    key = (spark.sparkContext.applicationId, hash(str(rows)), use_grid, version)
+    if key not in _FINDERS:
+        _FINDERS[key] = finder.ZoneFinder.from_rings(X.rings(spark, rows), version, use_grid)
+    return _FINDERS[key]
 
 
 def hits_sql(points: str, rows: list[X.Ring], allow_edge: bool = True) -> str:
