@@ -155,11 +155,20 @@ class ZoneFinder:
     def data_version(self) -> str:
         return self.version
 
-    def met(self, points: DataFrame, where: Column | None = None) -> DataFrame:
-        """points (px, py among their columns) with n_cand, lone and the zones of their stripe; where: only these meet the index."""
+    def _sure(self) -> Column:
+        """Whether a point needs no test: its cell has one candidate only, away from the domain's rim."""
+        if not self.use_grid:
+            return F.lit(False)
+        return (F.col("n_cand") == 1) & F.col("px").between(-17_899_999, 17_899_999) & F.col("py").between(-8_899_999, 8_899_999)
+
+    def met(self, points: DataFrame, where: Column | None = None, strict: bool = True) -> DataFrame:
+        """points (px, py among their columns) with n_cand, lone and the zones of their stripe.
+
+        where: only these meet the index; unless strict, points that need no test meet no stripe."""
         here = F.lit(True) if where is None else where
         celled = points.withColumns({"cell_lng": F.when(here, G.cell(F.col("px"))), "cell_lat": F.when(here, G.cell(F.col("py")))})
-        numbered = _joined(celled, self._cells, CELL, self._small).withColumn("stripe", stripe_in_cell(F.col("py"), F.col("n_stripes")))
+        stripe = stripe_in_cell(F.col("py"), F.col("n_stripes"))
+        numbered = _joined(celled, self._cells, CELL, self._small).withColumn("stripe", stripe if strict else F.when(~self._sure(), stripe))
         return _joined(numbered, self._stripes, [*CELL, "stripe"], self._small).drop(*CELL, "stripe", "n_stripes")
 
     @staticmethod
@@ -168,19 +177,13 @@ class ZoneFinder:
         return F.filter("zones", lambda z: zone_contains(z["rings"], allow_edge))
 
     def first_name(self, strict: bool = False, allow_edge: bool = True) -> Column:
-        """Name, for met rows, of the containing zone with the lowest index, or null.
-
-        Unless strict, a point whose cell has one candidate only, away from the domain's rim, gets
-        that zone without a test."""
+        """Name, for met rows, of the containing zone with the lowest index, or null; unless strict, sure points take their cell's zone."""
         tested = F.get(self.hits(allow_edge), F.lit(0))["name"]
-        if strict or not self.use_grid:
-            return tested
-        inner = F.col("px").between(-17_899_999, 17_899_999) & F.col("py").between(-8_899_999, 8_899_999)
-        return F.when((F.col("n_cand") == 1) & inner, F.col("lone")["name"]).otherwise(tested)
+        return tested if strict else F.when(self._sure(), F.col("lone")["name"]).otherwise(tested)
 
     def first(self, points: DataFrame, strict: bool = False, allow_edge: bool = True) -> DataFrame:
         """pt_id, name of the containing zone with the lowest index, or null; one row a point."""
-        return self.met(points).select("pt_id", self.first_name(strict, allow_edge).alias("name"))
+        return self.met(points, strict=strict).select("pt_id", self.first_name(strict, allow_edge).alias("name"))
 
     def all(self, points: DataFrame, allow_edge: bool = True) -> DataFrame:
         """pt_id, names (sorted) of all containing zones; an empty list where there is none."""
@@ -263,7 +266,7 @@ class DefaultFinder:
 
     def first(self, points: DataFrame) -> DataFrame:
         tiled = self.fuzzy.met(points).withColumn("tile_name", F.get("tile_names", F.lit(0)))
-        both = self.exact.met(tiled, F.col("tile_name").isNull())
+        both = self.exact.met(tiled, F.col("tile_name").isNull(), strict=False)
         return both.select("pt_id", F.coalesce("tile_name", self.exact.first_name()).alias("name"))
 
     def all(self, points: DataFrame) -> DataFrame:

@@ -42,16 +42,6 @@ def stripe_counts(edge_table: DataFrame) -> DataFrame:
     return m.select(*RING, "n", G.stripe_count(F.col("n"), F.col("area"), F.col("perimeter")).alias("stripes"))
 
 
-def y_stripes(edge_table: DataFrame) -> DataFrame:
-    """Edges with every stripe of their ring that they reach: a range condition made an equi-join key."""
-    box = bounds(edge_table, *RING).select(*RING, "min_y", "max_y")
-    count = stripe_counts(edge_table).select(*RING, "stripes")
-    joined = edge_table.join(box, RING).join(count, RING)
-    lo = G.stripe_of(F.least("ya", "yb"), F.col("min_y"), F.col("max_y"), F.col("stripes"))
-    hi = G.stripe_of(F.greatest("ya", "yb"), F.col("min_y"), F.col("max_y"), F.col("stripes"))
-    return joined.withColumn("stripe", F.explode(F.sequence(lo, hi))).drop("min_y", "max_y")
-
-
 def normalise_windings(rings: DataFrame) -> DataFrame:
     """Exteriors counter-clockwise, holes clockwise."""
     signed = area_perimeter(edges(rings)).select(*RING, "signed_area")

@@ -12,6 +12,7 @@ from ..functions.polyline import decode_points, encode_points
 from ..operators import finder, tiles, topology
 from ..operators import rings as R
 from ..sources.geojson import load_zones
+from ..stages import settled
 
 POLYLINE = 1
 
@@ -36,6 +37,12 @@ def decompress_topology(segments: DataFrame, library: DataFrame) -> tuple[DataFr
     return segments.withColumn("pts", points).drop("bytes"), library.withColumn("pts", points).drop("bytes")
 
 
+def finder_from_topology(segments: DataFrame, library: DataFrame, names: DataFrame, version: str = "", use_grid: bool = True) -> finder.ZoneFinder:
+    """The finder of a compressed topology: segments and shared edges (bytes), and the zones' names (tz_idx, name)."""
+    rings = settled(topology.expand(*decompress_topology(segments, library)))
+    return finder.ZoneFinder.from_rings(rings.join(names.select("tz_idx", "name").distinct(), "tz_idx"), version, use_grid)
+
+
 @dataclass
 class ZonePipeline:
     spark: SparkSession
@@ -62,6 +69,13 @@ class ZonePipeline:
         segments, library = topology.deduplicate(self.read(source))
         return self._store(segments, "segments"), self._store(library, "shared_edges")
 
+    def compress_topology(self) -> tuple[DataFrame, DataFrame]:
+        segments, library = compress_topology(self.read("segments"), self.read("shared_edges"))
+        return self._store(segments, "segments_compressed"), self._store(library, "shared_edges_compressed")
+
+    def topology_finder(self, source: str = "reduced", use_grid: bool = True) -> finder.ZoneFinder:
+        return finder_from_topology(self.read("segments_compressed"), self.read("shared_edges_compressed"), self.read(source), self.version, use_grid)
+
     def compress(self, source: str = "reduced") -> DataFrame:
         return self._store(compress(self.read(source)), "compressed")
 

@@ -36,7 +36,7 @@ def events(spark: SparkSession, sf_dir: str) -> DataFrame:
     return X.hashed_points(table(spark, sf_dir, "events"), "event_id")
 
 
-_FINDERS: dict[tuple, finder.ZoneFinder] = {}
+_FINDERS: dict[tuple, finder.ZoneFinder | finder.FuzzyFinder] = {}
 
 
 def zone_finder(spark: SparkSession, rows: list[X.Ring], use_grid: bool = True, version: str = "") -> finder.ZoneFinder:
@@ -170,7 +170,10 @@ _TILES = "(VALUES " + ",".join(f"('{n}', {x}, {y}, {z}, {k}, {z << 56 | x << 28
 
 
 def _fuzzy(spark: SparkSession, version: str = "") -> finder.FuzzyFinder:
-    return finder.FuzzyFinder(spark.createDataFrame([(n, x, y, z, k, z << 56 | x << 28 | y) for n, x, y, z, k in _MAP], TILES), 3, 5, version)
+    key = (spark.sparkContext.applicationId, "tiles", version)
+    if key not in _FINDERS:
+        _FINDERS[key] = finder.FuzzyFinder(spark.createDataFrame([(n, x, y, z, k, z << 56 | x << 28 | y) for n, x, y, z, k in _MAP], TILES), 3, 5, version)
+    return _FINDERS[key]
 
 
 _XY = "cast(floor((px / 100000.0 / 360.0 + 0.5) * pow(2, {z})) AS bigint)", "greatest(0, least(cast(pow(2, {z}) AS bigint) - 1, cast(floor((0.5 - ln((1 + sin(radians(greatest(-85.05112878, least(85.05112878, py / 100000.0))))) / (1 - sin(radians(greatest(-85.05112878, least(85.05112878, py / 100000.0)))))) / (4 * pi())) * pow(2, {z})) AS bigint)))"

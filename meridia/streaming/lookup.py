@@ -5,24 +5,19 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions import geometry as G
 from ..operators.finder import ZoneFinder
 
 
-def lookup_batch(points: DataFrame, finder: ZoneFinder) -> DataFrame:
-    """points with px, py (and any other columns, a unique pt_id among them) and their zone's name ('' where there is none)."""
-    return points.join(finder.first(points.select("pt_id", "px", "py")), "pt_id", "left").withColumn("name", F.coalesce("name", F.lit("")))
+def lookup(points: DataFrame, finder: ZoneFinder) -> DataFrame:
+    """points, a table or a stream (px, py and any other columns), and their zone's name ('' where there is none).
 
-
-def lookup_stream(points: DataFrame, finder: ZoneFinder, sink, checkpoint: str):
-    """Start a query that looks up every micro-batch by the batch code path and hands it to sink(df, epoch)."""
-    return points.writeStream.option("checkpointLocation", checkpoint).foreachBatch(lambda df, epoch: sink(lookup_batch(df, finder), epoch)).start()
+    The index is static, so a stream keeps no state and no micro-batch is shuffled while the index is broadcast."""
+    return finder.met(points, strict=False).select(*points.columns, F.coalesce(finder.first_name(), F.lit("")).alias("name"))
 
 
-def cell_stream(points: DataFrame, grid: DataFrame) -> DataFrame:
-    """Streaming join of points with their grid cell's candidates (stateless)."""
-    keyed = points.withColumns({"cell_lng": G.cell(F.col("px")), "cell_lat": G.cell(F.col("py"))})
-    return keyed.join(grid, ["cell_lng", "cell_lat"], "left")
+def lookup_stream(points: DataFrame, finder: ZoneFinder, sink, checkpoint: str):
+    """Start a query that hands every looked-up micro-batch to sink(df, epoch)."""
+    return lookup(points, finder).writeStream.option("checkpointLocation", checkpoint).foreachBatch(sink).start()
 
 
 def windowed_counts(named: DataFrame, time: str = "ts", window: str = "1 hour", late: str | None = None) -> DataFrame:

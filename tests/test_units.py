@@ -1,9 +1,12 @@
 """Literal cases: codec, GeoJSON, exclusion, point lines, compression, layered versions."""
 
 import json
+import math
+import random
 import zipfile
 
 import pytest
+from pyspark.sql import functions as F
 
 from meridia.functions import polyline as P
 from meridia.operators import finder, tiles, topology
@@ -11,6 +14,7 @@ from meridia.operators import rings as R
 from meridia.plans import pipeline
 from meridia.sources import fixtures as X
 from meridia.sources import geojson as J
+from meridia.streaming import lookup
 
 
 def test_polyline_literal():
@@ -58,6 +62,98 @@ def test_compression_and_sharing(spark):
     assert topology.segment_counts(s, e).collect() == topology.segment_counts(segments, library).collect()
 
 
+def square(x0, y0, x1, y1, dense=1):
+    corners = [(x0, y0), (x1, y0), (x1, y1), (x0, y1)]
+    return [(a[0] + (b[0] - a[0]) * k // dense, a[1] + (b[1] - a[1]) * k // dense) for a, b in zip(corners, corners[1:] + corners[:1]) for k in range(dense)]
+
+
+@pytest.mark.parametrize(("dense", "size"), [(1, 1 << 28), (200, 1 << 28), (200, 0)])
+def test_shared_border(spark, dense, size):
+    """Two squares that touch, with few and many vertices, index broadcast or shuffled: strict neither, allow-edge both."""
+    rows = [(0, "A", 0, -1, square(0, 0, 1_000_000, 1_000_000, dense)), (1, "B", 0, -1, square(1_000_000, 0, 2_000_000, 1_000_000, dense))]
+    found = finder.ZoneFinder.from_rings(X.rings(spark, rows), broadcast_bytes=size)
+    at = [(0, 1_000_000, 500_000), (1, 1_000_000, 1_000_000), (2, 1_000_000, 0), (3, 500_000, 500_000), (4, 1_500_000, 500_001), (5, 2_500_000, 5), (3, 500_000, 500_000)]
+    pts = spark.createDataFrame(at, "pt_id long, px long, py long")
+    both = sorted((r["pt_id"], r["names"]) for r in found.all(pts).collect())
+    assert both == [(0, ["A", "B"]), (1, ["A", "B"]), (2, ["A", "B"]), (3, ["A"]), (3, ["A"]), (4, ["B"]), (5, [])]
+    assert sorted(r["pt_id"] for r in found.matches(pts).collect()) == [3, 3, 4]
+    assert sorted((r["pt_id"], r["name"]) for r in found.first(pts, strict=True).collect())[:3] == [(0, "A"), (1, "A"), (2, "A")]
+    plan = found.first(pts)._jdf.queryExecution().executedPlan().toString()
+    assert ("Exchange hashpartitioning" in plan) == (size == 0)
+
+
+def test_lookup_by_brute_force(spark):
+    """Stars with holes over many cells, by the even-odd rule over all edges; index broadcast and shuffled agree."""
+    rng = random.Random(3)
+
+    def star(cx, cy, r, n):
+        return [(int(cx + r * rng.uniform(0.3, 1) * math.cos(6.2832 * k / n)), int(cy + r * rng.uniform(0.3, 1) * math.sin(6.2832 * k / n))) for k in range(n)]
+
+    rows = []
+    for t in range(6):
+        cx, cy = rng.randrange(-9_000_000, 9_000_000), rng.randrange(-5_000_000, 5_000_000)
+        rows += [(t, f"Z{t}", 0, -1, star(cx, cy, 3_000_000, 300)), (t, f"Z{t}", 0, 0, star(cx, cy, 800_000, 40)), (t, f"Z{t}", 1, -1, star(cx + 500_000, cy, 60_000, 9))]
+    pts = [(i, rng.randrange(-12_000_000, 12_000_000), rng.randrange(-8_000_000, 8_000_000)) for i in range(1500)] + [(2000 + k, *rng.choice(rng.choice(rows)[4])) for k in range(300)]
+
+    def side(ring, x, y):
+        inside = False
+        for (xa, ya), (xb, yb) in zip(ring, ring[1:] + ring[:1]):
+            if min(xa, xb) <= x <= max(xa, xb) and min(ya, yb) <= y <= max(ya, yb) and (xb - xa) * (y - ya) == (yb - ya) * (x - xa):
+                return None
+            if (ya > y) != (yb > y) and (x - xa) * abs(yb - ya) < (xb - xa) * (y - ya) * (1 if yb > ya else -1):
+                inside = not inside
+        return inside
+
+    want = {}
+    for i, x, y in pts:
+        got = set()
+        for t in range(6):
+            for poly in (0, 1):
+                outer = [side(r[4], x, y) for r in rows if r[0] == t and r[2] == poly and r[3] < 0]
+                holes = [side(r[4], x, y) for r in rows if r[0] == t and r[2] == poly and r[3] >= 0]
+                if outer[0] is not False and True not in holes:
+                    got.add(f"Z{t}")
+        want[i] = sorted(got)
+    for size in (1 << 28, 0):
+        found = finder.ZoneFinder.from_rings(X.rings(spark, rows), broadcast_bytes=size)
+        assert {r["pt_id"]: r["names"] for r in found.all(spark.createDataFrame(pts, "pt_id long, px long, py long")).collect()} == want
+
+
+def test_stream_lookup(spark, tmp_path):
+    X.hashed_points(spark.range(500).withColumnRenamed("id", "k"), "k").withColumn("other", F.lit("x")).write.parquet(str(tmp_path / "in"))
+    exact = finder.ZoneFinder.from_rings(X.rings(spark, X.nautical()))
+    points = spark.readStream.schema("pt_id long, px long, py long, other string").parquet(str(tmp_path / "in"))
+    seen = []
+    query = lookup.lookup_stream(points, exact, lambda df, epoch: seen.extend(df.collect()), str(tmp_path / "checkpoint"))
+    query.processAllAvailable()
+    query.stop()
+    batch = {r["pt_id"]: r["name"] for r in exact.first(spark.read.parquet(str(tmp_path / "in"))).collect()}
+    assert {r["pt_id"]: r["name"] for r in seen} == batch and len(seen) == 500 and {r["other"] for r in seen} == {"x"}
+
+
+def test_zone_pipeline(spark, tmp_path):
+    """GeoJSON in, every table of the offline build out, and all finders agree on it."""
+    (tmp_path / "z.geojson").write_text(J.feature_collection(X.rings(spark, X.jagged())).first()[0])
+    build = pipeline.ZonePipeline(spark, str(tmp_path / "store"), "v1")
+    build.ingest(str(tmp_path / "z.geojson"))
+    build.reduce(0.15)
+    build.deduplicate()
+    build.compress_topology()
+    build.compress()
+    build.grid()
+    build.preindex(idx_zoom=6, agg_zoom=3, max_keep=6, drop=1)
+    pts = X.hashed_points(spark.range(1000).withColumnRenamed("id", "k"), "k")
+    wanted = {r["pt_id"]: r["name"] for r in build.finder().first(pts).collect()}
+    assert {r["pt_id"]: r["name"] for r in build.topology_finder().first(pts).collect()} == wanted
+    layered = build.default_finder(3, 6)
+    assert {r["pt_id"]: r["name"] for r in layered.first(pts).collect()} == wanted and layered.data_version() == "v1"
+    assert len(json.loads(layered.geojson(build.read("reduced"), "Jag/03").first()[0])["features"]) == 1
+    with pytest.raises(Exception, match="no timezone found"):
+        layered.geojson(build.read("reduced"), "nowhere").collect()
+    with pytest.raises(ValueError, match="no timezone found"):
+        layered.fuzzy.geojson("nowhere")
+
+
 def test_versions_must_agree(spark):
     exact = finder.ZoneFinder.from_rings(X.rings(spark, X.nautical()), "a")
     with pytest.raises(ValueError, match="versions"):
