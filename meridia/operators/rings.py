@@ -54,10 +54,17 @@ def _orientation(ax: str, ay: str, bx: str, by_: str, cx: str, cy: str) -> Colum
     return F.expr(f"sign({value})")
 
 
-def self_intersections(edge_table: DataFrame, cell: int = 1_000_000) -> DataFrame:
-    """Pairs of edges of a ring, not neighbours, that touch or cross.  Edges meet in the cells that their boxes reach."""
-    n = edge_table.groupBy(*RING).agg(F.count(F.lit(1)).cast("int").alias("n"))
-    cells = edge_table.select(*RING, "edge_idx", "xa", "ya", "xb", "yb", F.explode(F.sequence(F.floor(F.least("xa", "xb") / cell), F.floor(F.greatest("xa", "xb") / cell))).alias("cx"), F.floor(F.least("ya", "yb") / cell).alias("y0"), F.floor(F.greatest("ya", "yb") / cell).alias("y1"))
+def self_intersections(edge_table: DataFrame) -> DataFrame:
+    """Pairs of edges of a ring, not neighbours, that touch or cross.
+
+    Edges meet in the cells that their boxes reach; a ring's cells are four of its mean edges wide, so that a long
+    coast's edges meet few others (and a 64th of its longest at least, so that this one does not reach too many)."""
+    extent = F.greatest(F.abs(F.col("xb") - F.col("xa")), F.abs(F.col("yb") - F.col("ya")))
+    n = edge_table.groupBy(*RING).agg(F.count(F.lit(1)).cast("int").alias("n"), F.greatest(F.lit(1).cast("long"), F.ceil(4 * F.avg(extent)), F.ceil(F.max(extent) / 64)).alias("cell"))
+    sized = edge_table.join(n.select(*RING, "cell"), RING)
+    n = n.drop("cell")
+    place = lambda f, a, b: F.floor(f(F.col(a), F.col(b)) / F.col("cell"))
+    cells = sized.select(*RING, "edge_idx", "xa", "ya", "xb", "yb", F.explode(F.sequence(place(F.least, "xa", "xb"), place(F.greatest, "xa", "xb"))).alias("cx"), place(F.least, "ya", "yb").alias("y0"), place(F.greatest, "ya", "yb").alias("y1"))
     cells = cells.withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
     a = cells
     b = cells.select(*RING, "cx", "cy", F.col("edge_idx").alias("j"), F.col("xa").alias("xc"), F.col("ya").alias("yc"), F.col("xb").alias("xd"), F.col("yb").alias("yd"))

@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-import math
-
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -62,10 +61,10 @@ def fixed_for_dedup(edge_table: DataFrame) -> DataFrame:
 
 
 def clean_rings(rings: DataFrame) -> DataFrame:
-    """Open rings without repeated neighbours; longitudes in [-180, 180]."""
+    """Open rings without repeated neighbours, the last and the first among them; longitudes in [-180, 180]."""
     p = G.open_ring(F.col("pts"))
     wrapped = F.transform(p, lambda q: F.struct(F.when(q["x"] > 18_000_000, q["x"] - 36_000_000).when(q["x"] < -18_000_000, q["x"] + 36_000_000).otherwise(q["x"]).alias("x"), q["y"].alias("y")))
-    return rings.withColumn("pts", G.bound(wrapped, lambda r: F.filter(r, lambda q, i: (i == 0) | (q != F.get(r, i - 1)))))
+    return rings.withColumn("pts", G.open_ring(G.bound(wrapped, lambda r: F.filter(r, lambda q, i: (i == 0) | (q != F.get(r, i - 1))))))
 
 
 def snap_vertices(rings: DataFrame, cell: int = 100_000) -> DataFrame:
@@ -85,22 +84,21 @@ def snap_vertices(rings: DataFrame, cell: int = 100_000) -> DataFrame:
 
 def douglas_peucker(points: list[tuple[int, int]], epsilon: float) -> list[tuple[int, int]]:
     """Keep what is farther than epsilon (scaled units) from the chord, measured to the segment."""
+    p = np.array(points, np.float64).reshape(-1, 2)
     keep, work = {0, len(points) - 1}, [(0, len(points) - 1)]
     while work:
         i, j = work.pop()
-        (ax, ay), (bx, by) = points[i], points[j]
-        dx, dy, far, at = bx - ax, by - ay, epsilon, -1
-        length = dx * dx + dy * dy
-        for k in range(i + 1, j):
-            px, py = points[k]
-            t = min(1.0, max(0.0, ((px - ax) * dx + (py - ay) * dy) / length)) if length else 0.0
-            d = math.hypot(px - ax - t * dx, py - ay - t * dy)
-            if d > far:
-                far, at = d, k
-        if at >= 0:
-            keep.add(at)
-            work += [(i, at), (at, j)]
-    return [p for k, p in enumerate(points) if k in keep]
+        if j - i < 2:
+            continue
+        away, chord = p[i + 1 : j] - p[i], p[j] - p[i]
+        length = chord @ chord
+        t = np.clip(away @ chord / length, 0, 1) if length else np.zeros(len(away))
+        far = np.hypot(*(away - t[:, None] * chord).T)
+        at = int(far.argmax())
+        if far[at] > epsilon:
+            keep.add(i + 1 + at)
+            work += [(i, i + 1 + at), (i + 1 + at, j)]
+    return [points[k] for k in sorted(keep)]
 
 
 def chains(rings: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -141,7 +139,8 @@ def _simplify_chain(pts: list[tuple[int, int]], epsilon: float) -> list[tuple[in
 def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Topology-aware simplification: every different chain is simplified once, in its canonical direction.
 
-    Rings that would have under three points keep their own."""
+    A ring keeps its own points if it would have under three different ones, an edge of no length, or, with up to
+    CHECKED_POINTS points, edges that cross."""
     ready = settled(R.normalise_windings(snap_vertices(settled(R.normalise_windings(clean_rings(rings))))))
     cut = settled(chains(ready, fixed_vertices(R.edges(ready))))
 
@@ -153,8 +152,14 @@ def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     back = cut.join(once, "canonical").select(*R.RING, "seg_idx", F.when(F.col("forward"), F.col("short")).otherwise(F.reverse("short")).alias("s"))
     open_parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.slice("s", 1, F.size("s") - 1).alias("s")))), lambda q: q["s"])
     joined = back.groupBy(*R.RING).agg(F.flatten(open_parts).alias("new"))
-    fallback = (F.size("new") < 3) | (F.size(F.array_distinct("new")) < 3)
-    done = ready.join(joined, R.RING).withColumn("pts", F.when(fallback, F.col("pts")).otherwise(F.col("new")))
+    joined = settled(joined)
+    n = F.size("new")
+    standing = F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.get("new", i) == F.get("new", (i + 1) % n))
+    degenerate = (n < 3) | (F.size(F.array_distinct("new")) < 3) | F.when(n > 0, standing).otherwise(F.lit(True))
+    small = joined.where((n <= CHECKED_POINTS) & ~degenerate).select(*R.RING, F.col("new").alias("pts"))
+    crossed = R.self_intersections(R.edges(small)).select(*R.RING).distinct().withColumn("crossed", F.lit(True))
+    judged = joined.join(crossed, R.RING, "left").select(*R.RING, "new", (degenerate | F.coalesce("crossed", F.lit(False))).alias("back"))
+    done = ready.join(judged, R.RING).withColumn("pts", F.when(F.col("back"), F.col("pts")).otherwise(F.col("new")))
     return R.normalise_windings(done.select(rings.columns))
 
 
@@ -193,15 +198,16 @@ def expand(segments: DataFrame, library: DataFrame) -> DataFrame:
 
 def segment_counts(segments: DataFrame, library: DataFrame) -> DataFrame:
     """One row: segments by kind, points stored and points there would be without sharing."""
-    kinds = segments.agg(F.count_if(F.col("kind") == "inline").alias("inline"), F.count_if(F.col("kind") == "edge_forward").alias("edge_forward"), F.count_if(F.col("kind") == "edge_reversed").alias("edge_reversed"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias("inline_points"))
-    return kinds.join(library.agg(F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias("edge_points")))  # one row each
+    kinds = segments.agg(F.lit(1).alias("one"), F.count_if(F.col("kind") == "inline").alias("inline"), F.count_if(F.col("kind") == "edge_forward").alias("edge_forward"), F.count_if(F.col("kind") == "edge_reversed").alias("edge_reversed"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias("inline_points"))
+    edges = library.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("edges"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias("edge_points"))
+    return kinds.join(edges, "one").drop("one")  # one row each
 
 
 def reduction_report(before: DataFrame, after: DataFrame) -> DataFrame:
     def count(df: DataFrame, tag: str) -> DataFrame:
-        return df.agg(F.countDistinct("tz_idx").alias(f"zones_{tag}"), F.count_if(F.col("hole_idx") >= 0).alias(f"holes_{tag}"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias(f"points_{tag}"))
+        return df.agg(F.lit(1).alias("one"), F.countDistinct("tz_idx").alias(f"zones_{tag}"), F.count_if(F.col("hole_idx") >= 0).alias(f"holes_{tag}"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias(f"points_{tag}"))
 
-    both = count(before, "before").join(count(after, "after"))  # one row each
+    both = count(before, "before").join(count(after, "after"), "one").drop("one")  # one row each
     return both.withColumn("points_removed_percent", F.round(100 * (1 - F.col("points_after") / F.col("points_before")), 2))
 
 

@@ -137,7 +137,10 @@ def zone_names(spark, sf_dir):
 
 @query("SELECT 0 AS n_different")
 def parity_grid(spark, sf_dir):
-    p = events(spark, sf_dir)
+    """The events, 500,000 scattered points and every half degree: the tested lookup against the one with the cells' shortcut."""
+    scattered = X.hashed_points(spark.range(500_000).select((F.col("id") + (1 << 32)).alias("k")), "k")
+    grid = spark.range(720 * 360).select((F.col("id") + (1 << 40)).alias("pt_id"), (-17_975_000 + 50_000 * (F.col("id") % 720)).alias("px"), (-8_975_000 + 50_000 * F.floor(F.col("id") / 720)).cast("long").alias("py"))
+    p = events(spark, sf_dir).unionByName(scattered).unionByName(grid)
     n, _ = finder.parity(zone_finder(spark, X.jagged()).first(p, strict=True), zone_finder(spark, X.jagged(), use_grid=False).first(p))
     return spark.createDataFrame([(n,)], "n_different int")
 
@@ -362,9 +365,18 @@ def simplify_topology(spark, sf_dir):
     return topology.simplify(X.rings(spark, X.jagged(200)), 0.15).select("tz_idx", "name", F.size("pts").alias("n_points"))
 
 
-@query(f"SELECT tz_idx, poly_idx, hole_idx, count(*) AS n FROM {_E} GROUP BY ALL")
+_SORTED = "count(*) AS n, string_agg(xa || ' ' || ya, ',' ORDER BY xa, ya) AS pts"
+
+
+def _sorted_points(rings: DataFrame) -> DataFrame:
+    """Rings as their points in order of place: the same whatever vertex a ring starts at."""
+    pts = F.transform(F.array_sort(G.open_ring(F.col("pts"))), lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string")))
+    return rings.select(*R.RING, F.size(pts).cast("long").alias("n"), F.array_join(pts, ",").alias("pts"))
+
+
+@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM {_E} GROUP BY tz_idx, poly_idx, hole_idx")
 def dedup_round_trip(spark, sf_dir):
-    return topology.expand(*topology.deduplicate(X.rings(spark, X.jagged()))).select(*R.RING, F.size("pts").cast("long").alias("n"))
+    return _sorted_points(topology.expand(*topology.deduplicate(X.rings(spark, X.jagged()))))
 
 
 @query(f"SELECT tz_idx, poly_idx, hole_idx, string_agg(xa || ' ' || ya, ',' ORDER BY edge_idx) AS pts FROM {_E} GROUP BY tz_idx, poly_idx, hole_idx")
@@ -409,11 +421,10 @@ def border_audit(spark, sf_dir):
 # Sources, sinks and reports
 
 
-@query(f"SELECT {_RING}, min(xa) AS min_x, min(ya) AS min_y, max(xa) AS max_x, max(ya) AS max_y, count(*) AS n FROM (SELECT * FROM {X.edges_sql(X.nations())}) GROUP BY tz_idx, poly_idx, hole_idx")
+@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM (SELECT * FROM {X.edges_sql(X.nations())}) GROUP BY tz_idx, poly_idx, hole_idx")
 def geojson_round_trip(spark, sf_dir):
     """Zones written as one FeatureCollection and read again."""
-    e = R.edges(J.parse_features(J.feature_collection(X.rings(spark, X.nations()))))
-    return R.bounds(e, *R.RING).join(e.groupBy(*R.RING).agg(F.count(F.lit(1)).alias("n")), R.RING)
+    return _sorted_points(J.parse_features(J.feature_collection(X.rings(spark, X.nations()))))
 
 
 @query("SELECT event_id AS pt_id, cast(event_id % 360 - 180 AS double) AS lng, cast(event_id % 180 - 90 AS double) AS lat FROM events")
@@ -423,12 +434,13 @@ def point_lines(spark, sf_dir):
     return J.parse_point_lines(lines, "lat-lng").select("pt_id", "lng", "lat")
 
 
-@query(f"SELECT x, y, z, count(*) AS n FROM (SELECT DISTINCT x, y, z FROM {_TILES}) GROUP BY ALL")
+@query(f"SELECT x, y, z, 5 AS n, round(x / pow(2, z) * 360 - 180, 6) AS west, round((x + 1) / pow(2, z) * 360 - 180, 6) AS east, round(degrees(atan((exp(pi() * (1 - 2 * y / pow(2, z))) - exp(-pi() * (1 - 2 * y / pow(2, z)))) / 2)), 6) AS north FROM (SELECT DISTINCT x, y, z FROM {_TILES})")
 def tile_geojson(spark, sf_dir):
     """One feature for each different tile; each is a closed ring of five corners."""
     drawn = tiles.tile_features(spark.createDataFrame([(n, x, y, z, k, z << 56 | x << 28 | y) for n, x, y, z, k in _MAP], TILES))
-    ring = F.get_json_object("feature", "$.geometry.coordinates[0]")
-    return drawn.where(F.size(F.from_json(ring, "array<array<double>>")) == 5).groupBy("x", "y", "z").agg(F.count(F.lit(1)).alias("n"))
+    ring = F.from_json(F.get_json_object("feature", "$.geometry.coordinates[0]"), "array<array<double>>")
+    at = lambda k: F.transform(ring, lambda c: c[k])
+    return drawn.select("x", "y", "z", F.size(ring).alias("n"), F.round(F.array_min(at(0)), 6).alias("west"), F.round(F.array_max(at(0)), 6).alias("east"), F.round(F.array_max(at(1)), 6).alias("north"))
 
 
 @query(f"SELECT name, count(*) AS n_tiles FROM {_TILES} GROUP BY name")
@@ -440,10 +452,15 @@ def fuzzy_geojson(spark, sf_dir):
 _SNAP: list[X.Ring] = [(0, "sparse", 0, -1, X.box(0, 0, 200_000, 200_000)), (1, "dense", 0, -1, [(200_000, 0), (400_000, 0), (400_000, 200_000), (200_000, 200_000), (200_000, 150_000), (200_000, 100_000), (200_000, 50_000), (200_000, 0)])]
 
 
-@query("SELECT * FROM (VALUES (0, 7), (1, 7)) v(tz_idx, n)")
+@query(f"""WITH v AS (SELECT tz_idx, edge_idx + 0.0 AS along, xa AS x, ya AS y FROM {X.edges_sql(_SNAP)} WHERE NOT (xa = xb AND ya = yb)),
+  e AS (SELECT * FROM {X.edges_sql(_SNAP)} WHERE NOT (xa = xb AND ya = yb)),
+  s AS (SELECT e.tz_idx, e.edge_idx + (abs(p.x - e.xa) + abs(p.y - e.ya)) / 1e7 AS along, p.x, p.y FROM e JOIN (SELECT DISTINCT x, y FROM v) p ON (e.xb - e.xa) * (p.y - e.ya) = (e.yb - e.ya) * (p.x - e.xa)
+    AND p.x BETWEEN least(e.xa, e.xb) AND greatest(e.xa, e.xb) AND p.y BETWEEN least(e.ya, e.yb) AND greatest(e.ya, e.yb) AND (p.x, p.y) <> (e.xa, e.ya) AND (p.x, p.y) <> (e.xb, e.yb))
+  SELECT tz_idx, string_agg(x || ' ' || y, ',' ORDER BY along) AS pts FROM (SELECT * FROM v UNION ALL SELECT * FROM s) GROUP BY tz_idx""")
 def snap_vertices(spark, sf_dir):
     """The sparse square takes the three vertices of its neighbour's side."""
-    return topology.snap_vertices(topology.clean_rings(X.rings(spark, _SNAP))).select("tz_idx", F.size("pts").alias("n"))
+    snapped = topology.snap_vertices(topology.clean_rings(X.rings(spark, _SNAP)))
+    return snapped.select("tz_idx", F.array_join(F.transform("pts", lambda p: F.concat_ws(" ", p["x"].cast("string"), p["y"].cast("string"))), ",").alias("pts"))
 
 
 @query(f"WITH {_TOPO}, s AS (SELECT count(*) AS n FROM u WHERE n = 2 AND rings = 2 AND f = 1 AND NOT (struct_extract(lo, 1) = 18000000 AND struct_extract(hi, 1) = 18000000)), a AS (SELECT count(*) AS n FROM e) SELECT s.n AS shared_edges, a.n AS ring_points FROM s, a")
@@ -451,11 +468,13 @@ def compressed_sharing(spark, sf_dir):
     """Shared edges in the library (the two sides of the antimeridian differ by a turn), and ring points, after compression of the deduplicated dataset and back."""
     segments, library = pipeline.decompress_topology(*pipeline.compress_topology(*topology.deduplicate(X.rings(spark, X.jagged()))))
     segments, library = settled(segments), settled(library)
-    edges = library.agg(F.sum(F.size("pts") - 1).alias("shared_edges"))
-    return edges.join(topology.expand(segments, library).agg(F.sum(F.size("pts")).alias("ring_points")))  # one row each
+    edges = library.agg(F.lit(1).alias("one"), F.sum(F.size("pts") - 1).alias("shared_edges"))
+    return edges.join(topology.expand(segments, library).agg(F.lit(1).alias("one"), F.sum(F.size("pts")).alias("ring_points")), "one").drop("one")  # one row each
 
 
-@query("SELECT * FROM (VALUES (25, 0, 25, 0)) v(zones_before, holes_before, zones_after, holes_after)")
+@query(f"""WITH e AS (SELECT * FROM {X.edges_sql(X.nations())}) SELECT count(DISTINCT tz_idx) AS zones_before, count(DISTINCT (tz_idx, poly_idx, hole_idx)) FILTER (hole_idx >= 0) AS holes_before, count(*) AS points_before,
+  count(DISTINCT tz_idx) FILTER (tz_idx % 2 = 1) AS zones_after, 0 AS holes_after, count(*) FILTER (tz_idx % 2 = 1) AS points_after, round(100 * (1 - count(*) FILTER (tz_idx % 2 = 1) / count(*)), 2) AS points_removed_percent FROM e""")
 def reduction_report(spark, sf_dir):
-    rings = X.rings(spark, X.jagged())
-    return topology.reduction_report(rings, topology.reduce_classic(rings, 0.15)).select("zones_before", "holes_before", "zones_after", "holes_after")
+    """The nations against their enclaves alone."""
+    rings = X.rings(spark, X.nations())
+    return topology.reduction_report(rings, rings.where("tz_idx % 2 = 1"))

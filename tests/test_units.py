@@ -8,6 +8,7 @@ import zipfile
 import pytest
 from pyspark.sql import functions as F
 
+from meridia.functions import geometry as G
 from meridia.functions import polyline as P
 from meridia.operators import finder, tiles, topology
 from meridia.operators import rings as R
@@ -154,6 +155,37 @@ def test_zone_pipeline(spark, tmp_path):
         layered.fuzzy.geojson("nowhere")
 
 
+def test_simplify_falls_back(spark):
+    """A tiny polygon under a great epsilon, and one that simplification would make cross itself, keep their points."""
+    tiny = square(-900_000, 0, -899_990, 10, 30)
+    bay = [(0, 0), (50_000, -900), (100_000, 0), (100_000, 50_000), (51_000, 50_000), (50_000, -300), (49_000, 50_000), (0, 50_000)]
+    plain = [(500_000, 0), (550_000, -900), (600_000, 0), (600_000, 50_000), (500_000, 50_000)]
+    rows = [(0, "tiny", 0, -1, [p for k, p in enumerate(tiny) if p not in tiny[:k]]), (1, "bay", 0, -1, bay), (2, "plain", 0, -1, plain)]
+    out = topology.simplify(X.rings(spark, rows), 0.01)
+    assert {r["tz_idx"]: r["n"] for r in out.selectExpr("tz_idx", "size(pts) as n").collect()} == {0: 40, 1: 8, 2: 4}
+    assert topology.violations(out.withColumn("pts", G.close_ring(F.col("pts")))).count() == 0
+    doubled = X.rings(spark, [(0, "d", 0, -1, [(0, 0), (0, 0), (9, 0), (9, 9), (0, 0), (0, 0)])])
+    assert [(p["x"], p["y"]) for p in topology.clean_rings(doubled).first()["pts"]] == [(0, 0), (9, 0), (9, 9)]
+
+
+def test_self_intersections_by_brute_force(spark):
+    rng = random.Random(8)
+    rows = [(t, "z", 0, -1, [(rng.randrange(400), rng.randrange(400)) for _ in range(25)] + [(50_000 * (t % 2), 30)]) for t in range(8)]
+
+    def turn(a, b, c):
+        v = (b[0] - a[0]) * (c[1] - a[1]) - (b[1] - a[1]) * (c[0] - a[0])
+        return (v > 0) - (v < 0)
+
+    def meet(a, b, c, d):
+        if not all(min(a[k], b[k]) <= max(c[k], d[k]) and min(c[k], d[k]) <= max(a[k], b[k]) for k in (0, 1)):
+            return False
+        o = turn(a, b, c), turn(a, b, d), turn(c, d, a), turn(c, d, b)
+        return o[0] != o[1] and o[2] != o[3] or o[0] == o[1] == 0
+
+    want = {(t, i, j) for t, _, _, _, p in rows for i in range(len(p)) for j in range(i + 2, len(p)) if (i, j) != (0, len(p) - 1) and meet(p[i], p[i + 1], p[j], p[(j + 1) % len(p)])}
+    assert {(r["tz_idx"], r["i"], r["j"]) for r in R.self_intersections(R.edges(X.rings(spark, rows))).collect()} == want and want
+
+
 def test_versions_must_agree(spark):
     exact = finder.ZoneFinder.from_rings(X.rings(spark, X.nautical()), "a")
     with pytest.raises(ValueError, match="versions"):
