@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from .quality_rules import CURRENT, POLICIES, RULES, UNSPACED, WINDOW
+from .quality_rules import BIT, CURRENT, POLICIES, RULES, UNSPACED, WINDOW
 
 _LOWER = "translate({}, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _SPACE = r"[\x20\x09-\x0D]"
@@ -21,8 +21,24 @@ def url_filter(rules: list[tuple[str, str, str]]) -> str:
 
 def quality_rules() -> str:
     """The measurements by windows spelled out, the bits from the catalogue of rules."""
+    policy = POLICIES[CURRENT]
+    return f"""{_ledger()}
+  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, bit_count(fail_bits & {policy.mask}) <= {policy.tolerance} AS kept, fail_bits FROM b"""
+
+
+def ablation() -> str:
+    """Each rule of the policy judged on every row's bits."""
+    policy = POLICIES[CURRENT]
+    rules = ", ".join(f"('{r}', {BIT[r]})" for r in policy.rules)
+    kept = f"bit_count(fail_bits & {policy.mask}"
+    return f"""{_ledger()}
+  SELECT '{policy.version}' AS policy, rule, count(*) FILTER (fail_bits & bit <> 0) AS n_failed, count(*) FILTER ({kept}) <= {policy.tolerance}) AS n_kept, count(*) FILTER ({kept} & ~bit) <= {policy.tolerance}) AS n_kept_without
+  FROM b, (VALUES {rules}) v(rule, bit) GROUP BY rule"""
+
+
+def _ledger() -> str:
     bits = " + ".join(f"CASE WHEN {fails} THEN {1 << k} ELSE 0 END" for k, (_, fails) in enumerate(RULES))
-    policy, unspaced = POLICIES[CURRENT], "".join(rf"\p{{{s}}}" for s in UNSPACED)
+    unspaced = "".join(rf"\p{{{s}}}" for s in UNSPACED)
     return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, coalesce(text, '') AS t FROM documents),
   s AS (SELECT r, doc_id, t, list_filter(string_split_regex(t, '{_SPACE}+'), lambda x: x <> '') AS w, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) AS lines FROM d),
   g AS (SELECT r, i, array_to_string(w[i : i + {WINDOW - 1}], ' ') AS k FROM (SELECT r, w, unnest(range(1, len(w) - {WINDOW - 2})) AS i FROM s)),
@@ -31,8 +47,7 @@ def quality_rules() -> str:
   m AS (SELECT doc_id, cast(len(w) AS bigint) AS n_words, cast(length(array_to_string(w, '')) AS bigint) AS word_chars, cast(length(t) - length(regexp_replace(t, '[#*$%&|<>]', '', 'g')) AS bigint) AS n_symbols,
     cast(len(lines) - len(list_distinct(lines)) AS bigint) AS n_dup_lines, coalesce(n, 0) AS n_repeat_words, len(lines) AS n_lines, len(list_filter(w, lambda x: regexp_matches(x, '\\p{{L}}'))) AS n_alpha_words,
     length(t) - length(regexp_replace(t, '[A-Z]', '', 'g')) AS n_upper, length(t) - length(regexp_replace(t, '[{unspaced}]', '', 'g')) AS n_unspaced FROM s LEFT JOIN hit USING (r)),
-  b AS (SELECT *, cast({bits} AS bigint) AS fail_bits FROM m)
-  SELECT doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, fail_bits & 3 <> 0 AS base_failed, bit_count(fail_bits & {policy.mask}) <= {policy.tolerance} AS kept, fail_bits FROM b"""
+  b AS (SELECT *, cast({bits} AS bigint) AS fail_bits FROM m)"""
 
 
 def decontamination(width: int) -> str:

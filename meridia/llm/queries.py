@@ -44,6 +44,11 @@ def op5_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", base.alias("base_failed"), "kept", "fail_bits")
 
 
+def op5_ablation(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What each rule of the current policy rejects, and what would be kept without it, from the ledger of all documents."""
+    return quality_rules.ablation(quality_rules.ledger(table(spark, sf_dir, "documents"), keep=["doc_id"]), quality_rules.POLICIES[quality_rules.CURRENT])
+
+
 def op6_url_filter(spark: SparkSession, sf_dir: str) -> DataFrame:
     rules = spark.createDataFrame(URL_RULES, "host string, path string, verdict string")
     return url_filter.filter_urls(table(spark, sf_dir, "pages"), rules, keep=["page_id"])
@@ -74,11 +79,12 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op4_proximity, op5_quality_rules, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op4_proximity, op5_quality_rules, op5_ablation, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction)}
 
 #: The others' hashes, fits and decodings have no SQL form; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
     "op4_decontamination": oracles.decontamination(decontamination.WIDTH),
     "op5_quality_rules": oracles.quality_rules(),
+    "op5_ablation": oracles.ablation(),
     "op6_url_filter": oracles.url_filter(URL_RULES),
 }

@@ -740,7 +740,7 @@ def test_registered_queries(spark, sf):
     for name in (n for n in names if n.startswith("op")):
         df = names[name](spark, sf)
         table = "pages" if name.split("_")[0] in ("op6", "op10") else "documents"
-        if not name.startswith(("op2_", "op7_")):
+        if not name.startswith(("op2_", "op7_", "op5_ablation")):
             assert df.count() == spark.read.parquet(f"{sf}/{table}.parquet").count(), name
 
 
