@@ -148,25 +148,27 @@ def _arcs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row for each different arc: pair, length_m, max_m, area_m2, samples (value, weight)."""
+    """One row for each different arc: pair, length_m, max_m and its place max_at (lng, lat), area_m2, samples (value, weight)."""
     both = original.select(*R.RING, "name", F.col("pts").alias("original")).join(candidate.select(*R.RING, F.col("pts").alias("candidate")), R.RING, "full")
     checked = both.withColumn("name", F.when(F.col("original").isNull() | F.col("candidate").isNull(), F.raise_error(F.lit("the datasets' rings differ")).cast("string")).otherwise(F.col("name")))
     kind = "array<struct<x:bigint,y:bigint>>"
     arcs = checked.groupBy(*R.RING).applyInPandas(_arcs, f"name string, arc string, chain {kind}, chord {kind}")
     unique = arcs.groupBy("arc").agg(F.collect_set("name").alias("names"), F.first("chain").alias("chain"), F.first("chord").alias("chord"))
 
-    @F.pandas_udf("length_m double, max_m double, area_m2 double, samples array<struct<value:double,weight:double>>")
+    @F.pandas_udf("length_m double, max_m double, max_at struct<lng:double,lat:double>, area_m2 double, samples array<struct<value:double,weight:double>>")
     def measure(chain: pd.Series, chord: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(chain, chord, strict=True):
             p, q = (np.array([(s["x"], s["y"]) for s in c], float) for c in (a, b))
             dp, dq = _vectors(densify(p)), _vectors(densify(q, 1_000.0, 64 if len(p) > 2 else 4))
             length = float(np.linalg.norm(np.diff(dp, axis=0), axis=1).sum() * RADIUS_M)
-            far, samples, area = 0.0, [{"value": 0.0, "weight": 2 * length}], 0.0
+            far, place, samples, area = 0.0, dp[0], [{"value": 0.0, "weight": 2 * length}], 0.0
             if len(p) > 2:
                 samples = []
                 for x, y in ((dp, dq), (dq, dp)):
-                    far = max(far, float(distances(x, y).max()))
+                    away = distances(x, y)
+                    if away.max() > far:
+                        far, place = float(away.max()), x[int(away.argmax())]
                     mid = x[:-1] + x[1:]
                     mid /= np.linalg.norm(mid, axis=1)[:, None]
                     weight = np.linalg.norm(np.diff(x, axis=0), axis=1) * RADIUS_M
@@ -174,8 +176,9 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
                 strip = np.radians(np.concatenate([p, q[::-1], p[:1]]) / 1e5)
                 d = (np.diff(strip[:, 0]) + np.pi) % (2 * np.pi) - np.pi
                 area = abs(float((d * (2 + np.sin(strip[:-1, 1]) + np.sin(strip[1:, 1]))).sum()) * RADIUS_M**2 / 2)
-            out.append((length, far, area, samples))
-        return pd.DataFrame(out, columns=["length_m", "max_m", "area_m2", "samples"])
+            at = {"lng": float(np.degrees(np.arctan2(place[1], place[0]))), "lat": float(np.degrees(np.arcsin(np.clip(place[2], -1, 1))))}
+            out.append((length, far, at, area, samples))
+        return pd.DataFrame(out, columns=["length_m", "max_m", "max_at", "area_m2", "samples"])
 
     return unique.select("arc", zone_pair(F.col("names")).alias("pair"), measure("chain", "chord").alias("m")).select("arc", "pair", "m.*")
 
@@ -183,7 +186,7 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
 def report(arcs: DataFrame) -> DataFrame:
     """One row of totals."""
     changed = F.col("area_m2") > 1e-6
-    return arcs.agg(F.count(F.lit(1)).alias("unique_arcs"), F.count_if(changed).alias("changed_arcs"), (F.sum("length_m") / 1000).alias("length_km"), (F.sum(F.when(changed, F.col("length_m")).otherwise(0.0)) / 1000).alias("changed_length_km"), (F.sum("area_m2") / 1e6).alias("area_km2"), F.max("max_m").alias("max_m"), F.max_by("pair", "max_m").alias("max_pair"))
+    return arcs.agg(F.count(F.lit(1)).alias("unique_arcs"), F.count_if(changed).alias("changed_arcs"), (F.sum("length_m") / 1000).alias("length_km"), (F.sum(F.when(changed, F.col("length_m")).otherwise(0.0)) / 1000).alias("changed_length_km"), (F.sum("area_m2") / 1e6).alias("area_km2"), F.max("max_m").alias("max_m"), F.max_by("pair", "max_m").alias("max_pair"), F.max_by("max_at", "max_m").alias("max_at"))
 
 
 def pair_areas(arcs: DataFrame) -> DataFrame:

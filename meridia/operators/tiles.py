@@ -44,6 +44,15 @@ def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str], z
     return whole.where("out and not hole").select(*keys, "tz_idx", "poly_idx")
 
 
+def containing_zones(rings: DataFrame) -> DataFrame:
+    """outer_idx, inner_idx: zones whose exterior strictly contains all vertices of another zone's exterior (holes are left out here)."""
+    outer = rings.where("hole_idx < 0")
+    pts = R.vertices(outer).select(F.col("tz_idx").alias("t"), "poly_idx", "pt_idx", F.col("x").alias("px"), F.col("y").alias("py")).withColumnRenamed("poly_idx", "p")
+    n = pts.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
+    inside = strictly_inside(pts, R.edges(outer), ["t", "p", "pt_idx"]).groupBy("t", "tz_idx").agg(F.countDistinct("p", "pt_idx").alias("k"))
+    return inside.join(n, "t").where("k = n").select(F.col("tz_idx").alias("outer_idx"), F.col("t").alias("inner_idx"))
+
+
 def exclusion_match(points: DataFrame, edge_table: DataFrame) -> DataFrame:
     """Points (pt_id, px, py) strictly inside an excluded region."""
     return points.join(strictly_inside(points, edge_table, ["pt_id"]).select("pt_id").distinct(), "pt_id", "left_semi")

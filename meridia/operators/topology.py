@@ -163,6 +163,28 @@ def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     return R.normalise_windings(done.select(rings.columns))
 
 
+def simplify_stats(cut: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
+    """One row: rings by their fixed vertices, chains by use and length, points, and rings that kept their own.
+
+    cut: chains() of the snapped rings before; after: the simplified rings."""
+    rings = cut.groupBy(*R.RING).agg(F.count(F.lit(1)).alias("chains"), F.bool_or(F.element_at("pts", 1) != F.element_at("pts", -1)).alias("open"))
+    by_fixed = rings.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("rings"), F.count_if(F.col("chains") > 1).alias("rings_multi_fixed"), F.count_if((F.col("chains") == 1) & ~F.col("open")).alias("rings_one_or_no_fixed"))
+    uses = cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses"), F.first(F.size("pts")).alias("n"))
+    lengths = [(10, "le10"), (25, "le25"), (50, "le50"), (100, "le100"), (None, "gt100")]
+    buckets, low = [], 0
+    for top, name in lengths:
+        inside = (F.col("n") > low) if top is None else F.col("n").between(low + 1, top)
+        buckets.append(F.coalesce(F.sum(F.when(inside, F.col("uses"))), F.lit(0)).alias(f"segments_{name}"))
+        low = top or low
+    by_use = uses.agg(F.lit(1).alias("one"), F.sum("uses").alias("segments"), F.coalesce(F.sum(F.when(F.col("uses") > 1, F.col("uses"))), F.lit(0)).alias("segments_shared"), F.coalesce(F.sum(F.when(F.col("n") <= SHORT_PATH, F.col("uses"))), F.lit(0)).alias("segments_short"), *buckets)
+    count = lambda df, name: df.agg(F.lit(1).alias("one"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias(name))
+    kept = before.select(*R.RING, F.sort_array("pts").alias("b")).join(after.select(*R.RING, F.sort_array("pts").alias("a")), R.RING).agg(F.lit(1).alias("one"), F.count_if(F.col("a") == F.col("b")).alias("rings_unchanged"))
+    out = by_fixed
+    for part in (by_use, count(before, "points_in"), count(after, "points_out"), kept):  # one row each
+        out = out.join(part, "one")
+    return out.drop("one")
+
+
 def reduce_classic(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Each ring by itself; rings of up to 100 points stay."""
 

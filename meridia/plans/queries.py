@@ -308,12 +308,7 @@ def polyline_length(spark, sf_dir):
 
 @query(f"WITH e AS (SELECT * FROM {X.edges_sql(X.nations())}), o AS (SELECT * FROM e WHERE hole_idx < 0), b AS (SELECT tz_idx, min(xa) x0, max(xa) x1, min(ya) y0, max(ya) y1 FROM o GROUP BY tz_idx) SELECT a.tz_idx AS outer_idx, c.tz_idx AS inner_idx FROM b a JOIN b c ON a.x0 < c.x0 AND a.x1 > c.x1 AND a.y0 < c.y0 AND a.y1 > c.y1")
 def contains_poly(spark, sf_dir):
-    """Which exteriors strictly contain all vertices of another zone's exterior (holes are left out here)."""
-    outer = X.rings(spark, X.nations()).where("hole_idx < 0")
-    pts = R.vertices(outer).select(F.col("tz_idx").alias("t"), "pt_idx", F.col("x").alias("px"), F.col("y").alias("py"))
-    n = pts.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    inside = tiles.strictly_inside(pts, R.edges(outer), ["t", "pt_idx"]).groupBy("t", "tz_idx").agg(F.count(F.lit(1)).alias("k"))
-    return inside.join(n, "t").where("k = n").select(F.col("tz_idx").alias("outer_idx"), F.col("t").alias("inner_idx"))
+    return tiles.containing_zones(X.rings(spark, X.nations()))
 
 
 # Topology
@@ -323,6 +318,17 @@ _PAIRS = "u AS (SELECT least((ax, ay), (bx, by_)) AS lo, greatest((ax, ay), (bx,
 _TOPO = f"e AS (SELECT * FROM {X.edges_sql(X.jagged())}), {_KEYED}, {_PAIRS}"
 
 
+@query(f"""WITH e AS (SELECT * FROM {X.edges_sql(X.nations())}), {_KEYED}, f AS (SELECT ax, ay FROM k GROUP BY ax, ay HAVING count(DISTINCT (tz_idx, poly_idx, hole_idx)) > 2),
+  r AS (SELECT {_RING}, count(*) AS n, count(f.ax) AS fixed FROM k LEFT JOIN f USING (ax, ay) GROUP BY ALL)
+  SELECT count(*) AS rings, count(*) FILTER (fixed > 1) AS rings_multi_fixed, count(*) FILTER (fixed <= 1) AS rings_one_or_no_fixed, sum(greatest(fixed, 1)) AS segments, sum(n) AS points_in, sum(n) AS points_out, count(*) AS rings_unchanged FROM r""")
+def simplify_stats(spark, sf_dir):
+    """Counters of the simplifier over the nations, whose corners all stay."""
+    base = settled(topology.snap_vertices(settled(R.normalise_windings(topology.clean_rings(X.rings(spark, X.nations()))))))
+    cut = topology.chains(base, topology.fixed_vertices(R.edges(base)))
+    stats = topology.simplify_stats(cut, base, topology.simplify(base, 0.15))
+    return stats.select("rings", "rings_multi_fixed", "rings_one_or_no_fixed", "segments", "points_in", "points_out", "rings_unchanged")
+
+
 @query(f"WITH {_TOPO} SELECT count(*) AS n FROM u WHERE n = 2 AND rings = 2 AND f = 1")
 def shared_edges_count(spark, sf_dir):
     return topology.shared_edges(_jagged_edges(spark)).agg(F.count(F.lit(1)).alias("n"))
@@ -415,7 +421,8 @@ def top_pairs(spark, sf_dir):
 def border_audit(spark, sf_dir):
     """Arcs of the crooked strips against their simplification."""
     base = settled(topology.snap_vertices(settled(R.normalise_windings(topology.clean_rings(X.rings(spark, X.jagged()))))))
-    return audit.report(audit.analyse(base, topology.simplify(base, 0.15)))
+    totals = audit.report(audit.analyse(base, topology.simplify(base, 0.15)))
+    return totals.withColumns({"max_lng": F.col("max_at.lng"), "max_lat": F.col("max_at.lat")}).drop("max_at")
 
 
 # Sources, sinks and reports
