@@ -19,8 +19,7 @@ Words: A-Z lower-cased, runs of characters outside [\\x00-\\x2F\\x3A-\\x60\\x7B-
 
 Defined cases: null and empty texts have no words (they are never hit, and such items have no window);
 items with a null id are ignored; rows of items with one id count as one item; documents with equal
-or null ids are judged one by one; an empty test set hits nothing; other columns are ignored, or kept
-by ``drop_contaminated``.
+or null ids are judged one by one; an empty test set hits nothing; other columns are ignored.
 """
 
 from __future__ import annotations
