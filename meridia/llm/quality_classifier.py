@@ -5,14 +5,15 @@ minimising the non-negative unbiased risk (Kiryo et al. 2017)
 
     pi * R_p(+1) + max(0, R_u(-1) - pi * R_p(-1))
 
-from trusted positives and unlabelled web text.  The class prior pi is estimated from the
-same two samples: the least ratio of the unlabelled to the positive tail of a first model's
-held-back scores, with a confidence margin.  The unlabelled sample is all sampled text, labels
-unseen.  Labelled rows of both kinds then set the two numbers of a logistic calibration on margins
-of models that did not see them, so that a score reads as a probability.
+from trusted positives and unlabelled web text.  The class prior pi is a statistic of the whole
+table: the least ratio of the tail of all documents to that of the trusted positives, with a
+confidence margin, over the margins of two first models.  A hash of the id puts every document into one
+of two halves, and each half is measured by the model of the other.  The unlabelled sample is all
+sampled text, labels unseen.  Labelled rows of both kinds then set the two numbers of a logistic
+calibration on margins of models that did not see them, so that a score reads as a probability.
 
 Fitting uses bounded samples (``max_labelled``, ``max_unlabelled`` rows, chosen by a hash of
-the id).  Scoring reads every whole text, one slice at a time, without a shuffle.
+the id).  The prior and the scores each read every whole text, one slice at a time, without a shuffle of texts.
 
 Defined cases: a null or empty text has the features of a text without words and gets a score
 like any other; without any positive label every score is ``default_prior``; repeated labels of
@@ -22,7 +23,8 @@ training side; input columns named like the operator's are replaced.
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Callable, Iterator
+from dataclasses import dataclass, replace
 from zlib import crc32
 
 import numpy as np
@@ -31,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_but, map_rows
+from .common import columns_but, map_rows, slices
 
 N_HASHED = 256
 N_DENSE = 22
@@ -137,12 +139,16 @@ def minimise_nn_risk(pos: np.ndarray, unl: np.ndarray, prior: float, steps: int
     return w, float(b), risks
 
 
-def estimate_prior(pos_scores: np.ndarray, unl_scores: np.ndarray, delta: float = 0.1) -> float:
-    """Share of positives among the unlabelled: the least upper bound over all score thresholds."""
-    cuts = np.unique(np.quantile(pos_scores, np.linspace(0.0, 0.9, 91)))
+def prior_cuts(pos_scores: np.ndarray) -> np.ndarray:
+    """The thresholds at which tails are compared: 91 quantiles of the positives' scores."""
+    return np.unique(np.quantile(pos_scores, np.linspace(0.0, 0.9, 91)))
+
+
+def estimate_prior(pos_scores: np.ndarray, cuts: np.ndarray, above: np.ndarray, total: int, delta: float = 0.1) -> float:
+    """Share of positives among total documents, above of which reach each cut: the least upper bound over the cuts."""
     qp = (pos_scores[None, :] >= cuts[:, None]).mean(1)
-    qu = (unl_scores[None, :] >= cuts[:, None]).mean(1)
-    margin = np.sqrt(np.log(4 / delta) / 2 / len(unl_scores)) + np.sqrt(np.log(4 / delta) / 2 / len(pos_scores))
+    qu = above / total
+    margin = np.sqrt(np.log(4 / delta) / 2 / total) + np.sqrt(np.log(4 / delta) / 2 / len(pos_scores))
     best = np.argmin((qu + margin) / qp)
     return float(np.clip(qu[best] / qp[best], 0.02, 0.98))
 
@@ -160,8 +166,17 @@ def _calibrate(z: np.ndarray, y: np.ndarray, rounds: int = 50) -> tuple[float, f
     return (float(a), float(b)) if a > 0 else (1.0, 0.0)
 
 
-def fit(x: np.ndarray, kind: np.ndarray, default_prior: float = 0.5) -> Model:
-    """x: features; kind: 1 trusted positive, 0 labelled negative (calibration only), -1 unlabelled."""
+def half_of(doc_id: int | None) -> int:
+    """0 or 1; null ids are in half 0."""
+    return 0 if doc_id is None else crc32(str(doc_id).encode()) >> 8 & 1
+
+
+#: Of two models and their cuts: documents of the other half that reach each cut, and all documents of it.
+Tails = Callable[[list["Model"], list[np.ndarray]], list[tuple[np.ndarray, int]]]
+
+
+def fit(x: np.ndarray, kind: np.ndarray, half: np.ndarray, tails: Tails, default_prior: float = 0.5) -> Model:
+    """x: features; kind: 1 trusted positive, 0 labelled negative (calibration only), -1 unlabelled; half: 0 or 1."""
     if not (kind == 1).any():
         model = _blank(x if len(x) else np.zeros((1, N_DENSE + N_HASHED), np.float32))
         model.slope, model.offset, model.prior = 0.0, float(np.log(default_prior / (1 - default_prior))), default_prior
@@ -170,25 +185,28 @@ def fit(x: np.ndarray, kind: np.ndarray, default_prior: float = 0.5) -> Model:
     design, positive = model.design(x), kind == 1
     decay = DECAY * max(1.0, 3000 / positive.sum())
 
-    def risk_model(rows: np.ndarray, prior: float) -> tuple[np.ndarray, float]:
+    def risk_model(rows: np.ndarray, prior: float) -> Model:
         w, b, _ = minimise_nn_risk(design[rows & positive], design[rows], prior, decay=decay)
-        return w, b
+        return replace(model, weights=w, bias=b)
 
-    # Halves by position: a margin that is looked at never comes from a model that saw its row.
-    halves = [np.arange(len(x)) % 2 == h for h in (0, 1)]
+    # A margin that is looked at never comes from a model that saw its row.
+    halves = [half == h for h in (0, 1)]
     enough = all((h & positive).sum() >= 10 for h in halves)
     prior = default_prior
     if enough:
-        w, b = risk_model(halves[0], 0.5)
-        prior = estimate_prior(design[halves[1] & positive] @ w + b, design[halves[1]] @ w + b)
-    model.weights, model.bias = risk_model(np.ones(len(x), bool), prior)
-    model.prior = prior
+        first = [risk_model(~h, 0.5) for h in halves]  # of the other half
+        scores = [design[h & positive] @ m.weights + m.bias for h, m in zip(halves, first, strict=True)]
+        cuts = [prior_cuts(s) for s in scores]
+        parts = [(estimate_prior(s, c, above, n), n) for s, c, (above, n) in zip(scores, cuts, tails(first, cuts), strict=True) if n]
+        prior = float(np.average([p for p, _ in parts], weights=[n for _, n in parts]))
+    whole = risk_model(np.ones(len(x), bool), prior)
+    model.weights, model.bias, model.prior = whole.weights, whole.bias, prior
     labelled = kind >= 0
     if enough and (kind == 0).sum() >= 5:
         margins = np.zeros(len(x))
         for h in halves:
-            w, b = risk_model(~h, prior)
-            margins[h] = design[h] @ w + b
+            other = risk_model(~h, prior)
+            margins[h] = design[h] @ other.weights + other.bias
         model.slope, model.offset = _calibrate(margins[labelled], kind[labelled].astype(np.float64))
     return model
 
@@ -208,8 +226,8 @@ def least_by_hash(rows: DataFrame, n: int) -> DataFrame:
     return rows.orderBy(order, "doc_id").limit(n)
 
 
-def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int) -> tuple[np.ndarray, np.ndarray]:
-    """Features and kinds of the bounded samples; one pass over the texts."""
+def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unlabelled: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Features, kinds and halves of the bounded samples; one pass over the texts."""
     known = labels.where(F.col("quality").isNotNull() & F.col("doc_id").isNotNull()).groupBy("doc_id").agg(F.max(F.col("quality").cast("int")).alias("kind"))
     known = least_by_hash(known.where(~held_out(F.col("doc_id"))), max_labelled)
     some = least_by_hash(docs.where(F.col("doc_id").isNotNull() & ~held_out(F.col("doc_id"))).select("doc_id"), 2 * max_unlabelled).distinct()
@@ -225,15 +243,40 @@ def training_rows(docs: DataFrame, labels: DataFrame, max_labelled: int, max_unl
     rows = map_rows(docs.select("doc_id", "text").join(sample, "doc_id").select("doc_id", "kind", "text"), features, "doc_id long, kind int, features binary")
     got = rows.dropDuplicates(["doc_id"]).toPandas().sort_values("doc_id")
     if not len(got):
-        return np.zeros((0, N_DENSE + N_HASHED), np.float32), np.zeros(0, np.int64)
-    return np.frombuffer(b"".join(got["features"]), np.float32).reshape(len(got), -1), got["kind"].to_numpy()
+        return np.zeros((0, N_DENSE + N_HASHED), np.float32), np.zeros(0, np.int64), np.zeros(0, np.int64)
+    half = np.array([half_of(int(i)) for i in got["doc_id"]])
+    return np.frombuffer(b"".join(got["features"]), np.float32).reshape(len(got), -1), got["kind"].to_numpy(), half
+
+
+def tail_counts(docs: DataFrame, models: list[Model], cuts: list[np.ndarray]) -> list[tuple[np.ndarray, int]]:
+    """For each half of all docs (doc_id long, text): how many margins of its model reach each cut, and how many there are.
+
+    One pass over the texts; a task sends on one row a half and cut, at most 184."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        bins = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+        for part in (p for batch in batches for p in slices(batch)):
+            half = np.array([half_of(i) for i in part.column(0).to_pylist()])
+            x = np.stack([text_features(t) for t in part.column(1).to_pylist()])
+            for h in (0, 1):
+                if (half == h).any():
+                    bins[h] += np.bincount(np.searchsorted(cuts[h], models[h].margin(x[half == h]), side="right"), minlength=len(bins[h]))
+        halves = np.repeat([0, 1], [len(b) for b in bins])
+        places = np.concatenate([np.arange(len(b)) for b in bins])
+        yield pa.RecordBatch.from_arrays([pa.array(halves, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(bins))], names=["half", "bin", "n"])
+
+    counted = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "half long, bin long, n long").groupBy("half", "bin").agg(F.sum("n").alias("n"))
+    bins = [np.zeros(len(c) + 1, np.int64) for c in cuts]
+    for r in counted.collect():  # at most 184 rows
+        bins[r["half"]][r["bin"]] = r["n"]
+    return [(b[::-1].cumsum()[::-1][1:], int(b.sum())) for b in bins]
 
 
 def train(docs: DataFrame, labels: DataFrame, max_labelled: int = 8_000, max_unlabelled: int = 8_000, default_prior: float = 0.5) -> Model:
-    """Fit on at most max_labelled labelled and max_unlabelled unlabelled rows outside the held-out fold."""
+    """Fit on at most max_labelled labelled and max_unlabelled unlabelled rows outside the held-out fold; the prior is that of all docs."""
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text")
     labels = labels.select(F.col("doc_id").cast("long").alias("doc_id"), "quality")
-    return fit(*training_rows(docs, labels, max_labelled, max_unlabelled), default_prior)
+    return fit(*training_rows(docs, labels, max_labelled, max_unlabelled), lambda models, cuts: tail_counts(docs, models, cuts), default_prior)
 
 
 def score(docs: DataFrame, model: Model, threshold: float = 0.7, keep: list[str] | None = None, names: tuple[str, str] = ("score", "predicted")) -> DataFrame:

@@ -718,6 +718,30 @@ def test_classifier_held_out(spark, docs, none):
     assert quality_classifier.score(none, model).count() == 0
 
 
+def test_prior_is_that_of_all_documents(spark):
+    """The tails are those of every document, counted one by one; the prior does not follow the sample's own mix."""
+    rng = random.Random(4)
+    good = lambda: " ".join(rng.choices(["the", "sea", "and", "hill", "runs", "over"], k=30))
+    rows = [(i, good() if rng.random() < 0.4 else good().replace(" ", " ### ")) for i in range(900)] + [(None, good()), (None, None), (7, "")]
+    docs = spark.createDataFrame(rows, "doc_id long, text string").repartition(5)
+    known = spark.createDataFrame([(i, int("#" not in t)) for i, t in rows[:300]], "doc_id long, quality int")
+    x, kind, half = quality_classifier.training_rows(docs, known, 200, 50)
+    assert set(half) == {0, 1} and len(x) == len(kind) == len(half)
+    seen = []
+
+    def tails(models, cuts):
+        got = quality_classifier.tail_counts(docs, models, cuts)
+        for h, (above, n) in enumerate(got):
+            own = np.stack([quality_classifier.text_features(t) for i, t in rows if quality_classifier.half_of(i) == h])
+            z = models[h].margin(own)
+            assert n == len(own) and abs(above - (z[None, :] >= cuts[h][:, None]).sum(1)).max() <= 1  # sums of floats by batches
+        seen.append(sum(n for _, n in got))
+        return got
+
+    model = quality_classifier.fit(x, kind, half, tails)
+    assert seen == [len(rows)] and 0.3 < model.prior < 0.5
+
+
 def test_sample_is_that_of_a_full_sort(spark):
     ids = spark.range(0, 20_000, 1, 7).withColumnRenamed("id", "doc_id")
     full = ids.selectExpr("doc_id", "xxhash64(doc_id, 'sample') as h").orderBy("h", "doc_id").limit(500)
