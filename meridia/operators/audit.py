@@ -13,6 +13,7 @@ from . import rings as R
 
 RADIUS_M = 6_371_007.180918475  # authalic
 BIN_M = 0.1
+TOLERANCE_M = 0.01  # of the certified greatest displacement
 OUTSIDE = "outside-dataset"
 
 
@@ -97,8 +98,22 @@ def _caps(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.
     return centres, radii
 
 
-def distances(points: np.ndarray, line: np.ndarray, run: int = 32, few: int = 16) -> np.ndarray:
-    """Great-circle distance in metres of unit vectors to a polyline of unit vectors.
+def _to_segments(p: np.ndarray, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Chord lengths on the unit sphere from points to the nearest place of segments (arrays that broadcast)."""
+    d = b - a
+    n = (d * d).sum(axis=-1)
+    t = np.clip(((p - a) * d).sum(axis=-1) / np.where(n > 0, n, 1), 0, 1)
+    near = a + t[..., None] * d
+    near /= np.linalg.norm(near, axis=-1)[..., None]
+    return np.linalg.norm(p - near, axis=-1)
+
+
+def _metres(chord: np.ndarray) -> np.ndarray:
+    return 2 * np.arcsin(np.minimum(1, chord / 2)) * RADIUS_M
+
+
+def nearest(points: np.ndarray, line: np.ndarray, run: int = 32, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
+    """Great-circle distance in metres of unit vectors to a polyline of unit vectors, and the nearest segment's index.
 
     Neighbouring points meet only those runs of segments whose cap may hold the nearest one."""
     first = np.arange(0, len(line) - 1, run)
@@ -106,18 +121,47 @@ def distances(points: np.ndarray, line: np.ndarray, run: int = 32, few: int = 16
     line_at, line_r = _caps(line, first, last + 1)
     begins = np.arange(0, len(points), few)
     point_at, point_r = _caps(points, begins, np.minimum(begins + few, len(points)))
-    best = np.empty(len(points))
+    best, segment = np.empty(len(points)), np.empty(len(points), np.int64)
     for s, c, r in zip(begins, point_at, point_r, strict=True):
         p, apart = points[s : s + few], np.linalg.norm(line_at - c, axis=1)
         near_runs = np.flatnonzero(apart - line_r <= (apart + line_r).min() + 2 * r + 1e-12)
         own = np.concatenate([np.arange(first[k], last[k]) for k in near_runs])
-        a, d = line[own], line[own + 1] - line[own]
-        n = (d * d).sum(axis=1)
-        t = np.clip((p @ d.T - (a * d).sum(axis=1)) / np.where(n > 0, n, 1), 0, 1)
-        near = a + t[..., None] * d
-        near /= np.linalg.norm(near, axis=2)[..., None]
-        best[s : s + few] = np.linalg.norm(p[:, None] - near, axis=2).min(axis=1)
-    return 2 * np.arcsin(np.minimum(1, best / 2)) * RADIUS_M
+        away = _to_segments(p[:, None], line[own], line[own + 1])
+        at = away.argmin(axis=1)
+        best[s : s + few], segment[s : s + few] = away[np.arange(len(p)), at], own[at]
+    return _metres(best), segment
+
+
+def distances(points: np.ndarray, line: np.ndarray) -> np.ndarray:
+    return nearest(points, line)[0]
+
+
+def farthest(points: np.ndarray, line: np.ndarray, tolerance_m: float = TOLERANCE_M) -> tuple[float, np.ndarray]:
+    """The greatest distance in metres of the polyline through points from line, certified to tolerance_m, and its place.
+
+    The distance to one segment is convex along a part, so it is greatest at an end; the distance to the line is at most
+    that to any of its segments.  A part whose bound, by the segments nearest to its two ends, exceeds the greatest
+    distance met so far by more than the tolerance is halved."""
+    away, near = nearest(points, line)
+    k = int(away.argmax())
+    best, place = float(away[k]), points[k]
+    u, v, du, dv, nu, nv = points[:-1], points[1:], away[:-1], away[1:], near[:-1], near[1:]
+    while len(u):
+        by_u = np.maximum(du, _metres(_to_segments(v, line[nu], line[nu + 1])))
+        by_v = np.maximum(dv, _metres(_to_segments(u, line[nv], line[nv + 1])))
+        open_ = np.minimum(by_u, by_v) > best + tolerance_m
+        u, v, du, dv, nu, nv = (c[open_] for c in (u, v, du, dv, nu, nv))
+        if not len(u):
+            break
+        m = u + v
+        m /= np.linalg.norm(m, axis=1)[:, None]
+        dm, nm = nearest(m, line)
+        k = int(dm.argmax())
+        if dm[k] > best:
+            best, place = float(dm[k]), m[k]
+        u, v = (np.stack(c, axis=1).reshape(-1, 3) for c in ((u, m), (m, v)))
+        du, dv, nu, nv = (np.stack(c, axis=1).ravel() for c in ((du, dm), (dm, dv), (nu, nm), (nm, nv)))
+    return best, place
 
 
 def _arcs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -148,7 +192,7 @@ def _arcs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
 
 
 def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row for each different arc: pair, length_m, max_m and its place max_at (lng, lat), area_m2, samples (value, weight)."""
+    """One row for each different arc: pair, length_m, max_m (certified to TOLERANCE_M for the densified lines) and its place max_at (lng, lat), area_m2, samples (value, weight)."""
     both = original.select(*R.RING, "name", F.col("pts").alias("original")).join(candidate.select(*R.RING, F.col("pts").alias("candidate")), R.RING, "full")
     checked = both.withColumn("name", F.when(F.col("original").isNull() | F.col("candidate").isNull(), F.raise_error(F.lit("the datasets' rings differ")).cast("string")).otherwise(F.col("name")))
     kind = "array<struct<x:bigint,y:bigint>>"
@@ -166,9 +210,9 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
             if len(p) > 2:
                 samples = []
                 for x, y in ((dp, dq), (dq, dp)):
-                    away = distances(x, y)
-                    if away.max() > far:
-                        far, place = float(away.max()), x[int(away.argmax())]
+                    most, at = farthest(x, y)
+                    if most > far:
+                        far, place = most, at
                     mid = x[:-1] + x[1:]
                     mid /= np.linalg.norm(mid, axis=1)[:, None]
                     weight = np.linalg.norm(np.diff(x, axis=0), axis=1) * RADIUS_M

@@ -5,12 +5,13 @@ import math
 import random
 import zipfile
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
 from meridia.functions import geometry as G
 from meridia.functions import polyline as P
-from meridia.operators import finder, tiles, topology
+from meridia.operators import audit, finder, tiles, topology
 from meridia.operators import rings as R
 from meridia.plans import pipeline
 from meridia.sources import fixtures as X
@@ -186,6 +187,26 @@ def test_self_intersections_by_brute_force(spark):
     assert {(r["tz_idx"], r["i"], r["j"]) for r in R.self_intersections(R.edges(X.rings(spark, rows))).collect()} == want and want
 
 
+def test_farthest_is_certified():
+    """Against 500 places a part: between coarse points the greatest distance lies where two segments are equally near."""
+    rng = np.random.default_rng(5)
+    for trial in range(20):
+        x = np.stack([np.linspace(0, 40_000, 9), rng.integers(-3_000, 3_000, 9)], axis=1).astype(float)
+        y = np.stack([np.linspace(0, 40_000, 3 + trial), rng.integers(-3_000, 3_000, 3 + trial)], axis=1).astype(float)
+        a, b = audit._vectors(x), audit._vectors(y)
+        t = np.linspace(0, 1, 501)[:, None]
+        dense = np.concatenate([(1 - t) * p + t * q for p, q in zip(a, a[1:], strict=False)])
+        dense /= np.linalg.norm(dense, axis=1)[:, None]
+        brute = audit.distances(dense, b)
+        got, place = audit.farthest(a, b)
+        assert brute.max() - 2 * audit.TOLERANCE_M <= got <= brute.max() + 15  # places of the brute force are up to 30 m apart
+        assert abs(audit.distances(place[None], b)[0] - got) < 1e-6
+        assert got >= audit.distances(a, b).max()
+    flat = audit._vectors(np.stack([np.arange(0, 50_000, 500.0), np.full(100, 100.0)], axis=1))
+    base = audit._vectors(np.stack([np.arange(0, 50_000, 130.0), np.zeros(385)], axis=1))
+    assert abs(audit.farthest(flat, base)[0] - audit.distances(flat, base).max()) < 0.1
+
+
 def test_versions_must_agree(spark):
     exact = finder.ZoneFinder.from_rings(X.rings(spark, X.nautical()), "a")
     with pytest.raises(ValueError, match="versions"):
