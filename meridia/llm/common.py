@@ -94,6 +94,21 @@ def by_key(docs: DataFrame, keys: DataFrame, how: str) -> DataFrame:
     return docs.join(F.broadcast(keys) if keys.count() <= BROADCAST_KEYS else keys, keys.columns, how)
 
 
+#: A key of over this share of all rows is hot; there are fewer such keys than SHARES.
+SHARES = 10_000
+
+
+def join_counted(rows: DataFrame, names: DataFrame, key: str, count: str, least: int) -> DataFrame:
+    """rows (checkpointed) with the columns of names: one row for each of their keys, count being the key's number of rows.
+
+    The names of hot keys, of over least rows and a SHARES-th of all, are broadcast, so that their rows stay where they are."""
+    limit = max(least, rows.count() // SHARES)
+    names = checkpointed(names)
+    hot = F.broadcast(names.where(F.col(count) > limit))  # fewer than SHARES, whatever the size of rows
+    rest = rows.join(hot.select(key), key, "left_anti").join(names.where(F.col(count) <= limit), key)
+    return rest.unionByName(rows.join(hot, key))
+
+
 def bound(col, fn):
     """fn of col with col computed once: a lambda variable holds it, where a repeated column expression might be copied."""
     return F.element_at(F.transform(F.array(col), fn), 1)

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, by_key, checkpointed, keyed, map_rows
+from .common import KEY, by_key, checkpointed, join_counted, keyed, map_rows
 
 RADIUS = 2
 SHINGLE = 3
@@ -410,10 +410,10 @@ def near_duplicates(docs: DataFrame, radius: int = RADIUS, hot: int = HOT) -> Da
     """doc_id, fingerprint (16 hex digits), component_id (least doc_id of the component), component_size."""
     fps = checkpointed(fingerprints(docs))
     nodes = checkpointed(fps.groupBy("fp").agg(F.min("doc_id").alias("least"), F.count(F.lit(1)).alias("n")))
-    labelled = _labelled(nodes, link_parts(nodes.select("fp"), radius, hot))
-    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"))
-    named = labelled.join(names, "component").select("fp", "component_id", "component_size")
-    return fps.join(named, "fp").select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
+    labelled = checkpointed(_labelled(nodes, link_parts(nodes.select("fp"), radius, hot)))
+    names = labelled.groupBy("component").agg(F.min("least").alias("component_id"), F.sum("n").alias("component_size"), F.count(F.lit(1)).alias("members"))
+    named = join_counted(labelled, names, "component", "members", hot).select("fp", "component_id", "component_size", "n")
+    return join_counted(fps, named, "fp", "n", hot).select("doc_id", F.lower(F.lpad(F.hex("fp"), 16, "0")).alias("fingerprint"), "component_id", "component_size")
 
 
 def sketches(docs: DataFrame, carried: tuple[str, ...], size: int = WORDS) -> DataFrame:
@@ -442,12 +442,12 @@ def keep_one(docs: DataFrame, similarity: float = SIMILARITY, size: int = WORDS,
     found = sketches(rows, (*KEY, "__id"), size).groupBy(*KEY, "fp", "bits", "keys").agg(F.min("__id").alias("doc_id"), F.count(F.lit(1)).alias("n"))
     found = checkpointed(found)
     order = F.struct(F.col("doc_id").isNull().alias("no_id"), F.col("doc_id"), *KEY)
-    nodes = checkpointed(found.groupBy("fp", "bits", "keys").agg(F.min(order).alias("least")))
-    labelled = _labelled(nodes.select("fp", "least"), similar_parts(nodes, radius_of(similarity), hot))
-    names = labelled.groupBy("component").agg(F.min("least").alias("winner"))
-    named = labelled.join(names, "component").select("fp", "winner")
+    nodes = checkpointed(found.groupBy("fp", "bits", "keys").agg(F.min(order).alias("least"), F.count(F.lit(1)).alias("texts")))
+    labelled = checkpointed(_labelled(nodes.select("fp", "least", "texts"), similar_parts(nodes, radius_of(similarity), hot)))
+    names = labelled.groupBy("component").agg(F.min("least").alias("winner"), F.count(F.lit(1)).alias("members"))
+    named = join_counted(labelled, names, "component", "members", hot).select("fp", "winner", "texts")
     wins = (F.col(KEY[0]) == F.col(f"winner.{KEY[0]}")) & (F.col(KEY[1]) == F.col(f"winner.{KEY[1]}"))
-    touched = checkpointed(found.select(*KEY, "fp", "n").join(named, "fp").select(*KEY, wins.alias("wins"), "n").where(~F.col("wins") | (F.col("n") > 1)))
+    touched = checkpointed(join_counted(found.select(*KEY, "fp", "n"), named, "fp", "texts", hot).select(*KEY, wins.alias("wins"), "n").where(~F.col("wins") | (F.col("n") > 1)))
     out = by_key(rows, touched.select(*KEY), "left_anti")
     repeated = touched.where("wins").select(*KEY)
     if repeated.limit(1).count():

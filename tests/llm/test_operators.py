@@ -298,6 +298,17 @@ def test_similar_texts_by_brute_force(spark, hot):
     assert alone and alone <= kept
 
 
+def test_hot_groups_are_joined_whole(spark):
+    rng = random.Random(9)
+    base = [f"w{rng.randrange(10**6)}" for _ in range(400)]
+    texts = [" ".join(base)] * 60 + [" ".join([*base[:i], "other", *base[i + 1 :]]) for i in range(0, 400, 20)] + ["", None, "alone " * 30, "  ".join(base)]
+    docs = spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string").repartition(4)
+    seen = [Counter(map(tuple, simhash.near_duplicates(docs, hot=hot).collect())) for hot in (3, 2048)]
+    assert seen[0] == seen[1] and sum(seen[0].values()) == len(texts)
+    for hot in (3, 2048):
+        assert sorted(r["doc_id"] for r in simhash.keep_one(docs, hot=hot).collect()) == [0, 80, 82]
+
+
 CLASH = "doc_id long, text string, lang string, score double, predicted int, spans string, number long, ids string, fp string, n long, wins int, __id int"
 
 
