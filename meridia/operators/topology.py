@@ -11,6 +11,7 @@ from pyspark.sql.window import Window
 from ..functions import geometry as G
 from ..stages import settled
 from . import rings as R
+from .numbering import numbered
 
 EPSILON = 0.001
 CHECKED_POINTS = 100
@@ -201,7 +202,7 @@ def deduplicate(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     e = R.edges(ready)
     cut = settled(chains(ready, fixed_for_dedup(e)))
     sharing = cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*R.RING, "seg_idx")).alias("first"), F.min_by("forward", F.struct(*R.RING, "seg_idx")).alias("first_forward"), F.min_by("pts", F.struct(*R.RING, "seg_idx")).alias("stored"))
-    both = sharing.where("n = 2").withColumn("id", (F.row_number().over(Window.orderBy("first")) - 1).cast("int"))
+    both = settled(numbered(settled(sharing.where("n = 2")), [F.col("first")], "id").withColumn("id", F.col("id").cast("int")))
     library = both.select("id", F.col("stored").alias("pts"))
     joined = cut.join(both.select("canonical", "id", "first_forward"), "canonical", "left")
     kind = F.when(F.col("id").isNull(), "inline").when(F.col("forward") == F.col("first_forward"), "edge_forward").otherwise("edge_reversed")

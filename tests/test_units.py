@@ -211,3 +211,14 @@ def test_versions_must_agree(spark):
     exact = finder.ZoneFinder.from_rings(X.rings(spark, X.nautical()), "a")
     with pytest.raises(ValueError, match="versions"):
         finder.DefaultFinder(finder.FuzzyFinder(spark.createDataFrame([], "name string, packed long, key_ord long"), 3, 5, "b"), exact)
+
+
+def test_numbered(spark):
+    from pyspark.sql import functions as F
+
+    from meridia.operators.numbering import numbered
+
+    rows = spark.range(5000).selectExpr("cast(hash(id) % 900 as string) as k", "id").repartition(7)
+    got = numbered(rows, [F.col("k").asc_nulls_last(), F.col("id")], "n", 11).collect()
+    assert [r["n"] for r in sorted(got, key=lambda r: (r["k"], r["id"]))] == list(range(5000))
+    assert numbered(rows.where("false"), [F.col("k")], "n").count() == 0
