@@ -109,6 +109,19 @@ def join_counted(rows: DataFrame, names: DataFrame, key: str, count: str, least:
     return rest.unionByName(rows.join(hot, key))
 
 
+def join_repeated(rows: DataFrame, names: DataFrame, key: str, count: str, least: int) -> DataFrame:
+    """rows left-joined with names, which holds the keys of several rows only (count: how many).
+
+    Up to BROADCAST_KEYS names are broadcast; of more, those of hot keys (see join_counted), and the rest are joined by shuffle."""
+    names = checkpointed(names)
+    if names.count() <= BROADCAST_KEYS:
+        return rows.join(F.broadcast(names), key, "left")
+    limit = max(least, rows.count() // SHARES)
+    hot = F.broadcast(names.where(F.col(count) > limit))
+    rest = rows.join(hot.select(key), key, "left_anti").join(names.where(F.col(count) <= limit), key, "left")
+    return rest.unionByName(rows.join(hot, key))
+
+
 def bound(col, fn):
     """fn of col with col computed once: a lambda variable holds it, where a repeated column expression might be copied."""
     return F.element_at(F.transform(F.array(col), fn), 1)

@@ -67,3 +67,47 @@ def decontamination(width: int) -> str:
   h AS (SELECT r, count(DISTINCT p) AS n_hit FROM (SELECT r, unnest(range(i, i + n)) AS p FROM f) GROUP BY r),
   c AS (SELECT r, count(*) AS n_items, string_agg(item_id, ',' ORDER BY item_id) AS ids FROM (SELECT DISTINCT r, item_id FROM f) GROUP BY r)
   SELECT doc_id, cast(len(w) AS bigint) AS n_words, coalesce(n_hit, 0) AS n_hit, coalesce(n_items, 0) AS n_items, sha256(coalesce(ids, '')) AS items_sha256, coalesce(n_hit, 0) > 0 AS contaminated FROM d LEFT JOIN h USING (r) LEFT JOIN c USING (r)"""
+
+
+def conversation_repair() -> str:
+    """The grammar's states as columns of a recursion over a conversation's rows: cost in ten digits, then letters, with the repaired rows."""
+    crc = "xor(list_reduce(list_transform(range(strlen(k)), lambda i: cast(ascii(k[i + 1]) AS bigint)), lambda a, b: {steps}, cast(4294967295 AS bigint)), 4294967295)"
+    bit = "CASE WHEN {0} & 1 = 1 THEN xor({0} >> 1, 3988292384) ELSE {0} >> 1 END"
+    steps = "list_reduce(range(8), lambda c, i: " + bit.format("c") + ", xor(a, b))"
+    nothing = "CAST(NULL AS STRUCT(k VARCHAR, r VARCHAR))"
+
+    def then(state: str, cost: str, letter: str, row: str | None) -> str:
+        """The state's way and one edit more; row NULL adds none, '{role}:' || text one."""
+        r = f"{state}.r" if row is None else f"coalesce({state}.r || chr(10), '') || {row}"
+        return f"CASE WHEN {state}.k IS NOT NULL THEN {{'k': lpad(cast(cast(left({state}.k, 10) AS bigint) + {cost} AS varchar), 10, '0') || substr({state}.k, 11) || '{letter}', 'r': {r}}} END"
+
+    def least(*ways: str) -> str:
+        return f"list_min(list_filter([{', '.join(ways)}], lambda w: w.k IS NOT NULL))"
+
+    def kept(state: str, initial: str) -> str:
+        return f"CASE WHEN stays AND left(role, 1) = '{initial}' THEN {then(state, 'extra', 'K', 'row')} END"
+
+    def changed(state: str, role: str) -> str:
+        return f"CASE WHEN stays THEN {then(state, '3 + extra', 'R', f"'{role}:' || txt")} END"
+
+    drop = lambda state: then(state, "4", "D", None)
+    layer = f"""SELECT conv, o.i AS i, {drop("e")} AS e, {least(drop("s"), kept("e", "s"))} AS s,
+      {least(drop("u"), *(f(x, y) for x in "esa" for f, y in ((kept, "u"), (changed, "user"))))} AS u,
+      {least(drop("a"), kept("u", "a"), changed("u", "assistant"))} AS a FROM f JOIN o USING (conv) WHERE o.i = f.i + 1"""
+    put = lambda state, role: then(state, "3", "I", f"'{role}:'")
+    once = lambda inner: f"""SELECT conv, i, e, s, {least("u", put("e", "user"), put("s", "user"), put("a", "user"))} AS u, {least("a", put("u", "assistant"))} AS a FROM ({inner})"""
+    start = f"SELECT conv, cast(0 AS bigint) AS i, {{'k': '0000000000', 'r': CAST(NULL AS VARCHAR)}} AS e, {nothing} AS s, {nothing} AS u, {nothing} AS a FROM c"
+    kind = f"{crc.format(steps=steps)} % 20"
+    filled = r"[^\x20\x09-\x0D]"
+    return f"""WITH RECURSIVE t AS (SELECT conv_id, turn, coalesce(role, ' ') AS role, coalesce(text, ' ') AS txt, coalesce(cast(conv_id AS varchar), ' ') || ':' || coalesce(cast(turn AS varchar), ' ') AS k FROM conversations),
+  c AS (SELECT conv_id, row_number() OVER () AS conv FROM (SELECT DISTINCT conv_id FROM t)),
+  g AS (SELECT *, {kind} AS kind FROM t),
+  d AS (SELECT conv, turn, CASE WHEN kind = 4 THEN 'user' ELSE role END AS role, CASE kind WHEN 1 THEN '' WHEN 2 THEN translate(txt, '.!?', '') ELSE txt END AS txt
+    FROM (SELECT *, unnest(range(CASE kind WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) FROM g) g JOIN c ON c.conv_id IS NOT DISTINCT FROM g.conv_id),
+  n AS (SELECT *, row_number() OVER (PARTITION BY conv ORDER BY turn NULLS FIRST, role, txt) AS i FROM d),
+  m AS (SELECT *, CASE WHEN NOT regexp_matches(txt, '{filled}') THEN 'blank' WHEN row_number() OVER (PARTITION BY conv, role, txt ORDER BY i) > 1 THEN 'duplicate' WHEN NOT regexp_matches(txt, '[.!?][\\x20\\x09-\\x0D]*$') THEN 'truncated' END AS fault, lag(left(role, 1)) OVER (PARTITION BY conv ORDER BY i) || left(role, 1) AS pair FROM n),
+  o AS (SELECT *, role || ':' || txt AS row, coalesce(fault NOT IN ('blank', 'duplicate'), true) AS stays, CASE WHEN fault = 'truncated' THEN 3 ELSE 0 END AS extra FROM m),
+  f AS ({once(once(start))} UNION ALL {once(once(layer))}),
+  z AS (SELECT conv, {least("e", "a")} AS w FROM f WHERE i = coalesce((SELECT max(o.i) FROM o WHERE o.conv = f.conv), 0)),
+  q AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv)
+  SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cast(left(w.k, 10) AS bigint) AS cost, substr(w.k, 11) AS audit, sha256(coalesce(w.r, '')) AS repaired_sha256 FROM c JOIN z USING (conv) LEFT JOIN q USING (conv)"""
