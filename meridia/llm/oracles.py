@@ -111,3 +111,17 @@ def conversation_repair() -> str:
   z AS (SELECT conv, {least("e", "a")} AS w FROM f WHERE i = coalesce((SELECT max(o.i) FROM o WHERE o.conv = f.conv), 0)),
   q AS (SELECT conv, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = 'blank') AS blank, count(*) FILTER (fault = 'duplicate') AS duplicate, count(*) FILTER (fault = 'truncated') AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM o GROUP BY conv)
   SELECT conv_id, coalesce(gaps, 0) AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, cast(left(w.k, 10) AS bigint) AS cost, substr(w.k, 11) AS audit, sha256(coalesce(w.r, '')) AS repaired_sha256 FROM c JOIN z USING (conv) LEFT JOIN q USING (conv)"""
+
+
+def lexical_search(k: int) -> str:
+    """Every item against every document, by a join on the terms."""
+    pattern = r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+"
+    terms = f"regexp_extract_all({_LOWER.format("coalesce(text, '')")}, '{pattern}')"
+    return f"""WITH d AS (SELECT row_number() OVER () AS r, doc_id, {terms} AS w FROM documents), c AS (SELECT cast(count(*) FILTER (len(w) > 0) AS bigint) AS nn, cast(sum(len(w)) AS bigint) AS ll FROM d),
+  p AS (SELECT r, term, count(*) AS tf FROM (SELECT r, unnest(w) AS term FROM d) GROUP BY ALL),
+  i AS (SELECT DISTINCT item_id, unnest({terms}) AS term FROM benchmark),
+  f AS (SELECT term, cast(floor(1000 * ln((2.0::double * (SELECT nn FROM c) + 2) / (2 * count(*) + 1))) AS bigint) AS weight FROM p WHERE term IN (SELECT term FROM i) GROUP BY term),
+  m AS (SELECT r, doc_id, 10 + (90 * len(w) * nn) // ll AS m FROM d, c WHERE len(w) > 0),
+  s AS (SELECT item_id, r, doc_id, cast(sum(weight * ((1000000000 * tf) // (1000 * tf + 8 * m))) AS bigint) AS score FROM i JOIN f USING (term) JOIN p USING (term) JOIN m USING (r) GROUP BY ALL),
+  k AS (SELECT item_id, cast(row_number() OVER (PARTITION BY item_id ORDER BY score DESC, doc_id NULLS LAST) AS integer) AS rank, doc_id, score FROM s WHERE score > 0)
+  SELECT * FROM k WHERE rank <= {k}"""
