@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import conversations, decontamination, html_extraction, lexical_search, license_scan, oracles, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
+from . import conversations, decontamination, html_extraction, lexical_search, license_scan, mixing, oracles, packing, quality_classifier, quality_rules, secrets, sharding, simhash, url_filter
 from .common import table
 
 #: The fixed rules of the URL query: host, path, verdict.
@@ -79,6 +79,11 @@ def op10_html_extraction(spark: SparkSession, sf_dir: str) -> DataFrame:
     return html_extraction.extract_pages(table(spark, sf_dir, "pages"))
 
 
+def op11_source_mixture(spark: SparkSession, sf_dir: str) -> DataFrame:
+    documents, pieces = mixing.mixture(table(spark, sf_dir, "documents"), keep=["doc_id"])
+    return mixing.taken(documents, pieces).select("doc_id", "size", "source_size", "target", "taken", "first_shard", "first_slot")
+
+
 def op12_lexical_search(spark: SparkSession, sf_dir: str) -> DataFrame:
     return lexical_search.rank(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
@@ -87,7 +92,7 @@ def op13_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
     return conversations.repair(conversations.label(conversations.damage(table(spark, sf_dir, "conversations"))))
 
 
-QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op4_proximity, op5_quality_rules, op5_ablation, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction, op12_lexical_search, op13_conversation_repair)}
+QUERIES = {f.__name__: f for f in (op1_quality_classifier, op2_best_fit_packing, op3_sampled_splitters, op4_decontamination, op4_proximity, op5_quality_rules, op5_ablation, op6_url_filter, op7_license_scan, op8_simhash, op9_secret_scan, op10_html_extraction, op11_source_mixture, op12_lexical_search, op13_conversation_repair)}
 
 #: The others' hashes, fits and decodings have no SQL form; tests hold them against brute force.
 ORACLE_SQL: dict[str, str] = {
