@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from bisect import bisect_right
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame
@@ -13,7 +15,8 @@ from . import rings as R
 
 RADIUS_M = 6_371_007.180918475  # authalic
 BIN_M = 0.1
-TOLERANCE_M = 0.01  # of the certified greatest displacement
+TOLERANCE_M = 0.01  # of the certified greatest displacement between the densified lines
+MAX_CHORD_M, SAGITTA_M, MAX_HALVINGS = 5_000.0, 0.4, 40
 OUTSIDE = "outside-dataset"
 
 
@@ -74,20 +77,32 @@ def _vectors(pts: np.ndarray) -> np.ndarray:
     return np.stack([np.cos(lat) * np.cos(lng), np.cos(lat) * np.sin(lng), np.sin(lat)], axis=1)
 
 
-def densify(pts: np.ndarray, max_chord_m: float = 5_000.0, least: int = 4) -> np.ndarray:
-    """Points along the straight lines of the map, at most max_chord_m apart; the shorter way over the antimeridian."""
-    out = [pts[:1].astype(float)]
-    v = _vectors(pts)
-    for i in range(len(pts) - 1):
-        a, b = pts[i].astype(float), pts[i + 1].astype(float)
-        if b[0] - a[0] > 18_000_000:
-            b[0] -= 36_000_000
-        elif b[0] - a[0] < -18_000_000:
-            b[0] += 36_000_000
-        chord = np.linalg.norm(v[i + 1] - v[i]) * RADIUS_M
-        k = max(least, int(np.ceil(chord / max_chord_m)))
-        out.append(a + (b - a) * (np.arange(1, k + 1) / k)[:, None])
-    return np.concatenate(out)
+def unwrapped(pts: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """Starts and ends of a polyline's edges, the ends moved by a turn where that is the shorter way over the antimeridian."""
+    a, b = pts[:-1].astype(float), pts[1:].astype(float)
+    b[:, 0] -= 36_000_000 * np.sign(b[:, 0] - a[:, 0]) * (np.abs(b[:, 0] - a[:, 0]) > 18_000_000)
+    return a, b
+
+
+def densify(pts: np.ndarray, max_chord_m: float = MAX_CHORD_M, sagitta_m: float = SAGITTA_M) -> np.ndarray:
+    """Points along the straight lines of the map, so dense that the great circles between them stay near those lines.
+
+    An edge is halved until its chord is at most max_chord_m and its middle at most half of sagitta_m off the chord; the other half
+    is for places beside the middle.  Meridians are great circles and stay coarse; what runs east to west near a pole is cut finely."""
+    if len(pts) < 2:
+        return pts.astype(float)
+    a, b = unwrapped(pts)
+    for _ in range(MAX_HALVINGS):
+        m = (a + b) / 2
+        va, vb = _vectors(a), _vectors(b)
+        wide = (_metres(np.linalg.norm(vb - va, axis=1)) > max_chord_m) | (_metres(_to_segments(_vectors(m), va, vb)) > sagitta_m / 2)
+        if not wide.any():
+            break
+        at = np.repeat(np.arange(len(a)), 1 + wide)
+        second = np.r_[False, at[1:] == at[:-1]]
+        first = np.r_[second[1:], False]
+        a, b = np.where(second[:, None], m[at], a[at]), np.where(first[:, None], m[at], b[at])
+    return np.concatenate([a, b[-1:]])
 
 
 def _caps(points: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -164,49 +179,93 @@ def farthest(points: np.ndarray, line: np.ndarray, tolerance_m: float = TOLERANC
     return best, place
 
 
+def aligned(original: list[tuple[int, int]], kept: list[tuple[int, int]]) -> list[int]:
+    """Where a simplified ring's vertices stand in its original: places that go forward, once round at most, from any start.
+
+    Each vertex is met at its next occurrence.  Where the first one occurs more than once, the first occurrence that lets all
+    others follow is taken.  A vertex that the original lacks, and another order, raise."""
+    places: dict[tuple[int, int], list[int]] = {}
+    for i, p in enumerate(original):
+        places.setdefault(p, []).append(i)
+    for p in kept:
+        if p not in places:
+            raise ValueError(f"vertex {p[0] / 1e5:.5f},{p[1] / 1e5:.5f} is not in the original ring")
+    n = len(original)
+    for start in places[kept[0]]:
+        out = [start]
+        for p in kept[1:]:
+            own, turn = places[p], out[-1] // n * n
+            k = bisect_right(own, out[-1] - turn)
+            out.append(turn + own[k] if k < len(own) else turn + n + own[0])
+        if out[-1] < start + n:
+            return out
+    raise ValueError("the simplified vertices do not follow the order of the original ring")
+
+
 def _arcs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Cut an original ring at the vertices that its simplified ring keeps; both in the same order."""
+    """Cut an original ring at the vertices that its simplified ring keeps; both in the same direction, from any start."""
     out = []
     for _, r in rows.iterrows():
         a, b = [(int(p["x"]), int(p["y"])) for p in r["original"]], [(int(p["x"]), int(p["y"])) for p in r["candidate"]]
-        if not a or not b:
-            continue
-        if b[0] in a:
-            k = a.index(b[0])
-            a = a[k:] + a[:k]
-        at, i = [], 0
-        for p in b:
-            j = next((j for j in range(i, len(a)) if a[j] == p), None)
-            if j is None:
-                raise ValueError(f"ring {key} does not keep the order of its original")
-            at.append(j)
-            i = j + 1
-        for m, (s, p) in enumerate(zip(at, b, strict=True)):
-            e = at[m + 1] if m + 1 < len(at) else len(a)
-            chain = a[s:e] + [a[e % len(a)]]
-            chord = [p, b[(m + 1) % len(b)]]
+        if len(set(a)) < 3 or len(set(b)) < 3:
+            raise ValueError(f"ring {key} has fewer than three different points")
+        at = aligned(a, b)
+        for m, s in enumerate(at):
+            e = at[m + 1] if m + 1 < len(at) else at[0] + len(a)
+            chain, chord = [a[i % len(a)] for i in range(s, e + 1)], [b[m], b[(m + 1) % len(b)]]
             if chain[::-1] < chain:
                 chain, chord = chain[::-1], chord[::-1]
             out.append((r["name"], str(chain), [{"x": x, "y": y} for x, y in chain], [{"x": x, "y": y} for x, y in chord]))
     return pd.DataFrame(out, columns=["name", "arc", "chain", "chord"])
 
 
+def _areas(lng_lat: np.ndarray) -> np.ndarray:
+    """Areas in square metres of closed polygons (polygon, corner, lng and lat in radians; the first corner repeated)."""
+    d = (np.diff(lng_lat[..., 0], axis=-1) + np.pi) % (2 * np.pi) - np.pi
+    lat = np.sin(lng_lat[..., 1])
+    return np.abs((d * (2 + lat[..., :-1] + lat[..., 1:])).sum(axis=-1)) * RADIUS_M**2 / 2
+
+
+def strip_widths(dense: np.ndarray, area_m2: float) -> list[tuple[float, float]]:
+    """(width in metres, square metres) samples of the strip between a densified arc and its chord, which weigh the whole area.
+
+    The arc is fanned into triangles from its first point; a triangle's width is the distance of its middle from the arc."""
+    if len(dense) < 3 or not area_m2:
+        return []
+    v, flat = _vectors(dense), np.radians(dense / 1e5)
+    corners = np.stack([np.broadcast_to(flat[0], flat[1:-1].shape), flat[1:-1], flat[2:], np.broadcast_to(flat[0], flat[1:-1].shape)], axis=1)
+    areas = _areas(corners)
+    middle = v[0] + v[1:-1] + v[2:]
+    middle /= np.linalg.norm(middle, axis=1)[:, None]
+    live = areas > 0
+    if not live.any():
+        return []
+    widths = distances(middle[live], v)
+    return list(zip(widths.tolist(), (areas[live] * (area_m2 / areas.sum())).tolist(), strict=True))
+
+
 def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
-    """One row for each different arc: pair, length_m, max_m (certified to TOLERANCE_M for the densified lines) and its place max_at (lng, lat), area_m2, samples (value, weight)."""
+    """One row for each different arc: pair, length_m, max_m and its place max_at (lng, lat), area_m2, samples of displacement by
+    length (value, weight) and widths of the strip by area (value, weight).
+
+    max_m is certified to TOLERANCE_M for the densified lines, which are at most SAGITTA_M off the map's own."""
     both = original.select(*R.RING, "name", F.col("pts").alias("original")).join(candidate.select(*R.RING, F.col("pts").alias("candidate")), R.RING, "full")
     checked = both.withColumn("name", F.when(F.col("original").isNull() | F.col("candidate").isNull(), F.raise_error(F.lit("the datasets' rings differ")).cast("string")).otherwise(F.col("name")))
     kind = "array<struct<x:bigint,y:bigint>>"
     arcs = checked.groupBy(*R.RING).applyInPandas(_arcs, f"name string, arc string, chain {kind}, chord {kind}")
     unique = arcs.groupBy("arc").agg(F.collect_set("name").alias("names"), F.first("chain").alias("chain"), F.first("chord").alias("chord"))
 
-    @F.pandas_udf("length_m double, max_m double, max_at struct<lng:double,lat:double>, area_m2 double, samples array<struct<value:double,weight:double>>")
+    sample = "array<struct<value:double,weight:double>>"
+
+    @F.pandas_udf(f"length_m double, max_m double, max_at struct<lng:double,lat:double>, area_m2 double, samples {sample}, widths {sample}")
     def measure(chain: pd.Series, chord: pd.Series) -> pd.DataFrame:
         out = []
         for a, b in zip(chain, chord, strict=True):
             p, q = (np.array([(s["x"], s["y"]) for s in c], float) for c in (a, b))
-            dp, dq = _vectors(densify(p)), _vectors(densify(q, 1_000.0, 64 if len(p) > 2 else 4))
-            length = float(np.linalg.norm(np.diff(dp, axis=0), axis=1).sum() * RADIUS_M)
-            far, place, samples, area = 0.0, dp[0], [{"value": 0.0, "weight": 2 * length}], 0.0
+            flat_p, flat_q = densify(p), densify(q)
+            dp, dq = _vectors(flat_p), _vectors(flat_q)
+            length = float(_metres(np.linalg.norm(np.diff(dp, axis=0), axis=1)).sum())
+            far, place, samples, widths, area = 0.0, dp[0], [(0.0, 2 * length)], [], 0.0
             if len(p) > 2:
                 samples = []
                 for x, y in ((dp, dq), (dq, dp)):
@@ -215,14 +274,13 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
                         far, place = most, at
                     mid = x[:-1] + x[1:]
                     mid /= np.linalg.norm(mid, axis=1)[:, None]
-                    weight = np.linalg.norm(np.diff(x, axis=0), axis=1) * RADIUS_M
-                    samples += [{"value": float(v), "weight": float(w)} for v, w in zip(distances(mid, y), weight, strict=True)]
-                strip = np.radians(np.concatenate([p, q[::-1], p[:1]]) / 1e5)
-                d = (np.diff(strip[:, 0]) + np.pi) % (2 * np.pi) - np.pi
-                area = abs(float((d * (2 + np.sin(strip[:-1, 1]) + np.sin(strip[1:, 1]))).sum()) * RADIUS_M**2 / 2)
+                    samples += zip(distances(mid, y).tolist(), _metres(np.linalg.norm(np.diff(x, axis=0), axis=1)).tolist(), strict=True)
+                area = float(_areas(np.radians(np.concatenate([p, q[::-1], p[:1]]) / 1e5)))
+                widths = strip_widths(flat_p, area) if area > 1e-6 else []
             at = {"lng": float(np.degrees(np.arctan2(place[1], place[0]))), "lat": float(np.degrees(np.arcsin(np.clip(place[2], -1, 1))))}
-            out.append((length, far, at, area, samples))
-        return pd.DataFrame(out, columns=["length_m", "max_m", "max_at", "area_m2", "samples"])
+            rows = ([{"value": v, "weight": w} for v, w in own] for own in (samples, widths))
+            out.append((length, far, at, area, *rows))
+        return pd.DataFrame(out, columns=["length_m", "max_m", "max_at", "area_m2", "samples", "widths"])
 
     return unique.select("arc", zone_pair(F.col("names")).alias("pair"), measure("chain", "chord").alias("m")).select("arc", "pair", "m.*")
 
@@ -238,9 +296,15 @@ def pair_areas(arcs: DataFrame) -> DataFrame:
 
 
 def displacement_bins(arcs: DataFrame) -> DataFrame:
+    """Histogram of the displacement by length."""
     return weighted_bins(arcs.select(F.explode("samples").alias("s")).select("s.value", "s.weight"))
 
 
+def width_bins(arcs: DataFrame) -> DataFrame:
+    """Histogram of the strips' widths by area."""
+    return weighted_bins(arcs.select(F.explode("widths").alias("s")).select("s.value", "s.weight"))
+
+
 def markdown(arcs: DataFrame, top: int = 20) -> str:
     """The audit's report; what is collected is one row, four quantiles and the top pairs."""
     arcs = settled(arcs)  # each figure below is a query of its own
@@ -249,5 +313,9 @@ def markdown(arcs: DataFrame, top: int = 20) -> str:
     lines = ["# Border change", "", "| figure | value |", "|---|---|", *(f"| {k} | {v} |" for k, v in r.items())]
     lines += [f"| displacement p{100 * q:g} | {weighted_quantile(bins, q).first()[0]:.1f} m |" for q in (0.5, 0.95, 0.99, 0.999)]
     lines += [f"| above {t} m | {100 * proportion_above(bins, t).first()[0]:.4f}% |" for t in (10, 50, 100, 500)]
+    widths = settled(width_bins(arcs))
+    if widths.count():
+        lines += [f"| width p{100 * q:g} | {weighted_quantile(widths, q).first()[0]:.1f} m |" for q in (0.5, 0.95, 0.99, 0.999)]
+        lines += [f"| area wider than {t} m | {100 * proportion_above(widths, t).first()[0]:.4f}% |" for t in (10, 50, 100, 500)]
     lines += ["", "| pair | km2 |", "|---|---|", *(f"| {p['pair']} | {p['area']:.6f} |" for p in top_pairs(pair_areas(arcs), top).collect())]
     return "\n".join(lines) + "\n"

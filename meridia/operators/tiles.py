@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
@@ -58,30 +58,91 @@ def exclusion_match(points: DataFrame, edge_table: DataFrame) -> DataFrame:
     return points.join(strictly_inside(points, edge_table, ["pt_id"]).select("pt_id").distinct(), "pt_id", "left_semi")
 
 
-def cover(edge_table: DataFrame, zoom: int) -> DataFrame:
-    """tz_idx, x, y, z: the tiles of each polygon's box (a superset; ensure_inside decides)."""
-    z = F.lit(zoom)
-    box = R.bounds(edge_table.where("hole_idx < 0"), "tz_idx", "poly_idx")
-    top = F.lit((1 << zoom) - 1).cast("long")
-    x0, x1 = G.tile_x(F.col("min_x") / 100_000.0, z), F.least(top, G.tile_x(F.col("max_x") / 100_000.0, z))
-    y0, y1 = G.tile_y(F.col("max_y") / 100_000.0, z), F.least(top, G.tile_y(F.col("min_y") / 100_000.0, z))
-    cells = box.select("tz_idx", F.explode(F.sequence(x0, x1)).alias("x"), F.greatest(y0, F.lit(0).cast("long")).alias("y0"), y1.alias("y1")).withColumn("y", F.explode(F.sequence("y0", "y1")))
-    return cells.select("tz_idx", "x", "y", F.lit(zoom).alias("z")).distinct()
+#: Units (1e-5 degree) by which a tile's rectangle is widened before edges are tested against it.
+PAD = 0.01
+POLYGON = ["tz_idx", "poly_idx"]
 
 
-def ensure_inside(tiles: DataFrame, edge_table: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
-    """Tiles (tz_idx, x, y, z) whose corners are all strictly inside one polygon of their zone, and in no excluded region."""
+def edge_meets_tile(x: Column, y: Column, z: Column) -> Column:
+    """Whether the edge xa, ya, xb, yb meets the tile's closed rectangle: their boxes do, and its line parts the corners."""
+    west, east = G.tile_lng(x, z) * 100_000 - PAD, G.tile_lng(x + 1, z) * 100_000 + PAD
+    north, south = G.tile_lat(y, z) * 100_000 + PAD, G.tile_lat(y + 1, z) * 100_000 - PAD
+    boxes = (F.least("xa", "xb") <= east) & (F.greatest("xa", "xb") >= west) & (F.least("ya", "yb") <= north) & (F.greatest("ya", "yb") >= south)
+    dx, dy = (F.col("xb") - F.col("xa")).cast("double"), (F.col("yb") - F.col("ya")).cast("double")
+    sides = [dx * (b - F.col("ya")) - dy * (a - F.col("xa")) for a in (west, east) for b in (south, north)]
+    return boxes & (F.least(*sides) <= 0) & (F.greatest(*sides) >= 0)
+
+
+def _children(tiles: DataFrame) -> DataFrame:
+    """Each tile's four children, in place of x and y."""
+    four = F.explode(F.array(*[F.struct(F.lit(a).cast("long").alias("a"), F.lit(b).cast("long").alias("b")) for a in (0, 1) for b in (0, 1)]))
+    return tiles.withColumn("__c", four).withColumns({"x": 2 * F.col("x") + F.col("__c.a"), "y": 2 * F.col("y") + F.col("__c.b")}).drop("__c")
+
+
+def crossing_tiles(edge_table: DataFrame, zoom: int) -> DataFrame:
+    """tz_idx, poly_idx, x, y: tiles of a zoom that an edge of the polygon meets.
+
+    Every edge descends the quadtree on its own, from the world to the zoom, into those children only that it meets: no box of a
+    long edge is spelled out, and nothing is shuffled until the tiles are made distinct."""
+    at = edge_table.select(*POLYGON, "xa", "ya", "xb", "yb", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
+    for z in range(1, zoom + 1):
+        at = _children(at).where(edge_meets_tile(F.col("x"), F.col("y"), F.lit(z)))
+    return at.select(*POLYGON, "x", "y").distinct()
+
+
+def cover(edge_table: DataFrame, zoom: int) -> DataFrame:
+    """tz_idx, poly_idx, x, y, z, inside: tiles that cover each polygon, all different places.
+
+    A tile that no edge meets is wholly inside or outside; only tiles that an edge meets are parted further.  So what comes are
+    inside tiles of any zoom up to the given one, and (inside false) the tiles of that zoom on the border."""
+    key = [*POLYGON, "x", "y"]
+    crossed = {zoom: settled(crossing_tiles(edge_table, zoom))}
+    for z in range(zoom - 1, -1, -1):  # a tile's ancestors are crossed as well; half as many a zoom
+        crossed[z] = settled(crossed[z + 1].select(*POLYGON, F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct())
+    free = None
+    for z in range(1, zoom + 1):
+        own = _children(crossed[z - 1]).join(crossed[z], key, "left_anti").select(*key, F.lit(z).alias("z"))
+        free = own if free is None else free.unionByName(own)
+    border = crossed[zoom].select(*key, F.lit(zoom).alias("z"), F.lit(False).alias("inside"))
+    if free is None:
+        return border
+    names = {k: f"t_{k}" for k in (*key, "z")}
+    lng, lat = G.tile_lng(F.col("x") + 0.5, F.col("z")), G.tile_lat(F.col("y") + 0.5, F.col("z"))
+    centres = free.withColumns({"px": lng * 100_000, "py": lat * 100_000}).withColumnsRenamed(names)
+    held = strictly_inside(centres, edge_table, list(names.values()), "t_tz_idx").where("poly_idx = t_poly_idx")
+    inside = held.select(*[F.col(n).alias(k) for k, n in names.items()], F.lit(True).alias("inside"))
+    return inside.unionByName(border)
+
+
+def at_zoom(tiles: DataFrame, zoom: int) -> DataFrame:
+    """tz_idx, x, y, z: the tiles' descendants of one zoom."""
+    n = F.pow(F.lit(2.0), F.lit(zoom) - F.col("z")).cast("long")
+    wide = tiles.withColumn("__n", n).withColumn("x", F.explode(F.sequence(F.col("x") * F.col("__n"), (F.col("x") + 1) * F.col("__n") - 1)))
+    full = wide.withColumn("y", F.explode(F.sequence(F.col("y") * F.col("__n"), (F.col("y") + 1) * F.col("__n") - 1)))
+    return full.select("tz_idx", "x", "y", F.lit(zoom).alias("z"))
+
+
+def _corners(tiles: DataFrame, names: list[str]) -> DataFrame:
+    """The tiles' four corners as points px, py; tz_idx, x, y and z under the given names."""
     key = ["tz_idx", "x", "y", "z"]
     corners = tiles.select(*key, F.posexplode(F.slice(G.tile_ring(F.col("x"), F.col("y"), F.col("z")), 1, 4)).alias("corner", "c"))
-    pts = corners.select(*[F.col(k).alias(f"t_{k}") for k in key], "corner", (F.col("c.lng") * 100_000).alias("px"), (F.col("c.lat") * 100_000).alias("py"))
-    names = [f"t_{k}" for k in key]
-    inside = strictly_inside(pts, edge_table, [*names, "corner"], "t_tz_idx").groupBy(*names, "poly_idx").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
-    kept = inside.select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct()
+    return corners.select(*[F.col(k).alias(n) for k, n in zip(key, names, strict=True)], "corner", (F.col("c.lng") * 100_000).alias("px"), (F.col("c.lat") * 100_000).alias("py"))
+
+
+def not_excluded(tiles: DataFrame, excluded: DataFrame | None) -> DataFrame:
+    """Tiles (tz_idx, x, y, z) no corner of which is strictly inside an excluded region."""
     if excluded is None:
-        return kept
-    out = kept.select(*[F.col(k).alias(f"t_{k}") for k in key], F.explode(F.slice(G.tile_ring(F.col("x"), F.col("y"), F.col("z")), 1, 4)).alias("c")).select(*names, (F.col("c.lng") * 100_000).alias("px"), (F.col("c.lat") * 100_000).alias("py"))
-    bad = strictly_inside(out, excluded, names).select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct()
-    return kept.join(bad, key, "left_anti")
+        return tiles
+    key, names = ["tz_idx", "x", "y", "z"], ["t_tz_idx", "t_x", "t_y", "t_z"]
+    bad = strictly_inside(_corners(tiles, names).drop("corner"), excluded, names).select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct()
+    return tiles.join(bad, key, "left_anti")
+
+
+def ensure_inside(tiles: DataFrame, edge_table: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
+    """Tiles (tz_idx, x, y, z) whose corners are all strictly inside one polygon of their zone, and in no excluded region."""
+    key, names = ["tz_idx", "x", "y", "z"], ["t_tz_idx", "t_x", "t_y", "t_z"]
+    inside = strictly_inside(_corners(tiles, names), edge_table, [*names, "corner"], "t_tz_idx").groupBy(*names, "poly_idx").agg(F.count(F.lit(1)).alias("n")).where("n = 4")
+    return not_excluded(inside.select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct(), excluded)
 
 
 def drop_edge_tiles(tiles: DataFrame) -> DataFrame:
@@ -109,9 +170,12 @@ def preindex(rings: DataFrame, idx_zoom: int = 13, agg_zoom: int = 3, max_keep:
     """name, x, y, z, key_ord, packed: tiles that lie wholly in one zone."""
     usable = rings.where(F.when(F.col("hole_idx") < 0, F.size("pts") >= min_exterior).otherwise(F.size("pts") >= MIN_HOLE))
     edge_table = R.edges(usable)
-    tiles = settled(ensure_inside(cover(edge_table, idx_zoom), edge_table, excluded))
-    enough = tiles.groupBy("tz_idx").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") >= MIN_TILES)
-    tiles = tiles.join(enough, "tz_idx", "left_semi")
+    covered = settled(cover(edge_table, idx_zoom))
+    places = F.sum(F.pow(F.lit(4.0), F.lit(idx_zoom) - F.col("z")))
+    enough = covered.groupBy("tz_idx").agg(places.alias("n")).where(F.col("n") >= MIN_TILES)
+    covered = covered.join(enough, "tz_idx", "left_semi")
+    border = ensure_inside(covered.where("not inside").select("tz_idx", "x", "y", "z"), edge_table, excluded)
+    tiles = settled(not_excluded(at_zoom(covered.where("inside"), idx_zoom), excluded).unionByName(border).distinct())
     for _ in range(drop):
         tiles = settled(drop_edge_tiles(tiles))
     merged = ensure_inside(merge_up(tiles, agg_zoom, idx_zoom), edge_table, excluded).where(F.col("z") <= max_keep)

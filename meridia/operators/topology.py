@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+from dataclasses import dataclass
+
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
@@ -105,19 +107,32 @@ def douglas_peucker(points: list[tuple[int, int]], epsilon: float) -> list[tuple
 def chains(rings: DataFrame, fixed: DataFrame) -> DataFrame:
     """Rings cut at fixed vertices: seg_idx, pts (both ends included), canonical, forward.
 
-    A ring without fixed vertices starts at its least vertex; equal chains have one canonical form."""
+    A ring without fixed vertices starts where least_rotation() says; equal chains have one canonical form."""
     v = R.vertices(rings).withColumn("kx", key_x(F.col("x")))
     marked = v.join(fixed.select(F.col("x").alias("kx"), "y", F.lit(1).alias("is_fixed")), ["kx", "y"], "left")
     grouped = marked.groupBy(*R.RING).agg(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", F.coalesce("is_fixed", F.lit(0)).alias("f")))).alias("p"))
     return grouped.groupBy(*R.RING).applyInPandas(_cut, "tz_idx int, poly_idx int, hole_idx int, seg_idx int, pts array<struct<x:bigint,y:bigint>>, canonical string, forward boolean")
 
 
+def least_rotation(pts: list[tuple[int, int]]) -> int:
+    """Where the least of all ways round the ring, in both directions, starts.
+
+    It belongs to the ring's set of edges, not to one ring: a hole and the exterior that fills it start alike, even where
+    they come to their least vertex more than once."""
+    least, n = min(pts), len(pts)
+    ways = []
+    for i in (i for i, p in enumerate(pts) if p == least):
+        ahead = pts[i:] + pts[:i]
+        ways += [(ahead, i), ([ahead[0], *ahead[:0:-1]], i)]
+    return min(ways)[1] % n
+
+
 def _cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
     out = []
     for p in rows["p"]:
         pts, flags = [(int(q["x"]), int(q["y"])) for q in p], [q["f"] for q in p]
         marks = [i for i, f in enumerate(flags) if f]
-        start = marks[0] if marks else pts.index(min(pts))
+        start = marks[0] if marks else least_rotation(pts)
         pts, flags = pts[start:] + pts[:start], flags[start:] + flags[:start]
         cuts = [i for i, f in enumerate(flags) if f] or [0]
         for k, i in enumerate(cuts):
@@ -137,51 +152,132 @@ def _simplify_chain(pts: list[tuple[int, int]], epsilon: float) -> list[tuple[in
     return douglas_peucker(pts, epsilon)
 
 
-def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+@dataclass
+class Baseline:
+    """What simplification starts from: cleaned rings, the same with their neighbours' vertices snapped in, and the chains of these.
+
+    It doesn't depend on an epsilon: stored once, it serves every one."""
+
+    source: DataFrame
+    ready: DataFrame
+    cut: DataFrame
+
+    TABLES = ("source", "ready", "cut")
+
+    def store(self, folder: str) -> Baseline:
+        for name in self.TABLES:
+            getattr(self, name).write.mode("overwrite").parquet(f"{folder}/{name}")
+        return self.load(self.source.sparkSession, folder)
+
+    @classmethod
+    def load(cls, spark: SparkSession, folder: str) -> Baseline:
+        return cls(*(spark.read.parquet(f"{folder}/{name}") for name in cls.TABLES))
+
+
+def _cut_up(source: DataFrame, ready: DataFrame) -> Baseline:
+    return Baseline(source, ready, settled(chains(ready, fixed_vertices(R.edges(ready)))))
+
+
+def _snapped(source: DataFrame) -> DataFrame:
+    return settled(R.normalise_windings(snap_vertices(source)))
+
+
+def prepare_baseline(rings: DataFrame) -> Baseline:
+    source = settled(R.normalise_windings(clean_rings(rings)))
+    return _cut_up(source, _snapped(source))
+
+
+def _meeting(rings: DataFrame, of: DataFrame) -> DataFrame:
+    """The rings whose box meets that of one of the others (R.RING), by the degree cells that boxes reach."""
+
+    def reached(part: DataFrame) -> DataFrame:
+        box = R.bounds(R.edges(part), *R.RING)
+        across = box.withColumn("cx", F.explode(F.sequence(G.cell(F.col("min_x")), G.cell(F.col("max_x")))))
+        return across.withColumn("cy", F.explode(F.sequence(G.cell(F.col("min_y")), G.cell(F.col("max_y")))))
+
+    cells = reached(of).select("cx", "cy").distinct()
+    return reached(rings).join(cells, ["cx", "cy"], "left_semi").select(*R.RING).distinct()
+
+
+def update_baseline(base: Baseline, rings: DataFrame) -> tuple[Baseline, DataFrame]:
+    """The baseline of changed rings, and the rings (R.RING) that were snapped again.
+
+    A ring depends on the rings that its box meets; where none of these has changed, come or gone, it stays as it is."""
+    source = settled(R.normalise_windings(clean_rings(rings)))
+    old, new = (part.select(*R.RING, F.xxhash64("pts").alias(name), F.col("pts").alias(f"{name}_pts")) for part, name in ((base.source, "a"), (source, "b")))
+    differ = settled(old.join(new, R.RING, "full").where("not (a <=> b)"))
+    moved = differ.select(*R.RING, F.explode(F.array_compact(F.array("a_pts", "b_pts"))).alias("pts"))
+    again = settled(_meeting(source, moved)) if differ.count() else settled(source.select(*R.RING).where("false"))
+    around = settled(source.join(_meeting(source, source.join(again, R.RING, "left_semi")), R.RING, "left_semi"))
+    redone = _snapped(around).join(again, R.RING, "left_semi")
+    kept = base.ready.join(again, R.RING, "left_anti").join(source.select(*R.RING), R.RING, "left_semi")
+    return _cut_up(source, settled(kept.unionByName(redone.select(kept.columns)))), again
+
+
+@dataclass
+class Simplified:
+    """rings; chains (canonical, n_in, n_out), each different one once; judged (the ring's key, back: it kept its own points)."""
+
+    rings: DataFrame
+    chains: DataFrame
+    judged: DataFrame
+
+
+def simplify_baseline(base: Baseline, epsilon: float = EPSILON) -> Simplified:
     """Topology-aware simplification: every different chain is simplified once, in its canonical direction.
 
     A ring keeps its own points if it would have under three different ones, an edge of no length, or, with up to
     CHECKED_POINTS points, edges that cross."""
-    ready = settled(R.normalise_windings(snap_vertices(settled(R.normalise_windings(clean_rings(rings))))))
-    cut = settled(chains(ready, fixed_vertices(R.edges(ready))))
 
     @F.pandas_udf("array<struct<x:bigint,y:bigint>>")
     def reduce(pts: pd.Series) -> pd.Series:
         return pts.map(lambda ps: [{"x": x, "y": y} for x, y in _simplify_chain([(int(q["x"]), int(q["y"])) for q in ps], epsilon * 100_000)])
 
-    once = cut.groupBy("canonical").agg(F.first(F.when(F.col("forward"), F.col("pts")).otherwise(F.reverse("pts"))).alias("pts")).select("canonical", reduce("pts").alias("short"))
-    back = cut.join(once, "canonical").select(*R.RING, "seg_idx", F.when(F.col("forward"), F.col("short")).otherwise(F.reverse("short")).alias("s"))
+    once = base.cut.groupBy("canonical").agg(F.first(F.when(F.col("forward"), F.col("pts")).otherwise(F.reverse("pts"))).alias("pts"))
+    once = settled(once.select("canonical", F.size("pts").alias("n_in"), reduce("pts").alias("short")))
+    back = base.cut.join(once, "canonical").select(*R.RING, "seg_idx", F.when(F.col("forward"), F.col("short")).otherwise(F.reverse("short")).alias("s"))
     open_parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.slice("s", 1, F.size("s") - 1).alias("s")))), lambda q: q["s"])
-    joined = back.groupBy(*R.RING).agg(F.flatten(open_parts).alias("new"))
-    joined = settled(joined)
+    joined = settled(back.groupBy(*R.RING).agg(F.flatten(open_parts).alias("new")))
     n = F.size("new")
     standing = F.exists(F.sequence(F.lit(0), n - 1), lambda i: F.get("new", i) == F.get("new", (i + 1) % n))
     degenerate = (n < 3) | (F.size(F.array_distinct("new")) < 3) | F.when(n > 0, standing).otherwise(F.lit(True))
     small = joined.where((n <= CHECKED_POINTS) & ~degenerate).select(*R.RING, F.col("new").alias("pts"))
     crossed = R.self_intersections(R.edges(small)).select(*R.RING).distinct().withColumn("crossed", F.lit(True))
-    judged = joined.join(crossed, R.RING, "left").select(*R.RING, "new", (degenerate | F.coalesce("crossed", F.lit(False))).alias("back"))
-    done = ready.join(judged, R.RING).withColumn("pts", F.when(F.col("back"), F.col("pts")).otherwise(F.col("new")))
-    return R.normalise_windings(done.select(rings.columns))
-
+    judged = settled(joined.join(crossed, R.RING, "left").select(*R.RING, "new", (degenerate | F.coalesce("crossed", F.lit(False))).alias("back")))
+    done = base.ready.join(judged, R.RING).withColumn("pts", F.when(F.col("back"), F.col("pts")).otherwise(F.col("new")))
+    rings = R.normalise_windings(done.select(base.ready.columns))
+    return Simplified(rings, once.select("canonical", "n_in", F.size("short").alias("n_out")), judged.select(*R.RING, "back"))
 
-def simplify_stats(cut: DataFrame, before: DataFrame, after: DataFrame) -> DataFrame:
-    """One row: rings by their fixed vertices, chains by use and length, points, and rings that kept their own.
 
-    cut: chains() of the snapped rings before; after: the simplified rings."""
-    rings = cut.groupBy(*R.RING).agg(F.count(F.lit(1)).alias("chains"), F.bool_or(F.element_at("pts", 1) != F.element_at("pts", -1)).alias("open"))
-    by_fixed = rings.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias("rings"), F.count_if(F.col("chains") > 1).alias("rings_multi_fixed"), F.count_if((F.col("chains") == 1) & ~F.col("open")).alias("rings_one_or_no_fixed"))
-    uses = cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses"), F.first(F.size("pts")).alias("n"))
+def simplify(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
+    """simplify_baseline() of the rings' own baseline; columns as they came."""
+    return simplify_baseline(prepare_baseline(rings), epsilon).rings.select(rings.columns)
+
+
+def simplify_stats(base: Baseline, done: Simplified) -> DataFrame:
+    """One row: rings by their fixed vertices, what was snapped in, chains by use and length, points, rings that kept their own.
+
+    A shared chain is one of two rings; it is simplified for the first and found again (a hit) for the second."""
+    one = F.lit(1).alias("one")
+    count = lambda column, name: F.coalesce(F.sum(column), F.lit(0)).alias(name)
+    sizes = base.source.select(*R.RING, F.size("pts").alias("before")).join(base.ready.select(*R.RING, F.size("pts").alias("after")), R.RING)
+    inputs = sizes.agg(one, F.count(F.lit(1)).alias("input_rings"), count("before", "input_points"), F.count_if(F.col("after") > F.col("before")).alias("snapped_rings"), count(F.col("after") - F.col("before"), "snapped_vertices"))
+    # A ring of several chains has a fixed vertex for each; one of a single chain starts at its only one, or has none.
+    at = fixed_vertices(R.edges(base.ready)).withColumn("fixed", F.lit(1))
+    held = R.vertices(base.ready).withColumn("x", key_x(F.col("x"))).join(at, ["x", "y"], "left").groupBy(*R.RING).agg(F.count("fixed").alias("fixed"))
+    by_fixed = held.agg(one, count("fixed", "fixed_vertices"), F.count_if(F.col("fixed") == 0).alias("rings_no_fixed"), F.count_if(F.col("fixed") == 1).alias("rings_one_fixed"), F.count_if(F.col("fixed") > 1).alias("rings_multi_fixed"))
+    uses = base.cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("uses")).join(done.chains, "canonical")
     lengths = [(10, "le10"), (25, "le25"), (50, "le50"), (100, "le100"), (None, "gt100")]
     buckets, low = [], 0
     for top, name in lengths:
-        inside = (F.col("n") > low) if top is None else F.col("n").between(low + 1, top)
-        buckets.append(F.coalesce(F.sum(F.when(inside, F.col("uses"))), F.lit(0)).alias(f"segments_{name}"))
+        inside = (F.col("n_in") > low) if top is None else F.col("n_in").between(low + 1, top)
+        buckets.append(count(F.when(inside, F.col("uses")), f"segments_{name}"))
         low = top or low
-    by_use = uses.agg(F.lit(1).alias("one"), F.sum("uses").alias("segments"), F.coalesce(F.sum(F.when(F.col("uses") > 1, F.col("uses"))), F.lit(0)).alias("segments_shared"), F.coalesce(F.sum(F.when(F.col("n") <= SHORT_PATH, F.col("uses"))), F.lit(0)).alias("segments_short"), *buckets)
-    count = lambda df, name: df.agg(F.lit(1).alias("one"), F.coalesce(F.sum(F.size("pts")), F.lit(0)).alias(name))
-    kept = before.select(*R.RING, F.sort_array("pts").alias("b")).join(after.select(*R.RING, F.sort_array("pts").alias("a")), R.RING).agg(F.lit(1).alias("one"), F.count_if(F.col("a") == F.col("b")).alias("rings_unchanged"))
-    out = by_fixed
-    for part in (by_use, count(before, "points_in"), count(after, "points_out"), kept):  # one row each
+    shared = F.col("uses") > 1
+    by_use = uses.agg(one, count("uses", "segments"), count(F.when(shared, F.col("uses")), "segments_shared"), count(F.when(shared, F.col("uses") - 1), "shared_hits"), F.count_if(shared).alias("shared_misses"), F.count_if(F.col("n_in") <= SHORT_PATH).alias("segments_short"), count(F.col("uses") * F.col("n_in"), "segment_points_in"), count(F.col("uses") * F.col("n_out"), "segment_points_out"), *buckets)
+    own = done.judged.join(sizes, R.RING).agg(one, F.count_if("back").alias("rings_fallback"), count(F.when(F.col("back"), F.col("before")), "fallback_points"))
+    out = inputs
+    for part in (by_fixed, by_use, own):  # one row each
         out = out.join(part, "one")
     return out.drop("one")
 

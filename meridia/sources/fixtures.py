@@ -2,10 +2,13 @@
 
 from __future__ import annotations
 
+import math
+
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..schemas import RINGS
+from ..stages import settled
 
 D = 100_000  # a degree
 Ring = tuple[int, str, int, int, list[tuple[int, int]]]
@@ -90,3 +93,88 @@ def points_sql(table: str, key: str) -> str:
 
 def border_points_sql(table: str, key: str) -> str:
     return f"(SELECT {key} AS pt_id, -17250000 + 1500000 * ({key} % 24) AS px, ({key} * 104729) % 18000001 - 9000000 AS py FROM {table})"
+
+
+# Zones drawn from the rows of a given table
+
+PARTS = 8  # of a zone's side
+CORNERS = 4 * PARTS
+
+
+def _patch_steps(divide: str, south: int) -> list[list[str]]:
+    """The steps, as SQL of k, w, sx, sy, kind and q, to the place x, y of a zone's q-th corner; kind 0: its rim, else the rim of its enclave.
+
+    Rows k fill a lattice w wide, row by row.  Nodes and the parts of a side are moved by integers that the neighbours share."""
+
+    def node(a: str, b: str, at: str) -> list[str]:
+        return [
+            f"CASE WHEN kind = 0 THEN {a} * sx + ({a} * 7919 + {b} * 104729) % (sx {divide} 8 + 1) ELSE i * sx + 3 * sx {divide} 8 * (1 + {a} - i) END AS x{at}",
+            f"CASE WHEN kind = 0 THEN {b} * sy + ({a} * 15485863 + {b} * 7919 + 13) % (sy {divide} 8 + 1) ELSE j * sy + 3 * sy {divide} 8 * (1 + {b} - j) END AS y{at}",
+        ]
+
+    moved = "CASE WHEN along > 0 AND along < {p} AND {way} THEN (hi * 13 + hj * 37 + along * 7919 + kind * 101) % ({s} {d} 32 + 1) ELSE 0 END"
+    return [
+        ["k % w AS i", f"k {divide} w AS j", f"q {divide} {PARTS} AS side", f"q % {PARTS} AS t"],
+        [f"CASE WHEN side < 2 THEN t ELSE {PARTS} - t END AS along", "i + CASE WHEN side = 1 THEN 1 ELSE 0 END AS hi", "j + CASE WHEN side = 2 THEN 1 ELSE 0 END AS hj"],
+        ["hi + 1 - side % 2 AS ei", "hj + side % 2 AS ej"],
+        [*node("hi", "hj", "a"), *node("ei", "ej", "b")],
+        [
+            f"(xa * ({PARTS} - along) + xb * along) {divide} {PARTS} + {moved.format(p=PARTS, way='side % 2 = 1', s='sx', d=divide)} - 17000000 AS x",
+            f"(ya * ({PARTS} - along) + yb * along) {divide} {PARTS} + {moved.format(p=PARTS, way='side % 2 = 0', s='sy', d=divide)} + {south} AS y",
+        ],
+    ]
+
+
+class Patches:
+    """One zone for each row of a table (its key counts from 0): crooked sides shared with the neighbours, and in every third
+    a hole that another zone fills.  tz_idx: twice the key, one more for the enclave."""
+
+    def __init__(self, table: str = "supplier", key: str = "s_suppkey", most: int = 34_000_000, south: int = -8_000_000):
+        """most: of a zone's width and height; they are less where all rows would not fit.  south: where the lattice begins."""
+        self.table, self.key, self.most, self.south = table, key, most, south
+
+    def rings(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        rows = spark.read.parquet(f"{sf_dir}/{self.table}.parquet").select(F.col(self.key).cast("long").alias("k"))
+        w = math.ceil(math.sqrt(1 + (rows.agg(F.max("k")).first()[0] or 0)))
+        sized = rows.withColumns({"w": F.lit(w).cast("long"), "sx": F.lit(min(34_000_000 // w, self.most)).cast("long"), "sy": F.lit(min((8_000_000 - self.south) // w, self.most)).cast("long")})
+        at = sized.withColumn("kind", F.explode(F.expr("CASE WHEN k % 3 = 0 THEN array(0L, 1L, 2L) ELSE array(0L) END"))).withColumn("idx", F.explode(F.sequence(F.lit(0).cast("long"), F.lit(CORNERS - 1).cast("long"))))
+        at = at.withColumn("q", F.when(F.col("kind") == 1, CORNERS - 1 - F.col("idx")).otherwise(F.col("idx")))
+        for step in _patch_steps("div", self.south):
+            at = at.selectExpr("*", *step)
+        own = at.groupBy("k", "kind").agg(F.array_sort(F.collect_list(F.struct("idx", "x", "y"))).alias("c")).withColumn("pts", F.transform("c", lambda c: F.struct(c["x"].alias("x"), c["y"].alias("y"))))
+        name = F.concat(F.lit("zone/"), F.col("k").cast("string"), F.when(F.col("kind") == 2, "/enclave").otherwise(""))
+        return settled(own.select((2 * F.col("k") + F.when(F.col("kind") == 2, 1).otherwise(0)).cast("int").alias("tz_idx"), name.alias("name"), F.lit(0).alias("poly_idx"), F.when(F.col("kind") == 1, 0).otherwise(-1).alias("hole_idx"), "pts"))  # a dataset as if it were stored
+
+    def points_sql(self) -> str:
+        """tz_idx, poly_idx, hole_idx, idx, n, x, y of every corner."""
+        w = f"cast(ceil(sqrt((SELECT max({self.key}) + 1 FROM {self.table}))) AS bigint)"
+        rows = f"SELECT cast({self.key} AS bigint) AS k, {w} AS w, least(34000000 // {w}, {self.most}) AS sx, least({8_000_000 - self.south} // {w}, {self.most}) AS sy FROM {self.table}"
+        each = f"SELECT *, CASE WHEN kind = 1 THEN {CORNERS - 1} - idx ELSE idx END AS q FROM (SELECT *, unnest(range({CORNERS})) AS idx FROM (SELECT *, unnest(CASE WHEN k % 3 = 0 THEN [0, 1, 2] ELSE [0] END) AS kind FROM ({rows})))"
+        for step in _patch_steps("//", self.south):
+            each = f"SELECT *, {', '.join(step)} FROM ({each})"
+        return f"(SELECT 2 * k + CASE WHEN kind = 2 THEN 1 ELSE 0 END AS tz_idx, 0 AS poly_idx, CASE WHEN kind = 1 THEN 0 ELSE -1 END AS hole_idx, idx, {CORNERS} AS n, x, y FROM ({each}))"
+
+    def edges_sql(self) -> str:
+        points = self.points_sql()
+        step = "OVER (PARTITION BY tz_idx, poly_idx, hole_idx ORDER BY idx)"
+        whole = "OVER (PARTITION BY tz_idx, poly_idx, hole_idx ORDER BY idx ROWS BETWEEN UNBOUNDED PRECEDING AND UNBOUNDED FOLLOWING)"
+        return f"(SELECT tz_idx, poly_idx, hole_idx, idx AS edge_idx, x AS xa, y AS ya, coalesce(lead(x) {step}, first_value(x) {whole}) AS xb, coalesce(lead(y) {step}, first_value(y) {whole}) AS yb FROM {points}) e"
+
+    def zones_sql(self) -> str:
+        return f"(SELECT 2 * {self.key} AS tz_idx, 'zone/' || {self.key} AS name FROM {self.table} UNION ALL SELECT 2 * {self.key} + 1, 'zone/' || {self.key} || '/enclave' FROM {self.table} WHERE {self.key} % 3 = 0) z"
+
+
+class Drawn:
+    """Zones given as literal rings."""
+
+    def __init__(self, rows: list[Ring]):
+        self.rows = rows
+
+    def rings(self, spark: SparkSession, sf_dir: str) -> DataFrame:
+        return rings(spark, self.rows)
+
+    def edges_sql(self) -> str:
+        return edges_sql(self.rows)
+
+    def zones_sql(self) -> str:
+        return zones_sql(self.rows)
