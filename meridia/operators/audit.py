@@ -282,6 +282,8 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
             out.append((length, far, at, area, *rows))
         return pd.DataFrame(out, columns=["length_m", "max_m", "max_at", "area_m2", "samples", "widths"])
 
+    parts = int(original.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    unique = unique.repartition(parts, "arc")  # arcs are small and dear: not to be gathered into few tasks
     return unique.select("arc", zone_pair(F.col("names")).alias("pair"), measure("chain", "chord").alias("m")).select("arc", "pair", "m.*")
 
 

@@ -21,6 +21,8 @@ def rows_of(columns, rows):
 
 def oracle(sql, sf_dir):
     con = duckdb.connect()
+    con.execute("SET memory_limit = '8GB'")
+    con.execute("SET temp_directory = ''")  # an oracle that does not fit fails, and leaves no files
     for t in TABLES:
         if os.path.exists(f"{sf_dir}/{t}.parquet"):
             con.execute(f"CREATE VIEW {t} AS SELECT * FROM read_parquet('{sf_dir}/{t}.parquet')")
