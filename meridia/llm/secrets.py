@@ -5,8 +5,11 @@ escapes, is base64, or is compressed inside base64 is unwrapped to a further lay
 until none is left.  A layer that was seen before (same content from the same place) is not
 entered again, so self-reproducing archives end.  Spans found in a layer are mapped back through
 its ancestors to code points of the original text: character by character through URL and Unicode
-escapes, to the whole encoded run for base64 and compressed layers.  Base64 lines are decoded together with a
-last line of any length, else by bodies and lines, every one of them.  All members of gzip, bzip2, xz and zstd
+escapes, to the encoded run for base64 and compressed layers.  Base64 lines are decoded together with a
+last line of any length, else by bodies and lines.  Where that does not account for all of a run, its lines of any length (indented,
+or joined by a written line break) are decoded as one at all four alignments, and every text and compressed stream in it
+counts, whatever stands before and after: a path, a prefix, other words.  Escapes are \\u, \\U, \\u{}, \\x, %u, octal and
+character references; a surrogate that stands alone stays as written.  All members of gzip, bzip2, xz and zstd
 streams, zlib and bare deflate, and all files of tar and zip archives are unpacked, as far as they can be read;
 bytes that are not UTF-8 are read as UTF-16 where every other one is zero, else byte by byte.
 
@@ -51,8 +54,20 @@ _HINTS = ("passw", "secret", "token", "apikey", "api_key")
 _ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 _HEX = re.compile(r"[0-9a-f]{32,}")
 _URL = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
-_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
+_ESCAPE = re.compile(r"(?:\\u[0-9A-Fa-f]{4})+|(?:%u[0-9A-Fa-f]{4})+|(?:\\[0-3][0-7]{2})+|\\U[0-9A-Fa-f]{8}|\\u\{[0-9A-Fa-f]{1,6}\}|\\x[0-9A-Fa-f]{2}|&#[0-9]{1,7};|&#[xX][0-9A-Fa-f]{1,6};")
 _BASE64 = re.compile(r"([A-Za-z0-9+/_-]{16,}+(?:\r?\n[A-Za-z0-9+/_-]{16,}+)*+)(\r?\n[A-Za-z0-9+/_-]{1,15}+)?={0,2}")
+_C = "[A-Za-z0-9+/_-]"
+_SEPARATOR = r"(?:(?:\r?\n|\\r\\n|\\n)[ \t]*+)"
+#: Characters of the shortest secret, and of its base64.
+_LEAST, _LEAST64 = 14, 19
+#: Base64 characters in a row, in lines of any length, indented or joined by a written \\n.
+_STREAM = re.compile(rf"(?<!{_C})(?:{_C}{{{_LEAST64},}}+(?:{_SEPARATOR}{_C}++)*+|{_C}++(?:{_SEPARATOR}{_C}++)++)")
+_CHUNK = re.compile(rf"{_SEPARATOR}|({_C}++)")
+#: Text inside decoded bytes: UTF-8, or UTF-16 of ASCII in either order.
+_TEXTS = re.compile(rb"(?:[\t\r\n\x20-\x7E]|[\xC2-\xDF][\x80-\xBF]|[\xE0-\xEF][\x80-\xBF]{2}|[\xF0-\xF4][\x80-\xBF]{3}){14,}+")
+_WIDE = re.compile(rb"(?:[\t\r\n\x20-\x7E]\x00){14,}+|(?:\x00[\t\r\n\x20-\x7E]){14,}+")
+#: How compressed streams begin.
+_BEGINS = re.compile(rb"\x1F\x8B\x08|BZh[1-9]1AY&SY|\xFD7zXZ\x00|\x28\xB5\x2F\xFD|PK\x03\x04|x[\x01\x5E\x9C\xDA]")
 Span = tuple[int, int]
 OWN = {"spans", "added", "n_truncated"}
 _READ = 1 << 16
@@ -73,8 +88,9 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
 class Layer:
     """A decoded text, and how a span of it reads in its parent."""
 
-    def __init__(self, text: str, parent: Layer | None = None, to_parent: Callable[[int, int], Span] | None = None, how: str = "", truncated: bool = False):
+    def __init__(self, text: str, parent: Layer | None = None, to_parent: Callable[[int, int], Span] | None = None, how: str = "", truncated: bool = False, partial: bool = False):
         self.text, self.parent, self.to_parent, self.truncated = text, parent, to_parent, truncated
+        self.partial = partial or parent is not None and parent.partial
         self.path = (parent.path if parent else ()) + ((how,) if how else ())
 
     def original(self, start: int, end: int) -> Span:
@@ -131,19 +147,25 @@ def _url(run: str) -> list[tuple[str, int]] | None:
 
 
 def _escape(run: str) -> list[tuple[str, int]] | None:
-    if run.startswith("\\u") and run[2] != "{":
+    """The characters of escapes; a surrogate that stands alone stays as it is written."""
+    if run[1] == "u" and run[2] != "{":
         units = [int(run[i + 2 : i + 6], 16) for i in range(0, len(run), 6)]
         out, i = [], 0
         while i < len(units):
             if 0xD800 <= units[i] < 0xDC00 and i + 1 < len(units) and 0xDC00 <= units[i + 1] < 0xE000:
                 out.append((chr(0x10000 + ((units[i] - 0xD800) << 10) + units[i + 1] - 0xDC00), 12))
                 i += 2
-            elif 0xD800 <= units[i] < 0xE000:
-                return None
-            else:
-                out.append((chr(units[i]), 6))
-                i += 1
-        return out
+                continue
+            own = run[6 * i : 6 * i + 6]
+            out += [(c, 1) for c in own] if 0xD800 <= units[i] < 0xE000 else [(chr(units[i]), 6)]
+            i += 1
+        return out if len(out) < len(run) else None
+    if run[1].isdigit():  # octal bytes
+        data = bytes(int(run[i + 1 : i + 4], 8) for i in range(0, len(run), 4))
+        try:
+            return [(c, 4 * len(c.encode())) for c in data.decode("utf-8")]
+        except UnicodeDecodeError:
+            return [(chr(b), 4) for b in data]
     digits = run.strip("\\uUx{}&#;X")
     code = int(digits, 10 if run.startswith("&#") and run[2] not in "xX" else 16)
     return [(chr(code), len(run))] if code < 0xD800 or 0xE000 <= code < 0x110000 else None
@@ -254,7 +276,7 @@ def _inner(data: bytes, limit: int) -> Unpacked:
         got = _members(data, left)
         if got is None:
             text = _text_of(data)
-            out.sure &= text is not None or how != "base64"
+            out.sure &= (text is not None or how != "base64") and not how.endswith("deflate")  # noise may inflate to letters
             out.texts.append((_any_text(data) if text is None else text, how))
             continue
         for member in got[1]:
@@ -317,15 +339,87 @@ def _without_tail(m: re.Match, limit: int) -> bool:
     return not all(c.isprintable() or c in "\t\r\n" for c in rest)
 
 
+def _pieces(layer: Layer, start: int, end: int, limit: int) -> Iterator[Layer]:
+    """Texts anywhere in a run of base64 characters, whatever stands before and after their own base64.
+
+    What precedes encoded data shifts it by 0 to 3 places, so the run is decoded at all four; what is text in one of them, or
+    begins a compressed stream, is a layer that stands for the characters it was decoded from."""
+    chunks = [m.span(1) for m in _CHUNK.finditer(layer.text, start, end) if m[1]]
+    stream = "".join(layer.text[a:b] for a, b in chunks).replace("-", "+").replace("_", "/")
+    if len(stream) < _LEAST64:
+        return
+    firsts = [0]
+    for a, b in chunks:
+        firsts.append(firsts[-1] + b - a)
+
+    def place(i: int) -> int:
+        """Where the stream's i-th character stands in the layer."""
+        k = bisect_right(firsts, i) - 1
+        return chunks[k][0] + i - firsts[k]
+
+    def piece(text: str, how: str, at: int, first: int, last: int, truncated: bool = False) -> Layer:
+        span = place(at + 4 * first // 3), place(min(len(stream), at - (-4 * last // 3)) - 1) + 1
+        return Layer(text, layer, lambda a, b: span, how, truncated, True)
+
+    left = limit
+    for at in range(4):
+        raw = stream[at:]
+        raw = raw[: len(raw) - (len(raw) % 4 == 1)]
+        data = base64.b64decode(raw + "=" * (-len(raw) % 4))
+        for m in _TEXTS.finditer(data):
+            yield piece(m[0].decode("utf-8", "replace"), "base64", at, *m.span())
+        for m in _WIDE.finditer(data):
+            yield piece(m[0].replace(b"\0", b"").decode(), "base64", at, *m.span())
+        view, upto = memoryview(data), 0
+        for m in _BEGINS.finditer(data):
+            if m.start() < upto or left <= 0:
+                continue
+            out, upto = _member_at(view, m.start(), left)
+            if out:
+                got = _inner(out[:left], left)
+                got.truncated |= len(out) > left
+                left -= len(out)
+                for text, how in got.texts:
+                    yield piece(text, f"base64+{how}", at, m.start(), upto, got.truncated)
+
+
+def _member_at(view: memoryview, start: int, limit: int) -> tuple[bytes, int]:
+    """What a compressed stream that begins at start holds, up to one byte over limit, and where it ends; damage ends it."""
+    begins, at = bytes(view[start : start + 30]), start
+    decoder = next((d for magic, _, d in _STREAMS if begins.startswith(magic)), zlib.decompressobj)
+    if begins.startswith(b"PK"):
+        if len(begins) < 30 or begins[8:10] != b"\x08\0":
+            return b"", start
+        at += 30 + int.from_bytes(begins[26:28], "little") + int.from_bytes(begins[28:30], "little")
+        decoder = lambda: zlib.decompressobj(-15)
+    out, own, step = bytearray(), decoder(), 512
+    try:
+        while at < len(view) and not own.eof and len(out) <= limit:
+            out += own.decompress(view[at : at + step])
+            at, step = min(len(view), at + step), min(_READ, 2 * step)
+    except Exception:  # noqa: BLE001 - damaged, or no such stream after all
+        return bytes(out[: limit + 1]), max(start + 1, at if out else 0)
+    return bytes(out[: limit + 1]), max(start + 1, at - len(own.unused_data) if own.eof else at)
+
+
 def _layers_of(layer: Layer, limit: int) -> Iterator[Layer]:
     text = layer.text
     if "%" in text and (new := _replaced(layer, _URL, _url, "url")):
         yield new
-    if ("\\" in text or "&#" in text) and (new := _replaced(layer, _ESCAPE, _escape, "unicode")):
+    if ("\\" in text or "&#" in text or "%u" in text) and (new := _replaced(layer, _ESCAPE, _escape, "unicode")):
         yield new
+    surely: list[Span] = []
     for m in _BASE64.finditer(text):
         end = m.end(1) if m[2] and _without_tail(m, limit) else m.end()
-        yield from _unwrapped(layer, m.start(), end, limit)[0]
+        layers, sure = _unwrapped(layer, m.start(), end, limit)
+        if sure:
+            surely.append((m.start(), end))
+        yield from layers
+    starts = [a for a, _ in surely]
+    for m in _STREAM.finditer(text):
+        k = bisect_right(starts, m.start()) - 1
+        if k < 0 or surely[k][1] < m.end():
+            yield from _pieces(layer, m.start(), m.end(), limit)
 
 
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
@@ -344,7 +438,8 @@ def examine(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[st
         if layer.parent is not None:
             for kind, a, b in base_spans(layer.text):
                 span = (kind, *layer.original(a, b))
-                if span not in found:
+                held = layer.partial and any(k == kind and s <= span[1] and span[2] <= e for k, s, e in added)
+                if span not in found and not held:
                     found.add(span)
                     added.append(span)
         for new in _layers_of(layer, max_layer):
