@@ -418,10 +418,16 @@ def _layers_of(layer: Layer, limit: int) -> Iterator[Layer]:
     starts = [a for a, _ in surely]
     for m in _STREAM.finditer(text):
         k = bisect_right(starts, m.start()) - 1
-        if k < 0 or surely[k][1] < m.end():
+        if k < 0 or surely[k][1] < m.end():  # lines that are text each may be one text together
             yield from _pieces(layer, m.start(), m.end(), limit)
 
 
+def _told(told: list[tuple[tuple[str, int, int], str]], span: tuple[str, int, int], text: str) -> bool:
+    """Whether a span that overlaps this one was found for the same secret, or holds it."""
+    kind, start, end = span
+    return any(k == kind and s < end and start < e and (s <= start and end <= e or text.startswith(own) or own.startswith(text)) for (k, s, e), own in told)
+
+
 def scan(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:
     """Base spans of the text, and the spans that decoded layers add; both by start, then kind."""
     return examine(text, max_layer)[:2]
@@ -432,14 +438,16 @@ def examine(text: str | None, max_layer: int = MAX_LAYER) -> tuple[list[tuple[st
     text = text or ""
     base = base_spans(text)
     found, added, seen, cut = set(base), [], set(), set()
+    told: list[tuple[tuple[str, int, int], str]] = []
     work = deque([Layer(text)])
     while work:
         layer = work.popleft()
         if layer.parent is not None:
             for kind, a, b in base_spans(layer.text):
                 span = (kind, *layer.original(a, b))
-                held = layer.partial and any(k == kind and s <= span[1] and span[2] <= e for k, s, e in added)
-                if span not in found and not held:
+                own = layer.text[a:b]
+                if span not in found and not (layer.partial and _told(told, span, own)):
+                    told.append((span, own))
                     found.add(span)
                     added.append(span)
         for new in _layers_of(layer, max_layer):
