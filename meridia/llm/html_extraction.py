@@ -8,9 +8,9 @@
    wrapper also says which node is the content: the one that most pages' article or main elements align
    with, else the node that all slots with text but one small rest stand in.
 3. Every page, sampled or not, is aligned with its host's wrapper in the same way.  Its template nodes go,
-   inside an article as well, and its content node is read, without menus, headers, footers, sidebars,
-   notices, adverts, forms, scripts and comments.  A class name that tells of such a part only decides about
-   slots, and not where the wrapper finds most of the host's text in it.
+   inside an article as well (but not headings and labels of what varies), and its content node is read, without menus, headers,
+   footers, sidebars, notices, adverts, forms, scripts and comments.  A class name that tells of such a part only decides about
+   slots, and not where the wrapper finds most of the host's text in it; inside an article, only if it names nothing else.
 
 Pages that share an article (copies with edited words, one article in several frames) count as one page for step
 2, so a popular article does not become template.
@@ -50,7 +50,11 @@ CONTENT, KEPT = 1, 2
 MAX_DEPTH = 150
 #: Bytes of wrappers that may be broadcast; above this the join with the pages shuffles.
 BROADCAST_BYTES = 32 << 20
-_TOKEN = re.compile(r"""<!--.*?(?:-->|\Z)|<(script|style|noscript|template|svg|iframe|textarea|select|title)\b[^>]*+>.*?(?:</\1\s*>|\Z)|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|[^<]++|<""", re.S | re.I)
+SALTS = 64
+_TOKEN = re.compile(r"""<!--|<(/?)([a-zA-Z][^\s/>]*+)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<[!?][^>]*+>|[^<]++|<""", re.S)
+#: Elements whose content is no text of the page, up to their end tag; only foreign ones can close themselves.
+_RAW, _FOREIGN = frozenset("script style noscript template svg iframe textarea select title".split()), frozenset(["svg"])
+_END = {tag: re.compile(rf"</{tag}\s*>", re.I) for tag in _RAW}
 _ATTRIBUTE = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s>]+))""", re.I)
 _VOID = frozenset("area base br col embed hr img input link meta param source track wbr".split())
 _BLOCK = frozenset("address article aside blockquote body center dd details dialog div dl dt fieldset figcaption figure footer form h1 h2 h3 h4 h5 h6 header hgroup hr html li main menu nav ol p pre section summary table tbody td tfoot th thead tr ul".split())
@@ -58,9 +62,23 @@ _SELF_CLOSING = {"li": {"li"}, "dt": {"dt", "dd"}, "dd": {"dt", "dd"}, "tr": {"t
 _SCOPE = frozenset("ul ol dl table article section div main body".split())
 _CONTAINER = frozenset("#root html body main article section div center table tbody tr td".split())
 _HEADING = frozenset("h1 h2 h3".split())
+_LABELS, _TABLE_PARTS = frozenset("h1 h2 h3 h4 h5 h6 dt".split()), frozenset("caption colgroup thead tbody tfoot tr th td".split())
 _BOILERPLATE = frozenset("nav aside footer form button menu dialog head".split())
 _HINT = re.compile(r"(?:^|[^a-z])(?:ad|ads|advert\w*|sponsor\w*|promo\w*|banner|cookies?|consent|notice|newsletter|subscribe|share|sharing|social|sidebar|menu|nav|navbar|navigation|breadcrumbs?|footer|masthead|comments?|commentlist|disqus|repl(?:y|ies)|related|popup|modal|login|signup)(?:$|[^a-z])")
 
+#: Words that say where a part stands or what it is made of, not what it tells.
+_PLAIN = frozenset("ad ads advert box block list wrap wrapper container bar links link buttons button icons icon section area widget panel item items inner outer top bottom left right main header title form content body articles posts stories news site page article post user users reader readers your more this the row col column group count counter toggle inline slot unit holder frame small large".split())
+
+
+def _of_frame(names: str) -> bool:
+    """Whether a class name, inside an article, is made of words for a part of the frame only: share-buttons, but not market-share."""
+    for name in names.split():
+        words = [w for w in re.split(r"[^a-z]+", name) if w]
+        hints = [w for w in words if _HINT.search(w)]
+        if hints and all(w in _PLAIN or w in hints for w in words):
+            return True
+    return False
+
 
 class Node:
     __slots__ = ("tag", "names", "children", "template", "kept")
@@ -80,22 +98,46 @@ class Node:
 
 
 def parse(html: str | None) -> Node:
-    """A tolerant DOM tree; scripts, styles, titles and comments are left out."""
+    """A tolerant DOM tree; scripts, styles, titles and comments are left out.
+
+    A comment or raw element that is never closed ends where its tag does (with the text right after a raw one's)."""
     root = Node("#root")
     stack = [root]
-    for m in _TOKEN.finditer(html or ""):
-        tag = m[3]
+    html = html or ""
+    at, never = 0, set()  # never: what is not closed in the rest of the page
+    skip = False
+    while at < len(html):
+        m = _TOKEN.match(html, at)
+        at = m.end()
+        if m[0] == "<!--":
+            end = -1 if "<!--" in never else html.find("-->", at)
+            if end < 0:
+                never.add("<!--")
+            at = at if end < 0 else end + 3
+            continue
+        tag = m[2]
         if tag is None:
-            if m[0][0] != "<" or m[0] == "<":
+            if (m[0][0] != "<" or m[0] == "<") and not skip:
                 stack[-1].children.append(html_lib.unescape(m[0]) if "&" in m[0] else m[0])
+            skip = False
             continue
-        tag = tag.lower()
-        if m[2]:
+        tag, skip = tag.lower(), False
+        if m[1]:
             for i in range(len(stack) - 1, 0, -1):
                 if stack[i].tag == tag:
                     del stack[i:]
                     break
             continue
+        if tag in _RAW:
+            if m[3].endswith("/") and tag in _FOREIGN:
+                continue
+            end = None if tag in never else _END[tag].search(html, at)
+            if end is None:
+                never.add(tag)
+                skip = True
+            else:
+                at = end.end()
+            continue
         if tag in _BLOCK:
             for i in range(len(stack) - 1, 0, -1):  # an open paragraph ends where a block begins
                 if stack[i].tag == "p":
@@ -110,16 +152,22 @@ def parse(html: str | None) -> Node:
                     break
                 if stack[i].tag in _SCOPE:
                     break
-        names = " ".join((a[1] or a[2] or a[3]).lower() for a in _ATTRIBUTE.findall(m[4])) if m[4] else ""
+        names = " ".join((a[1] or a[2] or a[3]).lower() for a in _ATTRIBUTE.findall(m[3])) if m[3] else ""
         node = Node(tag, names)
         stack[-1].children.append(node)
-        if tag not in _VOID and not m[4].endswith("/") and len(stack) < MAX_DEPTH:
+        if tag not in _VOID and not m[3].endswith("/") and len(stack) < MAX_DEPTH:
             stack.append(node)
     return root
 
 
+#: Runs of one kind among siblings from which on all of the kind are one folded node: headings and paragraphs in turn, say.
+RUNS = 3
+
+
 class Folded:
-    """A node with runs of alike siblings folded; nodes holds the DOM nodes it stands for."""
+    """A node with its alike siblings folded: neighbours, and all of a kind that comes in RUNS runs; nodes holds the DOM nodes it stands for.
+
+    So a kind stands at most twice among a node's children, however many they are."""
 
     __slots__ = ("key", "children", "nodes")
 
@@ -134,11 +182,19 @@ class Folded:
                         runs[-1][1].append(c)
                     else:
                         runs.append((k, [c]))
-        if len(nodes) > 1:  # children of repeated nodes: one folded child for each kind
-            kinds: dict[tuple[str, str], list[Node]] = {}
-            for k, own in runs:
-                kinds.setdefault(k, []).extend(own)
-            runs = list(kinds.items())
+        often = Counter(k for k, _ in runs)
+        least = 2 if len(nodes) > 1 else RUNS  # children of repeated nodes: one folded child for each kind
+        kinds: dict[tuple[str, str], list[Node]] = {}
+        merged: list[tuple[tuple[str, str], list[Node]]] = []
+        for k, own in runs:
+            if often[k] < least:
+                merged.append((k, own))
+            elif k in kinds:
+                kinds[k].extend(own)
+            else:
+                kinds[k] = own
+                merged.append((k, own))
+        runs = merged
         self.children = [Folded(own) for _, own in runs]
 
 
@@ -162,21 +218,52 @@ def digest(text: str) -> str:
     return hashlib.blake2b(text.encode("utf-8", "surrogatepass"), digest_size=8).hexdigest()
 
 
+def _heaviest(pairs: list[tuple[int, int, int]], n: int) -> tuple[int, list[tuple[int, int]]]:
+    """The heaviest chain of pairs (i, j, weight) that rises in both places, j below n: its weight, and its pairs.
+
+    A Fenwick tree keeps the heaviest chain that ends before each j: as many steps as there are pairs, times log n."""
+    tree: list[int] = [-1] * (n + 1)
+    total, before = [0] * len(pairs), [-1] * len(pairs)
+    best = -1
+    for p in sorted(range(len(pairs)), key=lambda p: (pairs[p][0], -pairs[p][1])):
+        _, j, weight = pairs[p]
+        top, at = -1, j
+        while at:  # chains whose last j is below this one
+            if tree[at] >= 0 and (top < 0 or total[tree[at]] > total[top]):
+                top = tree[at]
+            at &= at - 1
+        total[p], before[p] = weight + (total[top] if top >= 0 else 0), top
+        at = j + 1
+        while at <= n:
+            if tree[at] < 0 or total[p] > total[tree[at]]:
+                tree[at] = p
+            at += at & -at
+        if best < 0 or total[p] > total[best]:
+            best = p
+    size, out = total[best] if best >= 0 else 0, []
+    while best >= 0:
+        out.append(pairs[best][:2])
+        best = before[best]
+    return size, out
+
+
 def tree_matching(a: Folded | Wrapper, b: Folded, memo: dict) -> int:
-    """Size of the greatest top-down, order-preserving match of two trees (Yang 1991)."""
+    """Size of the greatest top-down, order-preserving match of two trees (Yang 1991).
+
+    Only children of one kind can match, and a kind stands at most twice on a side, so the pairs are few and the greatest
+    match of the children is their heaviest rising chain."""
     if a.key != b.key:
         return 0
     got = memo.get((id(a), id(b)))
     if got is not None:
         return got[0]
-    m, n = len(a.children), len(b.children)
-    w = [[0] * (n + 1) for _ in range(m + 1)]
-    for i in range(1, m + 1):
-        for j in range(1, n + 1):
-            own = tree_matching(a.children[i - 1], b.children[j - 1], memo) if a.children[i - 1].key == b.children[j - 1].key else 0
-            w[i][j] = max(w[i - 1][j], w[i][j - 1], w[i - 1][j - 1] + own)
-    memo[id(a), id(b)] = (w[m][n] + 1, w)
-    return w[m][n] + 1
+    kinds: dict[tuple[str, str], list[int]] = {}
+    for j, c in enumerate(b.children):
+        kinds.setdefault(c.key, []).append(j)
+    pairs = [(i, j, tree_matching(c, b.children[j], memo)) for i, c in enumerate(a.children) for j in kinds.get(c.key, ())]
+    size, chosen = _heaviest(pairs, len(b.children))
+    memo[id(a), id(b)] = (size + 1, chosen)
+    return size + 1
 
 
 def matched_pairs(a: Folded | Wrapper, b: Folded) -> list[tuple]:
@@ -188,17 +275,7 @@ def matched_pairs(a: Folded | Wrapper, b: Folded) -> list[tuple]:
     while work:
         x, y = work.pop()
         out.append((x, y))
-        w = memo[id(x), id(y)][1]
-        i, j = len(x.children), len(y.children)
-        while i and j:
-            own = tree_matching(x.children[i - 1], y.children[j - 1], memo)
-            if own and w[i][j] == w[i - 1][j - 1] + own:
-                work.append((x.children[i - 1], y.children[j - 1]))
-                i, j = i - 1, j - 1
-            elif w[i][j] == w[i - 1][j]:
-                i -= 1
-            else:
-                j -= 1
+        work += [(x.children[i], y.children[j]) for i, j in memo[id(x), id(y)][1]]
     return out
 
 
@@ -291,6 +368,29 @@ def induce(htmls: list[str]) -> Wrapper | None:
     return built(reference)
 
 
+def _keep_labels(root: Node) -> None:
+    """Headings and labels that every page has, but that head what varies, are content: they are no template.
+
+    A heading heads its siblings up to the next one; the constant rows and cells of a table that varies belong to it."""
+    stack = [root]
+    while stack:
+        x = stack.pop()
+        if isinstance(x, str) or x.template:
+            continue
+        varying = False
+        for c in reversed(x.children):
+            if isinstance(c, str):
+                varying |= bool(c.strip())
+            elif c.tag in _TABLE_PARTS:
+                c.template = False
+            elif c.tag in _LABELS:
+                c.template &= not varying
+                varying = False
+            else:
+                varying |= not c.template and not _boilerplate(c, True) and bool(c.text())
+        stack.extend(x.children)
+
+
 def mark(root: Node, wrapper: Wrapper) -> Node | None:
     """Mark the page's template nodes and kept slots; its content node, if it has the wrapper's."""
     start = None
@@ -306,7 +406,9 @@ def mark(root: Node, wrapper: Wrapper) -> Node | None:
 def _boilerplate(node: Node, inside: bool) -> bool:
     if node.tag in _BOILERPLATE or node.tag == "header" and not inside:
         return True
-    return bool(node.names) and not node.kept and node.tag not in ("html", "body", "main") and bool(_HINT.search(node.names))
+    if not node.names or node.kept or node.tag in ("html", "body", "main") or not _HINT.search(node.names):
+        return False
+    return not inside or _of_frame(node.names)
 
 
 def _blocks(root: Node, inside: bool, drop_template: bool = False) -> Iterator[str]:
@@ -376,6 +478,7 @@ def content(root: Node, wrapper: Wrapper | None = None) -> str:
     if start is None or start.tag not in ("article", "main") and main is not None:
         start = main  # the page has its own content element where the host as a whole has none
     at, inside = (root, False) if start is None else (start, start.tag == "article" or start is main)
+    _keep_labels(at)
     got = list(_blocks(at, inside, True)) or list(_blocks(at, inside))
     return "\n\n".join(got)
 
@@ -401,7 +504,12 @@ def extract_pages(pages: DataFrame, parts: int = PARTS, keep: tuple[str, ...] =
     rows = pages.select(*kept, host_of(F.col("url").cast("string")).alias("__host"), html.alias("__html"))
     wrappers = wrappers_of(rows.select("__host", F.xxhash64("__html").alias("__hash"), "__html"), parts)
     size = wrappers.agg(F.sum(F.octet_length("wrapper"))).first()[0] or 0
-    joined = rows.join(F.broadcast(wrappers) if size <= BROADCAST_BYTES else wrappers, "__host", "left").select(*kept, "__html", "wrapper")
+    if size <= BROADCAST_BYTES:
+        joined = rows.join(F.broadcast(wrappers), "__host", "left")
+    else:  # a host of many pages is many tasks
+        salted = wrappers.withColumn("__salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        joined = rows.withColumn("__salt", F.pmod(F.xxhash64("__html"), F.lit(SALTS)).cast("int")).join(salted, ["__host", "__salt"], "left")
+    joined = joined.select(*kept, "__html", "wrapper")
     schema = T.StructType([*joined.schema.fields[: len(kept)], T.StructField("text", T.StringType()), T.StructField("n_chars", T.LongType())])
 
     def run(batch: pa.RecordBatch) -> pa.RecordBatch:
