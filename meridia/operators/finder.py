@@ -31,7 +31,11 @@ CELL = ["cell_lng", "cell_lat"]
 
 def build_grid(edge_table: DataFrame) -> DataFrame:
     """cell_lng, cell_lat, tz_idx, n_cand: the cells that each zone's box reaches."""
-    box = R.bounds(edge_table.where("hole_idx < 0"), "tz_idx")
+    return grid_of(R.bounds(edge_table.where("hole_idx < 0"), "tz_idx"))
+
+
+def grid_of(box: DataFrame) -> DataFrame:
+    """The grid of zones' boxes (tz_idx, min_x, min_y, max_x, max_y)."""
     x = F.explode(F.sequence(G.cell(F.col("min_x")), G.cell(F.col("max_x"))))
     cells = box.select("tz_idx", x.alias("cell_lng"), "min_y", "max_y").withColumn("cell_lat", F.explode(F.sequence(G.cell(F.col("min_y")), G.cell(F.col("max_y")))))
     cells = cells.select("cell_lng", "cell_lat", "tz_idx")

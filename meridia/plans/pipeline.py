@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..functions.polyline import decode_points, encode_points
+from ..functions.polyline import decode_points, encode_points, points_box
 from ..operators import finder, tiles, topology
 from ..operators import rings as R
 from ..sources.geojson import load_zones
@@ -37,6 +37,23 @@ def decompress_topology(segments: DataFrame, library: DataFrame) -> tuple[DataFr
     return segments.withColumn("pts", points).drop("bytes"), library.withColumn("pts", points).drop("bytes")
 
 
+def compressed_bounds(segments: DataFrame, library: DataFrame, exteriors_only: bool = False) -> DataFrame:
+    """tz_idx, min_x, min_y, max_x, max_y from compressed topology: a shared edge's bytes are read once, however many rings use it.
+
+    No ring is put together; holes count unless exteriors_only.  An edge id that the library lacks adds nothing."""
+    own = segments if not exteriors_only else segments.where("hole_idx < 0")
+    boxed = library.select(F.col("id").alias("edge_id"), points_box("bytes").alias("b"))
+    inline = own.where("bytes is not null").select("tz_idx", points_box("bytes").alias("b"))
+    shared = own.where("edge_id is not null").select("tz_idx", "edge_id").distinct().join(boxed, "edge_id").select("tz_idx", "b")
+    low, high = (lambda c: F.min(f"b.{c}").alias(c)), (lambda c: F.max(f"b.{c}").alias(c))
+    return inline.unionByName(shared).where("b is not null").groupBy("tz_idx").agg(low("min_x"), low("min_y"), high("max_x"), high("max_y"))
+
+
+def compressed_grid(segments: DataFrame, library: DataFrame) -> DataFrame:
+    """The one-degree grid of a compressed topology (finder.build_grid() of its boxes), to be stored beside it."""
+    return finder.grid_of(compressed_bounds(segments, library))
+
+
 def finder_from_topology(segments: DataFrame, library: DataFrame, names: DataFrame, version: str = "", use_grid: bool = True) -> finder.ZoneFinder:
     """The finder of a compressed topology: segments and shared edges (bytes), and the zones' names (tz_idx, name)."""
     rings = settled(topology.expand(*decompress_topology(segments, library)))
@@ -59,8 +76,13 @@ class ZonePipeline:
     def ingest(self, path: str, form: str | None = None) -> DataFrame:
         return self._store(load_zones(self.spark, path, form), "zones")
 
-    def reduce(self, epsilon: float = topology.EPSILON) -> DataFrame:
-        out = self._store(topology.simplify(self.read("zones").drop("properties"), epsilon), "reduced")
+    def baseline(self) -> topology.Baseline:
+        """The snapped rings and their chains, stored: further epsilons start here."""
+        return topology.prepare_baseline(self.read("zones").drop("properties")).store(f"{self.folder}/baseline")
+
+    def reduce(self, epsilon: float = topology.EPSILON, base: topology.Baseline | None = None) -> DataFrame:
+        done = topology.simplify_baseline(base or self.baseline(), epsilon)
+        out = self._store(done.rings, "reduced")
         if bad := topology.violations(out.withColumn("pts", G.close_ring(F.col("pts")))).limit(5).collect():
             raise ValueError(f"the simplified dataset is not valid: {bad}")
         return out
@@ -71,6 +93,7 @@ class ZonePipeline:
 
     def compress_topology(self) -> tuple[DataFrame, DataFrame]:
         segments, library = compress_topology(self.read("segments"), self.read("shared_edges"))
+        self._store(compressed_grid(segments, library), "grid_compressed")  # travels with the set
         return self._store(segments, "segments_compressed"), self._store(library, "shared_edges_compressed")
 
     def topology_finder(self, source: str = "reduced", use_grid: bool = True) -> finder.ZoneFinder:

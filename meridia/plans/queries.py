@@ -768,3 +768,15 @@ def reduction_report(spark, sf_dir):
     """Rings of 128 vertices before and after the classic reduction, each ring by itself."""
     rings = _fine_rings(spark, sf_dir)
     return topology.reduction_report(rings, topology.reduce_classic(rings, _EPSILON))
+
+
+@query(f"SELECT tz_idx, min(xa) AS min_x, min(ya) AS min_y, max(xa) AS max_x, max(ya) AS max_y FROM {_E} GROUP BY tz_idx")
+def compressed_bounds(spark, sf_dir):
+    """Boxes from the bytes of the compressed topology, each shared edge's once, against those of the rings."""
+    return pipeline.compressed_bounds(*map(settled, pipeline.compress_topology(*topology.deduplicate(PATCHES.rings(spark, sf_dir)))))
+
+
+@query(_GRID.replace(" WHERE hole_idx < 0", "") + " SELECT cell_lng, cell_lat, tz_idx, count(*) OVER (PARTITION BY cell_lng, cell_lat) AS n_cand FROM g")
+def compressed_grid(spark, sf_dir):
+    """The grid that travels with the compressed topology."""
+    return pipeline.compressed_grid(*map(settled, pipeline.compress_topology(*topology.deduplicate(PATCHES.rings(spark, sf_dir)))))

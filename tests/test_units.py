@@ -222,3 +222,74 @@ def test_numbered(spark):
     got = numbered(rows, [F.col("k").asc_nulls_last(), F.col("id")], "n", 11).collect()
     assert [r["n"] for r in sorted(got, key=lambda r: (r["k"], r["id"]))] == list(range(5000))
     assert numbered(rows.where("false"), [F.col("k")], "n").count() == 0
+
+
+def test_columnar_codec(spark):
+    """Whole columns against the scalar codec: empty and null rows, large differences, ten million points, named errors."""
+    import time
+
+    rng = random.Random(3)
+    rows = [None, []] + [[(rng.randrange(-(1 << 31), 1 << 31), rng.choice([0, -1, 31, 32, -18_000_000, (1 << 31) - 1])) for _ in range(rng.randrange(0, 9))] for _ in range(300)]
+    df = spark.createDataFrame([(i, None if r is None else [(a, b) for a, b in r]) for i, r in enumerate(rows)], "i int, pts array<struct<x:bigint,y:bigint>>").repartition(3)
+    packed = df.select("i", "pts", P.encode_points("pts").alias("b"))
+    for r in packed.select("i", "b", P.decode_points("b").alias("back"), P.points_box("b").alias("box")).collect():
+        want = rows[r["i"]]
+        assert (r["b"] is None) if want is None else bytes(r["b"]) == P.encode_ints(want)
+        assert (r["back"] is None) if want is None else [tuple(p) for p in r["back"]] == want
+        assert tuple(r["box"]) == (*map(min, zip(*want)), *map(max, zip(*want))) if want else r["box"] is None
+    n = 10_000_000
+    x, y = np.arange(n) % 36_000_000 - 18_000_000, (np.arange(n) * 7919) % 18_000_000 - 9_000_000
+    ends = np.arange(0, n + 1, 1000)
+    began = time.time()
+    data, at = P.encode_column(x, y, ends)
+    a, b, points = P.decode_column(data, at)
+    assert time.time() - began < 30 and (a == x).all() and (b == y).all() and (points == ends).all()
+    for bad, name in ((b"_p~iF", "empty"), (b"_p~iF~", "unterminated"), (b"\x01\x02", "invalid byte"), (b"~" * 14 + b"??", "overflow"), (P.encode_ints([(1 << 30, 0), (1 << 32, 0)]), "overflow")):
+        with pytest.raises(P.PolylineError, match=name):
+            P.decode_column(np.frombuffer(b"??" + bad, np.uint8), np.array([0, 2, 2 + len(bad)]))
+
+
+def test_tile_cover_of_long_edges(spark):
+    """A thin slanted zone across the map: the border's tiles, not those of its box."""
+    rings = spark.createDataFrame([(0, "slant", 0, -1, [(-17_000_000, -7_000_000), (17_000_000, 6_900_000), (17_000_000, 7_000_000)])], "tz_idx int, name string, poly_idx int, hole_idx int, pts array<struct<x:bigint,y:bigint>>")
+    crossed = tiles.crossing_tiles(R.edges(rings), 10).count()
+    assert 1000 < crossed < 8000  # the box holds over 700,000
+
+
+def test_alignment():
+    ring = [(0, 0), (1, 0), (2, 0), (1, 1), (1, 0), (0, 1)]
+    assert audit.aligned(ring, [(1, 1), (0, 1), (0, 0)]) == [3, 5, 6]
+    assert audit.aligned(ring, [(1, 0), (0, 1), (0, 0)]) == [1, 5, 6]
+    assert audit.aligned(ring, [(1, 0), (0, 0), (2, 0)]) == [4, 6, 8]
+    assert audit.aligned(ring, ring) == list(range(6)) and audit.aligned(ring, ring[4:] + ring[:4]) == list(range(4, 10))
+    with pytest.raises(ValueError, match="order"):
+        audit.aligned(ring, [(2, 0), (0, 0), (0, 1)])
+    with pytest.raises(ValueError, match="not in the original"):
+        audit.aligned(ring, [(9, 9)])
+
+
+def test_sagitta_bound():
+    """Places of the map's straight lines against the great circles of the densified ones."""
+    rng = np.random.default_rng(2)
+    for _ in range(40):
+        a, b = rng.uniform(-18e6, 18e6, 2), rng.uniform(-8.9e6, 8.9e6, 2)
+        line = np.array([[a[0], b[0]], [a[1], b[1]]])
+        dense = audit.densify(line)
+        start, end = audit.unwrapped(line)
+        places = start + (end - start) * np.linspace(0, 1, 4001)[:, None]
+        assert audit.distances(audit._vectors(places), audit._vectors(dense)).max() <= audit.SAGITTA_M
+
+
+def test_baseline_update(spark):
+    """A changed zone: only rings near it are snapped again, and the result is that of a fresh baseline."""
+    rows = X.nations()
+    rings = X.rings(spark, rows)
+    base = topology.prepare_baseline(rings)
+    changed = [(t, n, p, h, [*pts[:1], (pts[0][0] + 700_000, pts[0][1]), *pts[1:]] if t == 48 and h < 0 else pts) for t, n, p, h, pts in rows if t != 47]
+    updated, again = topology.update_baseline(base, X.rings(spark, changed))
+    fresh = topology.prepare_baseline(X.rings(spark, changed))
+    key = lambda df: sorted((r["tz_idx"], r["hole_idx"], sorted(map(tuple, r["pts"]))) for r in df.collect())
+    assert key(updated.ready) == key(fresh.ready) and 0 < again.count() < rings.count() / 2
+    assert key(topology.simplify_baseline(updated, 0.01).rings) == key(topology.simplify_baseline(fresh, 0.01).rings)
+    same, none = topology.update_baseline(base, rings)
+    assert none.count() == 0 and key(same.ready) == key(base.ready)
