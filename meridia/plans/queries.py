@@ -550,8 +550,8 @@ def polyline_round_trip(spark, sf_dir):
 
 # Audit
 
-#: Smaller zones, one for each customer.
-FINE = X.Patches("customer", "c_custkey", most=60_000, south=-4_000_000)
+#: Smaller zones, one for each supplier.
+FINE = X.Patches("supplier", "s_suppkey", most=60_000, south=-4_000_000)
 _FINE_EPSILON = 0.01
 _BINS = "b AS (SELECT user_id % 10 AS g, cast(round(value / cast(0.1 AS double)) AS bigint) AS bin, sum(cast(1 + event_id % 3 AS double)) AS weight FROM events GROUP BY ALL)"
 
@@ -619,7 +619,7 @@ def _audit_sql(epsilon: float) -> str:
 
 
 def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Arcs of the customers' zones against their simplification."""
+    """Arcs of the suppliers' zones against their simplification."""
     base = topology.prepare_baseline(FINE.rings(spark, sf_dir))
     return settled(audit.analyse(base.ready, topology.simplify_baseline(base, _FINE_EPSILON).rings))
 
