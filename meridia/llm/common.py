@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import ctypes
 import tempfile
 from collections.abc import Callable, Iterator
 
@@ -54,6 +55,20 @@ def slices(batch: pa.RecordBatch) -> Iterator[pa.RecordBatch]:
         at = upto
 
 
+def _trim() -> None:
+    """Give what a worker no longer uses back to the machine: the worker lives on, and its next task may need other things."""
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim is not None:  # glibc only
+        trim(0)
+
+
+def released(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The batches; when they end, the worker's free memory is given back."""
+    yield from batches
+    _trim()
+
+
 def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], schema: T.StructType | str) -> DataFrame:
     """Apply fn to slices of every Arrow batch (Spark bounds the batch, the slices bound what fn makes of it)."""
 
@@ -64,7 +79,7 @@ def map_rows(df: DataFrame, fn: Callable[[pa.RecordBatch], pa.RecordBatch], sche
                 if out.num_rows:
                     yield out
 
-    return df.mapInArrow(run, schema)
+    return df.mapInArrow(lambda batches: released(run(batches)), schema)
 
 
 def columns_but(df: DataFrame, taken: set[str]) -> list[str]:

@@ -35,7 +35,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import checkpointed
+from .common import checkpointed, released, slices
 
 WIDTH = 10
 SPAN, NEAR_TERMS = 50, 5
@@ -96,8 +96,7 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         part, k, block = TaskContext.get().partitionId(), 0, _Block()
         for batch in batches:
-            for at in range(0, batch.num_rows, 256):
-                cut = batch.slice(at, 256)
+            for cut in slices(batch):
                 for doc_id, text in zip(cut.column(0).to_pylist(), cut.column(1).to_pylist(), strict=True):
                     block.add(doc_id, text)
                     if block.bytes >= block_bytes:
@@ -106,7 +105,7 @@ def build_index(docs: DataFrame, block_bytes: int = BLOCK_BYTES) -> DataFrame:
         if block.doc_ids:
             yield from block.rows(f"{part}-{k}")
 
-    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(run, INDEX)
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), INDEX)
 
 
 def store_index(index: DataFrame, path: str) -> DataFrame:
@@ -297,7 +296,7 @@ def search(index: DataFrame, items: list[tuple[str, list[bytes]]], width: int =
         if header is not None:
             yield finish(name, header, postings)
 
-    return kept.mapInArrow(run, HITS)
+    return kept.mapInArrow(lambda batches: released(run(batches)), HITS)
 
 
 def find_contamination(docs: DataFrame, benchmark: DataFrame, width: int = WIDTH, span: int | None = None, max_part_bytes: int = MAX_PART_BYTES, index: DataFrame | None = None) -> DataFrame:

@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import columns_but, map_rows, slices
+from .common import released, columns_but, map_rows, slices
 
 N_HASHED = 256
 N_DENSE = 22
@@ -265,7 +265,7 @@ def tail_counts(docs: DataFrame, models: list[Model], cuts: list[np.ndarray]) ->
         places = np.concatenate([np.arange(len(b)) for b in bins])
         yield pa.RecordBatch.from_arrays([pa.array(halves, pa.int64()), pa.array(places, pa.int64()), pa.array(np.concatenate(bins))], names=["half", "bin", "n"])
 
-    counted = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(run, "half long, bin long, n long").groupBy("half", "bin").agg(F.sum("n").alias("n"))
+    counted = docs.select("doc_id", F.col("text").cast("string").alias("text")).mapInArrow(lambda batches: released(run(batches)), "half long, bin long, n long").groupBy("half", "bin").agg(F.sum("n").alias("n"))
     bins = [np.zeros(len(c) + 1, np.int64) for c in cuts]
     for r in counted.collect():  # at most 184 rows
         bins[r["half"]][r["bin"]] = r["n"]

@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import KEY, by_key, checkpointed, join_counted, keyed, map_rows
+from .common import released, KEY, by_key, checkpointed, join_counted, keyed, map_rows
 
 RADIUS = 2
 SHINGLE = 3
@@ -369,7 +369,7 @@ def parts_of(rows: DataFrame, radius: int) -> DataFrame:
     spread = rows.select("band", "key", "fp", "bits").repartition("band", "key").sortWithinPartitions("band", "key", "fp")
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        return _bucket_parts(batches, radius)
+        return released(_bucket_parts(batches, radius))
 
     kind = rows.schema["fp"].dataType.simpleString()
     parts = spread.mapInArrow(run, f"fp {kind}, root {kind}, band long, key long")
