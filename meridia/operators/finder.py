@@ -290,3 +290,33 @@ def parity(a: DataFrame, b: DataFrame, column: str = "name", limit: int = 20) ->
     """How many points two finders judge differently, and some of them."""
     both = a.select("pt_id", F.col(column).alias("a")).join(b.select("pt_id", F.col(column).alias("b")), "pt_id", "full").where("not (a <=> b)")
     return both.count(), both.orderBy("pt_id").limit(limit)
+
+
+#: Units (1e-5 degree) within which rounding to 32 bits may move a border: half a step of a float32 beyond 128 degrees, and the grid's own.
+ROUNDING = 2
+
+
+def float_first(points: DataFrame, rings: DataFrame) -> DataFrame:
+    """pt_id, name by a second path that shares nothing with the index: edges in degrees of 32 bits, met by latitude bands, and a
+    textbook ray test in doubles.  A reference for parity, not a serving path."""
+    degrees = {c: (F.col(c) / 100_000.0).cast("float").cast("double") for c in ("xa", "ya", "xb", "yb")}
+    names = rings.select("tz_idx", "name").distinct()
+    low, high = F.floor(F.least("ya", "yb")), F.floor(F.greatest("ya", "yb"))
+    edge_table = R.edges(rings).withColumns(degrees).withColumn("band", F.explode(F.sequence(low, high)))
+    at = points.select("pt_id", (F.col("px") / 100_000.0).alias("lng"), (F.col("py") / 100_000.0).alias("lat"))
+    met = at.withColumn("band", F.floor("lat")).join(edge_table, "band").where("lat between least(ya, yb) and greatest(ya, yb)")
+    on = F.expr("(xb - xa) * (lat - ya) = (yb - ya) * (lng - xa) and lng between least(xa, xb) and greatest(xa, xb)")
+    crossed = F.expr("case when (ya > lat) <> (yb > lat) and lng < (xb - xa) * (lat - ya) / (yb - ya) + xa then 1 else 0 end")
+    by_ring = met.groupBy("pt_id", *R.RING).agg(F.max(on).alias("on"), (F.sum(crossed) % 2 == 1).alias("odd"))
+    outer, hole = (F.col("hole_idx") < 0) & (F.col("on") | F.col("odd")), (F.col("hole_idx") >= 0) & ~F.col("on") & F.col("odd")
+    held = by_ring.groupBy("pt_id", "tz_idx", "poly_idx").agg(F.bool_or(outer).alias("o"), F.bool_or(hole).alias("h")).where("o and not h")
+    first = held.groupBy("pt_id").agg(F.min("tz_idx").alias("tz_idx")).join(names, "tz_idx")
+    return points.select("pt_id").join(first.select("pt_id", "name"), "pt_id", "left")
+
+
+def unexplained(points: DataFrame, edge_table: DataFrame, reach: int = ROUNDING) -> DataFrame:
+    """Points (pt_id, px, py) that no edge comes within reach of."""
+    lo, hi = F.floor((F.least("ya", "yb") - reach) / BAND), F.floor((F.greatest("ya", "yb") + reach) / BAND)
+    near = f"py between least(ya, yb) - {reach} and greatest(ya, yb) + {reach} and px between least(xa, xb) - {reach} and greatest(xa, xb) + {reach} and abs(cast(xb - xa as double) * (py - ya) - cast(yb - ya as double) * (px - xa)) <= {reach} * sqrt(pow(xb - xa, 2) + pow(yb - ya, 2))"
+    close = points.withColumn("band", F.floor(F.col("py") / BAND)).join(edge_table.withColumn("band", F.explode(F.sequence(lo, hi))), "band").where(near).select("pt_id").distinct()
+    return points.join(close, "pt_id", "left_anti")

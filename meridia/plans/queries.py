@@ -149,6 +149,32 @@ def parity_grid(spark, sf_dir):
     return spark.createDataFrame([(n,)], "n_different int")
 
 
+_CORNERS = f"(SELECT 1099511627776 + (tz_idx * 2 + hole_idx + 1) * 64 + edge_idx AS pt_id, xa AS px, ya AS py FROM {PATCHES.edges_sql()})"
+_SINGLE = ", ".join(f"cast(cast({c} / 1e5 AS float) AS double) AS {c}" for c in ("xa", "ya", "xb", "yb"))
+_NEAR = f"py BETWEEN least(ya, yb) - {finder.ROUNDING} AND greatest(ya, yb) + {finder.ROUNDING} AND px BETWEEN least(xa, xb) - {finder.ROUNDING} AND greatest(xa, xb) + {finder.ROUNDING} AND abs(cast(xb - xa AS double) * (py - ya) - cast(yb - ya AS double) * (px - xa)) <= {finder.ROUNDING} * sqrt(pow(xb - xa, 2) + pow(yb - ya, 2))"
+
+
+@query(f"""WITH {hits_sql(f"(SELECT * FROM {EVENTS} UNION ALL SELECT * FROM {_CORNERS})", PATCHES)}, a AS ({FIRST}),
+  s AS (SELECT tz_idx, poly_idx, hole_idx, {_SINGLE} FROM e), d AS (SELECT pt_id, px / 1e5 AS lng, py / 1e5 AS lat FROM p),
+  t AS (SELECT pt_id, tz_idx, poly_idx, hole_idx, bool_or((xb - xa) * (lat - ya) = (yb - ya) * (lng - xa) AND lng BETWEEN least(xa, xb) AND greatest(xa, xb)) AS on_, sum(CASE WHEN (ya > lat) <> (yb > lat) AND lng < (xb - xa) * (lat - ya) / (yb - ya) + xa THEN 1 ELSE 0 END) % 2 = 1 AS odd FROM d JOIN s ON lat BETWEEN least(ya, yb) AND greatest(ya, yb) GROUP BY ALL),
+  h AS (SELECT pt_id, tz_idx, poly_idx FROM t GROUP BY ALL HAVING bool_or(hole_idx < 0 AND (on_ OR odd)) AND NOT bool_or(hole_idx >= 0 AND NOT on_ AND odd)),
+  b AS (SELECT p.pt_id, coalesce(min_by(z.name, h.tz_idx), '') AS name FROM p LEFT JOIN h USING (pt_id) LEFT JOIN z USING (tz_idx) GROUP BY p.pt_id),
+  x AS (SELECT p.* FROM a JOIN b USING (pt_id) JOIN p USING (pt_id) WHERE a.name <> b.name)
+  SELECT (SELECT count(*) FROM p) AS n_points, (SELECT count(*) FROM x) AS n_different, (SELECT count(*) FROM x WHERE NOT EXISTS (SELECT 1 FROM e WHERE {_NEAR})) AS n_unexplained""")
+def parity_single(spark, sf_dir):
+    """The index against 32-bit borders with a predicate of their own, over the events and all corners of the zones: they may differ
+    only where rounding moves a border."""
+    rings = PATCHES.rings(spark, sf_dir)
+    e = R.edges(rings)
+    place = (F.lit(1 << 40) + (F.col("tz_idx") * 2 + F.col("hole_idx") + 1) * 64 + F.col("edge_idx")).alias("pt_id")
+    points = settled(events(spark, sf_dir).unionByName(e.select(place, F.col("xa").alias("px"), F.col("ya").alias("py"))))
+    exact = finder.ZoneFinder.from_rings(rings).first(points, strict=True).select("pt_id", F.col("name").alias("a"))
+    both = exact.join(finder.float_first(points, rings).select("pt_id", F.col("name").alias("b")), "pt_id").where("not (a <=> b)")
+    differ = settled(points.join(both.select("pt_id"), "pt_id", "left_semi"))
+    count = lambda df, name: df.agg(F.lit(1).alias("one"), F.count(F.lit(1)).alias(name))
+    return count(points, "n_points").join(count(differ, "n_different"), "one").join(count(finder.unexplained(differ, e), "n_unexplained"), "one").drop("one")  # one row each
+
+
 _SWEEP = "(SELECT y * 360 + x AS pt_id, -17950000 + 100000 * x AS px, -8950000 + 100000 * y AS py FROM range(360) a(x), range(180) b(y))"
 
 
@@ -375,7 +401,7 @@ def polyline_length(spark, sf_dir):
 
 @query(f"""WITH o AS (SELECT * FROM {_E} WHERE hole_idx < 0), p AS (SELECT tz_idx AS t, edge_idx AS i, xa AS px, ya AS py FROM o),
   r AS (SELECT t, i, tz_idx, bool_or({G.on_edge_sql()}) AS is_on, sum({G.crossing_sql()}) AS c FROM p JOIN o ON py BETWEEN least(ya, yb) AND greatest(ya, yb) GROUP BY ALL)
-  SELECT tz_idx AS outer_idx, t AS inner_idx FROM r WHERE NOT is_on AND c % 2 = 1 GROUP BY ALL HAVING count(*) = (SELECT count(*) FROM p WHERE p.t = r.t)""")
+  SELECT i.tz_idx AS outer_idx, i.t AS inner_idx FROM (SELECT tz_idx, t, count(*) AS k FROM r WHERE NOT is_on AND c % 2 = 1 GROUP BY tz_idx, t) i JOIN (SELECT t, count(*) AS k FROM p GROUP BY t) n ON n.t = i.t AND n.k = i.k""")
 def contains_poly(spark, sf_dir):
     return tiles.containing_zones(PATCHES.rings(spark, sf_dir))
 
@@ -689,9 +715,12 @@ def pair_areas(spark, sf_dir):
 # Sources, sinks and reports
 
 
-@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM {_E} GROUP BY tz_idx, poly_idx, hole_idx")
+_QUANTISED = ", ".join(f"cast(round(cast(cast({c} / 1e5 AS float) AS double) * 100000) AS bigint) AS {c}" for c in ("xa", "ya"))
+
+
+@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM (SELECT tz_idx, poly_idx, hole_idx, {_QUANTISED} FROM {_E}) GROUP BY tz_idx, poly_idx, hole_idx")
 def geojson_round_trip(spark, sf_dir):
-    """Zones written as one FeatureCollection and read again."""
+    """Zones written as one FeatureCollection and read again, through degrees of 32 bits as boundaries are stored."""
     return _sorted_points(J.parse_features(J.feature_collection(PATCHES.rings(spark, sf_dir))))
 
 
