@@ -718,9 +718,9 @@ def pair_areas(spark, sf_dir):
 _QUANTISED = ", ".join(f"cast(round(cast(cast({c} / 1e5 AS float) AS double) * 100000) AS bigint) AS {c}" for c in ("xa", "ya"))
 
 
-@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM (SELECT tz_idx, poly_idx, hole_idx, {_QUANTISED} FROM {_E}) GROUP BY tz_idx, poly_idx, hole_idx")
+@query(f"SELECT tz_idx, poly_idx, hole_idx, {_SORTED} FROM (SELECT dense_rank() OVER (ORDER BY tz_idx) - 1 AS tz_idx, poly_idx, hole_idx, {_QUANTISED} FROM {_E}) GROUP BY tz_idx, poly_idx, hole_idx")
 def geojson_round_trip(spark, sf_dir):
-    """Zones written as one FeatureCollection and read again, through degrees of 32 bits as boundaries are stored."""
+    """Zones written as one FeatureCollection and read again (numbered by place), through degrees of 32 bits as boundaries are stored."""
     return _sorted_points(J.parse_features(J.feature_collection(PATCHES.rings(spark, sf_dir))))
 
 
