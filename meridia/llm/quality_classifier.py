@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, columns_but, map_rows, slices
+from .common import columns_but, map_rows, released, slices
 
 N_HASHED = 256
 N_DENSE = 22

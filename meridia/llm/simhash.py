@@ -46,7 +46,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from .common import released, KEY, by_key, checkpointed, join_counted, keyed, map_rows
+from .common import KEY, by_key, checkpointed, join_counted, keyed, map_rows, released
 
 RADIUS = 2
 SHINGLE = 3
