@@ -6,6 +6,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
+from ..stages import spread
 
 RING = ["tz_idx", "poly_idx", "hole_idx"]
 
@@ -46,7 +47,7 @@ def normalise_windings(rings: DataFrame) -> DataFrame:
     """Exteriors counter-clockwise, holes clockwise."""
     signed = area_perimeter(edges(rings)).select(*RING, "signed_area")
     wrong = F.when(F.col("hole_idx") < 0, F.col("signed_area") < 0).otherwise(F.col("signed_area") > 0)
-    return rings.join(signed, RING, "left").withColumn("pts", F.when(wrong, F.reverse("pts")).otherwise(F.col("pts"))).select(rings.columns)
+    return rings.join(spread(signed), RING, "left").withColumn("pts", F.when(wrong, F.reverse("pts")).otherwise(F.col("pts"))).select(rings.columns)
 
 
 def _orientation(ax: str, ay: str, bx: str, by_: str, cx: str, cy: str) -> Column:
@@ -61,14 +62,14 @@ def self_intersections(edge_table: DataFrame) -> DataFrame:
     coast's edges meet few others (and a 64th of its longest at least, so that this one does not reach too many)."""
     extent = F.greatest(F.abs(F.col("xb") - F.col("xa")), F.abs(F.col("yb") - F.col("ya")))
     n = edge_table.groupBy(*RING).agg(F.count(F.lit(1)).cast("int").alias("n"), F.greatest(F.lit(1).cast("long"), F.ceil(4 * F.avg(extent)), F.ceil(F.max(extent) / 64)).alias("cell"))
-    sized = edge_table.join(n.select(*RING, "cell"), RING)
+    sized = edge_table.join(spread(n.select(*RING, "cell")), RING)
     n = n.drop("cell")
     place = lambda f, a, b: F.floor(f(F.col(a), F.col(b)) / F.col("cell"))
     cells = sized.select(*RING, "edge_idx", "xa", "ya", "xb", "yb", F.explode(F.sequence(place(F.least, "xa", "xb"), place(F.greatest, "xa", "xb"))).alias("cx"), place(F.least, "ya", "yb").alias("y0"), place(F.greatest, "ya", "yb").alias("y1"))
     cells = cells.withColumn("cy", F.explode(F.sequence("y0", "y1"))).drop("y0", "y1")
     a = cells
     b = cells.select(*RING, "cx", "cy", F.col("edge_idx").alias("j"), F.col("xa").alias("xc"), F.col("ya").alias("yc"), F.col("xb").alias("xd"), F.col("yb").alias("yd"))
-    pairs = a.join(b, [*RING, "cx", "cy"]).where(F.col("edge_idx") < F.col("j")).join(n, RING)
+    pairs = a.join(spread(b), [*RING, "cx", "cy"]).where(F.col("edge_idx") < F.col("j")).join(spread(n), RING)
     apart = (F.col("j") - F.col("edge_idx") > 1) & ~((F.col("edge_idx") == 0) & (F.col("j") == F.col("n") - 1))
     o1, o2 = _orientation("xa", "ya", "xb", "yb", "xc", "yc"), _orientation("xa", "ya", "xb", "yb", "xd", "yd")
     o3, o4 = _orientation("xc", "yc", "xd", "yd", "xa", "ya"), _orientation("xc", "yc", "xd", "yd", "xb", "yb")

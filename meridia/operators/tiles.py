@@ -6,7 +6,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..stages import settled
+from ..stages import settled, spread
 from . import rings as R
 from .finder import banded
 
@@ -36,7 +36,7 @@ def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str], z
     With zone, a key of the points, a point meets that zone's edges only."""
     band = F.floor(F.col("py") / 100_000).cast("int")
     left, right = points.withColumn("band", band), banded(edge_table)
-    joined = left.join(right, "band") if zone is None else left.join(right.withColumn("__zone", F.col("tz_idx")), (left["band"] == right["band"]) & (left[zone] == F.col("__zone")))
+    joined = left.join(right, "band") if zone is None else left.join(spread(right.withColumn("__zone", F.col("tz_idx"))), (left["band"] == right["band"]) & (left[zone] == F.col("__zone")))
     met = joined.where("py between least(ya, yb) and greatest(ya, yb)")
     by_ring = met.select(*keys, *R.RING, G.on_edge().alias("on"), G.crossing().alias("cross")).groupBy(*keys, *R.RING).agg(F.max("on").alias("on"), F.sum("cross").alias("cross"))
     inside = G.contains(F.col("on"), F.col("cross"), False)
@@ -63,10 +63,16 @@ PAD = 0.01
 POLYGON = ["tz_idx", "poly_idx"]
 
 
-def edge_meets_tile(x: Column, y: Column, z: Column) -> Column:
-    """Whether the edge xa, ya, xb, yb meets the tile's closed rectangle: their boxes do, and its line parts the corners."""
+def _tile(x: Column, y: Column, z: Column) -> Column:
+    """A tile with the rim of its padded rectangle: made inside explode(), so that it is computed once, however often it is used after."""
     west, east = G.tile_lng(x, z) * 100_000 - PAD, G.tile_lng(x + 1, z) * 100_000 + PAD
     north, south = G.tile_lat(y, z) * 100_000 + PAD, G.tile_lat(y + 1, z) * 100_000 - PAD
+    return F.struct(x.alias("x"), y.alias("y"), west.alias("west"), east.alias("east"), north.alias("north"), south.alias("south"))
+
+
+def edge_meets_tile(tile: Column) -> Column:
+    """Whether the edge xa, ya, xb, yb meets the tile's closed rectangle: their boxes do, and its line parts the corners."""
+    west, east, north, south = (tile[c] for c in ("west", "east", "north", "south"))
     boxes = (F.least("xa", "xb") <= east) & (F.greatest("xa", "xb") >= west) & (F.least("ya", "yb") <= north) & (F.greatest("ya", "yb") >= south)
     dx, dy = (F.col("xb") - F.col("xa")).cast("double"), (F.col("yb") - F.col("ya")).cast("double")
     sides = [dx * (b - F.col("ya")) - dy * (a - F.col("xa")) for a in (west, east) for b in (south, north)]
@@ -82,12 +88,32 @@ def _children(tiles: DataFrame) -> DataFrame:
 def crossing_tiles(edge_table: DataFrame, zoom: int) -> DataFrame:
     """tz_idx, poly_idx, x, y: tiles of a zoom that an edge of the polygon meets.
 
-    Every edge descends the quadtree on its own, from the world to the zoom, into those children only that it meets: no box of a
-    long edge is spelled out, and nothing is shuffled until the tiles are made distinct."""
-    at = edge_table.select(*POLYGON, "xa", "ya", "xb", "yb", F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y"))
-    for z in range(1, zoom + 1):
-        at = _children(at).where(edge_meets_tile(F.col("x"), F.col("y"), F.lit(z)))
-    return at.select(*POLYGON, "x", "y").distinct()
+    An edge whose box reaches three by three tiles at most meets these at once.  A longer one descends the quadtree on its own, from the
+    world to the zoom, into those children only that it meets: no box of a long edge is spelled out.  Nothing is shuffled until the
+    tiles are made distinct."""
+    z, n, edge = F.lit(zoom), (1 << zoom) - 1, ["xa", "ya", "xb", "yb"]
+
+    def reached(of: Column, by_: int) -> Column:
+        return F.greatest(F.lit(0), F.least(F.lit(n), of + by_)).cast("long")
+
+    def column(x: Column) -> Column:
+        return F.floor((x / 36_000_000.0 + 0.5) * 2.0**zoom)
+
+    def row(y: Column) -> Column:
+        return G.tile_y(F.greatest(F.lit(-90.0), F.least(F.lit(90.0), y / 100_000.0)), z)
+
+    # A tile more on every side than the box's own: rounding at a tile's rim and the padding stay inside.
+    spans = F.struct(reached(column(F.least("xa", "xb")), -1).alias("x0"), reached(column(F.greatest("xa", "xb")), 1).alias("x1"), reached(row(F.greatest("ya", "yb")), -1).alias("y0"), reached(row(F.least("ya", "yb")), 1).alias("y1"))
+    boxed = edge_table.select(*POLYGON, *edge, F.explode(F.array(spans)).alias("s"))
+    small = (F.col("s.x1") - F.col("s.x0") <= 4) & (F.col("s.y1") - F.col("s.y0") <= 4)
+    own = F.transform(F.sequence("s.x0", "s.x1"), lambda x: F.transform(F.sequence("s.y0", "s.y1"), lambda y: _tile(x, y, z)))
+    near_ = boxed.where(small).select(*POLYGON, *edge, F.explode(F.flatten(own)).alias("t"))
+    at = boxed.where(~small).select(*POLYGON, *edge, F.struct(F.lit(0).cast("long").alias("x"), F.lit(0).cast("long").alias("y")).alias("t"))
+    for k in range(1, zoom + 1):
+        four = F.array(*[_tile(2 * F.col("t.x") + a, 2 * F.col("t.y") + b, F.lit(k)) for a in (0, 1) for b in (0, 1)])
+        at = at.select(*POLYGON, *edge, F.explode(four).alias("t")).where(edge_meets_tile(F.col("t")))
+    met = near_.where(edge_meets_tile(F.col("t"))).select(*POLYGON, "t.x", "t.y")
+    return met.unionByName(at.select(*POLYGON, "t.x", "t.y")).distinct()
 
 
 def cover(edge_table: DataFrame, zoom: int) -> DataFrame:
@@ -101,7 +127,7 @@ def cover(edge_table: DataFrame, zoom: int) -> DataFrame:
         crossed[z] = settled(crossed[z + 1].select(*POLYGON, F.shiftright("x", 1).alias("x"), F.shiftright("y", 1).alias("y")).distinct())
     free = None
     for z in range(1, zoom + 1):
-        own = _children(crossed[z - 1]).join(crossed[z], key, "left_anti").select(*key, F.lit(z).alias("z"))
+        own = _children(crossed[z - 1]).join(spread(crossed[z]), key, "left_anti").select(*key, F.lit(z).alias("z"))
         free = own if free is None else free.unionByName(own)
     border = crossed[zoom].select(*key, F.lit(zoom).alias("z"), F.lit(False).alias("inside"))
     if free is None:
@@ -135,7 +161,7 @@ def not_excluded(tiles: DataFrame, excluded: DataFrame | None) -> DataFrame:
         return tiles
     key, names = ["tz_idx", "x", "y", "z"], ["t_tz_idx", "t_x", "t_y", "t_z"]
     bad = strictly_inside(_corners(tiles, names).drop("corner"), excluded, names).select(*[F.col(n).alias(k) for n, k in zip(names, key, strict=True)]).distinct()
-    return tiles.join(bad, key, "left_anti")
+    return tiles.join(spread(bad), key, "left_anti")
 
 
 def ensure_inside(tiles: DataFrame, edge_table: DataFrame, excluded: DataFrame | None = None) -> DataFrame:
@@ -151,7 +177,7 @@ def drop_edge_tiles(tiles: DataFrame) -> DataFrame:
     steps = F.array(*[F.struct(F.lit(dx).cast("long").alias("dx"), F.lit(dy).cast("long").alias("dy")) for dx in (-1, 0, 1) for dy in (-1, 0, 1) if dx or dy])
     votes = tiles.select("tz_idx", "x", "y", "z", F.explode(steps).alias("s")).select("tz_idx", (F.col("x") + F.col("s.dx")).alias("x"), (F.col("y") + F.col("s.dy")).alias("y"), "z")
     full = votes.groupBy(*key).agg(F.count(F.lit(1)).alias("n")).where("n = 8").select(*key)
-    return tiles.join(full, key, "left_semi")
+    return tiles.join(spread(full), key, "left_semi")
 
 
 def merge_up(tiles: DataFrame, to_zoom: int, from_zoom: int) -> DataFrame:
@@ -160,7 +186,7 @@ def merge_up(tiles: DataFrame, to_zoom: int, from_zoom: int) -> DataFrame:
     for _ in range(from_zoom, to_zoom, -1):
         keyed = level.withColumns({"px": F.floor(F.col("x") / 2).cast("long"), "py": F.floor(F.col("y") / 2).cast("long")})
         parents = settled(keyed.groupBy("tz_idx", "px", "py", "z").agg(F.count(F.lit(1)).alias("n")).where("n = 4").drop("n"))  # used twice at each zoom
-        left = keyed.join(parents, ["tz_idx", "px", "py", "z"], "left_anti").select("tz_idx", "x", "y", "z")
+        left = keyed.join(spread(parents), ["tz_idx", "px", "py", "z"], "left_anti").select("tz_idx", "x", "y", "z")
         done = left if done is None else done.unionByName(left)
         level = parents.select("tz_idx", F.col("px").alias("x"), F.col("py").alias("y"), (F.col("z") - 1).alias("z"))
     return level if done is None else done.unionByName(level)
@@ -173,14 +199,14 @@ def preindex(rings: DataFrame, idx_zoom: int = 13, agg_zoom: int = 3, max_keep:
     covered = settled(cover(edge_table, idx_zoom))
     places = F.sum(F.pow(F.lit(4.0), F.lit(idx_zoom) - F.col("z")))
     enough = covered.groupBy("tz_idx").agg(places.alias("n")).where(F.col("n") >= MIN_TILES)
-    covered = covered.join(enough, "tz_idx", "left_semi")
+    covered = covered.join(spread(enough), "tz_idx", "left_semi")
     border = ensure_inside(covered.where("not inside").select("tz_idx", "x", "y", "z"), edge_table, excluded)
     tiles = settled(not_excluded(at_zoom(covered.where("inside"), idx_zoom), excluded).unionByName(border).distinct())
     for _ in range(drop):
         tiles = settled(drop_edge_tiles(tiles))
     merged = ensure_inside(merge_up(tiles, agg_zoom, idx_zoom), edge_table, excluded).where(F.col("z") <= max_keep)
     names = rings.select("tz_idx", "name").distinct()
-    return merged.join(names, "tz_idx").select("name", "x", "y", "z", F.col("tz_idx").cast("long").alias("key_ord"), G.pack_tile(F.col("x"), F.col("y"), F.col("z")).alias("packed"))
+    return merged.join(spread(names), "tz_idx").select("name", "x", "y", "z", F.col("tz_idx").cast("long").alias("key_ord"), G.pack_tile(F.col("x"), F.col("y"), F.col("z")).alias("packed"))
 
 
 def tile_features(tiles: DataFrame) -> DataFrame:

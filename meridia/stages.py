@@ -1,4 +1,4 @@
-"""Cutting lineage between the stages of the offline build."""
+"""Cutting lineage between the stages of the offline build, and joins of tables that grow."""
 
 from __future__ import annotations
 
@@ -16,3 +16,11 @@ def settled(df: DataFrame) -> DataFrame:
             raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
         sc.setCheckpointDir(named or tempfile.mkdtemp(prefix="meridia-checkpoint-"))
     return df.checkpoint(eager=True)
+
+
+def spread(df: DataFrame) -> DataFrame:
+    """df as a side of a join that is dealt by its keys, never broadcast.
+
+    Spark's estimates don't count what explode() adds, and a checkpoint keeps them: a table of millions of edges passes for a
+    small one, and its broadcast would take all of it through the driver."""
+    return df.hint("merge")
