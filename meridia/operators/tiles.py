@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions import geometry as G
 from ..stages import settled, spread
+from . import near
 from . import rings as R
 from .finder import banded
 
@@ -33,10 +34,10 @@ def exclusion_rings(spark: SparkSession, boxes: list[tuple[float, float, float,
 def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str], zone: str | None = None) -> DataFrame:
     """keys, tz_idx, poly_idx of each polygon that strictly contains the point; points: keys, px, py (double).
 
-    With zone, a key of the points, a point meets that zone's edges only."""
+    With zone, a key of the points, a point meets that zone's edges only; without one, the edges are those of a few regions."""
     band = F.floor(F.col("py") / 100_000).cast("int")
     left, right = points.withColumn("band", band), banded(edge_table)
-    joined = left.join(right, "band") if zone is None else left.join(spread(right.withColumn("__zone", F.col("tz_idx"))), (left["band"] == right["band"]) & (left[zone] == F.col("__zone")))
+    joined = left.join(F.broadcast(right), "band") if zone is None else left.join(spread(right.withColumn("__zone", F.col("tz_idx"))), (left["band"] == right["band"]) & (left[zone] == F.col("__zone")))
     met = joined.where("py between least(ya, yb) and greatest(ya, yb)")
     by_ring = met.select(*keys, *R.RING, G.on_edge().alias("on"), G.crossing().alias("cross")).groupBy(*keys, *R.RING).agg(F.max("on").alias("on"), F.sum("cross").alias("cross"))
     inside = G.contains(F.col("on"), F.col("cross"), False)
@@ -45,12 +46,27 @@ def strictly_inside(points: DataFrame, edge_table: DataFrame, keys: list[str], z
 
 
 def containing_zones(rings: DataFrame) -> DataFrame:
-    """outer_idx, inner_idx: zones whose exterior strictly contains all vertices of another zone's exterior (holes are left out here)."""
+    """outer_idx, inner_idx: zones whose exterior strictly contains all vertices of another zone's exterior (holes are left out here).
+
+    Such a zone's box strictly contains the other's: only these pairs of zones meet, and of them only vertices and edges of one band.
+    A band is four of the outer zone's mean edges high (a 64th of its highest at least)."""
     outer = rings.where("hole_idx < 0")
-    pts = R.vertices(outer).select(F.col("tz_idx").alias("t"), "poly_idx", "pt_idx", F.col("x").alias("px"), F.col("y").alias("py")).withColumnRenamed("poly_idx", "p")
-    n = pts.groupBy("t").agg(F.count(F.lit(1)).alias("n"))
-    inside = strictly_inside(pts, R.edges(outer), ["t", "p", "pt_idx"]).groupBy("t", "tz_idx").agg(F.countDistinct("p", "pt_idx").alias("k"))
-    return inside.join(n, "t").where("k = n").select(F.col("tz_idx").alias("outer_idx"), F.col("t").alias("inner_idx"))
+    e = R.edges(outer)
+    height = F.abs(F.col("yb") - F.col("ya"))
+    step = F.greatest(F.lit(1).cast("long"), F.ceil(4 * F.avg(height)), F.ceil(F.max(height) / 64)).alias("step")
+    box = settled(e.groupBy("tz_idx").agg(F.min("xa").alias("x0"), F.min("ya").alias("y0"), F.max("xa").alias("x1"), F.max("ya").alias("y1"), F.count(F.lit(1)).alias("n"), step))
+    inner = box.select(F.col("tz_idx").alias("t"), "n", *[F.col(c).alias(f"i{c}") for c in ("x0", "y0", "x1", "y1")])
+    cells = near.placed(box.drop("n"), *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    pairs = near.meeting(inner, F.col("ix0"), F.col("iy0"), cells).where("x0 < ix0 and y0 < iy0 and x1 > ix1 and y1 > iy1").select("t", "n", "tz_idx", "step")
+    pts = R.vertices(outer).select(F.col("tz_idx").alias("t"), F.col("poly_idx").alias("p"), "pt_idx", F.col("x").alias("px"), F.col("y").alias("py"))
+    banded_ = lambda y: F.floor(y / F.col("step"))
+    asked = pts.join(spread(pairs), "t").withColumn("band", banded_(F.col("py")))
+    tall = e.join(spread(box.select("tz_idx", "step")), "tz_idx").withColumn("band", F.explode(F.sequence(banded_(F.least("ya", "yb")), banded_(F.greatest("ya", "yb"))))).drop("step")
+    met = asked.join(spread(tall), ["tz_idx", "band"]).where("py between least(ya, yb) and greatest(ya, yb)")
+    key = ["t", "p", "pt_idx", "n", "tz_idx", "poly_idx"]
+    by_polygon = met.groupBy(*key).agg(F.max(G.on_edge()).alias("on"), F.sum(G.crossing()).alias("cross")).where(G.contains(F.col("on"), F.col("cross"), False))
+    inside = by_polygon.groupBy("t", "n", "tz_idx").agg(F.countDistinct("p", "pt_idx").alias("k"))
+    return inside.where("k = n").select(F.col("tz_idx").alias("outer_idx"), F.col("t").alias("inner_idx"))
 
 
 def exclusion_match(points: DataFrame, edge_table: DataFrame) -> DataFrame:
