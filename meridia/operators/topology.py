@@ -2,16 +2,19 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
 from dataclasses import dataclass
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from ..functions import geometry as G
-from ..stages import settled
+from ..stages import settled, spread
+from . import near
 from . import rings as R
 from .numbering import numbered
 
@@ -48,7 +51,7 @@ def edge_partners(edge_table: DataFrame) -> DataFrame:
     k = keyed(edge_table)
     ring = F.struct(*R.RING)
     pairs = k.groupBy("lo", "hi").agg(F.collect_set(ring).alias("rs"), F.count(F.lit(1)).alias("n"), F.sum(F.col("forward").cast("int")).alias("f")).where("n = 2 and f = 1 and size(rs) = 2").select("lo", "hi", "rs")
-    joined = k.join(pairs, ["lo", "hi"], "left")
+    joined = k.join(spread(pairs), ["lo", "hi"], "left")
     other = F.get(F.filter("rs", lambda r: r != ring), F.lit(0))
     return joined.select(*edge_table.columns, F.col("rs").isNotNull().alias("shared"), other.alias("partner"))
 
@@ -73,22 +76,22 @@ def clean_rings(rings: DataFrame) -> DataFrame:
 def snap_vertices(rings: DataFrame, cell: int = 100_000) -> DataFrame:
     """Insert other rings' vertices that lie on an edge (within 1e-6 degree), in order along it.
 
-    Edges are cut into the cells that their boxes reach; vertices meet them by an equi-join on the cell."""
+    Edges are cut into the cells that their boxes reach, of their own size (cell at most); vertices meet them by an equi-join on the cell."""
     e = R.edges(rings)
-    cells = e.withColumn("cx", F.explode(F.sequence(F.floor(F.least("xa", "xb") / cell), F.floor(F.greatest("xa", "xb") / cell)))).withColumn("cy", F.explode(F.sequence(F.floor(F.least("ya", "yb") / cell), F.floor(F.greatest("ya", "yb") / cell))))
-    v = R.vertices(rings).select("x", "y").distinct().withColumns({"cx": F.floor(F.col("x") / cell), "cy": F.floor(F.col("y") / cell)})
+    cells = near.placed(e, F.least("xa", "xb"), F.least("ya", "yb"), F.greatest("xa", "xb"), F.greatest("ya", "yb"), cell)
+    v = R.vertices(rings).select("x", "y").distinct()
     on = F.expr("(cast(xb - xa as double) * (y - ya) - cast(yb - ya as double) * (x - xa)) = 0 and x between least(xa, xb) and greatest(xa, xb) and y between least(ya, yb) and greatest(ya, yb) and not (x = xa and y = ya) and not (x = xb and y = yb)")
-    found = cells.join(v, ["cx", "cy"]).where(on).select(*R.RING, "edge_idx", F.expr("abs(x - xa) + abs(y - ya)").alias("t"), "x", "y").distinct()
+    found = near.meeting(v, F.col("x"), F.col("y"), cells).where(on).select(*R.RING, "edge_idx", F.expr("abs(x - xa) + abs(y - ya)").alias("t"), "x", "y").distinct()
     own = R.vertices(rings).select(*R.RING, F.col("pt_idx").alias("edge_idx"), F.lit(0).cast("long").alias("t"), "x", "y")
     merged = own.unionByName(found).groupBy(*R.RING).agg(F.array_sort(F.collect_list(F.struct("edge_idx", "t", "x", "y"))).alias("p"))
     pts = F.transform("p", lambda q: F.struct(q["x"].alias("x"), q["y"].alias("y")))
-    return rings.drop("pts").join(merged.select(*R.RING, pts.alias("pts")), R.RING).select(rings.columns)
+    return rings.drop("pts").join(spread(merged.select(*R.RING, pts.alias("pts"))), R.RING).select(rings.columns)
 
 
-def douglas_peucker(points: list[tuple[int, int]], epsilon: float) -> list[tuple[int, int]]:
-    """Keep what is farther than epsilon (scaled units) from the chord, measured to the segment."""
-    p = np.array(points, np.float64).reshape(-1, 2)
-    keep, work = {0, len(points) - 1}, [(0, len(points) - 1)]
+def kept_places(p: np.ndarray, epsilon: float) -> np.ndarray:
+    """Which points (n x 2) stay: the ends, and what is farther than epsilon (scaled units) from its chord, measured to the segment."""
+    keep, work = np.zeros(len(p), bool), [(0, len(p) - 1)]
+    keep[[0, -1]] = True
     while work:
         i, j = work.pop()
         if j - i < 2:
@@ -99,9 +102,14 @@ def douglas_peucker(points: list[tuple[int, int]], epsilon: float) -> list[tuple
         far = np.hypot(*(away - t[:, None] * chord).T)
         at = int(far.argmax())
         if far[at] > epsilon:
-            keep.add(i + 1 + at)
+            keep[i + 1 + at] = True
             work += [(i, i + 1 + at), (i + 1 + at, j)]
-    return [points[k] for k in sorted(keep)]
+    return keep
+
+
+def douglas_peucker(points: list[tuple[int, int]], epsilon: float) -> list[tuple[int, int]]:
+    """Keep what is farther than epsilon (scaled units) from the chord, measured to the segment."""
+    return [points[k] for k in np.flatnonzero(kept_places(np.array(points, np.float64).reshape(-1, 2), epsilon))]
 
 
 def chains(rings: DataFrame, fixed: DataFrame) -> DataFrame:
@@ -109,9 +117,9 @@ def chains(rings: DataFrame, fixed: DataFrame) -> DataFrame:
 
     A ring without fixed vertices starts where least_rotation() says; equal chains have one canonical form."""
     v = R.vertices(rings).withColumn("kx", key_x(F.col("x")))
-    marked = v.join(fixed.select(F.col("x").alias("kx"), "y", F.lit(1).alias("is_fixed")), ["kx", "y"], "left")
+    marked = v.join(spread(fixed.select(F.col("x").alias("kx"), "y", F.lit(1).alias("is_fixed"))), ["kx", "y"], "left")
     grouped = marked.groupBy(*R.RING).agg(F.array_sort(F.collect_list(F.struct("pt_idx", "x", "y", F.coalesce("is_fixed", F.lit(0)).alias("f")))).alias("p"))
-    return grouped.groupBy(*R.RING).applyInPandas(_cut, "tz_idx int, poly_idx int, hole_idx int, seg_idx int, pts array<struct<x:bigint,y:bigint>>, canonical string, forward boolean")
+    return grouped.mapInPandas(_cut, "tz_idx int, poly_idx int, hole_idx int, seg_idx int, pts array<struct<x:bigint,y:bigint>>, canonical string, forward boolean")
 
 
 def least_rotation(pts: list[tuple[int, int]]) -> int:
@@ -127,9 +135,15 @@ def least_rotation(pts: list[tuple[int, int]]) -> int:
     return min(ways)[1] % n
 
 
-def _cut(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+def _cut(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """One row a ring; what a ring gives is handed on before the next batch is read."""
+    for rows in batches:
+        yield _cut_rows(rows)
+
+
+def _cut_rows(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for p in rows["p"]:
+    for *key, p in rows[[*R.RING, "p"]].itertuples(index=False):
         pts, flags = [(int(q["x"]), int(q["y"])) for q in p], [q["f"] for q in p]
         marks = [i for i, f in enumerate(flags) if f]
         start = marks[0] if marks else least_rotation(pts)
@@ -235,7 +249,7 @@ def simplify_baseline(base: Baseline, epsilon: float = EPSILON) -> Simplified:
 
     once = base.cut.groupBy("canonical").agg(F.first(F.when(F.col("forward"), F.col("pts")).otherwise(F.reverse("pts"))).alias("pts"))
     once = settled(once.select("canonical", F.size("pts").alias("n_in"), reduce("pts").alias("short")))
-    back = base.cut.join(once, "canonical").select(*R.RING, "seg_idx", F.when(F.col("forward"), F.col("short")).otherwise(F.reverse("short")).alias("s"))
+    back = base.cut.join(spread(once), "canonical").select(*R.RING, "seg_idx", F.when(F.col("forward"), F.col("short")).otherwise(F.reverse("short")).alias("s"))
     open_parts = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.slice("s", 1, F.size("s") - 1).alias("s")))), lambda q: q["s"])
     joined = settled(back.groupBy(*R.RING).agg(F.flatten(open_parts).alias("new")))
     n = F.size("new")
@@ -243,8 +257,8 @@ def simplify_baseline(base: Baseline, epsilon: float = EPSILON) -> Simplified:
     degenerate = (n < 3) | (F.size(F.array_distinct("new")) < 3) | F.when(n > 0, standing).otherwise(F.lit(True))
     small = joined.where((n <= CHECKED_POINTS) & ~degenerate).select(*R.RING, F.col("new").alias("pts"))
     crossed = R.self_intersections(R.edges(small)).select(*R.RING).distinct().withColumn("crossed", F.lit(True))
-    judged = settled(joined.join(crossed, R.RING, "left").select(*R.RING, "new", (degenerate | F.coalesce("crossed", F.lit(False))).alias("back")))
-    done = base.ready.join(judged, R.RING).withColumn("pts", F.when(F.col("back"), F.col("pts")).otherwise(F.col("new")))
+    judged = settled(joined.join(spread(crossed), R.RING, "left").select(*R.RING, "new", (degenerate | F.coalesce("crossed", F.lit(False))).alias("back")))
+    done = base.ready.join(spread(judged), R.RING).withColumn("pts", F.when(F.col("back"), F.col("pts")).otherwise(F.col("new")))
     rings = R.normalise_windings(done.select(base.ready.columns))
     return Simplified(rings, once.select("canonical", "n_in", F.size("short").alias("n_out")), judged.select(*R.RING, "back"))
 
@@ -285,9 +299,18 @@ def simplify_stats(base: Baseline, done: Simplified) -> DataFrame:
 def reduce_classic(rings: DataFrame, epsilon: float = EPSILON) -> DataFrame:
     """Each ring by itself; rings of up to 100 points stay."""
 
-    @F.pandas_udf("array<struct<x:bigint,y:bigint>>")
-    def reduce(pts: pd.Series) -> pd.Series:
-        return pts.map(lambda ps: [dict(q) for q in ps] if len(ps) <= SHORT_RING else [{"x": x, "y": y} for x, y in douglas_peucker([(int(q["x"]), int(q["y"])) for q in ps], epsilon * 100_000)])
+    @F.arrow_udf("array<struct<x:bigint,y:bigint>>")
+    def reduce(pts: pa.Array) -> pa.Array:
+        flat = pts.flatten()
+        xy = np.stack([flat.field(i).to_numpy(zero_copy_only=False) for i in (0, 1)], axis=1)
+        ends = np.concatenate([[0], np.cumsum(pts.value_lengths().fill_null(0).to_numpy(zero_copy_only=False))])
+        keep = np.ones(len(xy), bool)
+        for a, b in zip(ends[:-1], ends[1:], strict=True):
+            if b - a > SHORT_RING:
+                keep[a:b] = kept_places(xy[a:b].astype(np.float64), epsilon * 100_000)
+        lengths = np.concatenate([[0], np.cumsum(keep)])[ends]
+        values = pa.StructArray.from_arrays([pa.array(c, pa.int64()) for c in xy[keep].T], ["x", "y"])
+        return pa.ListArray.from_arrays(pa.array(lengths, pa.int32(), mask=np.r_[~pts.is_valid().to_numpy(zero_copy_only=False), False] if pts.null_count else None), values)
 
     return rings.withColumn("pts", reduce("pts"))
 
@@ -300,7 +323,7 @@ def deduplicate(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
     sharing = cut.groupBy("canonical").agg(F.count(F.lit(1)).alias("n"), F.min(F.struct(*R.RING, "seg_idx")).alias("first"), F.min_by("forward", F.struct(*R.RING, "seg_idx")).alias("first_forward"), F.min_by("pts", F.struct(*R.RING, "seg_idx")).alias("stored"))
     both = settled(numbered(settled(sharing.where("n = 2")), [F.col("first")], "id").withColumn("id", F.col("id").cast("int")))
     library = both.select("id", F.col("stored").alias("pts"))
-    joined = cut.join(both.select("canonical", "id", "first_forward"), "canonical", "left")
+    joined = cut.join(spread(both.select("canonical", "id", "first_forward")), "canonical", "left")
     kind = F.when(F.col("id").isNull(), "inline").when(F.col("forward") == F.col("first_forward"), "edge_forward").otherwise("edge_reversed")
     segments = joined.select(*R.RING, "seg_idx", kind.alias("kind"), F.col("id").alias("edge_id"), F.when(F.col("id").isNull(), F.col("pts")).alias("pts"))
     return segments, library
@@ -308,7 +331,9 @@ def deduplicate(rings: DataFrame) -> tuple[DataFrame, DataFrame]:
 
 def expand(segments: DataFrame, library: DataFrame) -> DataFrame:
     """Rings (open, junctions once) from segments and the edge library; bad ids give no points."""
-    full = segments.join(library.select(F.col("id").alias("edge_id"), F.col("pts").alias("e")), "edge_id", "left")
+    # An edge's id is null for what is stored inline: such rows are not gathered in one task.
+    stored = library.select(F.col("id").alias("edge_id"), F.col("pts").alias("e"))
+    full = segments.where("edge_id is not null").join(spread(stored), "edge_id", "left").unionByName(segments.where("edge_id is null").withColumn("e", F.lit(None).cast("array<struct<x:bigint,y:bigint>>")))
     pts = F.when(F.col("kind") == "inline", F.col("pts")).when(F.col("kind") == "edge_forward", F.col("e")).otherwise(F.reverse("e"))
     parts = full.select(*R.RING, "seg_idx", F.coalesce(pts, F.array().cast("array<struct<x:bigint,y:bigint>>")).alias("p"))
     ordered = F.transform(F.array_sort(F.collect_list(F.struct("seg_idx", F.slice("p", 1, F.greatest(F.size("p") - 1, F.lit(0))).alias("p")))), lambda s: s["p"])
