@@ -19,7 +19,8 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from ..functions import geometry as G
-from ..stages import settled
+from ..stages import settled, spread
+from . import near
 from . import rings as R
 
 BAND = 100_000  # a degree of latitude
@@ -40,7 +41,7 @@ def grid_of(box: DataFrame) -> DataFrame:
     cells = box.select("tz_idx", x.alias("cell_lng"), "min_y", "max_y").withColumn("cell_lat", F.explode(F.sequence(G.cell(F.col("min_y")), G.cell(F.col("max_y")))))
     cells = cells.select("cell_lng", "cell_lat", "tz_idx")
     counts = cells.groupBy("cell_lng", "cell_lat").agg(F.count(F.lit(1)).alias("n_cand"))
-    return cells.join(counts, ["cell_lng", "cell_lat"])
+    return cells.join(spread(counts), ["cell_lng", "cell_lat"])
 
 
 def grid_lists(grid: DataFrame) -> DataFrame:
@@ -70,7 +71,7 @@ def right_turns(edge_table: DataFrame) -> DataFrame:
     at = rows.select(*R.RING, "cell_lat", G.cell(F.least("xa", "xb")).alias("upto"), F.explode(ends).alias("y"))
     odd = at.groupBy(*R.RING, "cell_lat", "upto", "y").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")  # a border that goes on up cancels here
     first = edge_table.groupBy(*R.RING).agg(G.cell(F.min("xa")).alias("first"))
-    left = odd.join(first, R.RING).where("first < upto").withColumn("cell_lng", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)))
+    left = odd.join(spread(first), R.RING).where("first < upto").withColumn("cell_lng", F.explode(F.sequence(F.col("first"), F.col("upto") - 1)))
     left = left.groupBy(*CELL, *R.RING, "y").agg(F.count(F.lit(1)).alias("n")).where("n % 2 = 1")
     return left.groupBy(*CELL, *R.RING).agg(F.array_sort(F.collect_list("y")).alias("turns"))
 
@@ -85,20 +86,20 @@ def build_index(zones: DataFrame, edge_table: DataFrame) -> tuple[DataFrame, Dat
     """(cells, stripes): n_cand, lone zone and number of stripes of each cell; the zones with their rings of each stripe."""
     own = cell_edges(edge_table)
     count = own.groupBy(*CELL).agg(F.count(F.lit(1)).alias("n_edges"))
-    grid = build_grid(edge_table).join(zones.select("tz_idx", "name"), "tz_idx").groupBy(*CELL).agg(F.min("n_cand").alias("n_cand"), F.min(F.struct("tz_idx", "name")).alias("lone"))
+    grid = build_grid(edge_table).join(spread(zones.select("tz_idx", "name")), "tz_idx").groupBy(*CELL).agg(F.min("n_cand").alias("n_cand"), F.min(F.struct("tz_idx", "name")).alias("lone"))
     n = F.least(F.lit(MAX_STRIPES), F.greatest(F.lit(1), F.ceil(F.coalesce("n_edges", F.lit(0)) / EDGES_A_STRIPE))).cast("long")
-    cells = settled(grid.join(count, CELL, "left").select(*CELL, "n_cand", "lone", n.alias("n_stripes")))
-    numbered = own.join(cells.select(*CELL, "n_stripes"), CELL)
+    cells = settled(grid.join(spread(count), CELL, "left").select(*CELL, "n_cand", "lone", n.alias("n_stripes")))
+    numbered = own.join(spread(cells.select(*CELL, "n_stripes")), CELL)
     floor = F.col("cell_lat").cast("long") * BAND
     lo, hi = F.greatest(F.least("ya", "yb"), floor), F.least(F.greatest("ya", "yb"), floor + BAND - 1)
     each = numbered.withColumn("stripe", F.explode(F.sequence(stripe_in_cell(lo, F.col("n_stripes")), stripe_in_cell(hi, F.col("n_stripes")))))
     striped = each.groupBy(*CELL, "stripe", *R.RING).agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias("edges"))
-    turns = right_turns(edge_table).join(cells.select(*CELL, "n_stripes"), CELL)
+    turns = right_turns(edge_table).join(spread(cells.select(*CELL, "n_stripes")), CELL)
     everywhere = turns.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_stripes") - 1))).select(*CELL, "stripe", *R.RING, "turns")
     none = F.array().cast("array<struct<xa:bigint,ya:bigint,xb:bigint,yb:bigint>>")
     ring = F.struct("poly_idx", "hole_idx", F.coalesce("turns", F.array().cast("array<bigint>")).alias("turns"), F.coalesce("edges", none).alias("edges"))
-    rings = everywhere.join(striped, [*CELL, "stripe", *R.RING], "full").groupBy(*CELL, "stripe", "tz_idx").agg(F.array_sort(F.collect_list(ring)).alias("rings"))
-    named = rings.join(zones.select("tz_idx", "name"), "tz_idx")
+    rings = everywhere.join(spread(striped), [*CELL, "stripe", *R.RING], "full").groupBy(*CELL, "stripe", "tz_idx").agg(F.array_sort(F.collect_list(ring)).alias("rings"))
+    named = rings.join(spread(zones.select("tz_idx", "name")), "tz_idx")
     stripes = named.groupBy(*CELL, "stripe").agg(F.array_sort(F.collect_list(F.struct("tz_idx", "name", "rings"))).alias("zones"))
     return cells, settled(stripes)
 
@@ -297,26 +298,35 @@ ROUNDING = 2
 
 
 def float_first(points: DataFrame, rings: DataFrame) -> DataFrame:
-    """pt_id, name by a second path that shares nothing with the index: edges in degrees of 32 bits, met by latitude bands, and a
-    textbook ray test in doubles.  A reference for parity, not a serving path."""
-    degrees = {c: (F.col(c) / 100_000.0).cast("float").cast("double") for c in ("xa", "ya", "xb", "yb")}
+    """pt_id, name by a second path that shares nothing with the index: edges in degrees of 32 bits and a textbook ray test in doubles.
+    A reference for parity, not a serving path.
+
+    A point meets the rings whose box (widened by what rounding may move) holds it, and of a ring the edges of one band: four of
+    the ring's mean edges high (a 64th of its highest at least)."""
     names = rings.select("tz_idx", "name").distinct()
-    low, high = F.floor(F.least("ya", "yb")), F.floor(F.greatest("ya", "yb"))
-    edge_table = R.edges(rings).withColumns(degrees).withColumn("band", F.explode(F.sequence(low, high)))
-    at = points.select("pt_id", (F.col("px") / 100_000.0).alias("lng"), (F.col("py") / 100_000.0).alias("lat"))
-    met = at.withColumn("band", F.floor("lat")).join(edge_table, "band").where("lat between least(ya, yb) and greatest(ya, yb)")
+    e = R.edges(rings)
+    height = F.abs(F.col("yb") - F.col("ya"))
+    step = F.greatest(F.lit(1).cast("long"), F.ceil(4 * F.avg(height)), F.ceil(F.max(height) / 64)).alias("step")
+    box = settled(e.groupBy(*R.RING).agg((F.min("xa") - ROUNDING).alias("x0"), (F.min("ya") - ROUNDING).alias("y0"), (F.max("xa") + ROUNDING).alias("x1"), (F.max("ya") + ROUNDING).alias("y1"), step))
+    cells = near.placed(box, *(F.col(c) for c in ("x0", "y0", "x1", "y1")))
+    at = near.meeting(points.select("pt_id", "px", "py"), F.col("px"), F.col("py"), cells).where("px between x0 and x1 and py between y0 and y1")
+    at = at.select("pt_id", "px", "py", *R.RING, F.floor(F.col("py") / F.col("step")).alias("band"))
+    low, high = F.floor((F.least("ya", "yb") - ROUNDING) / F.col("step")), F.floor((F.greatest("ya", "yb") + ROUNDING) / F.col("step"))
+    degrees = {c: (F.col(c) / 100_000.0).cast("float").cast("double") for c in ("xa", "ya", "xb", "yb")}
+    edge_table = e.join(spread(box.select(*R.RING, "step")), R.RING).withColumn("band", F.explode(F.sequence(low, high))).withColumns(degrees).drop("step", "edge_idx")
+    met = at.join(spread(edge_table), [*R.RING, "band"]).withColumns({"lng": F.col("px") / 100_000.0, "lat": F.col("py") / 100_000.0}).where("lat between least(ya, yb) and greatest(ya, yb)")
     on = F.expr("(xb - xa) * (lat - ya) = (yb - ya) * (lng - xa) and lng between least(xa, xb) and greatest(xa, xb)")
     crossed = F.expr("case when (ya > lat) <> (yb > lat) and lng < (xb - xa) * (lat - ya) / (yb - ya) + xa then 1 else 0 end")
     by_ring = met.groupBy("pt_id", *R.RING).agg(F.max(on).alias("on"), (F.sum(crossed) % 2 == 1).alias("odd"))
     outer, hole = (F.col("hole_idx") < 0) & (F.col("on") | F.col("odd")), (F.col("hole_idx") >= 0) & ~F.col("on") & F.col("odd")
     held = by_ring.groupBy("pt_id", "tz_idx", "poly_idx").agg(F.bool_or(outer).alias("o"), F.bool_or(hole).alias("h")).where("o and not h")
-    first = held.groupBy("pt_id").agg(F.min("tz_idx").alias("tz_idx")).join(names, "tz_idx")
-    return points.select("pt_id").join(first.select("pt_id", "name"), "pt_id", "left")
+    first = held.groupBy("pt_id").agg(F.min("tz_idx").alias("tz_idx")).join(spread(names), "tz_idx")
+    return points.select("pt_id").join(spread(first.select("pt_id", "name")), "pt_id", "left")
 
 
 def unexplained(points: DataFrame, edge_table: DataFrame, reach: int = ROUNDING) -> DataFrame:
-    """Points (pt_id, px, py) that no edge comes within reach of."""
-    lo, hi = F.floor((F.least("ya", "yb") - reach) / BAND), F.floor((F.greatest("ya", "yb") + reach) / BAND)
-    near = f"py between least(ya, yb) - {reach} and greatest(ya, yb) + {reach} and px between least(xa, xb) - {reach} and greatest(xa, xb) + {reach} and abs(cast(xb - xa as double) * (py - ya) - cast(yb - ya as double) * (px - xa)) <= {reach} * sqrt(pow(xb - xa, 2) + pow(yb - ya, 2))"
-    close = points.withColumn("band", F.floor(F.col("py") / BAND)).join(edge_table.withColumn("band", F.explode(F.sequence(lo, hi))), "band").where(near).select("pt_id").distinct()
-    return points.join(close, "pt_id", "left_anti")
+    """Points (pt_id, px, py) that no edge comes within reach of: edges and points meet in cells of the edges' size, a degree at most."""
+    near_ = f"py between least(ya, yb) - {reach} and greatest(ya, yb) + {reach} and px between least(xa, xb) - {reach} and greatest(xa, xb) + {reach} and abs(cast(xb - xa as double) * (py - ya) - cast(yb - ya as double) * (px - xa)) <= {reach} * sqrt(pow(xb - xa, 2) + pow(yb - ya, 2))"
+    cells = near.placed(edge_table, F.least("xa", "xb") - reach, F.least("ya", "yb") - reach, F.greatest("xa", "xb") + reach, F.greatest("ya", "yb") + reach, BAND)
+    close = near.meeting(points.select("pt_id", "px", "py"), F.col("px"), F.col("py"), cells).where(near_).select("pt_id").distinct()
+    return points.join(spread(close), "pt_id", "left_anti")
