@@ -749,15 +749,17 @@ def fuzzy_geojson(spark, sf_dir):
     return drawn.select(F.get_json_object("feature", "$.properties.tzid").alias("name"), F.size(parts).cast("long").alias("n_tiles"), F.round(F.array_min(lng), 6).alias("west"), F.round(F.array_max(lng), 6).alias("east"))
 
 
-#: Boxes of a lattice, one a supplier; odd ones have their sides' quarters as vertices, which their even neighbours lack.
-_LATTICE = """SELECT 2 * k AS tz_idx, unnest(range(16)) AS i, k % w * 200000 AS x0, k // w * 200000 AS y0, (k % w + k // w) % 2 = 1 AS fine FROM (SELECT cast(s_suppkey AS bigint) AS k, cast(ceil(sqrt((SELECT max(s_suppkey) + 1 FROM supplier))) AS bigint) AS w FROM supplier)"""
-_CORNER = "x0 + CASE i {d} 4 WHEN 0 THEN 50000 * (i % 4) WHEN 1 THEN 200000 WHEN 2 THEN 200000 - 50000 * (i % 4) ELSE 0 END AS x", "y0 + CASE i {d} 4 WHEN 0 THEN 0 WHEN 1 THEN 50000 * (i % 4) WHEN 2 THEN 200000 ELSE 200000 - 50000 * (i % 4) END AS y"
+#: Boxes of a lattice, one a supplier; odd ones have their sides' quarters as vertices, which their even neighbours lack.  A quarter (p)
+#: is half a degree, or less where the boxes would not fit between the meridians of 0 and 180 degrees.
+_LATTICE = """SELECT 2 * k AS tz_idx, unnest(range(16)) AS i, p, k % w * 4 * p AS x0, k // w * 4 * p AS y0, (k % w + k // w) % 2 = 1 AS fine FROM (SELECT *, least(50000, 4500000 // w) AS p FROM (SELECT cast(s_suppkey AS bigint) AS k, cast(ceil(sqrt((SELECT max(s_suppkey) + 1 FROM supplier))) AS bigint) AS w FROM supplier))"""
+_CORNER = "x0 + CASE i {d} 4 WHEN 0 THEN p * (i % 4) WHEN 1 THEN 4 * p WHEN 2 THEN 4 * p - p * (i % 4) ELSE 0 END AS x", "y0 + CASE i {d} 4 WHEN 0 THEN 0 WHEN 1 THEN p * (i % 4) WHEN 2 THEN 4 * p ELSE 4 * p - p * (i % 4) END AS y"
 
 
 def lattice(spark: SparkSession, sf_dir: str) -> DataFrame:
     k = table(spark, sf_dir, "supplier").select(F.col("s_suppkey").cast("long").alias("k"))
     w = math.ceil(math.sqrt(1 + (k.agg(F.max("k")).first()[0] or 0)))
-    each = k.selectExpr("k", f"k % {w} * 200000L AS x0", f"k div {w} * 200000L AS y0", f"(k % {w} + k div {w}) % 2 = 1 AS fine")
+    p = min(50_000, 4_500_000 // w)
+    each = k.selectExpr("k", f"{p}L AS p", f"k % {w} * {4 * p}L AS x0", f"k div {w} * {4 * p}L AS y0", f"(k % {w} + k div {w}) % 2 = 1 AS fine")
     corner = "transform(filter(sequence(0L, 15L), i -> fine or i % 4 = 0), i -> named_struct('x', {}, 'y', {}))".format(*(c.format(d="div").rpartition(" AS ")[0] for c in _CORNER))
     return each.selectExpr("cast(2 * k AS int) AS tz_idx", "concat('box/', k) AS name", "0 AS poly_idx", "-1 AS hole_idx", f"{corner} AS pts")
 
