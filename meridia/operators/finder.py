@@ -95,7 +95,11 @@ def build_index(zones: DataFrame, edge_table: DataFrame) -> tuple[DataFrame, Dat
     each = numbered.withColumn("stripe", F.explode(F.sequence(stripe_in_cell(lo, F.col("n_stripes")), stripe_in_cell(hi, F.col("n_stripes")))))
     striped = each.groupBy(*CELL, "stripe", *R.RING).agg(F.collect_list(F.struct("xa", "ya", "xb", "yb")).alias("edges"))
     turns = right_turns(edge_table).join(spread(cells.select(*CELL, "n_stripes")), CELL)
-    everywhere = turns.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_stripes") - 1))).select(*CELL, "stripe", *R.RING, "turns")
+    # Below a stripe only the parity of a ring's turns counts, above it none: it stands in the stripes where its parity is odd or changes.
+    base = floor + F.ceil(F.col("stripe") * F.lit(BAND) / F.col("n_stripes")).cast("long")
+    below, inner = F.filter("turns", lambda y: y <= base), F.filter("turns", lambda y: (y > base) & (stripe_in_cell(y, F.col("n_stripes")) <= F.col("stripe")))
+    start = F.when(F.size(below) % 2 == 1, F.array(base)).otherwise(F.array().cast("array<bigint>"))
+    everywhere = turns.withColumn("stripe", F.explode(F.sequence(F.lit(0).cast("long"), F.col("n_stripes") - 1))).select(*CELL, "stripe", *R.RING, F.concat(start, inner).alias("turns")).where(F.size("turns") > 0)
     none = F.array().cast("array<struct<xa:bigint,ya:bigint,xb:bigint,yb:bigint>>")
     ring = F.struct("poly_idx", "hole_idx", F.coalesce("turns", F.array().cast("array<bigint>")).alias("turns"), F.coalesce("edges", none).alias("edges"))
     rings = everywhere.join(spread(striped), [*CELL, "stripe", *R.RING], "full").groupBy(*CELL, "stripe", "tz_idx").agg(F.array_sort(F.collect_list(ring)).alias("rings"))
