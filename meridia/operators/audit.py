@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from bisect import bisect_right
+from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
@@ -10,12 +11,13 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from ..stages import settled
+from ..stages import settled, spread
 from . import rings as R
 
 RADIUS_M = 6_371_007.180918475  # authalic
 BIN_M = 0.1
 TOLERANCE_M = 0.01  # of the certified greatest displacement between the densified lines
+SMALL_PAIRS = 16_384  # of points and segments
 MAX_CHORD_M, SAGITTA_M, MAX_HALVINGS = 5_000.0, 0.4, 40
 OUTSIDE = "outside-dataset"
 
@@ -130,7 +132,12 @@ def _metres(chord: np.ndarray) -> np.ndarray:
 def nearest(points: np.ndarray, line: np.ndarray, run: int = 32, few: int = 16) -> tuple[np.ndarray, np.ndarray]:
     """Great-circle distance in metres of unit vectors to a polyline of unit vectors, and the nearest segment's index.
 
-    Neighbouring points meet only those runs of segments whose cap may hold the nearest one."""
+    Up to SMALL_PAIRS, all points meet all segments at once; beyond, neighbouring points meet only those runs of segments whose
+    cap may hold the nearest one."""
+    if len(points) * (len(line) - 1) <= SMALL_PAIRS:
+        away = _to_segments(points[:, None], line[:-1], line[1:])
+        at = away.argmin(axis=1)
+        return _metres(away[np.arange(len(points)), at]), at
     first = np.arange(0, len(line) - 1, run)
     last = np.minimum(first + run, len(line) - 1)
     line_at, line_r = _caps(line, first, last + 1)
@@ -202,10 +209,16 @@ def aligned(original: list[tuple[int, int]], kept: list[tuple[int, int]]) -> lis
     raise ValueError("the simplified vertices do not follow the order of the original ring")
 
 
-def _arcs(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-    """Cut an original ring at the vertices that its simplified ring keeps; both in the same direction, from any start."""
+def _arcs(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    """Cut original rings at the vertices that their simplified rings keep; both in the same direction, from any start."""
+    for rows in batches:
+        yield _arcs_of(rows)
+
+
+def _arcs_of(rows: pd.DataFrame) -> pd.DataFrame:
     out = []
-    for _, r in rows.iterrows():
+    for r in rows.to_dict("records"):
+        key = tuple(r[c] for c in R.RING)
         a, b = [(int(p["x"]), int(p["y"])) for p in r["original"]], [(int(p["x"]), int(p["y"])) for p in r["candidate"]]
         if len(set(a)) < 3 or len(set(b)) < 3:
             raise ValueError(f"ring {key} has fewer than three different points")
@@ -244,15 +257,20 @@ def strip_widths(dense: np.ndarray, area_m2: float) -> list[tuple[float, float]]
     return list(zip(widths.tolist(), (areas[live] * (area_m2 / areas.sum())).tolist(), strict=True))
 
 
-def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
+#: What analyse() measures beside lengths and areas, each dear on its own.
+FIGURES = ("max", "samples", "widths")
+
+
+def analyse(original: DataFrame, candidate: DataFrame, figures: tuple[str, ...] = FIGURES) -> DataFrame:
     """One row for each different arc: pair, length_m, max_m and its place max_at (lng, lat), area_m2, samples of displacement by
     length (value, weight) and widths of the strip by area (value, weight).
 
+    figures: which of max_m with its place, samples and widths are wanted; the others are null.
     max_m is certified to TOLERANCE_M for the densified lines, which are at most SAGITTA_M off the map's own."""
-    both = original.select(*R.RING, "name", F.col("pts").alias("original")).join(candidate.select(*R.RING, F.col("pts").alias("candidate")), R.RING, "full")
+    both = original.select(*R.RING, "name", F.col("pts").alias("original")).join(spread(candidate.select(*R.RING, F.col("pts").alias("candidate"))), R.RING, "full")
     checked = both.withColumn("name", F.when(F.col("original").isNull() | F.col("candidate").isNull(), F.raise_error(F.lit("the datasets' rings differ")).cast("string")).otherwise(F.col("name")))
     kind = "array<struct<x:bigint,y:bigint>>"
-    arcs = checked.groupBy(*R.RING).applyInPandas(_arcs, f"name string, arc string, chain {kind}, chord {kind}")
+    arcs = checked.mapInPandas(_arcs, f"name string, arc string, chain {kind}, chord {kind}")
     unique = arcs.groupBy("arc").agg(F.collect_set("name").alias("names"), F.first("chain").alias("chain"), F.first("chord").alias("chord"))
 
     sample = "array<struct<value:double,weight:double>>"
@@ -269,17 +287,20 @@ def analyse(original: DataFrame, candidate: DataFrame) -> DataFrame:
             if len(p) > 2:
                 samples = []
                 for x, y in ((dp, dq), (dq, dp)):
-                    most, at = farthest(x, y)
-                    if most > far:
-                        far, place = most, at
+                    if "max" in figures:
+                        most, at = farthest(x, y)
+                        if most > far:
+                            far, place = most, at
+                    if "samples" not in figures:
+                        continue
                     mid = x[:-1] + x[1:]
                     mid /= np.linalg.norm(mid, axis=1)[:, None]
                     samples += zip(distances(mid, y).tolist(), _metres(np.linalg.norm(np.diff(x, axis=0), axis=1)).tolist(), strict=True)
                 area = float(_areas(np.radians(np.concatenate([p, q[::-1], p[:1]]) / 1e5)))
-                widths = strip_widths(flat_p, area) if area > 1e-6 else []
+                widths = strip_widths(flat_p, area) if area > 1e-6 and "widths" in figures else []
             at = {"lng": float(np.degrees(np.arctan2(place[1], place[0]))), "lat": float(np.degrees(np.arcsin(np.clip(place[2], -1, 1))))}
-            rows = ([{"value": v, "weight": w} for v, w in own] for own in (samples, widths))
-            out.append((length, far, at, area, *rows))
+            rows = ([{"value": v, "weight": w} for v, w in own] if name in figures else None for name, own in (("samples", samples), ("widths", widths)))
+            out.append((length, far if "max" in figures else None, at if "max" in figures else None, area, *rows))
         return pd.DataFrame(out, columns=["length_m", "max_m", "max_at", "area_m2", "samples", "widths"])
 
     parts = int(original.sparkSession.conf.get("spark.sql.shuffle.partitions"))

@@ -644,10 +644,10 @@ def _audit_sql(epsilon: float) -> str:
     JOIN (SELECT id, abs(sum(CASE WHEN w = 0 THEN 1 ELSE -1 END * {_BAND})) * {audit.RADIUS_M**2 / 2} AS area FROM e0 GROUP BY id) USING (id))"""
 
 
-def _audited(spark: SparkSession, sf_dir: str) -> DataFrame:
+def _audited(spark: SparkSession, sf_dir: str, *figures: str) -> DataFrame:
     """Arcs of the suppliers' zones against their simplification."""
     base = topology.prepare_baseline(FINE.rings(spark, sf_dir))
-    return settled(audit.analyse(base.ready, topology.simplify_baseline(base, _FINE_EPSILON).rings))
+    return settled(audit.analyse(base.ready, topology.simplify_baseline(base, _FINE_EPSILON).rings, figures))
 
 
 _FAR = f"SELECT p.id, p.v, min({_off('p.v', 'g.va', 'g.vb')}) AS far FROM (SELECT id, w, va AS v FROM g JOIN m USING (id) WHERE n > 2 UNION ALL SELECT id, w, vb FROM g JOIN m USING (id) WHERE n > 2) p JOIN g ON g.id = p.id AND g.w <> p.w GROUP BY ALL"
@@ -657,7 +657,7 @@ _FAR = f"SELECT p.id, p.v, min({_off('p.v', 'g.va', 'g.vb')}) AS far FROM (SELEC
   SELECT count(*) AS unique_arcs, count(*) FILTER (area > 1e-6 AND n > 2) AS changed_arcs, round(sum(length) / 1000, 2) AS length_km, round(sum(CASE WHEN area > 1e-6 AND n > 2 THEN length ELSE 0 END) / 1000, 2) AS changed_length_km, round(sum(CASE WHEN n > 2 THEN area ELSE 0 END) / 1e6, 1) AS area_km2, (SELECT round(max(far), 1) FROM f) AS max_m FROM m""")
 def border_audit(spark, sf_dir):
     """Totals of the audit: different arcs, their lengths, the area between, the greatest displacement."""
-    r = audit.report(_audited(spark, sf_dir))
+    r = audit.report(_audited(spark, sf_dir, "max"))
     return r.select("unique_arcs", "changed_arcs", *[F.round(c, n).alias(c) for c, n in (("length_km", 2), ("changed_length_km", 2), ("area_km2", 1), ("max_m", 1))])
 
 
@@ -690,7 +690,7 @@ _DISPLACED = f"""SELECT min({_off('p.v', 'g.va', 'g.vb')}) AS value, any_value(p
 @query(f"WITH RECURSIVE {_audit_sql(_FINE_EPSILON)}, {_spread_sql(_DISPLACED)}")
 def border_displacement(spark, sf_dir):
     """How far borders moved, by length: quantiles, and shares beyond some metres."""
-    return _spread(audit.displacement_bins(_audited(spark, sf_dir)))
+    return _spread(audit.displacement_bins(_audited(spark, sf_dir, "samples")))
 
 
 _TRIANGLE = "abs(" + " + ".join(f"radians(({b}x - {a}x) / 1e5) * (2 + sin(radians({a}y / 1e5)) + sin(radians({b}y / 1e5)))" for a, b in (("p", "q"), ("q", "r"), ("r", "p"))) + f") * {audit.RADIUS_M**2 / 2}"
@@ -703,7 +703,7 @@ _WIDTHS = f"""SELECT value, weight * area / sum(weight) OVER (PARTITION BY id) A
 @query(f"WITH RECURSIVE {_audit_sql(_FINE_EPSILON)}, {_spread_sql(_WIDTHS)}")
 def strip_widths(spark, sf_dir):
     """How wide the strips between borders and their simplification are, by area: triangles fanned over each arc."""
-    return _spread(audit.width_bins(_audited(spark, sf_dir)))
+    return _spread(audit.width_bins(_audited(spark, sf_dir, "widths")))
 
 
 @query(f"WITH RECURSIVE {_audit_sql(_FINE_EPSILON)} SELECT CASE WHEN len(names) = 1 THEN names[1] || '+{audit.OUTSIDE}' ELSE array_to_string(names, '+') END AS pair, round(sum(area) / 1e6, 2) AS area FROM (SELECT m.id, any_value(m.area) AS area, list_sort(list(DISTINCT z.name)) AS names FROM m JOIN arcs USING (id) JOIN al ON least(al.f, al.r) = arcs.c JOIN {FINE.zones_sql()} USING (tz_idx) WHERE m.area > 1e-6 AND m.n > 2 GROUP BY m.id) GROUP BY ALL")
