@@ -323,15 +323,17 @@ def _inside_sql(name: str, of: str) -> str:
   {name} AS (SELECT tz_idx, x, y, z FROM {name}_q GROUP BY tz_idx, x, y, z, poly_idx HAVING count(*) FILTER (held) = 4 AND NOT bool_or(bad))"""
 
 
-def _box_tiles(z: int) -> str:
-    """Every tile of each polygon's box."""
+def _box_tiles(z: int | str, of: str = "e") -> str:
+    """Every tile of each polygon's box, of a zoom or of the zoom in a column of the table."""
     y = _XY[1].format(z=z)
-    return f"""(SELECT tz_idx, poly_idx, x.x AS x, y.y AS y, {z} AS z FROM (SELECT tz_idx, poly_idx, {_XY[0].format(z=z).replace("px", "min(xa)")} AS x0, {_XY[0].format(z=z).replace("px", "max(xa)")} AS x1, {y.replace("py", "max(ya)")} AS y0, {y.replace("py", "min(ya)")} AS y1 FROM e WHERE hole_idx < 0 GROUP BY ALL) b,
-    unnest(generate_series(x0, least(x1, {(1 << z) - 1}))) x(x), unnest(generate_series(y0, y1)) y(y))"""
+    own, by_, n = ("", "ALL", (1 << z) - 1) if isinstance(z, int) else (f"{z}, ", f"tz_idx, poly_idx, {z}", f"(1 << {z}) - 1")
+    return f"""(SELECT tz_idx, poly_idx, x.x AS x, y.y AS y, {z} AS z FROM (SELECT tz_idx, poly_idx, {own}{_XY[0].format(z=z).replace("px", "min(xa)")} AS x0, {_XY[0].format(z=z).replace("px", "max(xa)")} AS x1, {y.replace("py", "max(ya)")} AS y0, {y.replace("py", "min(ya)")} AS y1 FROM {of} WHERE hole_idx < 0 GROUP BY {by_}) b,
+    unnest(generate_series(x0, least(x1, {n}))) x(x), unnest(generate_series(y0, y1)) y(y))"""
 
 
+_CROSSED = f"""crossed AS (SELECT DISTINCT b.tz_idx, b.poly_idx, x, y, z FROM (SELECT *, {_RIM} FROM box) b JOIN e ON b.tz_idx = e.tz_idx AND b.poly_idx = e.poly_idx AND {_MEETS})"""
 _COVER = f"""e AS (SELECT * FROM {PATCHES.edges_sql()}), box AS {_box_tiles(_ZOOM)},
-  crossed AS (SELECT DISTINCT b.tz_idx, b.poly_idx, x, y, z FROM (SELECT *, {_RIM} FROM box) b JOIN e ON b.tz_idx = e.tz_idx AND b.poly_idx = e.poly_idx AND {_MEETS})"""
+  {_CROSSED}"""
 
 
 @query(f"WITH {_COVER}, f AS (SELECT * FROM box WHERE (tz_idx, poly_idx, x, y) NOT IN (SELECT (tz_idx, poly_idx, x, y) FROM crossed)), {_inside_sql('i', 'f').replace(_BOXED, 'false')} SELECT tz_idx, x, y, true AS inside FROM i UNION ALL SELECT tz_idx, x, y, false FROM crossed")
@@ -342,19 +344,26 @@ def tile_cover(spark, sf_dir):
     return flat[0].unionByName(flat[1])
 
 
-_UP = ", ".join(f"m{z} AS (SELECT tz_idx, x >> 1 AS x, y >> 1 AS y, {z} AS z FROM m{z + 1} GROUP BY ALL HAVING count(*) = 4)" for z in range(_ZOOM - 1, 2, -1))
-_LEFT = " UNION ALL ".join(f"SELECT * FROM m{z} WHERE (tz_idx, x >> 1, y >> 1) NOT IN (SELECT (tz_idx, x, y) FROM m{z - 1})" for z in range(_ZOOM, 3, -1)) + " UNION ALL SELECT * FROM m3"
+#: The zoom of the pre-index follows the zones: see tiles.index_zoom().
+_PARTS = 16
+_FITTING = f"""zoom AS (SELECT cast(coalesce(min(z), {G.MAX_ZOOM}) AS int) AS z FROM range(4, {G.MAX_ZOOM + 1}) r(z), (SELECT count(*) AS n, sum(least(x1 - x0, y1 - y0)) AS total
+    FROM (SELECT min(xa) AS x0, max(xa) AS x1, min(ya) AS y0, max(ya) AS y1 FROM e WHERE hole_idx < 0 GROUP BY tz_idx, poly_idx)) WHERE 36000000 * {_PARTS} * n <= total * (cast(1 AS bigint) << z))"""
 
 
-@query(f"""WITH {_COVER}, {_inside_sql("whole", "(SELECT tz_idx, x, y, z FROM box)")},
+@query(f"""WITH e AS (SELECT * FROM {PATCHES.edges_sql()}), {_FITTING}, box AS {_box_tiles("z", "e, zoom")},
+  {_CROSSED}, {_inside_sql("whole", "(SELECT tz_idx, x, y, z FROM box)")},
   {_inside_sql("free", "(SELECT tz_idx, x, y, z FROM box WHERE (tz_idx, poly_idx, x, y) NOT IN (SELECT (tz_idx, poly_idx, x, y) FROM crossed))").replace(_BOXED, "false")},
   enough AS (SELECT tz_idx FROM (SELECT tz_idx FROM crossed UNION ALL SELECT tz_idx FROM free) GROUP BY tz_idx HAVING count(*) >= {tiles.MIN_TILES}),
   s AS (SELECT DISTINCT tz_idx, x, y, z FROM whole WHERE tz_idx IN (SELECT tz_idx FROM enough)),
-  m{_ZOOM} AS (SELECT a.tz_idx, a.x, a.y, a.z FROM s a JOIN s b ON a.tz_idx = b.tz_idx AND abs(a.x - b.x) <= 1 AND abs(a.y - b.y) <= 1 GROUP BY ALL HAVING count(*) = 9),
-  {_UP}, left_ AS ({_LEFT}), {_inside_sql("done", "left_")}
-  SELECT name, x, y, z, cast(tz_idx AS bigint) AS key_ord, (cast(z AS bigint) << 56) | (x << 28) | y AS packed FROM done JOIN {PATCHES.zones_sql()} USING (tz_idx) WHERE z <= 6""")
+  m AS (SELECT tz_idx, x + dx AS x, y + dy AS y, z FROM s, range(-1, 2) a(dx), range(-1, 2) b(dy) GROUP BY ALL HAVING count(*) = 9),
+  full_ AS MATERIALIZED (SELECT tz_idx, x >> k AS x, y >> k AS y, cast(z - k AS int) AS z FROM m, range({G.MAX_ZOOM}) r(k) WHERE k <= z - 3 GROUP BY ALL HAVING count(*) = cast(1 AS bigint) << (2 * max(k))),
+  left_ AS (SELECT * FROM full_ WHERE z = 3 OR (tz_idx, x >> 1, y >> 1, z - 1) NOT IN (SELECT (tz_idx, x, y, z) FROM full_)), {_inside_sql("done", "left_")}
+  SELECT name, x, y, z, cast(tz_idx AS bigint) AS key_ord, (cast(z AS bigint) << 56) | (x << 28) | y AS packed FROM done JOIN {PATCHES.zones_sql()} USING (tz_idx) WHERE z < (SELECT zoom.z FROM zoom)""")
 def preindex(spark, sf_dir):
-    return tiles.preindex(PATCHES.rings(spark, sf_dir), idx_zoom=_ZOOM, agg_zoom=3, max_keep=6, drop=1, excluded=R.edges(tiles.exclusion_rings(spark)))
+    """Tiles wholly in one zone, of a zoom that follows the zones' size, so that zones have some however many there are; those of that zoom itself go."""
+    rings = PATCHES.rings(spark, sf_dir)
+    zoom = tiles.index_zoom(rings, _PARTS)
+    return tiles.preindex(rings, idx_zoom=zoom, agg_zoom=3, max_keep=zoom - 1, drop=1, excluded=R.edges(tiles.exclusion_rings(spark)))
 
 
 # Rings
